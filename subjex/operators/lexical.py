@@ -81,16 +81,21 @@ def query_terms(queries: DataFrame, key: str, text_col: str | None = None,
 
 
 def bm25_scores(queries: DataFrame, index: Bm25Index, key: str,
-                text_col: str | None = None, tokens_col: str | None = None) -> DataFrame:
+                text_col: str | None = None, tokens_col: str | None = None,
+                with_shared: bool = False) -> DataFrame:
     """L2: ``(key, <label id>, score)`` for every label sharing at least one term.
 
-    Skew: a frequent term joins many records with many labels; terms are
-    aggregated per record first and AQE splits skewed join partitions.
+    ``with_shared`` adds the number of distinct shared terms (used by the default
+    rerank score).  Skew: a frequent term joins many records with many labels;
+    terms are aggregated per record first and AQE splits skewed join partitions.
     """
     q = query_terms(queries, key, text_col=text_col, tokens_col=tokens_col)
+    aggs = [F.sum(F.col("qf") * F.col("w")).alias("score")]
+    if with_shared:
+        aggs.append(F.count(F.lit(1)).alias("shared"))
     return (q.join(index.postings, "term")
              .groupBy(key, index.id_col)
-             .agg(F.sum(F.col("qf") * F.col("w")).alias("score")))
+             .agg(*aggs))
 
 
 def minmax_scale(scores: DataFrame, key: str, n_labels: int, score: str = "score",

@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load():
     # Importing the modules fills the registry.
-    from subjex.plans import q_lexical  # noqa: F401
+    from subjex.plans import q_dense, q_lexical  # noqa: F401

@@ -32,8 +32,9 @@ post as (select ltf.term, ltf.lid,
          from ltf join idf on ltf.term = idf.term join ldl on ltf.lid = ldl.lid, stats),
 qtok as (select {query_key} as qkey, unnest({ws_tokens_sql(query_text)}) as term from {queries}),
 qf as (select qkey, term, count(*) as qf from qtok group by qkey, term),
-bm25 as (select qkey, lid, sum(qf.qf * post.w) as score
-         from qf join post on qf.term = post.term group by qkey, lid)"""
+bm25 as (select qkey, lid, sum(qf.qf * post.w) as score, count(*) as shared
+         from qf join post on qf.term = post.term group by qkey, lid),
+lterms as (select lid, count(*) as label_terms from ltf group by lid)"""
 
 
 def minmax_ctes(n_labels_sql: str = "(select n from stats)") -> str:
