@@ -133,3 +133,49 @@ LOGITS_SQL = """logits as (
   select m as model_id, vec_id as id, j as class_idx,
     8 * embedding[m * 10 + j + 1]::double as logit
   from embeddings, range(3) a(m), range(10) b(j))"""
+
+
+# ---------------------------------------------------------------------------
+# jsonld: raw JSON-LD documents built from rec (Spark side only; the oracle
+# computes the expected record columns from rec).
+
+LANG_URI = "http://id.loc.gov/vocabulary/iso639-1/"
+MARK = "(classificationName=linsearch:mapping)"
+
+
+def jsonld_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rec(spark, sf_dir)
+    d = F.col("doc_id")
+    code = F.concat(F.lit("c"), (d % 10).cast("string"))
+    lang_uri = F.when(d % 5 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit(LANG_URI), F.col("language"), F.when(d % 2 == 0, F.lit("/")).otherwise(F.lit(""))))
+    main_json = F.to_json(F.struct(F.concat(F.lit("http://example.org/"), F.col("id")).alias("@id"),
+                                   F.concat(F.lit("bibo:"), F.col("type")).alias("@type"),
+                                   lang_uri.alias("language"), F.col("title"), F.col("abstract")))
+    dsub = (F.when(d % 3 == 0, F.concat(F.lit(',"dcterms:subject":{"@id":"gnd:'), F.col("id"), F.lit('"}')))
+             .when(d % 3 == 1, F.concat(F.lit(',"dcterms:subject":[{"@id":"gnd:'), F.col("id"),
+                                        F.lit('-1"},"skip",{"x":1},{"@id":"gnd:7"}]')))
+             .otherwise(F.lit("")))
+    subj = (F.when(d % 4 == 0, F.concat(F.lit(f',"subject":"{MARK}'), code, F.lit(' "')))
+             .when(d % 4 == 1, F.concat(F.lit(',"subject":["(classificationName=other:scheme)x1","'
+                                              f'{MARK}rest","{MARK}'), code, F.lit('"]')))
+             .otherwise(F.lit("")))
+    m = F.col("_main")
+    full = F.concat(F.expr("substring(_main, 1, length(_main) - 1)"), dsub, subj, F.lit("}"))
+    head = F.lit('{"@context":{"bibo":"http://purl.org/ontology/bibo/"},"@graph":[{"@id":"_:b0"},')
+    doc = (F.when(d % 17 == 0, F.concat(F.lit('{"@graph":['), m))
+            .when(d % 13 == 0, F.concat(head, F.lit('{"@type":"bibo:Article","note":"no title"}]}')))
+            .otherwise(F.concat(head, full, F.lit("]}"))))
+    return (r.withColumn("_main", main_json)
+             .select(F.concat(F.lit("3A"), F.col("id"), F.lit(".v1.jsonld")).alias("file_name"),
+                     doc.alias("doc")))
+
+
+JSONLD_EXPECTED_SQL = """rec_ok as (select * from rec where doc_id % 17 <> 0 and doc_id % 13 <> 0 and title <> ''),
+expected as (
+  select '3A' || id || '.v1' as id, type,
+    case when doc_id % 5 = 0 then 'und' else language end as language,
+    title, abstract,
+    case doc_id % 3 when 0 then id when 1 then id || '-1|7' else '' end as gnd_subject_ids,
+    case when doc_id % 4 in (0, 1) then 'c' || cast(doc_id % 10 as varchar) else '' end as linsearch_codes
+  from rec_ok)"""
