@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load():
     # Importing the modules fills the registry.
-    from subjex.plans import q_classify, q_dense, q_lexical, q_records  # noqa: F401
+    from subjex.plans import q_classify, q_dense, q_lexical, q_records, q_text  # noqa: F401

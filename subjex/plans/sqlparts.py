@@ -54,3 +54,65 @@ def cosine_sql(a: str, b: str) -> str:
     na = f"sqrt(list_sum(list_transform({a}, lambda x: x::double * x::double)))"
     nb = f"sqrt(list_sum(list_transform({b}, lambda x: x::double * x::double)))"
     return f"({dot} / greatest({na} * {nb}, 1e-12))"
+
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_list(words) -> str:
+    return "[" + ", ".join(sql_str(w) for w in words) + "]"
+
+
+def clean_sql(expr: str) -> str:
+    """T1 in DuckDB."""
+    from subjex.functions.text import TRANSLIT_FROM, TRANSLIT_MULTI, TRANSLIT_TO
+    col = f"translate(lower({expr}), {sql_str(TRANSLIT_FROM)}, {sql_str(TRANSLIT_TO)})"
+    for src, dst in TRANSLIT_MULTI:
+        col = f"replace({col}, {sql_str(src)}, {sql_str(dst)})"
+    col = f"regexp_replace({col}, '[^a-z0-9]+', ' ', 'g')"
+    return f"regexp_replace({col}, '^ | $', '', 'g')"
+
+
+def word_tokens_sql(cleaned: str) -> str:
+    """T2 in DuckDB: contraction splits, split on space, drop empty strings."""
+    from subjex.functions.text import CONTRACTION_SPLIT_BEFORE_SPACE, CONTRACTION_SPLITS
+    col = cleaned
+    for a, b in CONTRACTION_SPLITS:
+        col = f"regexp_replace({col}, '\\b({a})({b})\\b', '\\1 \\2', 'g')"
+    for a, b in CONTRACTION_SPLIT_BEFORE_SPACE:
+        col = f"regexp_replace({col}, '\\b({a})({b}) ', '\\1 \\2 ', 'g')"
+    return f"list_filter(string_split({col}, ' '), lambda t: t <> '')"
+
+
+def route_sql(lang: str) -> str:
+    """T5: de* -> de, else en."""
+    return f"(case when starts_with(coalesce({lang}, ''), 'de') then 'de' else 'en' end)"
+
+
+def stop_filter_sql(tokens: str, route: str) -> str:
+    """Drop the stop words of the routed language."""
+    from subjex.functions.text import default_stop_words
+    de = sql_list(default_stop_words("german"))
+    en = sql_list(default_stop_words("english"))
+    return (f"(case when {route} = 'de' then list_filter({tokens}, lambda t: not list_contains({de}, t)) "
+            f"else list_filter({tokens}, lambda t: not list_contains({en}, t)) end)")
+
+
+def stem_sql(tokens: str, route: str) -> str:
+    """T4 with the default suffix rule."""
+    from subjex.operators.terms import MIN_STEM, SUFFIXES
+
+    def rule(lang):
+        parts = " ".join(
+            f"when suffix(t, {sql_str(suf)}) and length(t) - {len(suf)} >= {MIN_STEM} "
+            f"then left(t, length(t) - {len(suf)})" for suf in SUFFIXES[lang])
+        return f"list_transform({tokens}, lambda t: case {parts} else t end)"
+    return f"(case when {route} = 'de' then {rule('de')} else {rule('en')} end)"
+
+
+def preprocess_sql(text: str, lang: str) -> str:
+    """The full pipeline as one DuckDB expression."""
+    route = route_sql(lang)
+    toks = stop_filter_sql(word_tokens_sql(clean_sql(text)), route)
+    return f"array_to_string({stem_sql(toks, route)}, ' ')"
