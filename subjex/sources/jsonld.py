@@ -15,8 +15,8 @@ from subjex.functions import records as R
 
 def scan_documents(spark: SparkSession, raw_dir: str, pattern: str = "*.jsonld") -> DataFrame:
     """``(file_name, doc)`` for every file matching ``pattern`` below ``raw_dir``."""
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-                 .option("pathGlobFilter", pattern).text(raw_dir)
+    return (spark.read.text(raw_dir, wholetext=True, recursiveFileLookup=True,
+                            pathGlobFilter=pattern)
                  .select(F.col("_metadata.file_name").alias("file_name"),
                          F.col("value").alias("doc")))
 

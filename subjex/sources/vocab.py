@@ -78,7 +78,7 @@ def class_list_from_text(text_df: DataFrame, col: str = "value",
 
 def read_class_list(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
     """S8 (read): one class per line of a text file."""
-    return class_list_from_text(spark.read.option("wholetext", True).text(path),
+    return class_list_from_text(spark.read.text(path, wholetext=True),
                                 keep_blank=keep_blank)
 
 
@@ -90,4 +90,4 @@ def code_map_from_json(text_df: DataFrame, col: str = "value") -> DataFrame:
 
 def read_code_map(spark: SparkSession, path: str) -> DataFrame:
     """S9 (read)."""
-    return code_map_from_json(spark.read.option("wholetext", True).text(path))
+    return code_map_from_json(spark.read.text(path, wholetext=True))
