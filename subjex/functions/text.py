@@ -127,13 +127,13 @@ def default_stop_words(language: str) -> tuple[str, ...]:
 def remove_stop_words(tokens, lang_route, de_words=None, en_words=None) -> Column:
     """Drop stop words of the routed language (``de`` or ``en``).
 
-    The word lists are array literals, so the check is an in-row ``array_contains``
-    (no join, no shuffle); lists are a few hundred words.
+    The lists are a few hundred words; ``isin`` over literals becomes a hash-set
+    lookup (``InSet``) per token - in-row, no join, no shuffle.
     """
-    de = F.array(*[F.lit(w) for w in (de_words or default_stop_words("german"))])
-    en = F.array(*[F.lit(w) for w in (en_words or default_stop_words("english"))])
-    stop = F.when(_c(lang_route) == F.lit("de"), de).otherwise(en)
-    return F.filter(_c(tokens), lambda t: ~F.array_contains(stop, t))
+    de = list(de_words or default_stop_words("german"))
+    en = list(en_words or default_stop_words("english"))
+    is_de = _c(lang_route) == F.lit("de")
+    return F.filter(_c(tokens), lambda t: ~F.when(is_de, t.isin(*de)).otherwise(t.isin(*en)))
 
 
 def clean_umlaut(x) -> Column:

@@ -25,6 +25,12 @@ BM25_EPSILON = 0.25
 MINMAX_EPS = 1e-8
 
 
+# Broadcast bounds: the term dictionary and the postings of a vocabulary are
+# broadcast only when their measured row counts are below these.
+MAX_BROADCAST_TERMS = 2_000_000
+MAX_BROADCAST_POSTINGS = 5_000_000
+
+
 @dataclass
 class Bm25Index:
     """L1: ``postings(term, <id>, w)`` where ``w`` already folds idf, tf and length
@@ -35,6 +41,8 @@ class Bm25Index:
     n_labels: int
     avgdl: float
     id_col: str
+    n_terms: int = 0
+    n_postings: int = 0
 
 
 def build_bm25(labels: DataFrame, id_col: str = "gnd_id", text_col: str = "label_text",
@@ -42,22 +50,24 @@ def build_bm25(labels: DataFrame, id_col: str = "gnd_id", text_col: str = "label
                tokens_col: str | None = None) -> Bm25Index:
     """L1: BM25 statistics of a label table (one row per label id, T9 tokens).
 
-    Two scalar aggregates go to the driver (label count, average length, average
-    idf); everything else stays distributed.
+    Scalars reach the driver from two aggregates (label count, average length,
+    posting count; term count, average idf); everything else stays distributed.
     """
     toks = labels.select(
         F.col(id_col),
         (F.col(tokens_col) if tokens_col else whitespace_tokens(text_col)).alias("_toks"))
     toks = toks.select(id_col, F.size("_toks").alias("dl"), "_toks")
-    st = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = int(st["n"]), float(st["avgdl"] or 0.0)
+    st = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"),
+                  F.sum(F.size(F.array_distinct("_toks"))).alias("np")).first()
+    n, avgdl, n_post = int(st["n"]), float(st["avgdl"] or 0.0), int(st["np"] or 0)
 
     tf = (toks.select(id_col, "dl", F.explode("_toks").alias("term"))
               .groupBy(id_col, "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
     raw = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
              .select("term", (F.log(F.lit(float(n)) - F.col("df") + F.lit(0.5))
                               - F.log(F.col("df") + F.lit(0.5))).alias("idf_raw")))
-    avg_idf = float(raw.agg(F.avg("idf_raw")).first()[0] or 0.0)
+    it = raw.agg(F.avg("idf_raw").alias("a"), F.count(F.lit(1)).alias("nt")).first()
+    avg_idf, n_terms = float(it["a"] or 0.0), int(it["nt"])
     idf = raw.select("term", F.when(F.col("idf_raw") < 0, F.lit(epsilon * avg_idf))
                      .otherwise(F.col("idf_raw")).alias("idf"))
     length_norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
@@ -65,19 +75,30 @@ def build_bm25(labels: DataFrame, id_col: str = "gnd_id", text_col: str = "label
                   .select("term", id_col,
                           (F.col("idf") * F.col("tf") * F.lit(k1 + 1.0)
                            / (F.col("tf") + length_norm)).alias("w")))
-    return Bm25Index(postings=postings, idf=idf, n_labels=n, avgdl=avgdl, id_col=id_col)
+    return Bm25Index(postings=postings, idf=idf, n_labels=n, avgdl=avgdl, id_col=id_col,
+                     n_terms=n_terms, n_postings=n_post)
+
+
+def _tokens(queries: DataFrame, key: str, text_col: str | None, tokens_col: str | None,
+            index: Bm25Index | None) -> DataFrame:
+    toks = F.col(tokens_col) if tokens_col else whitespace_tokens(text_col)
+    ex = queries.select(key, F.explode(toks).alias("term"))
+    if index is not None and index.n_terms <= MAX_BROADCAST_TERMS:
+        # tokens that are no vocabulary term cannot score: drop them before any
+        # shuffle (the term list is bounded by the measured count above)
+        ex = ex.join(F.broadcast(index.idf.select("term")), "term", "left_semi")
+    return ex
 
 
 def query_terms(queries: DataFrame, key: str, text_col: str | None = None,
-                tokens_col: str | None = None) -> DataFrame:
+                tokens_col: str | None = None, index: Bm25Index | None = None) -> DataFrame:
     """Query side: ``(key, term, qf)``; repeated query terms count ``qf`` times.
 
     The aggregate is combined map-side (all tokens of one record sit in one task),
     so only distinct (record, term) rows cross the shuffle.
     """
-    toks = F.col(tokens_col) if tokens_col else whitespace_tokens(text_col)
-    return (queries.select(key, F.explode(toks).alias("term"))
-                   .groupBy(key, "term").agg(F.count(F.lit(1)).alias("qf")))
+    return (_tokens(queries, key, text_col, tokens_col, index)
+            .groupBy(key, "term").agg(F.count(F.lit(1)).alias("qf")))
 
 
 def bm25_scores(queries: DataFrame, index: Bm25Index, key: str,
@@ -85,17 +106,22 @@ def bm25_scores(queries: DataFrame, index: Bm25Index, key: str,
                 with_shared: bool = False) -> DataFrame:
     """L2: ``(key, <label id>, score)`` for every label sharing at least one term.
 
-    ``with_shared`` adds the number of distinct shared terms (used by the default
-    rerank score).  Skew: a frequent term joins many records with many labels;
-    terms are aggregated per record first and AQE splits skewed join partitions.
+    Tokens that are no vocabulary term are dropped where they are read; the
+    rest are counted per (record, term), combined map-side.  The counts join the
+    postings - broadcast when the postings are measured small, else shuffled on
+    the term (AQE splits skewed, frequent terms) - and are summed per (record,
+    label), again combined map-side.  Counting first matters: a frequent term
+    repeats within a record, and every repeat would otherwise meet every label
+    holding the term.  ``with_shared`` adds the number of distinct shared terms.
     """
-    q = query_terms(queries, key, text_col=text_col, tokens_col=tokens_col)
+    q = query_terms(queries, key, text_col=text_col, tokens_col=tokens_col, index=index)
+    post = index.postings
+    if index.n_postings <= MAX_BROADCAST_POSTINGS:
+        post = F.broadcast(post)
     aggs = [F.sum(F.col("qf") * F.col("w")).alias("score")]
     if with_shared:
         aggs.append(F.count(F.lit(1)).alias("shared"))
-    return (q.join(index.postings, "term")
-             .groupBy(key, index.id_col)
-             .agg(*aggs))
+    return q.join(post, "term").groupBy(key, index.id_col).agg(*aggs)
 
 
 def minmax_scale(scores: DataFrame, key: str, n_labels: int, score: str = "score",

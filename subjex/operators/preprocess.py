@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subjex.functions import text as X
-from subjex.operators.terms import StemFn, stem_dictionary, suffix_stem
+from subjex.operators.terms import MAX_BROADCAST_TERMS, StemFn, stem_dictionary, suffix_stem
 
 MODES = ("standard", "umlaut")
 
@@ -42,21 +42,34 @@ def _is_field(name: str):
 
 
 def preprocess_fields(df: DataFrame, key: str, fields: dict[str, str], lang: str,
-                      mode: str = "standard", stem: StemFn = suffix_stem) -> DataFrame:
-    """``df`` plus one preprocessed text column per ``fields`` entry
-    (output name -> input column)."""
+                      mode: str = "standard", stem: StemFn = suffix_stem,
+                      keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``key``, the ``keep`` columns (default: all columns but the
+    inputs) and one preprocessed text column per ``fields`` entry (output name ->
+    input column).
+
+    One explode of all fields' tokens; the distinct terms are normalised once and
+    joined back (broadcast when their measured count is under the bound); one
+    regroup per record restores token order.  ``explode_outer`` keeps records
+    without tokens, so no join back to the input is needed.
+    """
+    if keep is None:
+        keep = tuple(c for c in df.columns if c != key and c not in fields.values())
     route = X.route_language(lang) if mode == "standard" else route_exact(lang)
+    base = df.select(key, *keep, route.alias("_route"), *[F.col(s) for s in set(fields.values())])
     tagged = [F.transform(field_tokens(F.col(src), F.col("_route"), mode), _tagger(name))
               for name, src in fields.items()]
-    ex = (df.select(key, route.alias("_route"), *[F.col(s) for s in set(fields.values())])
-            .select(key, F.col("_route").alias("lang"), F.explode(F.concat(*tagged)).alias("e"))
-            .select(key, "lang", "e.f", "e.pos", "e.token"))
-    dictionary = stem_dictionary(ex.select("lang", "token").distinct(), stem)
-    joined = ex.join(dictionary, ["lang", "token"], "left")
-    grouped = (joined.groupBy(key)
-                     .agg(F.array_sort(F.collect_list(F.struct("f", "pos", F.coalesce("term", "token")
-                                                                 .alias("t")))).alias("_s")))
-    outs = [F.coalesce(F.array_join(F.transform(F.filter("_s", _is_field(name)), lambda x: x["t"]),
-                                    " "), F.lit("")).alias(name)
-            for name in fields]
-    return df.join(grouped, key, "left").select(*df.columns, *outs)
+    ex = (base.select(key, *keep, F.col("_route").alias("_lang"),
+                      F.explode_outer(F.concat(*tagged)).alias("e"))
+              .select(key, *keep, "_lang", "e.f", "e.pos", "e.token"))
+    terms = ex.where(F.col("token").isNotNull()).select(F.col("_lang").alias("lang"), "token").distinct()
+    dictionary = stem_dictionary(terms, stem).withColumnRenamed("lang", "_lang").persist()
+    if dictionary.count() <= MAX_BROADCAST_TERMS:
+        dictionary = F.broadcast(dictionary)
+    joined = ex.join(dictionary, ["_lang", "token"], "left")
+    item = F.when(F.col("token").isNotNull(),
+                  F.struct("f", "pos", F.coalesce("term", "token").alias("t")))
+    grouped = joined.groupBy(key, *keep).agg(F.array_sort(F.collect_list(item)).alias("_s"))
+    outs = [F.array_join(F.transform(F.filter("_s", _is_field(name)), lambda x: x["t"]), " ")
+            .alias(name) for name in fields]
+    return grouped.select(key, *keep, *outs)

@@ -33,23 +33,25 @@ def dense_candidates(docs: DataFrame, key: str, vec: str, labels: DataFrame,
 
 def hybrid_scores(docs: DataFrame, key: str, text: str, vec: str, labels: DataFrame,
                   topk: int, weight: float = DEFAULT_BM25_WEIGHT,
-                  index: Bm25Index | None = None, label_vec: str = "embedding") -> DataFrame:
+                  index: Bm25Index | None = None, label_vec: str = "embedding",
+                  with_shared: bool = False) -> DataFrame:
     """H1: dense candidates (2 x topk, V5) with ``(1-w) * cosine + w * bm25_scaled``.
 
     J7: the candidate set looks up its lexical score with a left join on
     ``(key, gnd_id)``; a candidate without a shared term gets the scaled value of
-    zero.  Also returns ``shared`` (distinct shared terms) for the default rerank.
+    zero.  ``with_shared`` also returns ``shared`` (distinct shared terms) for the
+    default rerank score.
     """
     index = index or build_bm25(labels.select("gnd_id", "label_text"))
     cands = dense_candidates(docs, key, vec, labels, 2 * topk, label_vec)
-    lex = bm25_scores(docs, index, key, text_col=text, with_shared=True)
+    lex = bm25_scores(docs, index, key, text_col=text, with_shared=with_shared)
     mm = record_minmax(lex, key, index.n_labels)
     scaled = (F.coalesce(F.col("score"), F.lit(0.0)) - F.col("_mn")) / F.col("_den")
+    extra = [F.coalesce(F.col("shared"), F.lit(0)).alias("shared")] if with_shared else []
     out = (cands.join(lex, [key, "gnd_id"], "left")
                 .join(mm, key, "left")
                 .select(key, "gnd_id", "cosine",
-                        F.coalesce(scaled, F.lit(0.0)).alias("bm25_scaled"),
-                        F.coalesce(F.col("shared"), F.lit(0)).alias("shared")))
+                        F.coalesce(scaled, F.lit(0.0)).alias("bm25_scaled"), *extra))
     return out.withColumn(
         "hybrid", F.lit(1.0 - weight) * F.col("cosine") + F.lit(weight) * F.col("bm25_scaled"))
 
@@ -81,9 +83,11 @@ def suggest_hybrid(docs: DataFrame, key: str, text: str, vec: str, labels: DataF
                    scorer: PairScorer | None = None, label_vec: str = "embedding") -> DataFrame:
     """H2: ``(key, rank, gnd_id, score)`` - hybrid top-k, optional rerank, first ``n_out``."""
     index = build_bm25(labels.select("gnd_id", "label_text"))
-    hy = hybrid_scores(docs, key, text, vec, labels, topk, weight, index, label_vec)
-    best = top_k(hy.select(key, "gnd_id", F.col("hybrid").alias("score"), "shared"),
-                 key, "gnd_id", "score", topk)
+    need_shared = rerank_n > 0 and scorer is None
+    hy = hybrid_scores(docs, key, text, vec, labels, topk, weight, index, label_vec,
+                       with_shared=need_shared)
+    cols = [key, "gnd_id", F.col("hybrid").alias("score")] + (["shared"] if need_shared else [])
+    best = top_k(hy.select(*cols), key, "gnd_id", "score", topk)
     if rerank_n > 0:
         best = _apply_rerank(best, key, rerank_n, topk, index, docs, text, labels, scorer)
     return best.filter(F.col("rank") <= n_out).select(key, "rank", "gnd_id", "score")

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 StemFn = Callable[[str, str], str]
 
+# The normalised dictionary is broadcast only below this measured row count.
+MAX_BROADCAST_TERMS = 2_000_000
+
 # Default term normaliser: a small suffix-stripping rule.  The reference uses
 # Snowball stemmers, which are not available here; any ``(lang, token) -> term``
 # function can be passed instead.  Suffixes are tried in order; the stem keeps

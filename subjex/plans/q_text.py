@@ -78,7 +78,7 @@ select doc_id, array_to_string(terms, ' ') as pre from c4""")
 def t6_preprocess(spark, sf_dir):
     """Clean -> tokens -> stop words -> terms -> joined with spaces."""
     d = _docs(spark, sf_dir).select("doc_id", "text", "lang")
-    return preprocess_fields(d, "doc_id", {"pre": "text"}, "lang").select("doc_id", "pre")
+    return preprocess_fields(d, "doc_id", {"pre": "text"}, "lang", keep=()).select("doc_id", "pre")
 
 
 _UMLAUT = f"""u1 as (select doc_id, (case when coalesce(lang, '') = 'de' then 'de' else 'en' end) as route,
@@ -94,7 +94,7 @@ select doc_id, array_to_string(terms, ' ') as pre from u3""")
 def t7_preprocess_umlaut(spark, sf_dir):
     """The alternate preprocess (keeps umlauts, deletes digits, German only for 'de')."""
     d = _docs(spark, sf_dir).select("doc_id", "text", "lang")
-    return preprocess_fields(d, "doc_id", {"pre": "text"}, "lang", mode="umlaut") \
+    return preprocess_fields(d, "doc_id", {"pre": "text"}, "lang", mode="umlaut", keep=()) \
         .select("doc_id", "pre")
 
 
@@ -210,7 +210,8 @@ select id, 'This is a ' || (case when starts_with(lower(coalesce(language, '')),
 def p17_prompt(spark, sf_dir):
     """Classification prompt over preprocessed title and abstract."""
     r = fx.rec(spark, sf_dir)
-    pre = preprocess_fields(r, "id", {"tp": "title", "ap": "abstract"}, "language")
+    pre = preprocess_fields(r, "id", {"tp": "title", "ap": "abstract"}, "language",
+                            keep=("language", "type"))
     return pre.select("id", X.prompt_text("tp", "ap", "language", "type").alias("prompt"))
 
 

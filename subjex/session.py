@@ -61,6 +61,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df):
+    """Round-robin repartition to the cluster's parallelism when a scan yields
+    fewer partitions than that (a single-row-group file, a non-splittable
+    compressed file).  Large inputs already have many splits and pass unchanged,
+    so no shuffle is added at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-folder of the checkpoint folder for a written intermediate table."""
     base = checkpoint_dir(spark)
