@@ -27,11 +27,17 @@ def threshold_list(thresholds: DataFrame) -> list[float]:
     The table has one row per class, so what reaches the driver is bounded by
     the class list (checked).
     """
-    n = thresholds.count()
-    if n > MAX_CLASSES:
-        raise ValueError(f"{n} thresholds exceed the class bound {MAX_CLASSES}")
-    rows = thresholds.select("class_idx", "threshold").orderBy("class_idx").collect()
-    return [float(r["threshold"]) for r in rows]
+    rows = bounded_collect(thresholds.select("class_idx", "threshold"), MAX_CLASSES, "thresholds")
+    return [float(r["threshold"]) for r in sorted(rows, key=lambda r: r["class_idx"])]
+
+
+def bounded_collect(df: DataFrame, bound: int, what: str) -> list:
+    """Collect a table that is bounded by construction (one row per class), in
+    one job; more than ``bound`` rows is an error, never a silent cut."""
+    rows = df.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"{what}: more than {bound} rows")
+    return rows
 
 
 def thresholds_array(thresholds) -> Column:

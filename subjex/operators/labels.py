@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subjex.operators.decode import MAX_CLASSES
+from subjex.operators.decode import MAX_CLASSES, bounded_collect
 
 
 def class_names(classes: DataFrame) -> list[str]:
     """The class list in order; bounded by the class count (checked)."""
-    n = classes.count()
-    if n > MAX_CLASSES:
-        raise ValueError(f"{n} classes exceed the bound {MAX_CLASSES}")
-    return [r["class"] for r in classes.orderBy("class_idx").collect()]
+    rows = bounded_collect(classes.select("class_idx", "class"), MAX_CLASSES, "classes")
+    return [r["class"] for r in sorted(rows, key=lambda r: r["class_idx"])]
 
 
 def multi_hot(df: DataFrame, codes: str, classes: list[str] | DataFrame, out: str = "y") -> DataFrame:

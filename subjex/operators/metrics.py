@@ -80,7 +80,10 @@ def per_sample_average(aligned: DataFrame) -> DataFrame:
 def classification_report(aligned: DataFrame, class_names: DataFrame | None = None) -> DataFrame:
     """``(label, precision, recall, f1, support)`` per class plus the four
     average rows; ``class_names`` is ``(class_idx, class)``."""
-    conf = confusion(aligned)
+    # the confusion table has one row per class; a reliable checkpoint (in the
+    # shared checkpoint folder) lets the per-class rows and the average rows read
+    # it without recomputing the upstream pipeline
+    conf = confusion(aligned).checkpoint(eager=True)
     pc = per_class(conf)
     if class_names is not None:
         pc = pc.join(class_names, "class_idx").withColumn("label", F.col("class"))

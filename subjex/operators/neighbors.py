@@ -125,7 +125,7 @@ def build_ivf(items: DataFrame, i_key: str, i_vec: str, n_cells: int,
               seed: int = 42, max_iter: int = 20) -> IvfIndex:
     """V2: coarse cells by k-means over the L2-normalised item vectors."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     from subjex.functions.vectors import l2_normalize
 
     data = items.select(i_key, i_vec, array_to_vector(l2_normalize(i_vec)).alias("_fv"))
@@ -137,7 +137,6 @@ def build_ivf(items: DataFrame, i_key: str, i_vec: str, n_cells: int,
         [(i, [float(x) for x in c]) for i, c in enumerate(centers)],
         "cell INT, centroid ARRAY<DOUBLE>")
     assignments = model.transform(data).select(i_key, F.col("cell").cast("int"), i_vec)
-    _ = vector_to_array  # noqa: F841
     return IvfIndex(centroids, assignments, len(centers), i_key, i_vec)
 
 
@@ -154,3 +153,91 @@ def ivf_top_k(queries: DataFrame, q_key: str, q_vec: str, index: IvfIndex, k: in
                     .join(queries.select(q_key, q_vec), q_key))
     return exact_top_k(probed, q_key, q_vec, index.assignments, index.i_key, index.i_vec, k,
                        group="cell", normalize=normalize)
+
+
+# ---------------------------------------------------------------------------
+# Product quantisation (V4)
+
+@dataclass
+class PqCodebook:
+    codebooks: np.ndarray  # (m, ksub, dsub) - bounded by ksub x dim
+    m: int
+    dsub: int
+
+
+def train_pq(items: DataFrame, i_vec: str, m: int, ksub: int, seed: int = 42,
+             max_iter: int = 20, parallelism: int = 4) -> PqCodebook:
+    """V4: one k-means per sub-vector of the L2-normalised item vectors.
+
+    The ``m`` fits are independent jobs over one persisted frame, submitted
+    concurrently; each codebook is ``ksub x dim/m`` values.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    from subjex.functions.vectors import l2_normalize
+
+    dim = len(items.select(i_vec).first()[0])
+    if dim % m:
+        raise ValueError(f"dimension {dim} is not a multiple of m={m}")
+    dsub = dim // m
+    data = items.select(l2_normalize(i_vec).alias("_v")).persist()
+
+    def fit(j):
+        sub = data.select(array_to_vector(F.slice("_v", j * dsub + 1, dsub)).alias("_s"))
+        model = KMeans(k=ksub, seed=seed + j, maxIter=max_iter, featuresCol="_s").fit(sub)
+        centers = np.array(model.clusterCenters())
+        if len(centers) < ksub:  # k-means|| may find fewer distinct centres
+            centers = np.vstack([centers, np.repeat(centers[-1:], ksub - len(centers), axis=0)])
+        return centers
+
+    try:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            books = list(pool.map(fit, range(m)))
+    finally:
+        data.unpersist()
+    return PqCodebook(np.stack(books), m, dsub)
+
+
+def pq_encode(items: DataFrame, i_vec: str, book: PqCodebook, out: str = "codes") -> DataFrame:
+    """V4: ``codes ARRAY<INT>`` - the nearest centroid of each sub-vector."""
+    cb = book.codebooks
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode(vecs: pd.Series) -> pd.Series:
+        x = np.vstack(vecs.to_numpy()).astype(np.float64)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_EPS)
+        codes = np.empty((len(x), book.m), dtype=np.int32)
+        for j in range(book.m):
+            sub = x[:, j * book.dsub:(j + 1) * book.dsub]
+            d = ((sub[:, None, :] - cb[j][None, :, :]) ** 2).sum(axis=2)
+            codes[:, j] = d.argmin(axis=1)
+        return pd.Series(list(codes))
+
+    return items.withColumn(out, encode(F.col(i_vec)))
+
+
+def pq_decode(codes_col: str, book: PqCodebook):
+    """The quantised vector of a code array (concatenated centroids)."""
+    cb = book.codebooks
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def decode(codes: pd.Series) -> pd.Series:
+        c = np.vstack(codes.to_numpy())
+        parts = [cb[j][c[:, j]] for j in range(book.m)]
+        return pd.Series(list(np.hstack(parts)))
+
+    return decode(F.col(codes_col))
+
+
+def pq_top_k(queries: DataFrame, q_key: str, q_vec: str, coded: DataFrame, i_key: str,
+             book: PqCodebook, k: int, group: str | None = None, codes: str = "codes") -> DataFrame:
+    """V4 search: inner product of the exact (normalised) query with each item's
+    quantised vector - the asymmetric distance - through the blocked top-k."""
+    from subjex.functions.vectors import l2_normalize
+
+    q = queries.select(q_key, l2_normalize(q_vec).alias("_qn"), *([group] if group else []))
+    cols = [i_key, pq_decode(codes, book).alias("_xq")] + ([group] if group else [])
+    return exact_top_k(q, q_key, "_qn", coded.select(*cols), i_key, "_xq", k, group=group,
+                       normalize=False)

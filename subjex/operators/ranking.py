@@ -39,3 +39,14 @@ def ranked_list(df: DataFrame, key: str, item: str, rank_col: str = "rank",
               .agg(F.array_sort(F.collect_list(F.struct(F.col(rank_col).alias("r"),
                                                         F.col(item).alias("v")))).alias("_l"))
               .select(key, F.col("_l.v").alias(out_col)))
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """A repeatable sample of ``n`` records: order by a seeded hash of the key
+    (ties by key) and keep the first ``n`` (a top-n per task, then one merge)."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+
+
+def debug_limit(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` records by key, for debugging runs."""
+    return df.orderBy(key).limit(n)

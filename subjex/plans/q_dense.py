@@ -170,3 +170,39 @@ def z1_zero_shot(spark, sf_dir):
     tagged = zero_shot(e, "vec_id", "embedding", classes, n_classes)
     return tagged.select("vec_id", F.posexplode("labels").alias("class_idx", "y")) \
         .select("vec_id", F.col("class_idx").cast("int"), F.col("y").cast("int"))
+
+
+@register("m1_m3_vector_math", f"""
+with cpos as (select label as class_idx, pos, avg(x::double) as x
+         from (select label, generate_subscripts(embedding, 1) as pos, unnest(embedding) as x
+               from embeddings) group by label, pos),
+cvec as (select class_idx, list(x order by pos) as embedding from cpos group by class_idx)
+select e.vec_id,
+       round(sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double))), 6) as norm,
+       round({cosine_sql('e.embedding', 'c.embedding')}, 6) as cos_class,
+       round(1.0::double / (1.0::double + exp(-(8.0::double * {cosine_sql('e.embedding', 'c.embedding')}))), 6)
+         as sig
+from embeddings e join cvec c on e.label = c.class_idx""")
+def m1_m3_vector_math(spark, sf_dir):
+    """M1-M3: L2 norm, cosine to the record's class centroid (equi join on the
+    class), and a sigmoid of the scaled cosine."""
+    from subjex.functions.vectors import cosine, l2_normalize, sigmoid, sq_norm
+    e = table(spark, sf_dir, "embeddings")
+    c = class_centroids(e, "label", "embedding").withColumnRenamed("embedding", "centroid")
+    j = e.join(c, e.label == c.class_idx)
+    cos = cosine(l2_normalize("embedding"), "centroid")
+    return j.select("vec_id", F.round(F.sqrt(sq_norm("embedding")), 6).alias("norm"),
+                    F.round(cos, 6).alias("cos_class"),
+                    F.round(sigmoid(F.lit(8.0) * cos), 6).alias("sig"))
+
+
+@register("v4_pq_topk")
+def v4_pq_topk(spark, sf_dir):
+    """V4: product-quantised label vectors (8 sub-vectors x 16 centroids), top-k by
+    the asymmetric inner product."""
+    from subjex.operators.neighbors import pq_encode, pq_top_k, train_pq
+    docs, labels = _inputs(spark, sf_dir)
+    book = train_pq(labels, "embedding", m=8, ksub=16)
+    coded = pq_encode(labels, "embedding", book)
+    return pq_top_k(docs, "doc_id", "embedding", coded, "gnd_id", book, TOPK) \
+        .select("doc_id", "gnd_id", "rank", F.round("score", 6).alias("score"))

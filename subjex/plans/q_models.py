@@ -117,3 +117,11 @@ def s11_f7_split_read(spark, sf_dir):
     path = scratch_path(spark, "s11-embeddings")
     write_embeddings(e.withColumn("split", split), path)
     return read_embeddings(spark, path, "dev").select("vec_id", "label")
+
+
+@register("w8_seeded_sample")
+def w8_seeded_sample(spark, sf_dir):
+    """A seeded, repeatable sample of 100 documents (sampling is the feature)."""
+    from subjex.operators.ranking import seeded_sample
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return seeded_sample(d, "doc_id", 100, seed=42)

@@ -192,3 +192,16 @@ def j2_code_lookup(spark, sf_dir):
     classes = V.class_list_from_text(_class_text(spark, sf_dir))
     return code_indices(_records(spark, sf_dir), "id", "linsearch_codes", classes) \
         .select("id", F.col("class_idx").cast("int"))
+
+
+@register("a1_corpus_counts", f"""
+with {fx.REC_SQL}
+select count(*) as files, sum(case when doc_id % 17 = 0 then 1 else 0 end)::bigint as rejected,
+       sum(case when doc_id % 17 <> 0 and (doc_id % 13 = 0 or title = '') then 1 else 0 end)::bigint
+         as no_main_node,
+       sum(case when doc_id % 17 <> 0 and doc_id % 13 <> 0 and title <> '' then 1 else 0 end)::bigint
+         as records
+from rec""")
+def a1_corpus_counts(spark, sf_dir):
+    """A1: files read, rejected, without main node, and records written."""
+    return J.corpus_counts(J.parse_documents(fx.jsonld_docs(spark, sf_dir)))

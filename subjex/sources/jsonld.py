@@ -67,6 +67,17 @@ def extract_records(parsed: DataFrame) -> DataFrame:
         R.domain_codes(R.field(m, "subject")).alias("linsearch_codes"))
 
 
+def corpus_counts(parsed: DataFrame) -> DataFrame:
+    """A1: one row - files read, files that did not parse, files without a main
+    node, records kept (what was written and what was removed)."""
+    main = R.main_node("v")
+    return parsed.select(F.col("v").isNull().alias("bad"), main.isNotNull().alias("ok")).agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum(F.col("bad").cast("long")).alias("rejected"),
+        F.sum((~F.col("bad") & ~F.col("ok")).cast("long")).alias("no_main_node"),
+        F.sum(F.col("ok").cast("long")).alias("records"))
+
+
 def build_corpus(spark: SparkSession, raw_dir: str, exclude: str | None = None) -> DataFrame:
     """Corpus conversion: scan, exclude, guard, parse, extract.
 
