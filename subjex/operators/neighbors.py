@@ -23,8 +23,14 @@ from pyspark.sql import types as T
 from subjex.operators.ranking import RANK_DECIMALS, top_k
 from subjex.functions.vectors import NORM_EPS
 
-# Rows per block: a block product is at most Q_CHUNK x ITEM_BLOCK doubles in memory.
-QUERY_BLOCK = 4096
+# Rows per block.  Every item block meets every query block of its group, so an
+# item row is shuffled once per query block and a query row once per item
+# block; queries usually outnumber items, hence the larger query blocks.  A
+# group's pandas frames hold one block of each side; the product is computed
+# Q_CHUNK query rows at a time (Q_CHUNK x ITEM_BLOCK doubles).  Exact search
+# over all pairs is inherently |Q| x |I|; the inverted-file search (V3) is the
+# path for large vocabularies.
+QUERY_BLOCK = 16384
 ITEM_BLOCK = 8192
 Q_CHUNK = 512
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subjex.operators.lexical import Bm25Index, bm25_scores, build_bm25, record_minmax
+from subjex.operators.lexical import MINMAX_EPS, Bm25Index, bm25_scores, build_bm25
 from subjex.operators.neighbors import exact_top_k
 from subjex.operators.ranking import ranked_list, top_k
 
@@ -37,21 +37,34 @@ def hybrid_scores(docs: DataFrame, key: str, text: str, vec: str, labels: DataFr
                   with_shared: bool = False) -> DataFrame:
     """H1: dense candidates (2 x topk, V5) with ``(1-w) * cosine + w * bm25_scaled``.
 
-    J7: the candidate set looks up its lexical score with a left join on
-    ``(key, gnd_id)``; a candidate without a shared term gets the scaled value of
-    zero.  ``with_shared`` also returns ``shared`` (distinct shared terms) for the
-    default rerank score.
+    J7 + L3 in one pass: the lexical pairs and the dense candidates meet in one
+    full outer join on ``(key, gnd_id)``; one aggregate per record then gives
+    the min-max statistics over all lexical matches (implicit zeros included)
+    and the record's candidates (at most 2 x topk, so the list is bounded).  A
+    candidate without a shared term gets the scaled value of zero.  The output
+    stays hash-partitioned by ``key``, so a following top-k needs no exchange.
+    ``with_shared`` also returns ``shared`` (distinct shared terms).
     """
     index = index or build_bm25(labels.select("gnd_id", "label_text"))
-    cands = dense_candidates(docs, key, vec, labels, 2 * topk, label_vec)
+    cands = dense_candidates(docs, key, vec, labels, 2 * topk, label_vec) \
+        .select(key, "gnd_id", "cosine")
     lex = bm25_scores(docs, index, key, text_col=text, with_shared=with_shared)
-    mm = record_minmax(lex, key, index.n_labels)
-    scaled = (F.coalesce(F.col("score"), F.lit(0.0)) - F.col("_mn")) / F.col("_den")
-    extra = [F.coalesce(F.col("shared"), F.lit(0)).alias("shared")] if with_shared else []
-    out = (cands.join(lex, [key, "gnd_id"], "left")
-                .join(mm, key, "left")
-                .select(key, "gnd_id", "cosine",
-                        F.coalesce(scaled, F.lit(0.0)).alias("bm25_scaled"), *extra))
+    both = lex.join(cands, [key, "gnd_id"], "full_outer")
+    fields = [F.col("gnd_id"), F.col("cosine"), F.coalesce("score", F.lit(0.0)).alias("score")]
+    if with_shared:
+        fields.append(F.coalesce("shared", F.lit(0)).alias("shared"))
+    cand = F.when(F.col("cosine").isNotNull(), F.struct(*fields))
+    per = both.groupBy(key).agg(F.count("score").alias("_cnt"), F.min("score").alias("_mn0"),
+                                F.max("score").alias("_mx0"), F.collect_list(cand).alias("_c"))
+    has_zero = F.col("_cnt") < F.lit(index.n_labels)
+    mn = F.when(has_zero, F.least("_mn0", F.lit(0.0))).otherwise(F.col("_mn0"))
+    mx = F.when(has_zero, F.greatest("_mx0", F.lit(0.0))).otherwise(F.col("_mx0"))
+    ex = per.select(key, mn.alias("_mn"), (mx - mn + F.lit(MINMAX_EPS)).alias("_den"),
+                    F.explode("_c").alias("c"))
+    scaled = (F.col("c.score") - F.col("_mn")) / F.col("_den")
+    extra = [F.col("c.shared").alias("shared")] if with_shared else []
+    out = ex.select(key, F.col("c.gnd_id").alias("gnd_id"), F.col("c.cosine").alias("cosine"),
+                    F.coalesce(scaled, F.lit(0.0)).alias("bm25_scaled"), *extra)
     return out.withColumn(
         "hybrid", F.lit(1.0 - weight) * F.col("cosine") + F.lit(weight) * F.col("bm25_scaled"))
 

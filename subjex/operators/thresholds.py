@@ -5,10 +5,12 @@ Input is the long form ``(class_idx, p, y)``: one row per record and class.
 The exact fit needs, for every distinct probability of a class, how many
 positives and negatives score at least that much - a descending prefix sum.  A
 window over a whole class would put all records of that class in one task, so
-the prefix sum is two-level: per-bucket totals (``floor(p * B)``), a small window
-over buckets for the offsets, then a window inside each (class, bucket) over the
-distinct probabilities only.  The best threshold per class is an aggregate
-(``max_by``), combined map-side.
+the prefix sum is two-level: the distinct (class, probability) rows are range
+partitioned on (class, probability descending) - Spark samples the boundaries,
+so buckets hold similar numbers of rows whatever the distribution (e.g. most
+probabilities near 0) - then per-bucket totals, a small window over buckets for
+the offsets, and a window inside each (class, bucket).  The best threshold per
+class is an aggregate (``max_by``), combined map-side.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 F1_EPS = 1e-9
 DEFAULT_THRESHOLD = 0.5
 GRID = tuple(float(x) for x in np.linspace(0.05, 0.5, 10))
-# Buckets of the two-level prefix sum (probabilities lie in [0, 1]).
-PREFIX_BUCKETS = 1 << 16
+# Range buckets of the two-level prefix sum (0: twice the cluster's parallelism).
+PREFIX_BUCKETS = 0
 
 
 def long_probs(df: DataFrame, key: str, probs: str, gold: str) -> DataFrame:
@@ -41,12 +43,14 @@ def pr_sweep(long_df: DataFrame, buckets: int = PREFIX_BUCKETS) -> DataFrame:
     gives ``tps`` true and ``fps`` false positives.  Precision is 0 when nothing
     is predicted; recall is 1 for a class without positives.
     """
+    n = buckets or 2 * long_df.sparkSession.sparkContext.defaultParallelism
     vals = (long_df.groupBy("class_idx", "p")
                    .agg(F.sum("y").alias("pos"), F.sum(F.lit(1) - F.col("y")).alias("neg"))
-                   .withColumn("b", F.least(F.floor(F.col("p") * buckets), F.lit(buckets - 1))
-                               .cast("int")))
+                   .repartitionByRange(n, F.col("class_idx"), F.col("p").desc())
+                   .withColumn("b", F.spark_partition_id()))
     btot = vals.groupBy("class_idx", "b").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
-    wb = Window.partitionBy("class_idx").orderBy(F.col("b").desc()) \
+    # range order: within a class, a higher bucket id holds lower probabilities
+    wb = Window.partitionBy("class_idx").orderBy(F.col("b").asc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy("class_idx")
     boff = btot.select("class_idx", "b",

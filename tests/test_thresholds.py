@@ -50,7 +50,7 @@ def test_exact_and_grid_match_brute_force(spark, monkeypatch):
         by[c][0].append(y)
         by[c][1].append(p)
     original = TH.pr_sweep
-    for buckets in (TH.PREFIX_BUCKETS, 7):  # few buckets: the two-level prefix sum is exercised
+    for buckets in (TH.PREFIX_BUCKETS, 7, 61):  # several range buckets per class
         monkeypatch.setattr(TH, "pr_sweep", lambda d, b=buckets: original(d, b))
         exact = {r["class_idx"]: r["threshold"] for r in TH.fit_thresholds_exact(df).collect()}
         for c, (y, p) in by.items():
