@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subjex.functions import text as X
-from subjex.operators.terms import MAX_BROADCAST_TERMS, StemFn, stem_dictionary, suffix_stem
+from subjex.operators.terms import (MAX_BROADCAST_TERMS, StemFn, stem_dictionary, suffix_stem,
+                                    suffix_stem_col)
 
 MODES = ("standard", "umlaut")
 
@@ -56,6 +57,13 @@ def preprocess_fields(df: DataFrame, key: str, fields: dict[str, str], lang: str
     if keep is None:
         keep = tuple(c for c in df.columns if c != key and c not in fields.values())
     route = X.route_language(lang) if mode == "standard" else route_exact(lang)
+    if stem is suffix_stem:
+        # the default rule is a column expression: everything stays in the row
+        r = df.select(key, *keep, route.alias("_route"), *[F.col(c) for c in set(fields.values())])
+        outs = [F.array_join(F.transform(field_tokens(F.col(src), F.col("_route"), mode),
+                                         lambda t: suffix_stem_col(t, F.col("_route"))), " ")
+                .alias(name) for name, src in fields.items()]
+        return r.select(key, *keep, *outs)
     base = df.select(key, *keep, route.alias("_route"), *[F.col(s) for s in set(fields.values())])
     tagged = [F.transform(field_tokens(F.col(src), F.col("_route"), mode), _tagger(name))
               for name, src in fields.items()]

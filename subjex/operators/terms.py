@@ -35,6 +35,19 @@ def suffix_stem(lang: str, token: str) -> str:
     return token
 
 
+def suffix_stem_col(token, lang):
+    """``suffix_stem`` as a column expression: the same rule without a Python
+    worker, usable inside ``transform`` over a token array."""
+    def rule(lg):
+        expr = None
+        for suf in SUFFIXES[lg]:
+            cond = F.endswith(token, F.lit(suf)) & (F.length(token) - len(suf) >= MIN_STEM)
+            val = F.left(token, F.length(token) - len(suf))
+            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+        return expr.otherwise(token)
+    return F.when(lang == F.lit("de"), rule("de")).otherwise(rule("en"))
+
+
 def build_term_dictionary(df: DataFrame, lang: str, tokens: str) -> DataFrame:
     """``(lang, token)`` - the distinct terms of a tokenised table."""
     return df.select(F.col(lang).alias("lang"), F.explode(tokens).alias("token")).distinct()

@@ -52,3 +52,17 @@ def test_prompts(spark):
 def test_flatten_abstract(spark):
     df = spark.createDataFrame([('["x", "y"]',), ("plain",), (None,)], "a STRING")
     assert [r[0] for r in df.select(X.flatten_abstract("a")).collect()] == ["x y", "plain", ""]
+
+
+def test_dictionary_path_equals_row_local_path(spark):
+    from subjex.operators.preprocess import preprocess_fields
+    from subjex.operators.terms import suffix_stem
+    from conftest import SF_SMALL
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    fast = {r["doc_id"]: r["pre"] for r in
+            preprocess_fields(d, "doc_id", {"pre": "text"}, "lang", keep=()).collect()}
+    # any other Python function takes the term-dictionary path (mapInPandas + join)
+    slow = {r["doc_id"]: r["pre"] for r in
+            preprocess_fields(d, "doc_id", {"pre": "text"}, "lang", keep=(),
+                              stem=lambda lang, t: suffix_stem(lang, t)).collect()}
+    assert fast == slow and len(fast) == d.count()
