@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subjex.functions.text import whitespace_tokens
+from subjex.operators.skew import hot_keys, salted_join
 
 # The BM25 library defaults the reference relies on
 # (it passes no parameters).
@@ -115,13 +116,17 @@ def bm25_scores(queries: DataFrame, index: Bm25Index, key: str,
     holding the term.  ``with_shared`` adds the number of distinct shared terms.
     """
     q = query_terms(queries, key, text_col=text_col, tokens_col=tokens_col, index=index)
-    post = index.postings
     if index.n_postings <= MAX_BROADCAST_POSTINGS:
-        post = F.broadcast(post)
+        joined = q.join(F.broadcast(index.postings), "term")
+    else:
+        # shuffle join on the term: a term held by very many records is split
+        # by salt, its postings repeated once per salt
+        load = q.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        joined = salted_join(q, index.postings, ["term"], hot_keys(load, ["term"]))
     aggs = [F.sum(F.col("qf") * F.col("w")).alias("score")]
     if with_shared:
         aggs.append(F.count(F.lit(1)).alias("shared"))
-    return q.join(post, "term").groupBy(key, index.id_col).agg(*aggs)
+    return joined.groupBy(key, index.id_col).agg(*aggs)
 
 
 def minmax_scale(scores: DataFrame, key: str, n_labels: int, score: str = "score",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subjex.functions import text as X
+from subjex.operators.skew import hot_keys, salted_join
 from subjex.operators.terms import (MAX_BROADCAST_TERMS, StemFn, stem_dictionary, suffix_stem,
                                     suffix_stem_col)
 
@@ -70,11 +71,16 @@ def preprocess_fields(df: DataFrame, key: str, fields: dict[str, str], lang: str
     ex = (base.select(key, *keep, F.col("_route").alias("_lang"),
                       F.explode_outer(F.concat(*tagged)).alias("e"))
               .select(key, *keep, "_lang", "e.f", "e.pos", "e.token"))
-    terms = ex.where(F.col("token").isNotNull()).select(F.col("_lang").alias("lang"), "token").distinct()
-    dictionary = stem_dictionary(terms, stem).withColumnRenamed("lang", "_lang").persist()
+    load = (ex.where(F.col("token").isNotNull())
+              .groupBy(F.col("_lang").alias("lang"), "token").agg(F.count(F.lit(1)).alias("n")))
+    dictionary = stem_dictionary(load.select("lang", "token"), stem) \
+        .withColumnRenamed("lang", "_lang").persist()
     if dictionary.count() <= MAX_BROADCAST_TERMS:
-        dictionary = F.broadcast(dictionary)
-    joined = ex.join(dictionary, ["_lang", "token"], "left")
+        joined = ex.join(F.broadcast(dictionary), ["_lang", "token"], "left")
+    else:
+        # frequent tokens are hot join keys: split them by salt
+        hot = hot_keys(load.withColumnRenamed("lang", "_lang"), ["_lang", "token"])
+        joined = salted_join(ex, dictionary, ["_lang", "token"], hot, how="left")
     item = F.when(F.col("token").isNotNull(),
                   F.struct("f", "pos", F.coalesce("term", "token").alias("t")))
     grouped = joined.groupBy(key, *keep).agg(F.array_sort(F.collect_list(item)).alias("_s"))

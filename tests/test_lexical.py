@@ -48,3 +48,17 @@ def test_bm25_equals_brute_force(spark):
             assert abs(got.get((d["doc_id"], gid), 0.0) - s) < 1e-9
             if (d["doc_id"], gid) in scaled:
                 assert abs(scaled[(d["doc_id"], gid)] - (s - mn) / (mx - mn + 1e-8)) < 1e-9
+
+
+def test_salted_shuffle_path_equals_broadcast_path(spark, monkeypatch):
+    from subjex.operators import lexical as LX
+    from subjex.operators import skew
+    labels = fx.vocab(spark, SF_SMALL)
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    index = build_bm25(labels)
+    fast = {(r[0], r[1]): r[2] for r in bm25_scores(docs, index, "doc_id", text_col="text").collect()}
+    monkeypatch.setattr(LX, "MAX_BROADCAST_POSTINGS", 0)
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", ("n", 3))
+    salted = {(r[0], r[1]): r[2] for r in bm25_scores(docs, index, "doc_id", text_col="text").collect()}
+    assert fast.keys() == salted.keys()
+    assert all(abs(fast[k] - salted[k]) < 1e-9 for k in fast)

@@ -66,3 +66,19 @@ def test_dictionary_path_equals_row_local_path(spark):
             preprocess_fields(d, "doc_id", {"pre": "text"}, "lang", keep=(),
                               stem=lambda lang, t: suffix_stem(lang, t)).collect()}
     assert fast == slow and len(fast) == d.count()
+
+
+def test_salted_dictionary_join(spark, monkeypatch):
+    from subjex.operators import preprocess as PP
+    from subjex.operators import skew
+    from subjex.operators.terms import suffix_stem
+    from conftest import SF_SMALL
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    fast = {r["doc_id"]: r["pre"] for r in
+            PP.preprocess_fields(d, "doc_id", {"pre": "text"}, "lang", keep=()).collect()}
+    monkeypatch.setattr(PP, "MAX_BROADCAST_TERMS", 0)
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", ("n", 5))
+    slow = {r["doc_id"]: r["pre"] for r in
+            PP.preprocess_fields(d, "doc_id", {"pre": "text"}, "lang", keep=(),
+                                 stem=lambda lang, t: suffix_stem(lang, t)).collect()}
+    assert fast == slow
