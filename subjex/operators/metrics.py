@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subjex.session import checkpoint_dir
+
 AVG_ROWS = ("micro avg", "macro avg", "weighted avg", "samples avg")
 
 
@@ -83,6 +85,7 @@ def classification_report(aligned: DataFrame, class_names: DataFrame | None = No
     # the confusion table has one row per class; a reliable checkpoint (in the
     # shared checkpoint folder) lets the per-class rows and the average rows read
     # it without recomputing the upstream pipeline
+    checkpoint_dir(aligned.sparkSession)
     conf = confusion(aligned).checkpoint(eager=True)
     pc = per_class(conf)
     if class_names is not None:

@@ -42,11 +42,11 @@ def write_available_now(sdf: DataFrame, out_path: str, checkpoint: str,
 
 def foreach_batch_available_now(sdf: DataFrame, fn: Callable[[DataFrame], DataFrame],
                                 out_path: str, checkpoint: str) -> None:
-    """Run a batch operator (e.g. suggestion) on every micro-batch and append its
-    result; the micro-batch id makes each write idempotent."""
+    """Run a batch operator (e.g. suggestion) on every micro-batch; each batch's
+    result is written (overwrite) to its own ``epoch=<id>`` folder, so a batch
+    that is run again after a failure replaces its output instead of adding to it."""
     def run(batch: DataFrame, epoch_id: int) -> None:
-        fn(batch).write.mode("append").option("txnVersion", epoch_id) \
-            .option("txnAppId", os.path.basename(out_path)).parquet(out_path)
+        fn(batch).write.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch_id}"))
 
     q = (sdf.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -61,6 +61,6 @@ def stream_to_table(spark: SparkSession, sdf: DataFrame, name: str,
     ckpt = scratch_path(spark, f"{name}-ckpt")
     if fn is None:
         write_available_now(sdf, out, ckpt)
-    else:
-        foreach_batch_available_now(sdf, fn, out, ckpt)
-    return spark.read.parquet(out)
+        return spark.read.parquet(out)
+    foreach_batch_available_now(sdf, fn, out, ckpt)
+    return spark.read.parquet(out).drop("epoch")
