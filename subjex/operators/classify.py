@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subjex.functions.text import whitespace_tokens
+from subjex.session import ship_package
 
 # The reference's classifier settings.
 LR_C = 10.0
@@ -69,6 +70,7 @@ def embed(df: DataFrame, text_col: str, make_encoder: Callable[[], Encoder], dim
     """
     from pyspark.ml.functions import predict_batch_udf
 
+    ship_package(df.sparkSession)
     def loader():
         enc = make_encoder()
 
@@ -156,6 +158,7 @@ def predict_proba(df: DataFrame, features: str, model: OvrModel, out: str = "pro
         raise ValueError("coefficient matrix too large to ship with the scoring function")
     coef = model.coefficients.T.copy()
     inter = model.intercepts.copy()
+    ship_package(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(vecs: pd.Series) -> pd.Series:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from subjex.operators.ranking import RANK_DECIMALS, top_k
 from subjex.functions.vectors import NORM_EPS
+from subjex.session import ship_package
 
 # Rows per block.  Every item block meets every query block of its group, so an
 # item row is shuffled once per query block and a query row once per item
@@ -84,6 +85,7 @@ def exact_top_k(queries: DataFrame, q_key: str, q_vec: str,
     ``group``: a column present on both sides; queries only meet items of the same
     group value (inverted-file cells, V3).  Output ``(q_key, i_key, score, rank)``.
     """
+    ship_package(queries.sparkSession)
     g = group or "_g"
     if group is None:
         queries = queries.withColumn(g, F.lit(0))
@@ -209,6 +211,7 @@ def train_pq(items: DataFrame, i_vec: str, m: int, ksub: int, seed: int = 42,
 def pq_encode(items: DataFrame, i_vec: str, book: PqCodebook, out: str = "codes") -> DataFrame:
     """V4: ``codes ARRAY<INT>`` - the nearest centroid of each sub-vector."""
     cb = book.codebooks
+    ship_package(items.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(vecs: pd.Series) -> pd.Series:

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subjex.session import ship_package
+
 StemFn = Callable[[str, str], str]
 
 # The normalised dictionary is broadcast only below this measured row count.
@@ -55,6 +57,7 @@ def build_term_dictionary(df: DataFrame, lang: str, tokens: str) -> DataFrame:
 
 def stem_dictionary(dictionary: DataFrame, stem: StemFn = suffix_stem) -> DataFrame:
     """``(lang, token, term)`` - the function applied once per distinct term."""
+    ship_package(dictionary.sparkSession)
     def run(batches):
         for pdf in batches:
             pdf = pdf.copy()

@@ -42,6 +42,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -61,6 +62,46 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``subjex`` importable in Python workers (once per SparkContext).
+
+    Python UDFs refer to their module by name, so workers must import it.  When
+    the package is already importable there (installed, or ``--py-files``) this
+    costs nothing more than a zip in the checkpoint folder; the zip is built
+    only when that folder is a local or ``file:`` path.
+    """
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import hashlib
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = checkpoint_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in local:
+        _SHIPPED.add(id(sc))
+        return
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha1()
+    for f in files:
+        with open(f, "rb") as fh:
+            digest.update(f.encode() + fh.read())
+    target = os.path.join(local, "pyfiles", f"subjex-{digest.hexdigest()[:16]}.zip")
+    if not os.path.exists(target):
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        tmp = f"{target}.{os.getpid()}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as zf:
+            for f in files:
+                zf.write(f, os.path.join("subjex", os.path.relpath(f, pkg)))
+        os.replace(tmp, target)
+    sc.addPyFile(target)
+    _SHIPPED.add(id(sc))
+
+
 def spread(df):
     """Round-robin repartition to the cluster's parallelism when a scan yields
     fewer partitions than that (a single-row-group file, a non-splittable
