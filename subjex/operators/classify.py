@@ -184,7 +184,9 @@ def save_model(model: OvrModel, classes: DataFrame, path: str) -> None:
 
 def load_model(spark, path: str) -> tuple[OvrModel, DataFrame]:
     """S17 (read)."""
-    rows = spark.read.parquet(f"{path}/coefficients").orderBy("class_idx").collect()
+    from subjex.operators.decode import MAX_CLASSES, bounded_collect
+    rows = sorted(bounded_collect(spark.read.parquet(f"{path}/coefficients"), MAX_CLASSES,
+                                  "coefficients"), key=lambda r: r["class_idx"])
     coef = np.array([r["coefficients"] for r in rows])
     inter = np.array([r["intercept"] for r in rows])
     return OvrModel(coef, inter, len(rows)), spark.read.parquet(f"{path}/classes")
