@@ -86,26 +86,31 @@ def exact_top_k(queries: DataFrame, q_key: str, q_vec: str,
     group value (inverted-file cells, V3).  Output ``(q_key, i_key, score, rank)``.
     """
     ship_package(queries.sparkSession)
-    g = group or "_g"
-    if group is None:
-        queries = queries.withColumn(g, F.lit(0))
-        items = items.withColumn(g, F.lit(0))
     if q_key == i_key:
         raise ValueError("query and item keys need different names")
-
-    q = queries.select(g, F.col(q_key), F.col(q_vec).alias("_qv"))
-    it = items.select(g, F.col(i_key), F.col(i_vec).alias("_iv"))
-    qplan = _block_plan(q, g, query_block, "qb")
-    iplan = _block_plan(it, g, item_block, "ib")
-    plan = qplan.join(iplan, g, "inner")
-
-    qb = (q.join(F.broadcast(plan), g)
-           .withColumn("_qb", F.pmod(F.xxhash64(F.col(q_key)), F.col("n_qb")).cast("int"))
-           .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.col("n_ib") - 1)))
-           .select(g, "_ib", "_qb", q_key, "_qv"))
-    ib = (it.join(F.broadcast(plan), g)
-            .withColumn("_ib", F.pmod(F.xxhash64(F.col(i_key)), F.col("n_ib")).cast("int"))
-            .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1)))
+    if group is None:
+        # one group: the block counts are two scalar counts, used as literals
+        g = "_g"
+        q = queries.select(F.lit(0).alias(g), F.col(q_key), F.col(q_vec).alias("_qv"))
+        it = items.select(F.lit(0).alias(g), F.col(i_key), F.col(i_vec).alias("_iv"))
+        n_qb = F.lit(max(1, -(-q.count() // query_block)))
+        n_ib = F.lit(max(1, -(-it.count() // item_block)))
+        qj, ij = q, it
+    else:
+        # one row per group (the cell count is a parameter): broadcast, equi join
+        g = group
+        q = queries.select(g, F.col(q_key), F.col(q_vec).alias("_qv"))
+        it = items.select(g, F.col(i_key), F.col(i_vec).alias("_iv"))
+        plan = F.broadcast(_block_plan(q, g, query_block, "qb")
+                           .join(_block_plan(it, g, item_block, "ib"), g, "inner"))
+        qj, ij = q.join(plan, g), it.join(plan, g)
+        n_qb, n_ib = F.col("n_qb"), F.col("n_ib")
+
+    qb = (qj.withColumn("_qb", F.pmod(F.xxhash64(F.col(q_key)), n_qb).cast("int"))
+            .withColumn("_ib", F.explode(F.sequence(F.lit(0), n_ib - 1)))
+            .select(g, "_ib", "_qb", q_key, "_qv"))
+    ib = (ij.withColumn("_ib", F.pmod(F.xxhash64(F.col(i_key)), n_ib).cast("int"))
+            .withColumn("_qb", F.explode(F.sequence(F.lit(0), n_qb - 1)))
             .select(g, "_ib", "_qb", i_key, "_iv"))
 
     schema = T.StructType([queries.schema[q_key], items.schema[i_key],
