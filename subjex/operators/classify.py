@@ -89,10 +89,13 @@ def embed(df: DataFrame, text_col: str, make_encoder: Callable[[], Encoder], dim
 # ---------------------------------------------------------------------------
 # A9 + C2 + C3: training
 
-def balanced_instance_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """``weight = n / (2 n_class)`` of the row's 0/1 label (global counts)."""
-    st = df.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos")).first()
-    n, pos = int(st["n"]), int(st["pos"] or 0)
+def balanced_instance_weights(df: DataFrame, label: str = "label", n: int | None = None,
+                              pos: int | None = None) -> DataFrame:
+    """``weight = n / (2 n_class)`` of the row's 0/1 label (global counts;
+    computed here unless given)."""
+    if n is None or pos is None:
+        st = df.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos")).first()
+        n, pos = int(st["n"]), int(st["pos"] or 0)
     neg = n - pos
     w_pos = n / (2.0 * pos) if pos else 0.0
     w_neg = n / (2.0 * neg) if neg else 0.0
@@ -106,16 +109,14 @@ class OvrModel:
     n_classes: int
 
 
-def _fit_one(train: DataFrame, j: int, c: float, max_iter: int, tol: float):
+def _fit_one(train: DataFrame, j: int, n: int, pos: int, c: float, max_iter: int, tol: float):
     from pyspark.ml.classification import LogisticRegression
 
-    one = train.select("features", F.element_at("y", j + 1).cast("double").alias("label"))
-    st = one.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
-    n, pos = int(st["n"]), int(st["pos"] or 0)
     if pos == 0 or pos == n:
         # A constant class - probability 0 (or 1) for every record
         return None, (-np.inf if pos == 0 else np.inf)
-    weighted = balanced_instance_weights(one, "label")
+    one = train.select("features", F.element_at("y", j + 1).cast("double").alias("label"))
+    weighted = balanced_instance_weights(one, "label", n, pos)
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                             regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
                             maxIter=max_iter, tol=tol, fitIntercept=True)
@@ -131,12 +132,19 @@ def fit_one_vs_rest(train: DataFrame, features: str, labels: str, n_classes: int
     ``labels`` is the multi-hot ``ARRAY<INT>`` column (P18).
     """
     from pyspark.ml.functions import array_to_vector
+    from subjex.operators.decode import MAX_CLASSES, bounded_collect
 
     data = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"),
                         F.col(labels).alias("y")).persist()
     try:
+        # every class's positives in one aggregate (classes rows, combined map-side)
+        n = data.count()
+        per_class = data.select(F.posexplode("y").alias("j", "v")).groupBy("j") \
+            .agg(F.sum("v").alias("pos"))
+        pos = {r["j"]: int(r["pos"]) for r in bounded_collect(per_class, MAX_CLASSES, "classes")}
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            results = list(pool.map(lambda j: _fit_one(data, j, c, max_iter, tol), range(n_classes)))
+            results = list(pool.map(lambda j: _fit_one(data, j, n, pos.get(j, 0), c, max_iter, tol),
+                                    range(n_classes)))
     finally:
         data.unpersist()
     dim = next((len(w) for w, _ in results if w is not None), 0)
