@@ -46,3 +46,13 @@ def test_no_cross_join_nodes(spark):
                  "v3_ivf_topk", "c16_ensemble_metrics"):
         plan = _plan(qs[name](spark, SF_SMALL))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_sql_family_operators_have_no_python(spark):
+    import __spark_entry__ as E
+    qs = E.queries()
+    for name in ("l2_bm25_topk", "l3_bm25_minmax", "c5_thresholds_exact", "c6_thresholds_grid",
+                 "c15_evaluate", "a2_confusion", "a8_logit_ensemble", "m1_m3_vector_math",
+                 "t6_preprocess", "p17_prompt", "p1_p7_jsonld_records", "s12_label_index"):
+        plan = _plan(qs[name](spark, SF_SMALL))
+        assert "Python" not in plan and "ArrowEval" not in plan, name
