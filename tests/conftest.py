@@ -14,8 +14,10 @@ def spark():
     from pyspark.sql import SparkSession
     from subjex.session import checkpoint_dir
 
+    import tempfile
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="subjex-warehouse-"))
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")

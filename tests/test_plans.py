@@ -56,3 +56,22 @@ def test_sql_family_operators_have_no_python(spark):
                  "t6_preprocess", "p17_prompt", "p1_p7_jsonld_records", "s12_label_index"):
         plan = _plan(qs[name](spark, SF_SMALL))
         assert "Python" not in plan and "ArrowEval" not in plan, name
+
+
+def test_bucketed_corpus_makes_bm25_topk_shuffle_free(spark):
+    from subjex.sources.sinks import write_corpus_bucketed
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    write_corpus_bucketed(docs, "subjex_test_corpus", key="doc_id", buckets=8)
+    try:
+        corpus = spark.table("subjex_test_corpus")
+        index = build_bm25(fx.vocab(spark, SF_SMALL))
+        res = top_k(bm25_scores(corpus, index, "doc_id", text_col="text"), "doc_id", "gnd_id", "score", 5)
+        plan = res._jdf.queryExecution().executedPlan().toString()
+        record_side = [line for line in plan.splitlines() if "hashpartitioning(doc_id" in line]
+        assert record_side == [], record_side
+        plain = top_k(bm25_scores(docs, index, "doc_id", text_col="text"), "doc_id", "gnd_id", "score", 5)
+        def rows(df):  # summation order differs between plans: compare rounded scores
+            return sorted((r["doc_id"], r["gnd_id"], r["rank"], round(r["score"], 9)) for r in df.collect())
+        assert rows(res) == rows(plain)
+    finally:
+        spark.sql("drop table if exists subjex_test_corpus")
