@@ -124,14 +124,28 @@ def default_stop_words(language: str) -> tuple[str, ...]:
     raise FileNotFoundError(f"no stop-word list for {language}")
 
 
-def remove_stop_words(tokens, lang_route, de_words=None, en_words=None) -> Column:
+def transliterate_word(word: str) -> str:
+    """The cleaner's transliteration applied to a Python string (lower case)."""
+    out = word.translate(str.maketrans(TRANSLIT_FROM, TRANSLIT_TO))
+    for src, dst in TRANSLIT_MULTI:
+        out = out.replace(src, dst)
+    return out
+
+
+def remove_stop_words(tokens, lang_route, de_words=None, en_words=None,
+                      transliterate_list: bool = False) -> Column:
     """Drop stop words of the routed language (``de`` or ``en``).
 
     The lists are a few hundred words; ``isin`` over literals becomes a hash-set
-    lookup (``InSet``) per token - in-row, no join, no shuffle.
+    lookup (``InSet``) per token - in-row, no join, no shuffle.  Text is
+    transliterated before this step, so list words with umlauts never match (as
+    in the reference); ``transliterate_list`` transliterates the list as well.
     """
     de = list(de_words or default_stop_words("german"))
     en = list(en_words or default_stop_words("english"))
+    if transliterate_list:
+        de = sorted({transliterate_word(w) for w in de})
+        en = sorted({transliterate_word(w) for w in en})
     is_de = _c(lang_route) == F.lit("de")
     return F.filter(_c(tokens), lambda t: ~F.when(is_de, t.isin(*de)).otherwise(t.isin(*en)))
 

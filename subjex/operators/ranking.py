@@ -16,13 +16,17 @@ def rank_key(score_col: str):
 
 
 def top_k(df: DataFrame, key: str, item: str, score: str, k: int,
-          rank_col: str = "rank") -> DataFrame:
-    """Keep the ``k`` best ``item`` per ``key``: score descending, item ascending.
+          rank_col: str = "rank", tier: str | None = None) -> DataFrame:
+    """Keep the ``k`` best ``item`` per ``key``: score descending, item ascending
+    (after ``tier`` descending, when given).
 
     ``row_number() <= k`` lets Catalyst insert a ``WindowGroupLimit`` before the
     exchange, so each map task ships at most ``k`` rows per key.
     """
-    w = Window.partitionBy(key).orderBy(rank_key(score).desc(), F.col(item).asc())
+    order = [rank_key(score).desc(), F.col(item).asc()]
+    if tier:
+        order.insert(0, F.col(tier).desc())
+    w = Window.partitionBy(key).orderBy(*order)
     return (df.withColumn(rank_col, F.row_number().over(w))
               .filter(F.col(rank_col) <= k))
 

@@ -74,12 +74,18 @@ def overlap_scorer(index: Bm25Index) -> DataFrame:
     return index.postings.groupBy(index.id_col).agg(F.count(F.lit(1)).alias("label_terms"))
 
 
-def rerank(cands: DataFrame, key: str, r: int, pair_score: Column, k: int) -> DataFrame:
+def rerank(cands: DataFrame, key: str, r: int, pair_score: Column, k: int,
+           keep_unranked_below: bool = False) -> DataFrame:
     """The first ``r`` candidates (by ``rank``) take the pair score, the rest
-    keep ``score``; then re-sort and cut to ``k`` (W2).  Scores of both kinds are
-    mixed, as in the reference's dense rerank."""
-    new = F.when(F.col("rank") <= r, pair_score).otherwise(F.col("score"))
-    return top_k(cands.withColumn("score", new).drop("rank"), key, "gnd_id", "score", k)
+    keep ``score``; then re-sort and cut to ``k`` (W2).  By default scores of both
+    kinds are mixed, as in the reference's dense rerank; ``keep_unranked_below``
+    keeps every rescored candidate above every other one."""
+    rescored = F.col("rank") <= r
+    out = cands.withColumn("_tier", rescored.cast("int")) \
+        .withColumn("score", F.when(rescored, pair_score).otherwise(F.col("score"))).drop("rank")
+    if keep_unranked_below:
+        return top_k(out, key, "gnd_id", "score", k, tier="_tier").drop("_tier")
+    return top_k(out.drop("_tier"), key, "gnd_id", "score", k)
 
 
 def rerank_pairs(cands: DataFrame, key: str, rank_col: str, r: int, docs: DataFrame,

@@ -71,15 +71,25 @@ def pr_sweep(long_df: DataFrame, buckets: int = PREFIX_BUCKETS) -> DataFrame:
                           / (F.col("precision") + F.col("recall") + F.lit(F1_EPS)))
 
 
-def fit_thresholds_exact(long_df: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+def fit_thresholds_exact(long_df: DataFrame, classes: DataFrame | None = None,
+                         no_positive: str = "lowest") -> DataFrame:
     """Per class the probability with the best F1; lowest on ties.
 
-    ``classes`` (``class_idx``) adds classes without any record, at 0.5.
+    A class without positives has F1 0 everywhere, so by default (as in the
+    reference) its lowest probability wins and every record gets the class;
+    ``no_positive="half"`` gives such a class 0.5 instead.  ``classes``
+    (``class_idx``) adds classes without any record, at 0.5.
     """
+    if no_positive not in ("lowest", "half"):
+        raise ValueError("no_positive must be 'lowest' or 'half'")
     sweep = pr_sweep(long_df)
     best = sweep.groupBy("class_idx").agg(
         F.max_by("threshold", F.struct(F.col("f1"), (-F.col("threshold")).alias("nt")))
-        .alias("threshold"))
+        .alias("threshold"), F.max("pos_total").alias("_pos"))
+    if no_positive == "half":
+        best = best.withColumn("threshold", F.when(F.col("_pos") == 0, F.lit(DEFAULT_THRESHOLD))
+                               .otherwise(F.col("threshold")))
+    best = best.drop("_pos")
     if classes is not None:
         best = classes.select("class_idx").join(best, "class_idx", "left") \
             .select("class_idx", F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD)).alias("threshold"))

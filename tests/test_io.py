@@ -100,3 +100,14 @@ def test_pq_reconstructs_with_enough_centroids(spark):
     assert all(len(r[0]) == 4 and all(0 <= c < 8 for c in r[0]) for r in codes)
     res = pq_top_k(docs, "doc_id", "embedding", coded, "gnd_id", book, 3)
     assert res.groupBy("doc_id").count().where("count <> 3").count() == 0
+
+
+def test_rerank_keep_unranked_below(spark):
+    from subjex.operators.suggest import rerank
+    c = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.8, 2), (1, "c", 0.7, 3)],
+                              "doc_id INT, gnd_id STRING, score DOUBLE, rank INT")
+    pair = F.when(F.col("gnd_id") == "a", 0.1).otherwise(0.2)
+    mixed = [r["gnd_id"] for r in rerank(c, "doc_id", 2, pair, 3).orderBy("rank").collect()]
+    kept = [r["gnd_id"] for r in rerank(c, "doc_id", 2, pair, 3, keep_unranked_below=True)
+            .orderBy("rank").collect()]
+    assert mixed == ["c", "b", "a"] and kept == ["b", "a", "c"]

@@ -82,3 +82,11 @@ def test_salted_dictionary_join(spark, monkeypatch):
             PP.preprocess_fields(d, "doc_id", {"pre": "text"}, "lang", keep=(),
                                  stem=lambda lang, t: suffix_stem(lang, t)).collect()}
     assert fast == slow
+
+
+def test_transliterated_stop_list(spark):
+    df = spark.createDataFrame([("fur uber hund",)], "t STRING")
+    toks = F.split("t", " ")
+    strict = df.select(X.remove_stop_words(toks, F.lit("de"))).first()[0]
+    loose = df.select(X.remove_stop_words(toks, F.lit("de"), transliterate_list=True)).first()[0]
+    assert strict == ["fur", "uber", "hund"] and loose == ["hund"]

@@ -72,3 +72,9 @@ def test_exact_f1_not_below_grid_f1(spark):
         grid[r["class_idx"]] = max(grid.get(r["class_idx"], 0.0), r["f1"])
     for c in best:
         assert best[c] >= grid[c] - 1e-8
+
+
+def test_no_positive_option(spark):
+    df, rows = _long(spark)
+    half = {r["class_idx"]: r["threshold"] for r in TH.fit_thresholds_exact(df, no_positive="half").collect()}
+    assert half[0] == 0.5  # class 0 has no positives
