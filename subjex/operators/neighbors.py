@@ -132,6 +132,7 @@ class IvfIndex:
     n_cells: int
     i_key: str
     i_vec: str
+    centers: np.ndarray | None = None  # n_cells x dim, bounded by the cell parameter
 
 
 def build_ivf(items: DataFrame, i_key: str, i_vec: str, n_cells: int,
@@ -150,7 +151,27 @@ def build_ivf(items: DataFrame, i_key: str, i_vec: str, n_cells: int,
         [(i, [float(x) for x in c]) for i, c in enumerate(centers)],
         "cell INT, centroid ARRAY<DOUBLE>")
     assignments = model.transform(data).select(i_key, F.col("cell").cast("int"), i_vec)
-    return IvfIndex(centroids, assignments, len(centers), i_key, i_vec)
+    return IvfIndex(centroids, assignments, len(centers), i_key, i_vec, np.array(centers))
+
+
+def nearest_cells(q_vec: str, centers: np.ndarray, nprobe: int, normalize: bool = True):
+    """The ``nprobe`` cells whose centroids are closest (cosine) to each query, as
+    an ``ARRAY<INT>``; the centroid matrix ships with the function (its size is
+    the cell count times the dimension, a parameter)."""
+    c = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), NORM_EPS)
+    n = min(nprobe, len(c))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def probe(vecs: pd.Series) -> pd.Series:
+        x = np.vstack(vecs.to_numpy()).astype(np.float64)
+        if normalize:
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_EPS)
+        sims = np.round(x @ c.T, RANK_DECIMALS)
+        # best first, lower cell index on ties
+        order = np.lexsort((np.broadcast_to(np.arange(len(c)), sims.shape), -sims), axis=1)
+        return pd.Series(list(order[:, :n].astype(np.int32)))
+
+    return probe(F.col(q_vec))
 
 
 def ivf_top_k(queries: DataFrame, q_key: str, q_vec: str, index: IvfIndex, k: int,
@@ -159,11 +180,16 @@ def ivf_top_k(queries: DataFrame, q_key: str, q_vec: str, index: IvfIndex, k: in
 
     With ``nprobe = n_cells`` the result equals ``exact_top_k``.
     """
-    probes = exact_top_k(queries.select(q_key, q_vec), q_key, q_vec,
-                         index.centroids, "cell", "centroid", min(nprobe, index.n_cells),
-                         normalize=normalize, rank_col="_probe")
-    probed = (probes.select(q_key, "cell")
-                    .join(queries.select(q_key, q_vec), q_key))
+    ship_package(queries.sparkSession)
+    if index.centers is not None:
+        # in-row probe selection: no join back to the queries
+        probed = queries.select(q_key, q_vec, F.explode(
+            nearest_cells(q_vec, index.centers, nprobe, normalize)).alias("cell"))
+    else:
+        probes = exact_top_k(queries.select(q_key, q_vec), q_key, q_vec,
+                             index.centroids, "cell", "centroid", min(nprobe, index.n_cells),
+                             normalize=normalize, rank_col="_probe")
+        probed = probes.select(q_key, "cell").join(queries.select(q_key, q_vec), q_key)
     return exact_top_k(probed, q_key, q_vec, index.assignments, index.i_key, index.i_vec, k,
                        group="cell", normalize=normalize)
 
