@@ -206,3 +206,17 @@ def v4_pq_topk(spark, sf_dir):
     coded = pq_encode(labels, "embedding", book)
     return pq_top_k(docs, "doc_id", "embedding", coded, "gnd_id", book, TOPK) \
         .select("doc_id", "gnd_id", "rank", F.round("score", 6).alias("score"))
+
+
+@register("j4_rerank_pairs", f"""
+with {_VEC}, {_PAIRS}
+select d.doc_id, d.gnd_id, cast(d.rnk as integer) as rank, r.text as query_text, l.label_text
+from dense d join rvec r on d.doc_id = r.doc_id join lvec l on d.gnd_id = l.gnd_id
+where d.rnk <= {RERANK}""")
+def j4_rerank_pairs(spark, sf_dir):
+    """The first R dense candidates with the record text and the label text."""
+    from subjex.operators.suggest import dense_candidates, rerank_pairs
+    docs, labels = _inputs(spark, sf_dir)
+    cands = dense_candidates(docs, "doc_id", "embedding", labels, TOPK)
+    pairs = rerank_pairs(cands, "doc_id", "rank", RERANK, docs, F.col("text"), labels)
+    return pairs.select("doc_id", "gnd_id", "rank", "query_text", "label_text")

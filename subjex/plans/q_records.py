@@ -205,3 +205,17 @@ from rec""")
 def a1_corpus_counts(spark, sf_dir):
     """A1: files read, rejected, without main node, and records written."""
     return J.corpus_counts(J.parse_documents(fx.jsonld_docs(spark, sf_dir)))
+
+
+@register("s6_load_split", f"""
+with {fx.REC_SQL}, {fx.JSONLD_EXPECTED_SQL}
+select id, concat_ws(' [SEP] ',
+         nullif(regexp_replace(title, '^{WS}+|{WS}+$', '', 'g'), ''),
+         nullif(regexp_replace(abstract, '^{WS}+|{WS}+$', '', 'g'), '')) as text,
+       linsearch_codes as labels
+from expected""")
+def s6_load_split(spark, sf_dir):
+    """A split as (id, text, labels) - fields joined with [SEP], labels as strings."""
+    from subjex.sources.sinks import load_split
+    sp = load_split(_records(spark, sf_dir), ["title", "abstract"], "linsearch_codes")
+    return sp.select("id", "text", F.array_join("labels", "|").alias("labels"))
