@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 # paragraph separators, narrow no-break space, medium mathematical space,
 # ideographic space.  Literal characters, so the class is the same in Java regex
 # and RE2 (DuckDB).
-WS_CLASS = ("[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a"
-            "\u2028\u2029\u202f\u205f\u3000]")
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
+WS_CLASS = f"[{WS_CHARS}]"
 
 # Latin transliteration used by the cleaner (lower case input): each group of
 # accented letters maps to one ASCII letter; then the multi-character ones.
@@ -62,8 +64,9 @@ def _c(x) -> Column:
 
 
 def py_strip(x) -> Column:
-    """Strip leading/trailing whitespace the way Python's ``str.strip()`` does."""
-    return F.regexp_replace(_c(x), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """Strip leading/trailing whitespace the way Python's ``str.strip()`` does
+    (``btrim`` over the whitespace set: no regex)."""
+    return F.btrim(_c(x), F.lit(WS_CHARS))
 
 
 def whitespace_tokens(x) -> Column:
