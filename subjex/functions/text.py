@@ -85,16 +85,15 @@ def clean(x) -> Column:
     """Lower, transliterate Latin letters to ASCII, non-alphanumerics to one space, trim."""
     col = transliterate(F.lower(_c(x)))
     col = F.regexp_replace(col, "[^a-z0-9]+", " ")
-    return F.regexp_replace(col, "^ | $", "")
+    return F.btrim(col, F.lit(" "))
 
 
 def split_contractions(x) -> Column:
-    col = _c(x)
-    for a, b in CONTRACTION_SPLITS:
-        col = F.regexp_replace(col, rf"\b({a})({b})\b", "$1 $2")
-    for a, b in CONTRACTION_SPLIT_BEFORE_SPACE:
-        col = F.regexp_replace(col, rf"\b({a})({b}) ", "$1 $2 ")
-    return col
+    """One regex pass: a space after the first part of each listed word (the
+    second part must follow, then a word end - or a space for the last kind)."""
+    alts = [rf"{a}(?={b}\b)" for a, b in CONTRACTION_SPLITS]
+    alts += [rf"{a}(?={b} )" for a, b in CONTRACTION_SPLIT_BEFORE_SPACE]
+    return F.regexp_replace(_c(x), r"\b(?:" + "|".join(alts) + ")", "$0 ")
 
 
 def word_tokens(cleaned) -> Column:
