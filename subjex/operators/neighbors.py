@@ -93,8 +93,11 @@ def exact_top_k(queries: DataFrame, q_key: str, q_vec: str,
         g = "_g"
         q = queries.select(F.lit(0).alias(g), F.col(q_key), F.col(q_vec).alias("_qv"))
         it = items.select(F.lit(0).alias(g), F.col(i_key), F.col(i_vec).alias("_iv"))
-        n_qb = F.lit(max(1, -(-q.count() // query_block)))
-        n_ib = F.lit(max(1, -(-it.count() // item_block)))
+        sizes = (q.select(F.lit(0).alias("_side")).unionByName(it.select(F.lit(1).alias("_side")))
+                  .agg(F.sum((F.col("_side") == 0).cast("long")).alias("nq"),
+                       F.sum((F.col("_side") == 1).cast("long")).alias("ni")).first())
+        n_qb = F.lit(max(1, -(-int(sizes["nq"] or 0) // query_block)))
+        n_ib = F.lit(max(1, -(-int(sizes["ni"] or 0) // item_block)))
         qj, ij = q, it
     else:
         # one row per group (the cell count is a parameter): broadcast, equi join
