@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subjex.functions import records as R
+from subjex.session import spread
 
 
 def scan_documents(spark: SparkSession, raw_dir: str, pattern: str = "*.jsonld") -> DataFrame:
     """``(file_name, doc)`` for every file matching ``pattern`` below ``raw_dir``."""
-    return (spark.read.text(raw_dir, wholetext=True, recursiveFileLookup=True,
+    docs = (spark.read.text(raw_dir, wholetext=True, recursiveFileLookup=True,
                             pathGlobFilter=pattern)
                  .select(F.col("_metadata.file_name").alias("file_name"),
                          F.col("value").alias("doc")))
+    return spread(docs)
 
 
 def read_exclusions(spark: SparkSession, path: str) -> DataFrame:

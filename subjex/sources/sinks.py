@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from subjex.functions.text import assemble_text
 from subjex.operators.decode import mode_suffix
+from subjex.session import spread
 
 CORPUS_SCHEMA = ("id STRING, type STRING, language STRING, title STRING, abstract STRING, "
                  "gnd_subject_ids ARRAY<STRING>, linsearch_codes ARRAY<STRING>")
@@ -22,11 +23,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA,
                partitions: int | None = None) -> DataFrame:
     """JSON lines (plain or ``.zst`` / ``.gz``), blank lines skipped.
 
-    A compressed file is read by one task (not splittable): ``partitions`` spreads
-    the rows right after the read.
+    A compressed file is read by one task (not splittable): the rows are spread
+    right after the read (to ``partitions``, or to the cluster's parallelism when
+    the read has fewer splits than that).
     """
     df = spark.read.schema(schema).json(path)
-    return df.repartition(partitions) if partitions else df
+    return df.repartition(partitions) if partitions else spread(df)
 
 
 def load_split(df: DataFrame, text_fields: Sequence[str], label_key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subjex.functions.text import passage_prefix, py_strip
+from subjex.session import spread
 
 VOCAB_SCHEMA = ("Code STRING, Name STRING, `Alternate Name` ARRAY<STRING>, "
                 "`Classification Name` STRING, Definition STRING")
@@ -23,7 +24,9 @@ DEFINITION_LABEL = "Definition: "
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """S7 (read): entries of an authority dump with their position in the file."""
     raw = spark.read.option("multiLine", True).schema(VOCAB_SCHEMA).json(path)
-    return raw.withColumn("pos", F.monotonically_increasing_id())
+    # positions are taken where the file is read (file order), then the entries
+    # are spread: one JSON array is one read task
+    return spread(raw.withColumn("pos", F.monotonically_increasing_id()))
 
 
 def authority_id(code) -> F.Column:
