@@ -69,9 +69,20 @@ def py_strip(x) -> Column:
     return F.btrim(_c(x), F.lit(WS_CHARS))
 
 
+_OTHER_WS = WS_CHARS.replace(" ", "")
+
+
+def split_whitespace(x) -> Column:
+    """``str.split()``: every whitespace character becomes a space (``translate``,
+    character-level), then a split on the single space (no regex), empty
+    strings dropped."""
+    spaced = F.translate(_c(x), _OTHER_WS, " " * len(_OTHER_WS))
+    return F.filter(F.split(spaced, " "), lambda t: t != F.lit(""))
+
+
 def whitespace_tokens(x) -> Column:
     """``text.lower().split()`` - lower case, split on whitespace runs, no cleaning."""
-    return F.filter(F.split(F.lower(_c(x)), f"{WS_CLASS}+"), lambda t: t != F.lit(""))
+    return split_whitespace(F.lower(_c(x)))
 
 
 def transliterate(x) -> Column:

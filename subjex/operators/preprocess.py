@@ -29,7 +29,7 @@ def field_tokens(text, route: Column, mode: str = "standard") -> Column:
     if mode == "standard":
         toks = X.word_tokens(X.clean(text))
     elif mode == "umlaut":
-        toks = F.filter(F.split(X.clean_umlaut(text), f"{X.WS_CLASS}+"), lambda t: t != F.lit(""))
+        toks = X.split_whitespace(X.clean_umlaut(text))
     else:
         raise ValueError("mode must be one of: " + " | ".join(MODES))
     return X.remove_stop_words(toks, route)

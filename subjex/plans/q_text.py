@@ -107,8 +107,7 @@ select doc_id, cast(len(toks) as integer) as n_tokens,
        array_to_string(toks[1:{MAX_TOKENS}], ' ') as head from s""")
 def t8_truncate(spark, sf_dir):
     """Token count and the first 512 whitespace tokens."""
-    toks = F.filter(F.split("text", f"{WS}+"), lambda t: t != F.lit(""))
-    s = _docs(spark, sf_dir).select("doc_id", toks.alias("t"))
+    s = _docs(spark, sf_dir).select("doc_id", X.split_whitespace("text").alias("t"))
     return s.select("doc_id", F.size("t").alias("n_tokens"),
                     F.array_join(X.truncate_tokens("t", MAX_TOKENS), " ").alias("head"))
 
