@@ -52,3 +52,18 @@ def test_ivf_all_cells_equals_exact(spark):
     assert approx_all == exact
     partial = ivf_top_k(docs, "doc_id", "embedding", index, 5, nprobe=1)
     assert partial.count() > 0
+
+
+def test_nearest_cells_match_numpy(spark):
+    from subjex.operators.neighbors import nearest_cells
+    docs = fx.record_vectors(spark, SF_MID).select("doc_id", "embedding")
+    labels = fx.label_vectors(spark, SF_MID).select("gnd_id", "embedding")
+    index = build_ivf(labels, "gnd_id", "embedding", n_cells=4)
+    got = {r["doc_id"]: list(r["c"]) for r in
+           docs.select("doc_id", nearest_cells("embedding", index.centers, 2).alias("c")).collect()}
+    c = index.centers / np.linalg.norm(index.centers, axis=1, keepdims=True)
+    for r in docs.collect():
+        q = np.array(r["embedding"], dtype=np.float64)
+        sims = np.round(c @ (q / np.linalg.norm(q)), 9)
+        want = sorted(range(len(c)), key=lambda j: (-sims[j], j))[:2]
+        assert got[r["doc_id"]] == want
