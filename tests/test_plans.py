@@ -41,10 +41,8 @@ def test_topk_has_group_limit_and_pruned_scan(spark):
 
 def test_no_cross_join_nodes(spark):
     import __spark_entry__ as E
-    qs = E.queries()
-    for name in ("v1_dense_topk", "h2_hybrid_suggest", "z1_zero_shot", "c6_thresholds_grid",
-                 "v3_ivf_topk", "c16_ensemble_metrics"):
-        plan = _plan(qs[name](spark, SF_SMALL))
+    for name, fn in E.queries().items():
+        plan = _plan(fn(spark, SF_SMALL))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
