@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,11 +55,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared, fault-tolerant
-    location there).  Only when the setting is absent - local tests - a private
-    folder is created and registered.
+    location there).  Only when the setting is absent on a local master - tests - a
+    private folder is created and registered; a cluster without it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="subjex-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -65,44 +69,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-_SHIPPED: set[int] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``subjex`` importable in Python workers (once per SparkContext).
 
-    Python UDFs refer to their module by name, so workers must import it.  When
-    the package is already importable there (installed, or ``--py-files``) this
-    costs nothing more than a zip in the checkpoint folder; the zip is built
-    only when that folder is a local or ``file:`` path.
+    Python UDFs refer to their module by name, so workers must import it.  The zip
+    is handed to ``addPyFile``: the driver serves it, whatever the shared folder is.
     """
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if getattr(sc, "_subjex_shipped", False):
         return
-    import hashlib
     import zipfile
 
     pkg = os.path.dirname(os.path.abspath(__file__))
-    base = checkpoint_dir(spark)
-    local = base[len("file:"):] if base.startswith("file:") else base
-    if "://" in local:
-        _SHIPPED.add(id(sc))
-        return
-    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
-    digest = hashlib.sha1()
-    for f in files:
-        with open(f, "rb") as fh:
-            digest.update(f.encode() + fh.read())
-    target = os.path.join(local, "pyfiles", f"subjex-{digest.hexdigest()[:16]}.zip")
-    if not os.path.exists(target):
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        tmp = f"{target}.{os.getpid()}.part"
-        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as zf:
-            for f in files:
-                zf.write(f, os.path.join("subjex", os.path.relpath(f, pkg)))
-        os.replace(tmp, target)
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith((".py", ".txt")))
+    target = os.path.join(tempfile.mkdtemp(prefix="subjex-ship-"), "subjex.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for f in files:
+            zf.write(f, os.path.join("subjex", os.path.relpath(f, pkg)))
     sc.addPyFile(target)
-    _SHIPPED.add(id(sc))
+    sc._subjex_shipped = True
 
 
 def spread(df):
@@ -117,16 +102,36 @@ def spread(df):
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique sub-folder of the checkpoint folder for a written intermediate table."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
+    """A unique sub-folder of the checkpoint folder for a written intermediate table.
+
+    Listed for ``drop_scratch``, which also runs when the interpreter ends.
+    """
+    path = f"{checkpoint_dir(spark).rstrip('/')}/subjex-scratch/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def written(df, name: str):
+    """Cut the lineage: write ``df`` as Parquet to a scratch folder and read it back.
+
+    The files are on the shared folder, so a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
+def drop_scratch() -> None:
+    """Delete the intermediate tables written so far (results still reading them must be done)."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session may have ended; the folder is only scratch
+            return
 
 
-_counter = _count()
+_SCRATCH: list = []
+atexit.register(drop_scratch)
