@@ -1,8 +1,8 @@
 """The registered queries of the training-data operators and the pipeline."""
 
-from subjex.llm import q_warc
+from subjex.llm import q_rules, q_secrets, q_warc
 
-_ALL = {**q_warc.QUERIES}
+_ALL = {**q_warc.QUERIES, **q_secrets.QUERIES, **q_rules.QUERIES}
 
 
 def queries():
