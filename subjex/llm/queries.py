@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators and the pipeline."""
 
-from subjex.llm import q_rules, q_secrets, q_warc
+from subjex.llm import q_near_dup, q_rules, q_secrets, q_warc
 
-_ALL = {**q_warc.QUERIES, **q_secrets.QUERIES, **q_rules.QUERIES}
+_MODULES = (q_warc, q_secrets, q_rules, q_near_dup)
+_ALL = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def queries():
