@@ -32,7 +32,7 @@ from subjex.llm import tokens as T
 BITS = 40
 MAX_ROWS = 12_000
 MIN_DOCS = 5
-MIN_Z = 4.5
+MIN_Z = 3.5
 PREFIXES = (4, 5)
 BATCH_BYTES = 2 << 20
 _U = np.uint64
@@ -130,7 +130,7 @@ def _sigmoid(z):
 
 
 def fit_arrays(marks: np.ndarray, before: np.ndarray, grade: np.ndarray, grades: int, min_docs: int = MIN_DOCS,
-               min_z: float = MIN_Z, l2: float = 0.3, steps: int = 200):
+               min_z: float = MIN_Z, l2: float = 0.1, steps: int = 1500):
     """(marks, their weights, thresholds) by full-batch gradient descent with per-weight step sizes."""
     row = np.repeat(np.arange(len(grade)), np.diff(before))
     used, col = np.unique(marks, return_inverse=True)
@@ -160,9 +160,9 @@ def fit_arrays(marks: np.ndarray, before: np.ndarray, grade: np.ndarray, grades:
         g_theta = np.bincount(lower, d_low, grades - 1) - np.bincount(upper, d_up, grades - 1)
         g_free = np.r_[g_theta.sum(), np.cumsum(g_theta[::-1])[::-1][1:] * gaps]
         sum_w, sum_t = sum_w + g_w ** 2, sum_t + g_free ** 2
-        w -= 0.5 * g_w / np.sqrt(sum_w)
+        w -= g_w / np.sqrt(sum_w)
         w[used >= RATIOS] = np.minimum(w[used >= RATIOS], 0.0)
-        free = free - 0.5 * g_free / np.sqrt(sum_t)
+        free = free - g_free / np.sqrt(sum_t)
     return used, w, np.r_[free[0], free[0] + np.cumsum(np.exp(free[1:]))]
 
 
