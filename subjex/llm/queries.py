@@ -1,8 +1,10 @@
 """The registered queries of the training-data operators and the pipeline."""
 
-from subjex.llm import q_near_dup, q_ordinal, q_packing, q_rules, q_secrets, q_sharding, q_substrings, q_warc
+from subjex.llm import (q_decontaminate, q_near_dup, q_ordinal, q_packing, q_rules, q_secrets, q_sharding,
+                        q_substrings, q_warc)
 
-_MODULES = (q_warc, q_secrets, q_sharding, q_rules, q_packing, q_ordinal, q_substrings, q_near_dup)
+_MODULES = (q_warc, q_secrets, q_sharding, q_rules, q_packing, q_ordinal, q_substrings, q_decontaminate,
+            q_near_dup)
 _ALL = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
