@@ -1,11 +1,12 @@
 """The registered queries of the training-data operators and the pipeline."""
 
-from subjex.llm import (q_decontaminate, q_near_dup, q_ordinal, q_packing, q_rules, q_secrets, q_sharding,
+import corpus_pipeline
+from subjex.llm import (q_decontaminate, q_near_dup, q_ordinal, q_packing, q_pii, q_rules, q_secrets, q_sharding,
                         q_substrings, q_warc)
 
-_MODULES = (q_warc, q_secrets, q_sharding, q_rules, q_packing, q_ordinal, q_substrings, q_decontaminate,
+_MODULES = (q_warc, q_secrets, q_sharding, q_pii, q_rules, q_packing, q_ordinal, q_substrings, q_decontaminate,
             q_near_dup)
-_ALL = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+_ALL = {k: v for m in _MODULES for k, v in m.QUERIES.items()} | {"pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)}
 
 
 def queries():
