@@ -20,6 +20,8 @@ packed as often as they occur; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from itertools import chain, repeat
@@ -34,7 +36,11 @@ from subjex.session import written
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
+#: A full stop or comma that does not follow a letter or digit may belong to a longer run.
+_RUN = re.compile(r"(?:\W|_)[.,]")
+#: ASCII punctuation but the apostrophe, which may begin a pre-token of letters.
+PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 class Encoder:
@@ -57,42 +63,68 @@ class Encoder:
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Words of ASCII letters: each is one pre-token, so its last token alone ends a word."""
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters: each is one pre-token, so its last token alone ends a word."""
         out = []
         for i in range(0, len(words), 512):
             some = words[i:i + 512]
-            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.model.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(some):
-                out += self._encode(some)
+                out += self._encode([w.decode() for w in some])
                 continue
             raw = ids.tobytes()
             out += [raw[4 * a:4 * b] for a, b in zip([0, *cuts], cuts)]
         return out
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words.  A run of punctuation after letters is a pre-token of its own."""
+        plain = [w for w in words if w.isalpha() and w.islower()]  # ASCII
+        new = dict(zip(plain, self._encode_letters(plain)))
         parts, need = {}, set()
         for w in words:
+            if w in new:
+                continue
             core, tail = w, b""
-            if w.isascii() and b"<|" not in w:
-                core = w.lower()
-                if core[-1:] in (b".", b",", b"!") and core[-2:-1].isalnum():
-                    core, tail = core[:-1], core[-1:]
+            if b"<|" not in w:
+                core = w.rstrip(PUNCTUATION)
+                if not core or core == w or not core.decode().lower()[-1].isalpha():
+                    core = w
+                tail = w[len(core):]
+                if core.isascii():
+                    core = core.lower()
             parts[w] = core, tail
             need.update((core, tail) if tail else (core,))
-        need = [w for w in need if w not in self.cache]
-        plain = [w for w in need if w.isascii() and w.isalpha()]
-        other = [w for w in need if not (w.isascii() and w.isalpha())]
-        new = dict(zip(plain, self._encode_letters([w.decode() for w in plain])))
+        letters, other = [], []
+        for w in need:
+            if w not in self.cache and w not in new:
+                s = w.decode()
+                whole = s.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", s) and s.lower().isalpha())
+                (letters if whole else other).append(w)
+        new.update(zip(letters, self._encode_letters(letters)))
         new.update(zip(other, self._encode([w.decode() for w in other])))
         known = lambda w: new[w] if w in new else self.cache[w]
         for w, (core, tail) in parts.items():
             new[w] = known(core) + known(tail) if tail else known(core)
         return new
 
+    @staticmethod
+    def _fewer_forms(text: str) -> bytes:
+        """The text with ASCII letters in lower case and single full stops and commas set
+        apart, where that cannot change its tokens: fewer distinct words to learn."""
+        raw = text.encode()
+        if "<|" in text:
+            return raw
+        low = raw.lower()
+        plain = low.decode()
+        if len(raw) != len(text) and not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", plain)):
+            return raw
+        if _RUN.search(plain):
+            return low
+        return low.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
+        split = [self._fewer_forms(t or "").split() for t in texts]
         new = self._learn(set(chain.from_iterable(split)) - self.cache.keys())
         if len(self.cache) < CACHED_WORDS:
             self.cache.update(new)
