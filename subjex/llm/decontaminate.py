@@ -6,9 +6,12 @@ so a copied item lies whole in one passage.  An item is retrieved when its BM25
 the passage's distinct words reaches ``share`` of its score for itself; impacts are stored
 divided by that threshold, so 1 is the bar for every item.
 
-Bounds as in WAND: the passage's sum of term maxima must reach 1 (vectorised over all
-passages of a batch); then the sums of block maxima; then only items of the blocks that
-can still reach 1 are scored.  No retrieved item is capped.  Retrieved items are verified
+Bounds as in block-max WAND, computed for all passages of a batch at once.  Items are
+numbered in blocks; a term keeps its largest impact in each block.  An item's most frequent
+terms that together give it at most ``COMMON`` are not needed to find it: a block's bound is
+the sum of the maxima of the passage's terms over the other postings, plus the most that
+frequent terms give one of the block's items.  Only items of blocks whose bound reaches 1 are scored, with all terms.  No
+retrieved item is capped.  Retrieved items are verified
 on five-word shingles: ``containment`` (question and answer together) must reach 0.8, and
 the overlaps of question and answer are reported.
 
@@ -37,7 +40,8 @@ SHINGLE = 5
 SHARE = 0.5
 MIN_CONTAINMENT = 0.8
 K1, B = 1.2, 0.75
-BLOCK = 64
+BLOCK = 4
+COMMON = 0.5
 SHARD_BYTES = 32 << 20
 BATCH_BYTES = 1 << 20
 _LEAK = "array<struct<item_id:long,bm25:double,containment:double,question_overlap:double,answer_overlap:double>>"
@@ -70,6 +74,12 @@ def _hashes(text: str) -> np.ndarray:
     return T.word_hashes(data, starts, lower=True)
 
 
+def _runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers start[i] to end[i] - 1 of all i in turn."""
+    n = end - start
+    return np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+
+
 class Index:
     """Inverted index of one shard of items: impacts divided by each item's threshold."""
 
@@ -93,28 +103,32 @@ class Index:
         # postings by term: items and impacts; block maxima by term
         self.start = np.searchsorted(term, np.arange(len(self.vocab) + 1))
         self.item, self.impact = item, impact
+        # an item does not need its most frequent terms, as long as they give it at most COMMON
+        order = np.lexsort((-df[term], item))
+        given = np.cumsum(impact[order])
+        edge = np.searchsorted(item[order], np.arange(len(rows) + 1))
+        given -= np.repeat(np.r_[0, given[edge[1:-1] - 1]], np.diff(edge))
+        spare = np.zeros(len(term), bool)
+        spare[order] = given <= COMMON
         block = item // BLOCK
-        first = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]
-        at = np.flatnonzero(first)
-        self.block, self.block_max = block[at], np.maximum.reduceat(impact, at)
-        self.block_start = np.searchsorted(term[at], np.arange(len(self.vocab) + 1))
-        self.term_max = np.maximum.reduceat(impact, self.start[:-1])
+        self.blocks = int(block.max()) + 1
+        self.frequent = np.zeros(self.blocks)
+        np.maximum.at(self.frequent, np.arange(len(rows)) // BLOCK, np.bincount(item, np.where(spare, impact, 0.0), len(rows)))
+        t, b, x = term[~spare], block[~spare], impact[~spare]
+        at = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (b[1:] != b[:-1])])
+        self.block, self.block_max = b[at], np.maximum.reduceat(x, at)
+        self.block_start = np.searchsorted(t[at], np.arange(len(self.vocab) + 1))
+        self.needed = np.diff(self.block_start) > 0
         self.shingles = []
         for _, text, _ in rows:
             parts = [_hashes(p) for p in split_item(text)]
             parts = [np.unique(T.rolling(h, min(SHINGLE, len(h)))) if len(h) else h for h in parts]
             self.shingles.append((np.unique(T.rolling(_hashes(text), SHINGLE)), *parts, [min(SHINGLE, len(_hashes(p))) for p in split_item(text)]))
 
-    def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """(item, score / threshold) of the items that reach 1 for the distinct ``terms``."""
-        take = lambda start: np.concatenate([np.arange(start[t], start[t + 1]) for t in terms])
-        at = take(self.block_start)
-        bound = np.bincount(self.block[at], self.block_max[at])
-        able = bound >= 1 - 1e-9
-        if not able.any():
-            return []
-        at = take(self.start)
-        at = at[able[self.item[at] // BLOCK]]
+    def retrieve(self, terms: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
+        """(item, score / threshold) of the items in ``blocks`` that reach 1 for the distinct ``terms``."""
+        at = _runs(self.start[terms], self.start[terms + 1])
+        at = at[np.isin(self.item[at] // BLOCK, blocks)]
         score = np.bincount(self.item[at], self.impact[at])
         return [(int(i), float(score[i])) for i in np.flatnonzero(score >= 1 - 1e-9)]
 
@@ -129,34 +143,46 @@ class Index:
         n = np.diff(before)
         term = np.minimum(np.searchsorted(self.vocab, words), len(self.vocab) - 1)
         hits = np.flatnonzero(self.vocab[term] == words)
-        if not len(hits):
+        term = term[hits]
+        telling = self.needed[term]
+        found, rare = hits[telling], term[telling]
+        if not len(found):
             return
-        doc = np.repeat(np.arange(len(n)), n)[hits]
-        term, at = term[hits], hits - before[doc]
-        order = np.lexsort((at, term, doc))
-        last = np.full(len(hits), -1)  # place of the same term earlier in the document
-        same = (term[order][1:] == term[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+        doc = np.repeat(np.arange(len(n)), n)[found]
+        at = found - before[doc]
+        order = np.lexsort((at, rare, doc))
+        last = np.full(len(found), -1)  # place of the same term earlier in the document
+        same = (rare[order][1:] == rare[order][:-1]) & (doc[order][1:] == doc[order][:-1])
         last[order[1:][same]] = at[order[:-1][same]]
         # passage k of a document covers words [k * width, (k + 2) * width)
         passages = np.maximum(-(-n // self.width) - 1, 1)
         first = np.r_[0, np.cumsum(passages)]
         k = at // self.width
-        bound = np.zeros(first[-1])
+        pairs, maxima = [], []
         for back in (0, 1):
-            inside = (k >= back) & (k - back < passages[doc]) & (last < (k - back) * self.width)
-            bound += np.bincount(first[doc[inside]] + k[inside] - back, self.term_max[term[inside]], first[-1])
+            inside = np.flatnonzero((k >= back) & (k - back < passages[doc]) & (last < (k - back) * self.width))
+            a, b = self.block_start[rare[inside]], self.block_start[rare[inside] + 1]
+            spots = _runs(a, b)
+            pairs.append(np.repeat(first[doc[inside]] + k[inside] - back, b - a) * self.blocks + self.block[spots])
+            maxima.append(self.block_max[spots])
+        pair, number = np.unique(np.concatenate(pairs), return_inverse=True)
+        bound = np.bincount(number, np.concatenate(maxima)) + self.frequent[pair % self.blocks]
+        pair = pair[bound >= 1 - 1e-9]
+        able: dict[int, list[int]] = {}
+        for x in pair.tolist():
+            able.setdefault(x // self.blocks, []).append(x % self.blocks)
         best = {}
-        for p in np.flatnonzero(bound >= 1 - 1e-9):
+        for p, blocks in able.items():
             d = int(np.searchsorted(first, p, "right")) - 1
             x = before[d] + (p - first[d]) * self.width
             y = min(x + 2 * self.width, before[d + 1])
             i, j = np.searchsorted(hits, (x, y))
-            for item, score in self.retrieve(np.unique(term[i:j])):
-                found = self.verify(item, words[x:y])
-                if found[0] >= least and found > best.get((d, item), (0.0,))[1:]:
-                    best[d, item] = (score * self.threshold[item], *found)
-        for (d, item), found in sorted(best.items()):
-            yield d, int(self.ids[item]), *found
+            for item, score in self.retrieve(np.unique(term[i:j]), np.array(blocks)):
+                shares = self.verify(item, words[x:y])
+                if shares[0] >= least and shares > best.get((d, item), (0.0,))[1:]:
+                    best[d, item] = (score * self.threshold[item], *shares)
+        for (d, item), shares in sorted(best.items()):
+            yield d, int(self.ids[item]), *shares
 
 
 def _search(index: Index, names: list[str], least: float):
