@@ -8,9 +8,8 @@ per-term Python step (stemming) lives in ``subjex.operators.terms``.
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
+import unicodedata
+from importlib import resources
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,20 +28,26 @@ WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
             "\u2028\u2029\u202f\u205f\u3000")
 WS_CLASS = f"[{WS_CHARS}]"
 
-# Latin transliteration used by the cleaner (lower case input): each group of
-# accented letters maps to one ASCII letter; then the multi-character ones.
-TRANSLIT_GROUPS = (("àáâãäåāăą", "a"), ("çćĉċč", "c"), ("ďđð", "d"), ("èéêëēĕėęě", "e"),
-                   ("ĝğġģ", "g"), ("ĥħ", "h"), ("ìíîïĩīĭįı", "i"), ("ĵ", "j"), ("ķ", "k"),
-                   ("ĺļľł", "l"), ("ñńņň", "n"), ("òóôõöøōŏő", "o"), ("ŕŗř", "r"),
-                   ("śŝşš", "s"), ("ţťŧ", "t"), ("ùúûüũūŭůűų", "u"), ("ŵ", "w"),
-                   ("ýÿŷ", "y"), ("źżž", "z"))
-TRANSLIT_MULTI = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ĳ", "ij"))
+# Letters that Unicode does not decompose, by script, as ASCII (lower case input):
+# Latin, then Cyrillic and Greek letter by letter.
+TRANSLIT_LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "đ": "d", "ħ": "h", "ı": "i",
+                  "ĸ": "k", "ł": "l", "ŋ": "ng", "ø": "o", "ŧ": "t", "ĳ": "ij", "ŀ": "l", "µ": "u"}
+TRANSLIT_CYRILLIC = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z",
+                     "и": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r",
+                     "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch",
+                     "ш": "sh", "щ": "shch", "ы": "y", "э": "e", "ю": "iu",
+                     "я": "ia", "і": "i", "є": "ie", "ґ": "g", "й": "i", "ё": "e", "ї": "i"}
+TRANSLIT_GREEK = {"α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th",
+                  "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p",
+                  "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps",
+                  "ω": "o"}
 
 # Word-tokenizer splits that survive cleaning (only [a-z0-9 ] is left, so the
 # punctuation rules do nothing): word -> two tokens.
 CONTRACTION_SPLITS = (("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"),
                       ("lem", "me"))
-# "wanna" is split only when whitespace follows it.
+# "wanna" is split when white space follows it; the tokenizer pads the text with spaces
+# first, so the end of the text counts.
 CONTRACTION_SPLIT_BEFORE_SPACE = (("wan", "na"),)
 
 # Prompt wording and record-type names of the classification prompt.
@@ -55,8 +60,30 @@ PASSAGE_PREFIX = "passage: "
 SEP = " [SEP] "
 # ---------------------------------------------------------------------------
 
-TRANSLIT_FROM = "".join(src for src, _ in TRANSLIT_GROUPS)
-TRANSLIT_TO = "".join(dst * len(src) for src, dst in TRANSLIT_GROUPS)
+#: Blocks whose lower-case letters, digits and marks are mapped by their decomposition:
+#: Latin-1 to Latin Extended-B, Greek, Cyrillic, Latin Extended Additional, super- and subscripts.
+_DECOMPOSED = ((0xA0, 0x250), (0x370, 0x400), (0x400, 0x460), (0x1E00, 0x1F00), (0x2070, 0x20A0))
+
+
+def _ascii_of(ch: str) -> str | None:
+    """The ASCII letters and digits a character stands for, None when there are none."""
+    table = TRANSLIT_LATIN | TRANSLIT_CYRILLIC | TRANSLIT_GREEK
+    if ch in table:
+        return table[ch]
+    base = [c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)]
+    out = "".join(table.get(c, c) for c in base)
+    return out.lower() if out and out.isascii() and out.isalnum() else None
+
+
+_MAP = {chr(c): to for a, b in _DECOMPOSED for c in range(a, b) if (to := _ascii_of(chr(c))) is not None}
+#: Combining marks vanish, so decomposed letters come out like composed ones.
+_MAP |= {chr(c): "" for c in range(0x300, 0x370)}
+_SINGLE = {k: v for k, v in sorted(_MAP.items()) if len(v) == 1}
+_GONE = "".join(k for k, v in sorted(_MAP.items()) if not v)
+#: Characters without a target at the end of ``translate``'s list are deleted (both engines).
+TRANSLIT_FROM = "".join(_SINGLE) + _GONE
+TRANSLIT_TO = "".join(_SINGLE.values())
+TRANSLIT_MULTI = tuple((k, v) for k, v in sorted(_MAP.items()) if len(v) > 1)
 
 
 def _c(x) -> Column:
@@ -93,7 +120,8 @@ def transliterate(x) -> Column:
 
 
 def clean(x) -> Column:
-    """Lower, transliterate Latin letters to ASCII, non-alphanumerics to one space, trim."""
+    """Lower, transliterate Latin, Cyrillic and Greek letters to ASCII, anything else but
+    letters and digits to one space, trim."""
     col = transliterate(F.lower(_c(x)))
     col = F.regexp_replace(col, "[^a-z0-9]+", " ")
     return F.btrim(col, F.lit(" "))
@@ -103,7 +131,7 @@ def split_contractions(x) -> Column:
     """One regex pass: a space after the first part of each listed word (the
     second part must follow, then a word end - or a space for the last kind)."""
     alts = [rf"{a}(?={b}\b)" for a, b in CONTRACTION_SPLITS]
-    alts += [rf"{a}(?={b} )" for a, b in CONTRACTION_SPLIT_BEFORE_SPACE]
+    alts += [rf"{a}(?={b}(?: |$))" for a, b in CONTRACTION_SPLIT_BEFORE_SPACE]
     return F.regexp_replace(_c(x), r"\b(?:" + "|".join(alts) + ")", "$0 ")
 
 
@@ -120,29 +148,18 @@ def route_language(lang) -> Column:
 
 @functools.lru_cache(maxsize=None)
 def default_stop_words(language: str) -> tuple[str, ...]:
-    """Spark ML's bundled stop-word list, read from the MLlib jar (no JVM needed).
+    """The default list of ``StopWordsRemover``, kept as a word file in ``subjex/data``.
 
-    This is Spark's public list, the default of ``StopWordsRemover``; it stands in
-    for the reference's NLTK list and can be replaced by any table of words.
+    It stands in for the reference's list and can be replaced by any sequence of words.
     """
-    import pyspark
-
-    jar_dir = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for jar in glob.glob(os.path.join(jar_dir, "spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as zf:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            if name in zf.namelist():
-                words = zf.read(name).decode("utf-8").split("\n")
-                return tuple(w for w in (s.strip() for s in words) if w)
-    raise FileNotFoundError(f"no stop-word list for {language}")
+    path = resources.files("subjex") / "data" / f"stopwords_{language}.txt"
+    lines = path.read_text(encoding="utf-8").splitlines()
+    return tuple(w for w in (x.strip() for x in lines) if w and not w.startswith("#"))
 
 
 def transliterate_word(word: str) -> str:
     """The cleaner's transliteration applied to a Python string (lower case)."""
-    out = word.translate(str.maketrans(TRANSLIT_FROM, TRANSLIT_TO))
-    for src, dst in TRANSLIT_MULTI:
-        out = out.replace(src, dst)
-    return out
+    return "".join(_MAP.get(c, c) for c in word)
 
 
 def remove_stop_words(tokens, lang_route, de_words=None, en_words=None,
@@ -177,7 +194,7 @@ def truncate_tokens(tokens, n: int) -> Column:
 # Projections: text assembly and prompts
 
 def as_text(x) -> Column:
-    """A field that may be missing, null or a list: null -> '', list -> joined with a space."""
+    """A string field that may be missing: null becomes the empty string."""
     col = _c(x)
     return F.coalesce(col, F.lit(""))
 
@@ -198,15 +215,15 @@ def passage_prefix(x) -> Column:
     return F.concat(F.lit(PASSAGE_PREFIX), _c(x))
 
 
-def flatten_abstract(raw_json_or_text) -> Column:
-    """An abstract held as JSON text of a list is joined with one space.
+def flatten_abstract(abstract) -> Column:
+    """A list-valued abstract is joined with one space, by the value's type.
 
-    ``spark.read.json`` with a string-typed ``abstract`` returns a list value as its
-    JSON text; a plain string stays as it is.
+    The field is a VARIANT, in which a list and a string that looks like one differ: the
+    string "[2019]" stays as it is.
     """
-    col = _c(raw_json_or_text)
-    as_list = F.try_variant_get(F.try_parse_json(col), "$", "array<string>")
-    return F.coalesce(F.array_join(as_list, " "), col, F.lit(""))
+    col = _c(abstract)
+    as_list = F.when(F.startswith(F.schema_of_variant(col), F.lit("ARRAY")), F.try_variant_get(col, "$", "array<string>"))
+    return F.coalesce(F.array_join(as_list, " "), F.try_variant_get(col, "$", "string"), F.lit(""))
 
 
 def retrieval_query_text(title, abstract) -> Column:

@@ -22,18 +22,33 @@ METRIC_DIGITS = 5
 
 
 def ensemble_logits(logits: DataFrame, key: str = "id") -> DataFrame:
-    """``(key, class_idx, logit, prob)`` - mean logit over models, then sigmoid."""
-    return (logits.groupBy(key, "class_idx").agg(F.avg(F.col("logit").cast("double")).alias("logit"))
-                  .withColumn("prob", sigmoid("logit")))
+    """``(key, class_idx, logit, prob)`` - mean logit over all models, then sigmoid.
+
+    Every model of the table must give a logit for each (record, class) that any model
+    scores; a missing one is an error, not a smaller average.
+    """
+    n = logits.agg(F.count_distinct("model_id")).first()[0]
+    per = logits.groupBy(key, "class_idx").agg(
+        F.avg(F.col("logit").cast("double")).alias("logit"), F.count_distinct("model_id").alias("_n"))
+    gap = F.raise_error(F.concat(F.lit("missing logit of a model: record "), F.col(key).cast("string"))).cast("double")
+    return per.select(key, "class_idx", F.when(F.col("_n") == n, F.col("logit")).otherwise(gap).alias("logit")) \
+        .withColumn("prob", sigmoid("logit"))
 
 
 def prob_arrays(long_df: DataFrame, key: str = "id", value: str = "prob",
-                out: str = "probs") -> DataFrame:
-    """``(key, probs ARRAY<DOUBLE>)`` in class order; one group per record, bounded
-    by the class count."""
-    return (long_df.groupBy(key)
-                   .agg(F.array_sort(F.collect_list(F.struct("class_idx", value))).alias("_s"))
-                   .select(key, F.col(f"_s.{value}").alias(out)))
+                out: str = "probs", n_classes: int | None = None) -> DataFrame:
+    """``(key, probs ARRAY<DOUBLE>)``: the value of class ``i`` at position ``i``.
+
+    ``n_classes`` defaults to the largest index plus one; a record that lacks a class is
+    an error.  One group per record, bounded by the class count.
+    """
+    if n_classes is None:
+        n_classes = int((long_df.agg(F.max("class_idx")).first()[0] or 0)) + 1
+    per = long_df.groupBy(key).agg(F.map_from_entries(
+        F.collect_list(F.struct(F.col("class_idx").cast("int"), F.col(value).cast("double")))).alias("_m"))
+    gap = F.raise_error(F.concat(F.lit("missing class: record "), F.col(key).cast("string"))).cast("double")
+    at = lambda i: F.coalesce(F.try_element_at("_m", i.cast("int")), gap)
+    return per.select(key, F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), at).alias(out))
 
 
 @dataclass

@@ -23,9 +23,17 @@ def _div(a: Column, b: Column) -> Column:
 
 def align(pred: DataFrame, gold: DataFrame, key: str, pred_col: str = "labels",
           gold_col: str = "y") -> DataFrame:
-    """``(key, y, yhat)`` - gold and prediction arrays of the same record."""
-    return pred.select(key, F.col(pred_col).alias("yhat")) \
-        .join(gold.select(key, F.col(gold_col).alias("y")), key)
+    """``(key, y, yhat)`` - gold and prediction arrays of the same record.
+
+    A gold record without a prediction counts as predicted nothing; a prediction without
+    gold is an error.
+    """
+    both = pred.select(key, F.col(pred_col).alias("yhat")) \
+        .join(gold.select(key, F.col(gold_col).alias("y")), key, "full_outer")
+    stray = F.raise_error(F.concat(F.lit("prediction without gold: "), F.col(key).cast("string")))
+    y = F.when(F.col("y").isNull(), stray.cast(both.schema["y"].dataType)).otherwise(F.col("y"))
+    nothing = F.transform("y", lambda v: F.lit(0))
+    return both.select(key, y.alias("y"), F.coalesce("yhat", nothing).alias("yhat"))
 
 
 def confusion(aligned: DataFrame) -> DataFrame:
@@ -89,7 +97,8 @@ def classification_report(aligned: DataFrame, class_names: DataFrame | None = No
     conf = confusion(aligned).checkpoint(eager=True)
     pc = per_class(conf)
     if class_names is not None:
-        pc = pc.join(class_names, "class_idx").withColumn("label", F.col("class"))
+        pc = pc.join(class_names, "class_idx", "left") \
+            .withColumn("label", F.coalesce("class", F.col("class_idx").cast("string")))
     else:
         pc = pc.withColumn("label", F.col("class_idx").cast("string"))
     rows = pc.select("label", "precision", "recall", "f1", F.col("support").cast("long"))

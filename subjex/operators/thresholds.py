@@ -5,11 +5,10 @@ Input is the long form ``(class_idx, p, y)``: one row per record and class.
 The exact fit needs, for every distinct probability of a class, how many
 positives and negatives score at least that much - a descending prefix sum.  A
 window over a whole class would put all records of that class in one task, so
-the prefix sum is two-level: the distinct (class, probability) rows are range
-partitioned on (class, probability descending) - Spark samples the boundaries,
-so buckets hold similar numbers of rows whatever the distribution (e.g. most
-probabilities near 0) - then per-bucket totals, a small window over buckets for
-the offsets, and a window inside each (class, bucket).  The best threshold per
+the prefix sum is two-level: each class's probabilities are cut at approximate
+quantiles, fixed once, so buckets hold similar numbers of rows whatever the
+distribution (e.g. most probabilities near 0) - then per-bucket totals, a small
+window over buckets for the offsets, and a window inside each (class, bucket).  The best threshold per
 class is an aggregate (``max_by``), combined map-side.
 """
 
@@ -36,6 +35,20 @@ def long_probs(df: DataFrame, key: str, probs: str, gold: str) -> DataFrame:
                       F.col("z.y").cast("int").alias("y")))
 
 
+def _bucket_bounds(long_df: DataFrame, n: int) -> DataFrame:
+    """``(class_idx, _bounds)``: up to ``n - 1`` approximate quantiles of a class's
+    probabilities.
+
+    Fixed once, as classes x n numbers on the driver (bounded by the class count): a row's
+    bucket then depends on its probability alone, however often the plan computes it.
+    """
+    from subjex.operators.decode import MAX_CLASSES, bounded_collect
+    points = [i / n for i in range(1, n)] or [0.5]
+    per = long_df.groupBy("class_idx").agg(F.percentile_approx("p", points).alias("q"))
+    rows = [(r["class_idx"], sorted(set(r["q"] or []))) for r in bounded_collect(per, MAX_CLASSES, "classes")]
+    return long_df.sparkSession.createDataFrame(rows, "class_idx INT, _bounds ARRAY<DOUBLE>")
+
+
 def pr_sweep(long_df: DataFrame, buckets: int = PREFIX_BUCKETS) -> DataFrame:
     """``(class_idx, threshold, tps, fps, pos_total, precision, recall, f1)``.
 
@@ -44,10 +57,10 @@ def pr_sweep(long_df: DataFrame, buckets: int = PREFIX_BUCKETS) -> DataFrame:
     is predicted; recall is 1 for a class without positives.
     """
     n = buckets or 2 * long_df.sparkSession.sparkContext.defaultParallelism
-    vals = (long_df.groupBy("class_idx", "p")
-                   .agg(F.sum("y").alias("pos"), F.sum(F.lit(1) - F.col("y")).alias("neg"))
-                   .repartitionByRange(n, F.col("class_idx"), F.col("p").desc())
-                   .withColumn("b", F.spark_partition_id()))
+    vals = long_df.groupBy("class_idx", "p").agg(
+        F.sum("y").alias("pos"), F.sum(F.lit(1) - F.col("y")).alias("neg"))
+    vals = vals.join(F.broadcast(_bucket_bounds(long_df, n)), "class_idx") \
+        .withColumn("b", F.size(F.filter("_bounds", lambda x: x > F.col("p")))).drop("_bounds")
     btot = vals.groupBy("class_idx", "b").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     # range order: within a class, a higher bucket id holds lower probabilities
     wb = Window.partitionBy("class_idx").orderBy(F.col("b").asc()) \

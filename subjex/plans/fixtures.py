@@ -6,11 +6,14 @@ for the DuckDB oracle (views ``documents``, ``benchmark``, ``embeddings``, ...).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjex.sources.tables import table
 from subjex.functions.text import WS_CLASS
+from subjex.operators.decode import MAX_CLASSES, bounded_collect
+from subjex.operators.zeroshot import class_centroids
+from subjex.sources.tables import table
 
 
 def sql_ws() -> str:
@@ -31,14 +34,14 @@ def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("id"), "doc_id",
                     F.col("lang").alias("language"), type_col.alias("type"),
                     F.substring("text", 1, 60).alias("title"),
-                    F.substring("text", 61, 400).alias("abstract"))
+                    F.expr("substring(text, 61)").alias("abstract"))
 
 
 REC_SQL = """rec as (
   select cast(doc_id as varchar) as id, doc_id, lang as language,
     case doc_id % 6 when 0 then 'Article' when 1 then 'Book' when 2 then 'Conference'
                     when 3 then 'Report' when 4 then 'Thesis' else 'Other' end as type,
-    substring(text, 1, 60) as title, substring(text, 61, 400) as abstract
+    substring(text, 1, 60) as title, substring(text, 61) as abstract
   from documents)"""
 
 
@@ -54,85 +57,131 @@ VOCAB_SQL = "vocab as (select cast(item_id as varchar) as gnd_id, text as label_
 
 
 # ---------------------------------------------------------------------------
-# vectors: vocabulary vectors are the embeddings whose vec_id is a benchmark
-# item; record vectors are all other embeddings, paired with documents by id.
+# vectors of every document and every vocabulary entry: how often each letter occurs
+# in the whole text, a text encoder that both engines can compute.
+
+LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèñó"
+
+
+def letter_vector(text: str):
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return F.array(*[(F.length(low) - F.length(F.translate(low, c, ""))).cast("float") for c in LETTERS])
+
+
+def _letter_vector_sql(text: str) -> str:
+    low = f"lower(coalesce({text}, ''))"
+    return "[" + ", ".join(f"(length({low}) - length(replace({low}, '{c}', '')))::float" for c in LETTERS) + "]"
+
 
 def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    b = table(spark, sf_dir, "benchmark")
-    return (e.join(b, e.vec_id == b.item_id, "inner")
-             .select(F.col("item_id").cast("string").alias("gnd_id"),
-                     F.col("text").alias("label_text"), "embedding"))
+    return vocab(spark, sf_dir).withColumn("embedding", letter_vector("label_text"))
 
 
 def record_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    b = table(spark, sf_dir, "benchmark").select("item_id")
-    d = table(spark, sf_dir, "documents")
-    e = e.join(b, e.vec_id == b.item_id, "left_anti")
-    return (e.join(d, e.vec_id == d.doc_id, "inner")
-             .select("doc_id", "text", "lang", "embedding", "label"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", letter_vector("text").alias("embedding"))
 
 
-LABEL_VEC_SQL = """lvec as (
-  select cast(b.item_id as varchar) as gnd_id, b.text as label_text, e.embedding
-  from embeddings e join benchmark b on e.vec_id = b.item_id)"""
+LABEL_VEC_SQL = f"""lvec as (
+  select cast(item_id as varchar) as gnd_id, text as label_text, {_letter_vector_sql('text')} as embedding
+  from benchmark)"""
 
-RECORD_VEC_SQL = """rvec as (
-  select d.doc_id, d.text, d.lang, e.embedding, e.label
-  from embeddings e join documents d on e.vec_id = d.doc_id
-  where e.vec_id not in (select item_id from benchmark))"""
+RECORD_VEC_SQL = f"""rvec as (
+  select doc_id, text, lang, {_letter_vector_sql('text')} as embedding from documents)"""
 
 
 # ---------------------------------------------------------------------------
-# prob / gold / logits: classification fixtures from embeddings
+# prob / gold / logits: classification fixtures from all embeddings, over the classes
+# found in the table.  A class is scored by the cosine of the whole vector with the class
+# mean; probabilities are rounded, so that equal vectors are equal in any engine.
+
+SCORE_DECIMALS = 9
+N_MODELS = 3
+
+
+def class_labels(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The distinct labels in order; the position is the class index."""
+    rows = bounded_collect(table(spark, sf_dir, "embeddings").select("label").distinct(), MAX_CLASSES, "labels")
+    return sorted(r["label"] for r in rows)
 
-N_FIXTURE_CLASSES = 10
+
+def class_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(class_labels(spark, sf_dir))), "class_idx int, label int")
+
+
+def class_cosines(spark: SparkSession, sf_dir: str):
+    """A function of a vector column: its cosines with the class means, in class order.
+
+    The means are classes x dimensions numbers, bounded by the class count.
+    """
+    means = bounded_collect(class_centroids(table(spark, sf_dir, "embeddings"), "label", "embedding"), MAX_CLASSES, "class means")
+    matrix = np.array([r["embedding"] for r in sorted(means, key=lambda r: r["class_idx"])])
+    matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)).tolist()
+    add = lambda s, x: s + x
+
+    def cosines(column: str):
+        v = F.col(column).cast("array<double>")
+        norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
+        return F.transform(F.lit(matrix), lambda m: F.round(
+            F.aggregate(F.zip_with(v, m, lambda x, y: x * y), F.lit(0.0), add) / norm, SCORE_DECIMALS))
+    return cosines
+
+
+def probabilities(cosines):
+    return F.transform(cosines, lambda c: F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-8.0) * c)), SCORE_DECIMALS))
 
 
 def prob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"),
-                    F.transform(F.slice("embedding", 1, N_FIXTURE_CLASSES),
-                                lambda x: (F.lit(1.0) + x.cast("double")) / F.lit(2.0)).alias("probs"))
+    cos = class_cosines(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), cos("embedding").alias("_cos"))
+    return e.select("id", probabilities(F.col("_cos")).alias("probs"))
+
+
+def _cosine(a: str, b: str) -> str:
+    dot = f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::double * p[2]::double))"
+    norm = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: x::double * x::double)))"
+    return f"({dot} / greatest({norm(a)} * {norm(b)}, 1e-12))"
+
 
+CLASS_SQL = """fxc as (select label, row_number() over (order by label) - 1 as class_idx
+  from (select distinct label from embeddings)),
+fxpos as (select label, pos, avg(x::double) as x
+  from (select label, generate_subscripts(embedding, 1) as pos, unnest(embedding) as x from embeddings)
+  group by label, pos),
+fxmean as (select c.class_idx, list(p.x order by p.pos) as mean from fxpos p join fxc c using (label) group by 1),
+fxcos as (select e.vec_id as id, m.class_idx, round(""" + _cosine("e.embedding", "m.mean") + f""", {SCORE_DECIMALS}) as cos
+  from embeddings e, fxmean m)"""
 
-PROB_SQL = """prob as (
-  select vec_id as id,
-    list_transform(embedding[1:10], lambda x: (1 + x::double) / 2) as probs
-  from embeddings)"""
+PROB_SQL = f"""{CLASS_SQL},
+prob as (select id, list(round(1.0::double / (1.0::double + exp(-8.0::double * cos)), {SCORE_DECIMALS}) order by class_idx) as probs
+  from fxcos group by id)"""
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = class_labels(spark, sf_dir)
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"),
-                    F.transform(F.sequence(F.lit(0), F.lit(N_FIXTURE_CLASSES - 1)),
-                                lambda j: ((j == F.col("label"))
-                                           | (j == (F.col("label") + F.col("vec_id")) % 10))
-                                .cast("int")).alias("y"))
+    own = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
+    e = e.select(F.col("vec_id").alias("id"), own.alias("_own"))
+    return e.select("id", F.transform(
+        F.sequence(F.lit(0), F.lit(len(labels) - 1)),
+        lambda j: ((j == F.col("_own")) | (j == (F.col("_own") + F.col("id")) % len(labels))).cast("int")).alias("y"))
 
 
 GOLD_SQL = """gold as (
-  select vec_id as id,
-    list_transform(range(10), lambda j: ((j = label) or (j = (label + vec_id) % 10))::int) as y
-  from embeddings)"""
+  select e.vec_id as id, list_transform(range(k.n), lambda j:
+    ((j = c.class_idx) or (j = (c.class_idx + e.vec_id) % k.n))::int) as y
+  from embeddings e join fxc c using (label), (select count(*) as n from fxc) k)"""
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return (e.select("vec_id", "embedding",
-                     F.explode(F.sequence(F.lit(0), F.lit(2))).alias("model_id"))
-             .select("model_id", F.col("vec_id").alias("id"), "embedding",
-                     F.explode(F.sequence(F.lit(0), F.lit(N_FIXTURE_CLASSES - 1))).alias("class_idx"))
-             .select("model_id", "id", "class_idx",
-                     (F.lit(8.0) * F.element_at("embedding", F.col("model_id") * 10 + F.col("class_idx") + 1)
-                      .cast("double")).alias("logit")))
-
-
-LOGITS_SQL = """logits as (
-  select m as model_id, vec_id as id, j as class_idx,
-    8 * embedding[m * 10 + j + 1]::double as logit
-  from embeddings, range(3) a(m), range(10) b(j))"""
+    cos = class_cosines(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), cos("embedding").alias("_cos"))
+    return (e.select("id", F.posexplode("_cos").alias("class_idx", "_c"))
+             .select("id", "class_idx", "_c", F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))).alias("model_id"))
+             .select("model_id", "id", "class_idx", ((F.col("model_id") + 1) * F.lit(4.0) * F.col("_c")).alias("logit")))
+
+
+LOGITS_SQL = f"""{CLASS_SQL},
+logits as (select m as model_id, id, class_idx, (m + 1) * 4.0::double * cos as logit from fxcos, range({N_MODELS}) a(m))"""
 
 
 # ---------------------------------------------------------------------------

@@ -17,7 +17,6 @@ K = 3
 GLOBAL_THR = 0.7
 P_MIN = 0.55
 UNION_K = 2
-N = fx.N_FIXTURE_CLASSES
 
 
 def dbl(x: float) -> str:
@@ -29,7 +28,7 @@ def dbl(x: float) -> str:
 # SQL parts
 
 _LP = f"""{fx.PROB_SQL}, {fx.GOLD_SQL},
-lp as (select p.id, unnest(range({N})) as class_idx, unnest(p.probs) as p, unnest(g.y) as y
+lp as (select p.id, unnest(range(len(p.probs))) as class_idx, unnest(p.probs) as p, unnest(g.y) as y
        from prob p join gold g on p.id = g.id),
 rk as (select *, row_number() over (partition by id order by p desc, class_idx) as prk from lp)"""
 

@@ -149,7 +149,8 @@ def v3_ivf_topk(spark, sf_dir):
 _CENTROID_SQL = """cpos as (select label as class_idx, pos, avg(x::double) as x
          from (select label, generate_subscripts(embedding, 1) as pos, unnest(embedding) as x
                from embeddings) group by label, pos),
-cvec as (select class_idx, list(x order by pos) as embedding from cpos group by class_idx),
+cls as (select label, row_number() over (order by label) - 1 as class_idx from (select distinct label from embeddings)),
+cvec as (select cls.class_idx, list(x order by pos) as embedding from cpos join cls on cpos.class_idx = cls.label group by 1),
 zs as (select e.vec_id, c.class_idx,
          row_number() over (partition by e.vec_id
                             order by round(""" + cosine_sql("e.embedding", "c.embedding") + """, 9) desc,
@@ -166,8 +167,9 @@ def z1_zero_shot(spark, sf_dir):
     """Cosine of each record to class vectors, the 5 best classes set to 1."""
     e = table(spark, sf_dir, "embeddings")
     classes = class_centroids(e, "label", "embedding")
-    n_classes = fx.N_FIXTURE_CLASSES
-    tagged = zero_shot(e, "vec_id", "embedding", classes, n_classes)
+    known = fx.class_table(spark, sf_dir)
+    classes = classes.withColumnRenamed("class_idx", "label").join(F.broadcast(known), "label").select("class_idx", "embedding")
+    tagged = zero_shot(e, "vec_id", "embedding", classes, len(fx.class_labels(spark, sf_dir)))
     return tagged.select("vec_id", F.posexplode("labels").alias("class_idx", "y")) \
         .select("vec_id", F.col("class_idx").cast("int"), F.col("y").cast("int"))
 
@@ -198,11 +200,11 @@ def m1_m3_vector_math(spark, sf_dir):
 
 @register("v4_pq_topk")
 def v4_pq_topk(spark, sf_dir):
-    """V4: product-quantised label vectors (8 sub-vectors x 16 centroids), top-k by
+    """V4: product-quantised label vectors (17 sub-vectors x 16 centroids), top-k by
     the asymmetric inner product."""
     from subjex.operators.neighbors import pq_encode, pq_top_k, train_pq
     docs, labels = _inputs(spark, sf_dir)
-    book = train_pq(labels, "embedding", m=8, ksub=16)
+    book = train_pq(labels, "embedding", m=17, ksub=16)
     coded = pq_encode(labels, "embedding", book)
     return pq_top_k(docs, "doc_id", "embedding", coded, "gnd_id", book, TOPK) \
         .select("doc_id", "gnd_id", "rank", F.round("score", 6).alias("score"))

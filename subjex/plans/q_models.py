@@ -15,15 +15,15 @@ from subjex.plans.catalog import REGISTRY, register
 from subjex.session import scratch_path
 from subjex.sources.sinks import read_embeddings, write_embeddings
 from subjex.sources.tables import table
-from subjex.streaming.stream import read_stream, stream_to_table
+from subjex.streaming.stream import stream_to_table, table_stream
 
-N = fx.N_FIXTURE_CLASSES
+DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 EMB_SCHEMA = "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT"
 
 
 @register("a9_class_weights", f"""
-with {fx.GOLD_SQL},
-yl as (select unnest(range({N})) as class_idx, unnest(y) as y from gold),
+with {fx.CLASS_SQL}, {fx.GOLD_SQL},
+yl as (select unnest(range(len(y))) as class_idx, unnest(y) as y from gold),
 c as (select class_idx, count(*) as n, sum(y) as n_pos from yl group by class_idx)
 select cast(class_idx as integer) as class_idx,
        round(case when n_pos > 0 then n / (2.0::double * n_pos) end, 6) as w_pos,
@@ -47,9 +47,12 @@ def c1_embed_hashing(spark, sf_dir):
 
 
 def _train(spark, sf_dir):
+    """Fit on four fifths of the vectors, thresholds and scores on the others (hash folds)."""
     e = table(spark, sf_dir, "embeddings")
     data = e.join(fx.gold(spark, sf_dir), e.vec_id == F.col("id")).select("id", "embedding", "y")
-    return data, train_domains(data, data, "id", "embedding", "y", N, max_iter=100)
+    fold = F.pmod(F.xxhash64("id"), F.lit(5))
+    n = len(fx.class_labels(spark, sf_dir))
+    return data, train_domains(data.where(fold > 0), data.where(fold == 0), "id", "embedding", "y", n)
 
 
 @register("c14_train_domains")
@@ -74,10 +77,9 @@ def c4_predict_proba(spark, sf_dir):
 # streaming
 
 def _prob_stream(spark, sf_dir):
-    s = read_stream(spark, sf_dir, EMB_SCHEMA, "parquet", "embeddings.parquet")
-    return s.select(F.col("vec_id").alias("id"),
-                    F.transform(F.slice("embedding", 1, N),
-                                lambda x: (F.lit(1.0) + x.cast("double")) / F.lit(2.0)).alias("probs"))
+    s = table_stream(spark, sf_dir, "embeddings", EMB_SCHEMA)
+    cos = fx.class_cosines(spark, sf_dir)
+    return s.select(F.col("vec_id").alias("id"), fx.probabilities(cos("embedding")).alias("probs"))
 
 
 @register("x1_stream_decode", REGISTRY["c10_decode_topk"][1])
@@ -92,11 +94,8 @@ def x1_stream_decode(spark, sf_dir):
 def x1_stream_suggest(spark, sf_dir):
     """Dense suggestion per micro-batch (foreachBatch) equals the batch result."""
     labels = fx.label_vectors(spark, sf_dir)
-    b = table(spark, sf_dir, "benchmark").select("item_id")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    s = read_stream(spark, sf_dir, EMB_SCHEMA, "parquet", "embeddings.parquet")
-    recs = (s.join(b, s.vec_id == b.item_id, "left_anti")
-             .join(d, s.vec_id == d.doc_id).select("doc_id", "text", "embedding"))
+    recs = table_stream(spark, sf_dir, "documents", DOC_SCHEMA).select(
+        "doc_id", "text", fx.letter_vector("text").alias("embedding"))
 
     def per_batch(batch):
         return suggest_dense(batch, "doc_id", "text", "embedding", labels, topk=10)

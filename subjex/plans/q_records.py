@@ -97,18 +97,18 @@ def vocab_raw(spark, sf_dir):
          .otherwise(F.concat(F.lit("gnd:"), (i % 25).cast("string"))).alias("Code"),
         F.when(i % 11 == 5, F.lit("")).otherwise(F.array_join(F.slice(words, 1, 3), " ")).alias("Name"),
         F.when(i % 3 == 0, F.array().cast("array<string>"))
-         .when(i % 3 == 1, F.slice(words, 4, 1)).otherwise(F.slice(words, 4, 2)).alias("Alternate Name"),
+         .when(i % 3 == 1, F.array(F.array_join(F.slice(words, 4, 2), " "))).otherwise(F.slice(words, 4, 2)).alias("Alternate Name"),
         F.when(i % 2 == 0, F.concat(F.lit("Class "), (i % 5).cast("string"))).alias("Classification Name"),
-        F.when(i % 4 == 0, F.substring("text", 1, 80)).alias("Definition"))
+        F.when(F.size(words) > 5, F.array_join(F.slice(words, 6, F.greatest(F.size(words) - 5, F.lit(1))), " ")).alias("Definition"))
 
 
 _VOCAB_RAW_SQL = f"""raw as (select item_id as pos,
    case when item_id % 7 = 3 then null else 'gnd:' || cast(item_id % 25 as varchar) end as code,
    case when item_id % 11 = 5 then '' else array_to_string(string_split(text, ' ')[1:3], ' ') end as name,
-   case item_id % 3 when 0 then []::varchar[] when 1 then string_split(text, ' ')[4:4]
+   case item_id % 3 when 0 then []::varchar[] when 1 then [array_to_string(string_split(text, ' ')[4:5], ' ')]
         else string_split(text, ' ')[4:5] end as alt,
    case when item_id % 2 = 0 then 'Class ' || cast(item_id % 5 as varchar) end as cls,
-   case when item_id % 4 = 0 then substring(text, 1, 80) end as defin
+   case when len(string_split(text, ' ')) > 5 then array_to_string(string_split(text, ' ')[6:], ' ') end as defin
  from benchmark),
 ent as (select pos, string_split(code, ':')[-1] as gnd_id,
    regexp_replace(concat_ws('. ', coalesce(name, ''), nullif(coalesce(array_to_string(alt, ' | '), ''), ''),

@@ -156,15 +156,15 @@ def p12_passage_prefix(spark, sf_dir):
 
 @register("p13_abstract_flatten", f"""
 with {fx.REC_SQL}
-select id, case when doc_id % 2 = 0 then substring(abstract, 1, 100) || ' ' || substring(abstract, 101, 300)
+select id, case when doc_id % 2 = 0 then substring(abstract, 1, 100) || ' ' || substring(abstract, 101)
                 else abstract end as abstract from rec""")
 def p13_abstract_flatten(spark, sf_dir):
     """List-valued abstracts (JSON text of a list) joined with one space."""
     r = fx.rec(spark, sf_dir)
-    raw = F.when(F.col("doc_id") % 2 == 0,
-                 F.to_json(F.array(F.substring("abstract", 1, 100), F.substring("abstract", 101, 300)))) \
-        .otherwise(F.col("abstract"))
-    return r.select("id", X.flatten_abstract(raw).alias("abstract"))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.array(
+        F.substring("abstract", 1, 100), F.expr("substring(abstract, 101)")))) \
+        .otherwise(F.to_json(F.array("abstract")).substr(F.lit(2), F.length(F.to_json(F.array("abstract"))) - 2))
+    return r.select("id", X.flatten_abstract(F.parse_json(raw)).alias("abstract"))
 
 
 @register("p14_retrieval_text", f"""

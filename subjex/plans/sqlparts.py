@@ -81,7 +81,7 @@ def word_tokens_sql(cleaned: str) -> str:
     for a, b in CONTRACTION_SPLITS:
         col = f"regexp_replace({col}, '\\b({a})({b})\\b', '\\1 \\2', 'g')"
     for a, b in CONTRACTION_SPLIT_BEFORE_SPACE:
-        col = f"regexp_replace({col}, '\\b({a})({b}) ', '\\1 \\2 ', 'g')"
+        col = f"regexp_replace({col}, '\\b({a})({b})( |$)', '\\1 \\2\\3', 'g')"
     return f"list_filter(string_split({col}, ' '), lambda t: t <> '')"
 
 

@@ -31,6 +31,16 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json",
     return r.load(path)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """A stream over the Parquet table ``name`` of a data folder: all files of a table
+    folder, or the one file when the table is a single file (a stream needs a folder)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.getFileStatus(path).isDirectory():
+        return read_stream(spark, path.toString(), schema, "parquet")
+    return read_stream(spark, folder, schema, "parquet", f"{name}.parquet")
+
+
 def write_available_now(sdf: DataFrame, out_path: str, checkpoint: str,
                         fmt: str = "parquet") -> None:
     """Run a row-local stream over everything available, append to ``out_path``."""

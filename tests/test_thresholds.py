@@ -78,3 +78,28 @@ def test_no_positive_option(spark):
     df, rows = _long(spark)
     half = {r["class_idx"]: r["threshold"] for r in TH.fit_thresholds_exact(df, no_positive="half").collect()}
     assert half[0] == 0.5  # class 0 has no positives
+
+
+def test_sweep_does_not_hang_on_exchange_reuse_or_adaptive_plans(spark):
+    """A million distinct probabilities: the same counts whatever the optimiser reuses."""
+    from subjex.operators.thresholds import pr_sweep
+    df = spark.range(1_000_000).selectExpr(
+        "cast(id % 3 as int) as class_idx", "(id * 7919 % 1000003) / 1000003D as p", "cast(id * 31 % 5 = 0 as int) as y")
+    states = []
+    for reuse in ("true", "false"):
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", reuse)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            try:
+                states.append(tuple(pr_sweep(df).selectExpr(
+                    "count(*)", "sum(tps)", "sum(fps)", "bit_xor(xxhash64(class_idx, threshold, tps, fps))").first()))
+            finally:
+                spark.conf.unset("spark.sql.exchange.reuse")
+                spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(set(states)) == 1 and states[0][0] == 1_000_000
+    # ranks by one global window are the truth
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    w = Window.partitionBy("class_idx").orderBy(F.col("p").desc())
+    want = df.withColumn("n", F.row_number().over(w)).agg(F.sum("n")).first()[0]
+    assert states[0][1] + states[0][2] == want
