@@ -11,11 +11,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subjex.functions.text import whitespace_tokens
+from subjex.operators.ranking import RANK_DECIMALS
 from subjex.operators.skew import hot_keys, salted_join
+from subjex.session import ship_package
 
 # The BM25 library defaults the reference relies on
 # (it passes no parameters).
@@ -158,3 +162,121 @@ def record_minmax(scores: DataFrame, key: str, n_labels: int, score: str = "scor
     mn = F.when(has_zero, F.least("_mn0", F.lit(0.0))).otherwise(F.col("_mn0"))
     mx = F.when(has_zero, F.greatest("_mx0", F.lit(0.0))).otherwise(F.col("_mx0"))
     return agg.select(key, mn.alias("_mn"), (mx - mn + F.lit(MINMAX_EPS)).alias("_den"))
+
+
+# ---------------------------------------------------------------------------
+# Blocked scoring: records stay where they are, label blocks come to them
+
+# Postings per label block: what a task holds of the index (about 12 bytes each).
+BLOCK_POSTINGS = 5_000_000
+_STATE = ("_cnt bigint, _mn0 double, _mx0 double, _top array<struct<id:string,score:double,shared:bigint>>, "
+          "_cand array<struct<score:double,shared:bigint>>")
+
+
+class LabelBlock:
+    """Sparse term matrix of some labels: term -> (label numbers, weights)."""
+
+    def __init__(self, rows: list):
+        self.ids = sorted({r[1] for r in rows})
+        place = {g: i for i, g in enumerate(self.ids)}
+        names = sorted({r[0] for r in rows})
+        self.term = {t: i for i, t in enumerate(names)}
+        term = np.array([self.term[r[0]] for r in rows], np.int64)
+        order = np.argsort(term, kind="stable")
+        self.label = np.array([place[r[1]] for r in rows], np.int32)[order]
+        self.weight = np.array([r[2] for r in rows], np.float64)[order]
+        self.start = np.searchsorted(term[order], np.arange(len(names) + 1))
+
+    def scores(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(score, distinct shared terms) of every label for one record's T9 tokens."""
+        count: dict[int, int] = {}
+        for t in text.lower().split():
+            i = self.term.get(t)
+            if i is not None:
+                count[i] = count.get(i, 0) + 1
+        n = len(self.ids)
+        if not count:
+            return np.zeros(n), np.zeros(n, np.int64)
+        terms = np.fromiter(count, np.int64, len(count))
+        a, b = self.start[terms], self.start[terms + 1]
+        at = np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a) + np.arange((b - a).sum())
+        qf = np.repeat(np.fromiter(count.values(), np.float64, len(count)), b - a)
+        return (np.bincount(self.label[at], self.weight[at] * qf, n), np.bincount(self.label[at], minlength=n))
+
+
+def _merge_block(block: LabelBlock, names: list[str], k: int):
+    place = {g: i for i, g in enumerate(block.ids)}
+
+    def best(rows):
+        return sorted(rows, key=lambda r: (-round(r["score"], RANK_DECIMALS), r["id"]))[:k]
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.select(["_text", "_ids", "_cnt", "_mn0", "_mx0", "_top", "_cand"]).to_pylist()
+            for r in rows:
+                score, shared = block.scores(r["_text"] or "")
+                hit = np.flatnonzero(shared)
+                if len(hit):
+                    s = score[hit]
+                    r["_cnt"] += len(hit)
+                    r["_mn0"] = float(s.min()) if r["_mn0"] is None else min(r["_mn0"], float(s.min()))
+                    r["_mx0"] = float(s.max()) if r["_mx0"] is None else max(r["_mx0"], float(s.max()))
+                    if k:
+                        rounded = np.round(s, RANK_DECIMALS)
+                        if len(hit) > k:
+                            hit = hit[rounded >= np.partition(rounded, -k)[-k]]
+                        r["_top"] = best(r["_top"] + [{"id": block.ids[i], "score": float(score[i]), "shared": int(shared[i])} for i in hit])
+                for j, g in enumerate(r["_ids"] or ()):
+                    i = place.get(g)
+                    if i is not None and shared[i]:
+                        r["_cand"][j] = {"score": float(score[i]), "shared": int(shared[i])}
+            fields = {f.name: f.type for f in batch.schema}
+            state = [pa.array([r[c] for r in rows], fields[c]) for c in ("_cnt", "_mn0", "_mx0", "_top", "_cand")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *state], [*names, "_cnt", "_mn0", "_mx0", "_top", "_cand"])
+    return run
+
+
+def bm25_summary(queries: DataFrame, index: Bm25Index, text_col: str, k: int = 0, candidates=None) -> DataFrame:
+    """L2 / L3 without (record, label) rows: ``queries`` with, per record, the best ``k``
+    labels (``_top``: id, score, shared in rank order), the number, minimum and maximum of
+    the matching labels' scores (``_cnt, _mn0, _mx0``), and the scores of ``candidates`` (an
+    array of label ids, ``_cand`` in the same order).
+
+    Nothing is shuffled: labels are cut into blocks of at most about ``BLOCK_POSTINGS``
+    postings, each block is sent to the tasks as a sparse term matrix, and records meet
+    the blocks one after the other where they are.
+    """
+    ship_package(queries.sparkSession)
+    blocks = max(1, -(-index.n_postings // BLOCK_POSTINGS))
+    keep = queries.columns
+    ids = candidates if candidates is not None else F.expr("cast(null as array<string>)")
+    none = F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("shared"))
+    df = queries.withColumns({"_text": F.col(text_col), "_ids": ids}).withColumns({
+        "_cnt": F.lit(0).cast("long"), "_mn0": F.lit(None).cast("double"), "_mx0": F.lit(None).cast("double"),
+        "_top": F.expr("cast(array() as array<struct<id:string,score:double,shared:bigint>>)"),
+        "_cand": F.transform(F.coalesce("_ids", F.expr("cast(array() as array<string>)")), lambda _: none)})
+    names = [*keep, "_text", "_ids"]
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names)
+    for b in range(blocks):
+        mine = index.postings if blocks == 1 else index.postings.where(F.pmod(F.xxhash64(index.id_col), F.lit(blocks)) == b)
+        rows = [(r["term"], r[index.id_col], r["w"]) for r in mine.select("term", index.id_col, "w").collect()]  # one block, bounded
+        df = df.mapInArrow(_merge_block(LabelBlock(rows), names, k), f"{head}, {_STATE}")
+    return df.drop("_text", "_ids")
+
+
+def minmax_columns(n_labels: int):
+    """(minimum, denominator) of the min-max scaling from the columns of ``bm25_summary``."""
+    has_zero = F.col("_cnt") < F.lit(n_labels)
+    mn = F.when(has_zero, F.least(F.coalesce("_mn0", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("_mn0"))
+    mx = F.when(has_zero, F.greatest(F.coalesce("_mx0", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("_mx0"))
+    return mn, mx - mn + F.lit(MINMAX_EPS)
+
+
+def bm25_top_k(queries: DataFrame, index: Bm25Index, key: str, text_col: str, k: int) -> DataFrame:
+    """L2 + W1 + L3: ``(key, <label id>, rank, score, bm25_scaled, _mn, _den)``, best first."""
+    mn, den = minmax_columns(index.n_labels)
+    s = bm25_summary(queries.select(key, text_col), index, text_col, k).select(
+        key, mn.alias("_mn"), den.alias("_den"), F.posexplode("_top").alias("_pos", "t"))
+    return s.select(key, F.col("t.id").alias(index.id_col), (F.col("_pos") + 1).cast("int").alias("rank"),
+                    F.col("t.score").alias("score"), ((F.col("t.score") - F.col("_mn")) / F.col("_den")).alias("bm25_scaled"),
+                    "_mn", "_den")

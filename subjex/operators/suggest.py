@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subjex.operators.lexical import MINMAX_EPS, Bm25Index, bm25_scores, build_bm25
+from subjex.operators.lexical import Bm25Index, bm25_summary, build_bm25, minmax_columns
 from subjex.operators.neighbors import exact_top_k
 from subjex.operators.ranking import ranked_list, top_k
+from subjex.operators.skew import hot_keys, salted_join
 
 # The reference's search defaults.
 DEFAULT_TOPK = 50
@@ -37,34 +38,22 @@ def hybrid_scores(docs: DataFrame, key: str, text: str, vec: str, labels: DataFr
                   with_shared: bool = False) -> DataFrame:
     """H1: dense candidates (2 x topk, V5) with ``(1-w) * cosine + w * bm25_scaled``.
 
-    J7 + L3 in one pass: the lexical pairs and the dense candidates meet in one
-    full outer join on ``(key, gnd_id)``; one aggregate per record then gives
-    the min-max statistics over all lexical matches (implicit zeros included)
-    and the record's candidates (at most 2 x topk, so the list is bounded).  A
-    candidate without a shared term gets the scaled value of zero.  The output
-    stays hash-partitioned by ``key``, so a following top-k needs no exchange.
+    J7 + L3 without (record, label) pairs: each record's candidates travel with it as
+    one array (at most 2 x topk), and the blocked lexical scoring returns their scores
+    and the min-max statistics over all matching labels (implicit zeros included).  A
+    candidate without a shared term gets the scaled value of zero.
     ``with_shared`` also returns ``shared`` (distinct shared terms).
     """
     index = index or build_bm25(labels.select("gnd_id", "label_text"))
     cands = dense_candidates(docs, key, vec, labels, 2 * topk, label_vec) \
-        .select(key, "gnd_id", "cosine")
-    lex = bm25_scores(docs, index, key, text_col=text, with_shared=with_shared)
-    both = lex.join(cands, [key, "gnd_id"], "full_outer")
-    fields = [F.col("gnd_id"), F.col("cosine"), F.coalesce("score", F.lit(0.0)).alias("score")]
-    if with_shared:
-        fields.append(F.coalesce("shared", F.lit(0)).alias("shared"))
-    cand = F.when(F.col("cosine").isNotNull(), F.struct(*fields))
-    per = both.groupBy(key).agg(F.count("score").alias("_cnt"), F.min("score").alias("_mn0"),
-                                F.max("score").alias("_mx0"), F.collect_list(cand).alias("_c"))
-    has_zero = F.col("_cnt") < F.lit(index.n_labels)
-    mn = F.when(has_zero, F.least("_mn0", F.lit(0.0))).otherwise(F.col("_mn0"))
-    mx = F.when(has_zero, F.greatest("_mx0", F.lit(0.0))).otherwise(F.col("_mx0"))
-    ex = per.select(key, mn.alias("_mn"), (mx - mn + F.lit(MINMAX_EPS)).alias("_den"),
-                    F.explode("_c").alias("c"))
-    scaled = (F.col("c.score") - F.col("_mn")) / F.col("_den")
-    extra = [F.col("c.shared").alias("shared")] if with_shared else []
-    out = ex.select(key, F.col("c.gnd_id").alias("gnd_id"), F.col("c.cosine").alias("cosine"),
-                    F.coalesce(scaled, F.lit(0.0)).alias("bm25_scaled"), *extra)
+        .groupBy(key).agg(F.collect_list(F.struct("gnd_id", "cosine")).alias("_c"))
+    records = docs.select(key, text).join(cands, key)
+    lex = bm25_summary(records, index, text, candidates=F.col("_c.gnd_id"))
+    mn, den = minmax_columns(index.n_labels)
+    ex = lex.select(key, mn.alias("_mn"), den.alias("_den"), F.explode(F.arrays_zip("_c", "_cand")).alias("x"))
+    extra = [F.col("x._cand.shared").alias("shared")] if with_shared else []
+    out = ex.select(key, F.col("x._c.gnd_id").alias("gnd_id"), F.col("x._c.cosine").alias("cosine"),
+                    ((F.col("x._cand.score") - F.col("_mn")) / F.col("_den")).alias("bm25_scaled"), *extra)
     return out.withColumn(
         "hybrid", F.lit(1.0 - weight) * F.col("cosine") + F.lit(weight) * F.col("bm25_scaled"))
 
@@ -91,9 +80,10 @@ def rerank(cands: DataFrame, key: str, r: int, pair_score: Column, k: int,
 def rerank_pairs(cands: DataFrame, key: str, rank_col: str, r: int, docs: DataFrame,
                  pair_text: Column, labels: DataFrame) -> DataFrame:
     """The first ``r`` candidates with their texts, for a custom pair scorer."""
-    return (cands.filter(F.col(rank_col) <= r)
-                 .join(docs.select(key, pair_text.alias("query_text")), key)
-                 .join(labels.select("gnd_id", "label_text"), "gnd_id"))
+    pairs = cands.filter(F.col(rank_col) <= r)
+    hot = hot_keys(pairs.groupBy("gnd_id").agg(F.count(F.lit(1)).alias("n")), ["gnd_id"])
+    named = salted_join(pairs, labels.select("gnd_id", "label_text"), ["gnd_id"], hot)
+    return named.join(docs.select(key, pair_text.alias("query_text")), key)
 
 
 def suggest_hybrid(docs: DataFrame, key: str, text: str, vec: str, labels: DataFrame,
@@ -121,10 +111,10 @@ def suggest_dense(docs: DataFrame, key: str, text: str, vec: str, labels: DataFr
     if rerank_n > 0:
         index = build_bm25(labels.select("gnd_id", "label_text"))
         if scorer is None:
-            lex = bm25_scores(docs, index, key, text_col=text, with_shared=True) \
-                .select(key, "gnd_id", "shared")
-            best = best.join(lex, [key, "gnd_id"], "left") \
-                .withColumn("shared", F.coalesce("shared", F.lit(0)))
+            mine = best.groupBy(key).agg(F.collect_list(F.struct("gnd_id", "score", "rank")).alias("_c"))
+            lex = bm25_summary(docs.select(key, text).join(mine, key), index, text, candidates=F.col("_c.gnd_id"))
+            best = lex.select(key, F.explode(F.arrays_zip("_c", "_cand")).alias("x")) \
+                .select(key, "x._c.*", F.col("x._cand.shared").alias("shared"))
         best = _apply_rerank(best, key, rerank_n, topk, index, docs, text, labels, scorer)
     return best.select(key, "rank", "gnd_id", "score")
 

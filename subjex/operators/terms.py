@@ -3,8 +3,8 @@
 A stemmer or lemmatiser is per-term Python.  Instead of calling it for every
 token, the distinct ``(lang, token)`` pairs form a dictionary; the function runs
 once per entry in ``mapInPandas`` and the result is joined back on
-``(lang, token)``.  Frequent tokens are skewed join keys on the token side; the
-dictionary side holds one row per key, and AQE splits the skewed partitions.
+``(lang, token)``.  Frequent tokens are skewed join keys on the token side: they are split
+by salt (``skew.salted_join``), the dictionary's one row per key repeated per salt.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subjex.operators.skew import hot_keys, salted_join
 from subjex.session import ship_package
 
 StemFn = Callable[[str, str], str]
@@ -75,7 +76,8 @@ def normalize_terms(df: DataFrame, key: str, lang: str, tokens: str, dictionary:
     Records without tokens keep an empty list.
     """
     ex = df.select(key, F.col(lang).alias("lang"), F.posexplode(tokens).alias("pos", "token"))
-    joined = ex.join(dictionary, ["lang", "token"], "left")
+    load = ex.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    joined = salted_join(ex, dictionary, ["lang", "token"], hot_keys(load, ["lang", "token"]), how="left")
     grouped = (joined.groupBy(key)
                      .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("term", "token")
                                                                 .alias("t")))).alias("_s"))

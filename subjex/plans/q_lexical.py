@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from subjex.operators.lexical import bm25_scores, build_bm25, minmax_scale
-from subjex.operators.ranking import top_k
+from subjex.operators.lexical import bm25_top_k, build_bm25
 from subjex.plans import fixtures as fx
 from subjex.plans.catalog import register
 from subjex.plans.sqlparts import bm25_ctes, minmax_ctes
@@ -16,10 +15,8 @@ TOPK = 5
 _BM25_DOCS = bm25_ctes("vocab", "gnd_id", "label_text", "documents", "doc_id", "text")
 
 
-def _index_and_scores(spark, sf_dir):
-    index = build_bm25(fx.vocab(spark, sf_dir))
-    docs = table(spark, sf_dir, "documents")
-    return index, bm25_scores(docs, index, "doc_id", text_col="text")
+def _best(spark, sf_dir):
+    return bm25_top_k(table(spark, sf_dir, "documents"), build_bm25(fx.vocab(spark, sf_dir)), "doc_id", "text", TOPK)
 
 
 @register("l2_bm25_topk", f"""
@@ -31,9 +28,7 @@ select qkey as doc_id, lid as gnd_id, cast(rnk as integer) as rank, round(score,
 from rk where rnk <= {TOPK}""")
 def l2_bm25_topk(spark, sf_dir):
     """L2 + W1: the five best vocabulary entries per document by BM25."""
-    _, scores = _index_and_scores(spark, sf_dir)
-    return (top_k(scores, "doc_id", "gnd_id", "score", TOPK)
-            .select("doc_id", "gnd_id", "rank", F.round("score", 6).alias("score")))
+    return _best(spark, sf_dir).select("doc_id", "gnd_id", "rank", F.round("score", 6).alias("score"))
 
 
 @register("l1_bm25_postings", f"""
@@ -48,11 +43,14 @@ def l1_bm25_postings(spark, sf_dir):
 
 
 @register("l3_bm25_minmax", f"""
-with {fx.VOCAB_SQL}, {_BM25_DOCS}, {minmax_ctes()}
-select bm25.qkey as doc_id, bm25.lid as gnd_id, round((score - mn) / den, 6) as bm25_scaled
-from bm25 join mm on bm25.qkey = mm.qkey""")
+with {fx.VOCAB_SQL}, {_BM25_DOCS}, {minmax_ctes()},
+rk as (select qkey, lid, score,
+         row_number() over (partition by qkey order by round(score, 9) desc, lid) as rnk from bm25)
+select rk.qkey as doc_id, rk.lid as gnd_id, round((score - mn) / den, 6) as bm25_scaled,
+       round(mn, 6) as score_min, round(mn + den, 6) as score_max
+from rk join mm on rk.qkey = mm.qkey where rnk <= {TOPK}""")
 def l3_bm25_minmax(spark, sf_dir):
-    """BM25 scaled to [0, 1] per document over all labels."""
-    index, scores = _index_and_scores(spark, sf_dir)
-    return (minmax_scale(scores, "doc_id", index.n_labels)
-            .select("doc_id", "gnd_id", F.round("bm25_scaled", 6).alias("bm25_scaled")))
+    """The best scores scaled to [0, 1] per document over all labels, with the bounds."""
+    return _best(spark, sf_dir).select(
+        "doc_id", "gnd_id", F.round("bm25_scaled", 6).alias("bm25_scaled"), F.round("_mn", 6).alias("score_min"),
+        F.round(F.col("_mn") + F.col("_den"), 6).alias("score_max"))

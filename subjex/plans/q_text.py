@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from subjex.functions import text as X
 from subjex.operators.preprocess import preprocess_fields
-from subjex.operators.terms import build_term_dictionary, stem_dictionary
+from subjex.operators.terms import build_term_dictionary, suffix_stem_col
 from subjex.plans import fixtures as fx
 from subjex.plans.catalog import register
 from subjex.plans.sqlparts import (clean_sql, route_sql, stem_sql, stop_filter_sql,
@@ -69,7 +69,8 @@ def t4_term_dictionary(spark, sf_dir):
     route = X.route_language("lang")
     t = d.select(route.alias("lang"), X.remove_stop_words(X.word_tokens(X.clean("text")), route)
                  .alias("toks"))
-    return stem_dictionary(build_term_dictionary(t, "lang", "toks"))
+    dictionary = build_term_dictionary(t, "lang", "toks")
+    return dictionary.withColumn("term", suffix_stem_col(F.col("token"), F.col("lang")))
 
 
 @register("t6_preprocess", f"""

@@ -90,13 +90,16 @@ def ship_package(spark: SparkSession) -> None:
     sc._subjex_shipped = True
 
 
+#: Inputs of more splits than this are read as they are.
+FEW_SPLITS = 8
+
+
 def spread(df):
-    """Round-robin repartition to the cluster's parallelism when a scan yields
-    fewer partitions than that (a single-row-group file, a non-splittable
-    compressed file).  Large inputs already have many splits and pass unchanged,
-    so no shuffle is added at scale."""
+    """Round-robin repartition to the cluster's parallelism when a scan has at most
+    ``FEW_SPLITS`` splits (a single-row-group file, a non-splittable compressed file), so what
+    is moved is bounded by as many splits; a larger table is never shuffled here."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if df.rdd.getNumPartitions() <= min(FEW_SPLITS, target - 1):
         return df.repartition(target)
     return df
 
