@@ -39,26 +39,47 @@ Encoder = Callable[[list[str]], np.ndarray]
 # ---------------------------------------------------------------------------
 # embedding
 
-def embed_hashing(df: DataFrame, text_col: str, out: str = "embedding",
-                  dim: int = 1024, normalize: bool = True) -> DataFrame:
+class HashingEncoder:
     """C1 built-in encoder: hashed term frequencies -> IDF -> L2 norm, as an array.
 
-    Needs no model files; it is a lexical encoder, not a substitute for a neural one.
+    Fit once, transform many: documents, queries and labels share one set of weights, so
+    their vectors are comparable.  Needs no model files; it is a lexical encoder, not a
+    substitute for a neural one.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    toks = df.withColumn("_toks", whitespace_tokens(text_col))
-    stages = [HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim),
-              IDF(inputCol="_tf", outputCol="_idf")]
-    last = "_idf"
-    if normalize:
-        stages.append(Normalizer(inputCol="_idf", outputCol="_norm", p=2.0))
-        last = "_norm"
-    model = Pipeline(stages=stages).fit(toks)
-    res = model.transform(toks)
-    return res.withColumn(out, vector_to_array(last, "float32")).drop("_toks", "_tf", "_idf", "_norm")
+
+    def __init__(self, model):
+        self.model = model
+
+    @staticmethod
+    def fit(df: DataFrame, text_col: str, dim: int = 1024, normalize: bool = True) -> "HashingEncoder":
+        from pyspark.ml import Pipeline
+        from pyspark.ml.feature import IDF, HashingTF, Normalizer
+
+        stages = [HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim), IDF(inputCol="_tf", outputCol="_idf")]
+        if normalize:
+            stages.append(Normalizer(inputCol="_idf", outputCol="_norm", p=2.0))
+        return HashingEncoder(Pipeline(stages=stages).fit(df.withColumn("_toks", whitespace_tokens(text_col))))
+
+    def transform(self, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        res = self.model.transform(df.withColumn("_toks", whitespace_tokens(text_col)))
+        last = "_norm" if "_norm" in res.columns else "_idf"
+        return res.withColumn(out, vector_to_array(last, "float32")).drop("_toks", "_tf", "_idf", "_norm")
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @staticmethod
+    def load(path: str) -> "HashingEncoder":
+        from pyspark.ml import PipelineModel
+        return HashingEncoder(PipelineModel.load(path))
+
+
+def embed_hashing(df: DataFrame, text_col: str, out: str = "embedding",
+                  dim: int = 1024, normalize: bool = True) -> DataFrame:
+    """Fit the built-in encoder on ``df`` and encode it (one table on its own)."""
+    return HashingEncoder.fit(df, text_col, dim, normalize).transform(df, text_col, out)
 
 
 def embed(df: DataFrame, text_col: str, make_encoder: Callable[[], Encoder], dim: int,

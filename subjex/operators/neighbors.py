@@ -5,7 +5,7 @@ bounded size inside each group (one group for exact search, one group per
 inverted-file cell for approximate search).  A query block meets every item
 block of its group through a co-grouped equi join on ``(group, item block,
 query block)``; each meeting multiplies two small matrices in numpy and emits
-only the best ``k`` items per query (plus exact ties).  No pair rows are
+only the best ``k`` items per query (ties cut by id).  No pair rows are
 materialised, no side is collected, and a hot group is split into as many
 blocks as its size needs.
 """
@@ -44,29 +44,47 @@ def _block_plan(df: DataFrame, group: str, block_rows: int, name: str) -> DataFr
                       .cast("int").alias(f"n_{name}")))
 
 
-def _topk_block_fn(k: int, normalize: bool, qk: str, ik: str):
+def _topk_block_fn(k: int, normalize: bool, qk: str, ik: str, book: "PqCodebook | None" = None):
+    """Best ``k`` items of one block per query, by (score, id); with ``book`` the item
+    column holds codes, scored by per-query lookup tables."""
+    def similarities(qmat, items):
+        if book is None:
+            return qmat @ items.T
+        sims = np.zeros((len(qmat), len(items)))
+        for j in range(book.m):
+            table = qmat[:, j * book.dsub:(j + 1) * book.dsub] @ book.codebooks[j].T
+            sims += table[:, items[:, j]]
+        return sims
+
     def fn(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(it) == 0:
             return pd.DataFrame({qk: q[qk].iloc[:0], ik: it[ik].iloc[:0],
                                  "score": np.zeros(0, dtype=np.float64)})
-        imat = np.vstack(it["_iv"].to_numpy()).astype(np.float64)
-        if normalize:
-            imat /= np.maximum(np.linalg.norm(imat, axis=1, keepdims=True), NORM_EPS)
+        imat = np.vstack(it["_iv"].to_numpy())
+        if book is None:
+            imat = imat.astype(np.float64)
+            if normalize:
+                imat /= np.maximum(np.linalg.norm(imat, axis=1, keepdims=True), NORM_EPS)
         ids = it[ik].to_numpy()
+        id_rank = np.empty(len(ids), np.int64)
+        id_rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
         qids_all = q[qk].to_numpy()
-        kk = min(k, imat.shape[0])
+        kk = min(k, len(imat))
         out_q, out_i, out_s = [], [], []
         for s in range(0, len(q), Q_CHUNK):
             qmat = np.vstack(q["_qv"].iloc[s:s + Q_CHUNK].to_numpy()).astype(np.float64)
             if normalize:
                 qmat /= np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), NORM_EPS)
-            sims = qmat @ imat.T
+            sims = similarities(qmat, imat)
             rounded = np.round(sims, RANK_DECIMALS)
-            if kk < imat.shape[0]:
-                kth = -np.partition(-rounded, kk - 1, axis=1)[:, kk - 1]
-                rows, cols = np.nonzero(rounded >= kth[:, None])
-            else:
-                rows, cols = np.nonzero(np.ones_like(rounded, dtype=bool))
+            kth = -np.partition(-rounded, kk - 1, axis=1)[:, kk - 1]
+            rows, cols = np.nonzero(rounded >= kth[:, None])
+            # ties are cut here by id, so a block hands on k rows a query at most
+            order = np.lexsort((id_rank[cols], -rounded[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            first = np.searchsorted(rows, rows)
+            kept = np.arange(len(rows)) - first < kk
+            rows, cols = rows[kept], cols[kept]
             out_q.append(qids_all[s:s + Q_CHUNK][rows])
             out_i.append(ids[cols])
             out_s.append(sims[rows, cols])
@@ -79,7 +97,7 @@ def exact_top_k(queries: DataFrame, q_key: str, q_vec: str,
                 items: DataFrame, i_key: str, i_vec: str, k: int,
                 group: str | None = None, normalize: bool = True,
                 query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK,
-                rank_col: str = "rank") -> DataFrame:
+                rank_col: str = "rank", book: "PqCodebook | None" = None) -> DataFrame:
     """V1: the ``k`` items with the highest cosine per query, exact.
 
     ``group``: a column present on both sides; queries only meet items of the same
@@ -118,7 +136,7 @@ def exact_top_k(queries: DataFrame, q_key: str, q_vec: str,
 
     schema = T.StructType([queries.schema[q_key], items.schema[i_key],
                            T.StructField("score", T.DoubleType(), False)])
-    fn = _topk_block_fn(k, normalize, q_key, i_key)
+    fn = _topk_block_fn(k, normalize, q_key, i_key, book)
     partial = (qb.groupBy(g, "_ib", "_qb")
                  .cogroup(ib.groupBy(g, "_ib", "_qb"))
                  .applyInPandas(fn, schema))
@@ -277,10 +295,12 @@ def pq_decode(codes_col: str, book: PqCodebook):
 def pq_top_k(queries: DataFrame, q_key: str, q_vec: str, coded: DataFrame, i_key: str,
              book: PqCodebook, k: int, group: str | None = None, codes: str = "codes") -> DataFrame:
     """V4 search: inner product of the exact (normalised) query with each item's
-    quantised vector - the asymmetric distance - through the blocked top-k."""
+    quantised vector - the asymmetric distance - through the blocked top-k.  Only codes
+    are shuffled; each block sums the query's lookup tables."""
     from subjex.functions.vectors import l2_normalize
 
+    ship_package(queries.sparkSession)
     q = queries.select(q_key, l2_normalize(q_vec).alias("_qn"), *([group] if group else []))
-    cols = [i_key, pq_decode(codes, book).alias("_xq")] + ([group] if group else [])
-    return exact_top_k(q, q_key, "_qn", coded.select(*cols), i_key, "_xq", k, group=group,
-                       normalize=False)
+    cols = [F.col(i_key), F.col(codes).alias("_codes")] + ([F.col(group)] if group else [])
+    return exact_top_k(q, q_key, "_qn", coded.select(*cols), i_key, "_codes", k, group=group,
+                       normalize=False, book=book)

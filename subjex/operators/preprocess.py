@@ -15,6 +15,7 @@ from subjex.functions import text as X
 from subjex.operators.skew import hot_keys, salted_join
 from subjex.operators.terms import (MAX_BROADCAST_TERMS, StemFn, stem_dictionary, suffix_stem,
                                     suffix_stem_col)
+from subjex.session import written
 
 MODES = ("standard", "umlaut")
 
@@ -73,8 +74,8 @@ def preprocess_fields(df: DataFrame, key: str, fields: dict[str, str], lang: str
               .select(key, *keep, "_lang", "e.f", "e.pos", "e.token"))
     load = (ex.where(F.col("token").isNotNull())
               .groupBy(F.col("_lang").alias("lang"), "token").agg(F.count(F.lit(1)).alias("n")))
-    dictionary = stem_dictionary(load.select("lang", "token"), stem) \
-        .withColumnRenamed("lang", "_lang").persist()
+    dictionary = written(stem_dictionary(load.select("lang", "token"), stem)
+                         .withColumnRenamed("lang", "_lang"), "terms")
     if dictionary.count() <= MAX_BROADCAST_TERMS:
         joined = ex.join(F.broadcast(dictionary), ["_lang", "token"], "left")
     else:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subjex.operators.lexical import Bm25Index, bm25_summary, build_bm25, minmax_columns
+from subjex.functions.text import pair_text, retrieval_query_text
+from subjex.operators.label_index import DEFAULT_NPROBE, LabelIndex
 from subjex.operators.neighbors import exact_top_k
 from subjex.operators.ranking import ranked_list, top_k
 from subjex.operators.skew import hot_keys, salted_join
@@ -26,8 +28,12 @@ PairScorer = Callable[[Column, Column], Column]
 
 
 def dense_candidates(docs: DataFrame, key: str, vec: str, labels: DataFrame,
-                     k: int, label_vec: str = "embedding") -> DataFrame:
-    """V1 / V5: ``(key, gnd_id, cosine, rank)`` - the k nearest labels by cosine."""
+                     k: int, label_vec: str = "embedding", label_index: LabelIndex | None = None,
+                     nprobe: int = DEFAULT_NPROBE) -> DataFrame:
+    """V1 / V5: ``(key, gnd_id, cosine, rank)`` - the k nearest labels by cosine, exact, or
+    from the ``nprobe`` nearest cells of a stored index."""
+    if label_index is not None:
+        return label_index.search(docs, key, vec, k, nprobe).withColumnRenamed("score", "cosine")
     return (exact_top_k(docs, key, vec, labels, "gnd_id", label_vec, k)
             .withColumnRenamed("score", "cosine"))
 
@@ -35,7 +41,8 @@ def dense_candidates(docs: DataFrame, key: str, vec: str, labels: DataFrame,
 def hybrid_scores(docs: DataFrame, key: str, text: str, vec: str, labels: DataFrame,
                   topk: int, weight: float = DEFAULT_BM25_WEIGHT,
                   index: Bm25Index | None = None, label_vec: str = "embedding",
-                  with_shared: bool = False) -> DataFrame:
+                  with_shared: bool = False, label_index: LabelIndex | None = None,
+                  nprobe: int = DEFAULT_NPROBE) -> DataFrame:
     """H1: dense candidates (2 x topk, V5) with ``(1-w) * cosine + w * bm25_scaled``.
 
     J7 + L3 without (record, label) pairs: each record's candidates travel with it as
@@ -45,7 +52,7 @@ def hybrid_scores(docs: DataFrame, key: str, text: str, vec: str, labels: DataFr
     ``with_shared`` also returns ``shared`` (distinct shared terms).
     """
     index = index or build_bm25(labels.select("gnd_id", "label_text"))
-    cands = dense_candidates(docs, key, vec, labels, 2 * topk, label_vec) \
+    cands = dense_candidates(docs, key, vec, labels, 2 * topk, label_vec, label_index, nprobe) \
         .groupBy(key).agg(F.collect_list(F.struct("gnd_id", "cosine")).alias("_c"))
     records = docs.select(key, text).join(cands, key)
     lex = bm25_summary(records, index, text, candidates=F.col("_c.gnd_id"))
@@ -89,12 +96,13 @@ def rerank_pairs(cands: DataFrame, key: str, rank_col: str, r: int, docs: DataFr
 def suggest_hybrid(docs: DataFrame, key: str, text: str, vec: str, labels: DataFrame,
                    topk: int = DEFAULT_TOPK, weight: float = DEFAULT_BM25_WEIGHT,
                    rerank_n: int = 0, n_out: int = HYBRID_N_OUT,
-                   scorer: PairScorer | None = None, label_vec: str = "embedding") -> DataFrame:
+                   scorer: PairScorer | None = None, label_vec: str = "embedding",
+                   label_index: LabelIndex | None = None, nprobe: int = DEFAULT_NPROBE) -> DataFrame:
     """H2: ``(key, rank, gnd_id, score)`` - hybrid top-k, optional rerank, first ``n_out``."""
     index = build_bm25(labels.select("gnd_id", "label_text"))
     need_shared = rerank_n > 0 and scorer is None
     hy = hybrid_scores(docs, key, text, vec, labels, topk, weight, index, label_vec,
-                       with_shared=need_shared)
+                       with_shared=need_shared, label_index=label_index, nprobe=nprobe)
     cols = [key, "gnd_id", F.col("hybrid").alias("score")] + (["shared"] if need_shared else [])
     best = top_k(hy.select(*cols), key, "gnd_id", "score", topk)
     if rerank_n > 0:
@@ -104,9 +112,10 @@ def suggest_hybrid(docs: DataFrame, key: str, text: str, vec: str, labels: DataF
 
 def suggest_dense(docs: DataFrame, key: str, text: str, vec: str, labels: DataFrame,
                   topk: int = DEFAULT_TOPK, rerank_n: int = 0,
-                  scorer: PairScorer | None = None, label_vec: str = "embedding") -> DataFrame:
+                  scorer: PairScorer | None = None, label_vec: str = "embedding",
+                  label_index: LabelIndex | None = None, nprobe: int = DEFAULT_NPROBE) -> DataFrame:
     """H3: ``(key, rank, gnd_id, score)`` - dense top-k, optional rerank."""
-    best = dense_candidates(docs, key, vec, labels, topk, label_vec) \
+    best = dense_candidates(docs, key, vec, labels, topk, label_vec, label_index, nprobe) \
         .withColumnRenamed("cosine", "score")
     if rerank_n > 0:
         index = build_bm25(labels.select("gnd_id", "label_text"))
@@ -136,3 +145,18 @@ def _apply_rerank(best, key, r, k, index, docs, text, labels, scorer):
 def prediction_lists(best: DataFrame, key: str, n_out: int | None = None) -> DataFrame:
     """S13 shape: ``(key, gnd_pred ARRAY<STRING>)`` in rank order."""
     return ranked_list(best, key, "gnd_id", "rank", n_out, "gnd_pred")
+
+
+def suggest_subjects(records: DataFrame, key: str, title: str, abstract: str, label_index: LabelIndex, encoder,
+                     topk: int = DEFAULT_TOPK, weight: float = DEFAULT_BM25_WEIGHT, rerank_n: int = 0,
+                     n_out: int = HYBRID_N_OUT, nprobe: int = DEFAULT_NPROBE) -> DataFrame:
+    """Text in, subjects out: ``(key, gnd_pred)`` from title and abstract.
+
+    ``encoder`` has ``transform(df, text_col, out)`` and is the one that encoded the labels
+    of ``label_index``, so record and label vectors are comparable.
+    """
+    docs = records.select(key, pair_text(title, abstract).alias("_pair"), retrieval_query_text(title, abstract).alias("_query"))
+    docs = encoder.transform(docs, "_query", "_vector")
+    best = suggest_hybrid(docs, key, "_pair", "_vector", label_index.labels, topk, weight, rerank_n, n_out,
+                          label_index=label_index, nprobe=nprobe)
+    return prediction_lists(best, key, n_out)

@@ -34,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load():
     # Importing the modules fills the registry.
-    from subjex.plans import q_classify, q_dense, q_lexical, q_models, q_records, q_text  # noqa: F401
+    from subjex.plans import (q_classify, q_dense, q_lexical, q_models, q_records, q_text,  # noqa: F401
+                              q_io)  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from subjex.functions.vectors import sq_norm
 from subjex.operators import decode as D
-from subjex.operators.classify import embed_hashing, predict_proba, train_domains
+from subjex.operators.classify import embed_hashing, load_model, predict_proba, save_model, train_domains
 from subjex.operators.labels import balanced_weights
 from subjex.operators.suggest import suggest_dense
 from subjex.plans import fixtures as fx
@@ -67,9 +67,12 @@ def c14_train_domains(spark, sf_dir):
 
 @register("c4_predict_proba")
 def c4_predict_proba(spark, sf_dir):
-    """C4: probabilities of all classes in one pass over the features."""
+    """C4 + S17: the model is stored and loaded, then scores all classes in one pass."""
     data, res = _train(spark, sf_dir)
-    p = predict_proba(data, "embedding", res.model)
+    path = scratch_path(spark, "domain-model")
+    save_model(res.model, fx.class_table(spark, sf_dir), path)
+    model, _ = load_model(spark, path)
+    p = predict_proba(data, "embedding", model)
     return D.long_form(p.select("id", "probs"), "id", "probs", "prob")
 
 

@@ -96,11 +96,14 @@ def write_metrics(metrics: DataFrame, per_class: DataFrame, path: str) -> None:
     per_class.coalesce(1).write.mode("overwrite").json(f"{path}/per_class")
 
 
-def write_thresholds(thresholds: DataFrame, path: str) -> None:
-    """``(class_idx, threshold)``."""
-    thresholds.write.mode("overwrite").parquet(path)
+def write_thresholds(thresholds: DataFrame, path: str, dev_metrics: DataFrame | None = None) -> None:
+    """``(class_idx, threshold)``, and the scores they reach on the dev split."""
+    thresholds.write.mode("overwrite").parquet(f"{path}/thresholds")
+    if dev_metrics is not None:
+        dev_metrics.write.mode("overwrite").parquet(f"{path}/dev_metrics")
 
 
-def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
-    """S16 (read)."""
-    return spark.read.parquet(path)
+def read_thresholds(spark: SparkSession, path: str, metrics: bool = False):
+    """S16 (read): the thresholds, with ``metrics`` also the dev scores stored with them."""
+    thresholds = spark.read.parquet(f"{path}/thresholds")
+    return (thresholds, spark.read.parquet(f"{path}/dev_metrics")) if metrics else thresholds

@@ -22,11 +22,13 @@ DEFINITION_LABEL = "Definition: "
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """S7 (read): entries of an authority dump with their position in the file."""
+    """S7 (read): entries of an authority dump with their position, by file name and then
+    place in the file (``pos`` is an ordered struct)."""
     raw = spark.read.option("multiLine", True).schema(VOCAB_SCHEMA).json(path)
-    # positions are taken where the file is read (file order), then the entries
-    # are spread: one JSON array is one read task
-    return spread(raw.withColumn("pos", F.monotonically_increasing_id()))
+    # positions are taken where the file is read, then the entries are spread: one JSON
+    # array is one read task
+    return spread(raw.withColumn("pos", F.struct(F.col("_metadata.file_name").alias("file"),
+                                                 F.monotonically_increasing_id().alias("place"))))
 
 
 def authority_id(code) -> F.Column:

@@ -31,3 +31,13 @@ def test_gradient_of_reference_objective_is_zero(spark):
         assert abs(grad_b) / scale < 1e-4
     probs = predict_proba(data, "embedding", model).orderBy("id").collect()
     assert all(r["probs"][9] == 0.0 for r in probs)
+
+
+def test_encoder_is_fitted_once(spark, tmp_dir):
+    """The same text gets the same vector in any table, also after a round trip."""
+    from subjex.operators.classify import HashingEncoder
+    fit = HashingEncoder.fit(spark.createDataFrame([("x y z",), ("y z",), ("q",)], "t string"), "t", dim=64)
+    fit.save(tmp_dir + "/enc")
+    a = fit.transform(spark.createDataFrame([("x y",)], "t string"), "t").first()["embedding"]
+    b = HashingEncoder.load(tmp_dir + "/enc").transform(spark.createDataFrame([("w",), ("x y",)], "t string"), "t").where("t = 'x y'").first()["embedding"]
+    assert a == b and abs(sum(x * x for x in a) - 1) < 1e-6

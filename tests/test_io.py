@@ -111,3 +111,19 @@ def test_rerank_keep_unranked_below(spark):
     kept = [r["gnd_id"] for r in rerank(c, "doc_id", 2, pair, 3, keep_unranked_below=True)
             .orderBy("rank").collect()]
     assert mixed == ["c", "b", "a"] and kept == ["b", "a", "c"]
+
+
+def test_hot_key_table_is_bounded(spark, monkeypatch):
+    from subjex.operators import skew
+    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 5)
+    rows = spark.range(1000).selectExpr("id as k", "cast(10 as bigint) as n")
+    assert skew.hot_keys(rows, ["k"], rows_per_salt=1).count() <= 5
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    import pytest
+    from types import SimpleNamespace
+    from subjex.session import checkpoint_dir
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(fake)

@@ -62,3 +62,21 @@ def test_salted_shuffle_path_equals_broadcast_path(spark, monkeypatch):
     salted = {(r[0], r[1]): r[2] for r in bm25_scores(docs, index, "doc_id", text_col="text").collect()}
     assert fast.keys() == salted.keys()
     assert all(abs(fast[k] - salted[k]) < 1e-9 for k in fast)
+
+
+def test_blocked_scores_equal_the_joined_ones(spark, monkeypatch):
+    """Top-k, statistics and candidate scores of the blocked form, in one and many blocks."""
+    from subjex.operators import lexical as L
+    from subjex.operators.ranking import top_k
+    labels = spark.createDataFrame([(f"g{i}", " ".join(f"t{(i * j) % 17}" for j in range(1, 6))) for i in range(30)], "gnd_id string, label_text string")
+    docs = spark.createDataFrame([(i, " ".join(f"T{(i + j) % 23}" for j in range(9))) for i in range(25)] + [(99, None), (98, ""), (97, "zz")], "id int, text string")
+    index = L.build_bm25(labels)
+    joined = top_k(L.bm25_scores(docs.where("text is not null"), index, "id", text_col="text"), "id", "gnd_id", "score", 4)
+    want = {(r["id"], r["rank"]): (r["gnd_id"], round(r["score"], 9)) for r in joined.collect()}
+    for size in (L.BLOCK_POSTINGS, 20):
+        monkeypatch.setattr(L, "BLOCK_POSTINGS", size)
+        got = {(r["id"], r["rank"]): (r["gnd_id"], round(r["score"], 9)) for r in L.bm25_top_k(docs, index, "id", "text", 4).collect()}
+        assert got == want
+        import pyspark.sql.functions as F
+        s = L.bm25_summary(docs, index, "text", candidates=F.array(F.lit("g3"), F.lit("none"))).where("id = 99").first()
+        assert s["_cnt"] == 0 and s["_mn0"] is None and [c["score"] for c in s["_cand"]] == [0.0, 0.0]

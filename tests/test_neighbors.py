@@ -67,3 +67,26 @@ def test_nearest_cells_match_numpy(spark):
         sims = np.round(c @ (q / np.linalg.norm(q)), 9)
         want = sorted(range(len(c)), key=lambda j: (-sims[j], j))[:2]
         assert got[r["doc_id"]] == want
+
+
+def test_stored_index_equals_exact_with_all_cells(spark, tmp_dir):
+    from subjex.operators.label_index import LabelIndex, build_label_index
+    docs = fx.record_vectors(spark, SF_MID).select("doc_id", "embedding")
+    labels = fx.label_vectors(spark, SF_MID)
+    build_label_index(labels, n_cells=3, m=2, ksub=8).save(tmp_dir + "/index")
+    index = LabelIndex.load(spark, tmp_dir + "/index")
+    assert index.book.codebooks.shape == (2, 8, 17) and index.labels.count() == labels.count()
+    coded = index.search(docs, "doc_id", "embedding", 4, nprobe=1)
+    assert coded.count() > 0
+    index.book = None
+    exact = _ranked(exact_top_k(docs, "doc_id", "embedding", labels, "gnd_id", "embedding", 4), "doc_id", "gnd_id")
+    assert _ranked(index.search(docs, "doc_id", "embedding", 4, nprobe=3), "doc_id", "gnd_id") == exact
+
+
+def test_ties_are_cut_in_the_block(spark):
+    from subjex.operators.neighbors import _topk_block_fn
+    import pandas as pd
+    items = pd.DataFrame({"i": [f"{j:04d}" for j in range(300)][::-1], "_iv": [[0.0, 0.0]] * 300})
+    queries = pd.DataFrame({"q": range(4), "_qv": [[0.0, 0.0]] * 4})
+    got = _topk_block_fn(10, True, "q", "i")(queries, items)
+    assert len(got) == 40 and sorted(set(got["i"])) == [f"{j:04d}" for j in range(10)]

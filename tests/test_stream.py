@@ -29,3 +29,11 @@ def test_json_stream_equals_batch(spark, tmp_dir):
     batch = shape(read_jsonl(spark, src))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
     assert streamed.count() == 40 and streamed.where(F.col("text") == "").count() == 0
+
+
+def test_stream_over_a_table_of_many_files(spark, tmp_dir):
+    from subjex.streaming.stream import stream_to_table, table_stream
+    spark.range(40).repartition(4).write.parquet(tmp_dir + "/many.parquet")
+    spark.range(7).coalesce(1).write.parquet(tmp_dir + "/other.parquet")
+    out = stream_to_table(spark, table_stream(spark, tmp_dir, "many", "id BIGINT"), "many-files")
+    assert sorted(r["id"] for r in out.collect()) == list(range(40))
