@@ -176,8 +176,9 @@ def remove_stop_words(tokens, lang_route, de_words=None, en_words=None,
     if transliterate_list:
         de = sorted({transliterate_word(w) for w in de})
         en = sorted({transliterate_word(w) for w in en})
-    is_de = _c(lang_route) == F.lit("de")
-    return F.filter(_c(tokens), lambda t: ~F.when(is_de, t.isin(*de)).otherwise(t.isin(*en)))
+    # the list is chosen once per row, not per token
+    return F.when(_c(lang_route) == F.lit("de"), F.filter(_c(tokens), lambda t: ~t.isin(*de))) \
+        .otherwise(F.filter(_c(tokens), lambda t: ~t.isin(*en)))
 
 
 def clean_umlaut(x) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subjex.session import checkpoint_dir
+from subjex.session import written
 
 AVG_ROWS = ("micro avg", "macro avg", "weighted avg", "samples avg")
 
@@ -87,52 +87,51 @@ def per_sample_average(aligned: DataFrame) -> DataFrame:
                     F.avg(_div(F.lit(2.0) * F.col("tp"), F.col("t") + F.col("p"))).alias("f1"))
 
 
+def _confusion_and_samples(aligned: DataFrame) -> DataFrame:
+    """The confusion table with the per-record sums of the ``samples avg`` row in one
+    aggregate: a record's own scores ride on its first class."""
+    both = F.aggregate(F.zip_with("y", "yhat", lambda a, b: a * b), F.lit(0), lambda s, x: s + x).cast("double")
+    true = F.aggregate("y", F.lit(0), lambda s, x: s + x)
+    said = F.aggregate("yhat", F.lit(0), lambda s, x: s + x)
+    z = F.arrays_zip(F.col("y").alias("a"), F.col("yhat").alias("b"))
+    ex = aligned.select(_div(both, said).alias("sp"), _div(both, true).alias("sr"), _div(F.lit(2.0) * both, true + said).alias("sf"),
+                        F.posexplode(z).alias("class_idx", "z"))
+    first = lambda c: F.sum(F.when(F.col("class_idx") == 0, F.col(c)))
+    a, b = F.col("z.a").cast("long"), F.col("z.b").cast("long")
+    return ex.groupBy(F.col("class_idx").cast("int").alias("class_idx")).agg(
+        F.sum(a * b).alias("tp"), F.sum((F.lit(1) - a) * b).alias("fp"), F.sum(a * (F.lit(1) - b)).alias("fn"),
+        F.sum(a).alias("support"), F.sum(b).alias("predicted"), first("sp").alias("sp"), first("sr").alias("sr"),
+        first("sf").alias("sf"), F.count(F.when(F.col("class_idx") == 0, 1)).alias("records"))
+
+
 def classification_report(aligned: DataFrame, class_names: DataFrame | None = None) -> DataFrame:
     """``(label, precision, recall, f1, support)`` per class plus the four
-    average rows; ``class_names`` is ``(class_idx, class)``."""
-    # the confusion table has one row per class; a reliable checkpoint (in the
-    # shared checkpoint folder) lets the per-class rows and the average rows read
-    # it without recomputing the upstream pipeline
-    checkpoint_dir(aligned.sparkSession)
-    conf = confusion(aligned).checkpoint(eager=True)
+    average rows; ``class_names`` is ``(class_idx, class)``.  The records are read once."""
+    # one row per class, written: the per-class rows and the average rows read it
+    conf = written(_confusion_and_samples(aligned), "confusion")
     pc = per_class(conf)
     if class_names is not None:
         pc = pc.join(class_names, "class_idx", "left") \
             .withColumn("label", F.coalesce("class", F.col("class_idx").cast("string")))
     else:
         pc = pc.withColumn("label", F.col("class_idx").cast("string"))
-    rows = pc.select("label", "precision", "recall", "f1", F.col("support").cast("long"))
-    mm = micro_macro(conf)
-    total = conf.agg(F.sum("support").alias("support"),
-                     _div(F.sum(F.col("support") * _div(F.lit(2.0) * F.col("tp"),
-                                                        F.col("support") + F.col("predicted"))),
-                          F.sum("support")).alias("w_f1"),
-                     _div(F.sum(F.col("support") * _div(F.col("tp").cast("double"),
-                                                        F.col("predicted"))),
-                          F.sum("support")).alias("w_p"),
-                     _div(F.sum(F.col("support") * _div(F.col("tp").cast("double"),
-                                                        F.col("support"))),
-                          F.sum("support")).alias("w_r"))
-    avgs = _avg_rows(mm, total, per_sample_average(aligned))
-    return rows.unionByName(avgs)
-
-
-def _avg_rows(mm: DataFrame, total: DataFrame, samples: DataFrame) -> DataFrame:
-    # Each input is a one-row aggregate; its scalars make the four average rows.
-    m = mm.first()
-    t = total.first()
-    s = samples.first()
-    spark = mm.sparkSession
-    support = int(t["support"] or 0)
-    data = [
-        ("micro avg", m["micro_precision"], m["micro_recall"], m["micro_f1"], support),
-        ("macro avg", m["macro_precision"], m["macro_recall"], m["macro_f1"], support),
-        ("weighted avg", t["w_p"], t["w_r"], t["w_f1"], support),
-        ("samples avg", s["precision"], s["recall"], s["f1"], support),
-    ]
-    return spark.createDataFrame(
-        [(a, float(p or 0.0), float(r or 0.0), float(f or 0.0), n) for a, p, r, f, n in data],
-        "label STRING, precision DOUBLE, recall DOUBLE, f1 DOUBLE, support BIGINT")
+    rows = pc.select("label", "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
+    support = F.sum("support").cast("long").alias("support")
+    scores = per_class(conf)
+    weighted = lambda c: _div(F.sum(F.col("support") * F.col(c)), F.sum("support")).alias(c)
+    sample = lambda c, out: _div(F.sum(c), F.sum("records")).alias(out)
+    total = lambda c: F.sum(c).cast("double")
+    averages = [
+        conf.agg(F.lit("micro avg").alias("label"), _div(total("tp"), F.sum("predicted")).alias("precision"),
+                 _div(total("tp"), F.sum("support")).alias("recall"),
+                 _div(F.lit(2.0) * total("tp"), F.sum("support") + F.sum("predicted")).alias("f1"), support),
+        scores.agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
+                   F.avg("f1").alias("f1"), support),
+        scores.agg(F.lit("weighted avg").alias("label"), weighted("precision"), weighted("recall"), weighted("f1"), support),
+        conf.agg(F.lit("samples avg").alias("label"), sample("sp", "precision"), sample("sr", "recall"), sample("sf", "f1"), support)]
+    for row in averages:
+        rows = rows.unionByName(row)
+    return rows
 
 
 def evaluate(pred: DataFrame, gold: DataFrame, key: str, pred_col: str = "labels",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from subjex.functions import text as X
 from subjex.operators.skew import hot_keys, salted_join
 from subjex.operators.terms import (MAX_BROADCAST_TERMS, StemFn, stem_dictionary, suffix_stem,
-                                    suffix_stem_col)
+                                    suffix_stem_tokens)
 from subjex.session import written
 
 MODES = ("standard", "umlaut")
@@ -62,10 +62,11 @@ def preprocess_fields(df: DataFrame, key: str, fields: dict[str, str], lang: str
     if stem is suffix_stem:
         # the default rule is a column expression: everything stays in the row
         r = df.select(key, *keep, route.alias("_route"), *[F.col(c) for c in set(fields.values())])
-        outs = [F.array_join(F.transform(field_tokens(F.col(src), F.col("_route"), mode),
-                                         lambda t: suffix_stem_col(t, F.col("_route"))), " ")
-                .alias(name) for name, src in fields.items()]
-        return r.select(key, *keep, *outs)
+        toks = r.select(key, *keep, "_route", *[field_tokens(F.col(src), F.col("_route"), mode).alias(f"_t{i}")
+                                                for i, src in enumerate(fields.values())])
+        outs = [F.array_join(suffix_stem_tokens(F.col(f"_t{i}"), F.col("_route")), " ").alias(name)
+                for i, name in enumerate(fields)]
+        return toks.select(key, *keep, *outs)
     base = df.select(key, *keep, route.alias("_route"), *[F.col(s) for s in set(fields.values())])
     tagged = [F.transform(field_tokens(F.col(src), F.col("_route"), mode), _tagger(name))
               for name, src in fields.items()]

@@ -38,17 +38,24 @@ def suffix_stem(lang: str, token: str) -> str:
     return token
 
 
+def _suffix_rule(token, lang: str):
+    expr = None
+    for suf in SUFFIXES[lang]:
+        cond = F.endswith(token, F.lit(suf)) & (F.length(token) - len(suf) >= MIN_STEM)
+        val = F.left(token, F.length(token) - len(suf))
+        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+    return expr.otherwise(token)
+
+
 def suffix_stem_col(token, lang):
-    """``suffix_stem`` as a column expression: the same rule without a Python
-    worker, usable inside ``transform`` over a token array."""
-    def rule(lg):
-        expr = None
-        for suf in SUFFIXES[lg]:
-            cond = F.endswith(token, F.lit(suf)) & (F.length(token) - len(suf) >= MIN_STEM)
-            val = F.left(token, F.length(token) - len(suf))
-            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-        return expr.otherwise(token)
-    return F.when(lang == F.lit("de"), rule("de")).otherwise(rule("en"))
+    """``suffix_stem`` as a column expression: the same rule without a Python worker."""
+    return F.when(lang == F.lit("de"), _suffix_rule(token, "de")).otherwise(_suffix_rule(token, "en"))
+
+
+def suffix_stem_tokens(tokens, lang):
+    """The rule over a token array; the language is tested once per row."""
+    return F.when(lang == F.lit("de"), F.transform(tokens, lambda t: _suffix_rule(t, "de"))) \
+        .otherwise(F.transform(tokens, lambda t: _suffix_rule(t, "en")))
 
 
 def build_term_dictionary(df: DataFrame, lang: str, tokens: str) -> DataFrame:

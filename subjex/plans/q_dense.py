@@ -200,11 +200,11 @@ def m1_m3_vector_math(spark, sf_dir):
 
 @register("v4_pq_topk")
 def v4_pq_topk(spark, sf_dir):
-    """V4: product-quantised label vectors (17 sub-vectors x 16 centroids), top-k by
+    """V4: product-quantised label vectors (2 sub-vectors x 16 centroids), top-k by
     the asymmetric inner product."""
     from subjex.operators.neighbors import pq_encode, pq_top_k, train_pq
     docs, labels = _inputs(spark, sf_dir)
-    book = train_pq(labels, "embedding", m=17, ksub=16)
+    book = train_pq(labels, "embedding", m=2, ksub=16)
     coded = pq_encode(labels, "embedding", book)
     return pq_top_k(docs, "doc_id", "embedding", coded, "gnd_id", book, TOPK) \
         .select("doc_id", "gnd_id", "rank", F.round("score", 6).alias("score"))

@@ -97,6 +97,6 @@ def h2_text_to_subjects(spark, sf_dir):
     texts = records.select(X.pair_text("title", "abstract").alias("t")).unionByName(vocab.select(F.col("label_text").alias("t")))
     encoder = HashingEncoder.fit(texts, "t", dim=256)
     path = scratch_path(spark, "subject-index")
-    build_label_index(encoder.transform(vocab, "emb_text"), n_cells=4, m=8, ksub=16).save(path)
+    build_label_index(encoder.transform(vocab, "emb_text"), n_cells=4, m=4, ksub=16).save(path)
     index = LabelIndex.load(spark, path)
     return suggest_subjects(records, "id", "title", "abstract", index, encoder, topk=QD.TOPK, nprobe=2)
