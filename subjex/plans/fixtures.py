@@ -60,12 +60,14 @@ VOCAB_SQL = "vocab as (select cast(item_id as varchar) as gnd_id, text as label_
 # vectors of every document and every vocabulary entry: how often each letter occurs
 # in the whole text, a text encoder that both engines can compute.
 
-LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèñó"
+LETTERS = "etaoinsrdluc"
 
 
 def letter_vector(text: str):
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return F.array(*[(F.length(low) - F.length(F.translate(low, c, ""))).cast("float") for c in LETTERS])
+    def counts(low):  # only the letters asked for are left, once per row
+        return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("float") for c in LETTERS])
+    left = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), f"[^{LETTERS}]+", "")
+    return F.transform(F.array(left), counts)[0]
 
 
 def _letter_vector_sql(text: str) -> str:

@@ -93,11 +93,11 @@ def test_pq_reconstructs_with_enough_centroids(spark):
     from subjex.plans import fixtures as fx
     labels = fx.label_vectors(spark, "/root/testdata/sf0.01").select("gnd_id", "embedding")
     docs = fx.record_vectors(spark, "/root/testdata/sf0.01").select("doc_id", "embedding")
-    book = train_pq(labels, "embedding", m=17, ksub=8)
-    assert book.codebooks.shape == (17, 8, 2)
+    book = train_pq(labels, "embedding", m=3, ksub=8)
+    assert book.codebooks.shape == (3, 8, 4)
     coded = pq_encode(labels, "embedding", book)
     codes = coded.select("codes").collect()
-    assert all(len(r[0]) == 17 and all(0 <= c < 8 for c in r[0]) for r in codes)
+    assert all(len(r[0]) == 3 and all(0 <= c < 8 for c in r[0]) for r in codes)
     res = pq_top_k(docs, "doc_id", "embedding", coded, "gnd_id", book, 3)
     assert res.groupBy("doc_id").count().where("count <> 3").count() == 0
 
