@@ -49,7 +49,7 @@ def test_no_cross_join_nodes(spark):
 def test_sql_family_operators_have_no_python(spark):
     import __spark_entry__ as E
     qs = E.queries()
-    for name in ("l2_bm25_topk", "l3_bm25_minmax", "c5_thresholds_exact", "c6_thresholds_grid",
+    for name in ("l1_bm25_postings", "c5_thresholds_exact", "c6_thresholds_grid",
                  "c15_evaluate", "a2_confusion", "a8_logit_ensemble", "m1_m3_vector_math",
                  "t6_preprocess", "p17_prompt", "p1_p7_jsonld_records", "s12_label_index"):
         plan = _plan(qs[name](spark, SF_SMALL))
@@ -73,3 +73,12 @@ def test_bucketed_corpus_makes_bm25_topk_shuffle_free(spark):
         assert rows(res) == rows(plain)
     finally:
         spark.sql("drop table if exists subjex_test_corpus")
+
+
+def test_blocked_bm25_shuffles_no_record_label_rows(spark):
+    """Records are scored where they are: no exchange keyed by record and label."""
+    import __spark_entry__ as E
+    qs = E.queries()
+    for name in ("l2_bm25_topk", "l3_bm25_minmax"):
+        plan = _plan(qs[name](spark, SF_SMALL))
+        assert "MapInArrow" in plan and "hashpartitioning" not in plan, name
