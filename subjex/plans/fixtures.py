@@ -83,6 +83,13 @@ def record_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", letter_vector("text").alias("embedding"))
 
 
+def stored_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every row and dimension of ``embeddings``, as the queries (vec_id) and as the items
+    searched (neighbor_id); a row is its own nearest neighbour."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return e, e.withColumnRenamed("vec_id", "neighbor_id")
+
+
 LABEL_VEC_SQL = f"""lvec as (
   select cast(item_id as varchar) as gnd_id, text as label_text, {_letter_vector_sql('text')} as embedding
   from benchmark)"""

@@ -139,11 +139,11 @@ def s13_subject_predictions(spark, sf_dir):
 
 @register("v3_ivf_topk")
 def v3_ivf_topk(spark, sf_dir):
-    """V2 + V3: k-means cells over label vectors, probe 2 of 4 cells, exact inside."""
-    docs, labels = _inputs(spark, sf_dir)
-    index = build_ivf(labels, "gnd_id", "embedding", n_cells=4)
-    return ivf_top_k(docs, "doc_id", "embedding", index, TOPK, nprobe=2) \
-        .select("doc_id", "gnd_id", "rank", F.round("score", 6).alias("score"))
+    """V2 + V3: k-means cells over all stored vectors, probe 12 of 16 cells, exact inside."""
+    queries, items = fx.stored_vectors(spark, sf_dir)
+    index = build_ivf(items, "neighbor_id", "embedding", n_cells=16)
+    return ivf_top_k(queries, "vec_id", "embedding", index, TOPK, nprobe=12) \
+        .select("vec_id", "neighbor_id", "rank", F.round("score", 6).alias("score"))
 
 
 _CENTROID_SQL = """cpos as (select label as class_idx, pos, avg(x::double) as x
@@ -200,14 +200,14 @@ def m1_m3_vector_math(spark, sf_dir):
 
 @register("v4_pq_topk")
 def v4_pq_topk(spark, sf_dir):
-    """V4: product-quantised label vectors (2 sub-vectors x 16 centroids), top-k by
+    """V4: all stored vectors, product-quantised (2 sub-vectors x 16 centroids), top-k by
     the asymmetric inner product."""
     from subjex.operators.neighbors import pq_encode, pq_top_k, train_pq
-    docs, labels = _inputs(spark, sf_dir)
-    book = train_pq(labels, "embedding", m=2, ksub=16)
-    coded = pq_encode(labels, "embedding", book)
-    return pq_top_k(docs, "doc_id", "embedding", coded, "gnd_id", book, TOPK) \
-        .select("doc_id", "gnd_id", "rank", F.round("score", 6).alias("score"))
+    queries, items = fx.stored_vectors(spark, sf_dir)
+    book = train_pq(items, "embedding", m=2, ksub=16)
+    coded = pq_encode(items, "embedding", book)
+    return pq_top_k(queries, "vec_id", "embedding", coded, "neighbor_id", book, TOPK) \
+        .select("vec_id", "neighbor_id", "rank", F.round("score", 6).alias("score"))
 
 
 @register("j4_rerank_pairs", f"""

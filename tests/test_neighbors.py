@@ -1,11 +1,14 @@
 """Exact blocked top-k against numpy; IVF with every cell probed equals exact search."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from subjex.operators.neighbors import build_ivf, exact_top_k, ivf_top_k
 from subjex.plans import fixtures as fx
 from conftest import SF_MID
 
+SF_LARGE = "/root/testdata/sf0.1"
+
 
 def _brute(q, items, k):
     qi, qv = zip(*q)
@@ -90,3 +93,22 @@ def test_ties_are_cut_in_the_block(spark):
     queries = pd.DataFrame({"q": range(4), "_qv": [[0.0, 0.0]] * 4})
     got = _topk_block_fn(10, True, "q", "i")(queries, items)
     assert len(got) == 40 and sorted(set(got["i"])) == [f"{j:04d}" for j in range(10)]
+
+
+def _recall(spark, name, sf_dir, k=10):
+    """Share of the exact neighbours (a row itself left out) found, over the rows with id divisible by 50."""
+    import __spark_entry__ as E
+    queries, items = fx.stored_vectors(spark, sf_dir)
+    some = F.col("vec_id") % 50 == 0
+    others = some & (F.col("vec_id") != F.col("neighbor_id"))
+    exact = exact_top_k(queries.where(some), "vec_id", "embedding", items, "neighbor_id", "embedding", k).where(others)
+    found = E.queries()[name](spark, sf_dir)
+    assert found.select("vec_id").distinct().count() == queries.count() and found.count() == k * queries.count()
+    want = {(r[0], r[1]) for r in exact.select("vec_id", "neighbor_id").collect()}
+    got = {(r[0], r[1]) for r in found.where(others).select("vec_id", "neighbor_id").collect()}
+    return len(want & got) / len(want)
+
+
+def test_ivf_query_searches_all_stored_vectors(spark):
+    assert len(fx.stored_vectors(spark, SF_LARGE)[0].first()["embedding"]) == 64
+    assert _recall(spark, "v3_ivf_topk", SF_LARGE) >= 0.9
