@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,9 @@ from subjex.session import ship_package
 QUERY_BLOCK = 16384
 ITEM_BLOCK = 8192
 Q_CHUNK = 512
+# Rows a centre that the starting centres of product quantisation are chosen from; every
+# row takes part in the fit itself.
+START_ROWS = 16
 
 
 def _block_plan(df: DataFrame, group: str, block_rows: int, name: str) -> DataFrame:
@@ -46,22 +50,15 @@ def _block_plan(df: DataFrame, group: str, block_rows: int, name: str) -> DataFr
 
 def _topk_block_fn(k: int, normalize: bool, qk: str, ik: str, book: "PqCodebook | None" = None):
     """Best ``k`` items of one block per query, by (score, id); with ``book`` the item
-    column holds codes, scored by per-query lookup tables."""
-    def similarities(qmat, items):
-        if book is None:
-            return qmat @ items.T
-        sims = np.zeros((len(qmat), len(items)))
-        for j in range(book.m):
-            table = qmat[:, j * book.dsub:(j + 1) * book.dsub] @ book.codebooks[j].T
-            sims += table[:, items[:, j]]
-        return sims
-
+    column holds codes, decoded once per block."""
     def fn(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(it) == 0:
             return pd.DataFrame({qk: q[qk].iloc[:0], ik: it[ik].iloc[:0],
                                  "score": np.zeros(0, dtype=np.float64)})
         imat = np.vstack(it["_iv"].to_numpy())
-        if book is None:
+        if book is not None:
+            imat = np.hstack([book.codebooks[j][imat[:, j]] for j in range(book.m)])
+        else:
             imat = imat.astype(np.float64)
             if normalize:
                 imat /= np.maximum(np.linalg.norm(imat, axis=1, keepdims=True), NORM_EPS)
@@ -75,7 +72,7 @@ def _topk_block_fn(k: int, normalize: bool, qk: str, ik: str, book: "PqCodebook
             qmat = np.vstack(q["_qv"].iloc[s:s + Q_CHUNK].to_numpy()).astype(np.float64)
             if normalize:
                 qmat /= np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), NORM_EPS)
-            sims = similarities(qmat, imat)
+            sims = qmat @ imat.T
             rounded = np.round(sims, RANK_DECIMALS)
             kth = -np.partition(-rounded, kk - 1, axis=1)[:, kk - 1]
             rows, cols = np.nonzero(rounded >= kth[:, None])
@@ -225,39 +222,77 @@ class PqCodebook:
     dsub: int
 
 
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The index of the nearest centre of each row."""
+    if centers.shape[1] == 1:
+        order = np.argsort(centers[:, 0], kind="stable")
+        c = centers[order, 0]
+        return order[np.searchsorted((c[1:] + c[:-1]) / 2, x[:, 0])]
+    return ((centers ** 2).sum(axis=1) - 2.0 * (x @ centers.T)).argmin(axis=1)
+
+
+def _spread_centers(rows: np.ndarray, m: int, ksub: int, seed: int) -> np.ndarray:
+    """Starting centres ``(m, ksub, dsub)``: k-means++ over ``rows``, all sub-vectors at once;
+    with fewer than ``ksub`` distinct values, centres repeat."""
+    r = np.random.default_rng(seed)
+    x = rows.reshape(len(rows), m, -1).transpose(1, 0, 2)
+    part = np.arange(m)
+    centers = [x[part, r.integers(0, len(rows), m)]]
+    far = ((x - centers[0][:, None]) ** 2).sum(axis=2)
+    for _ in range(1, ksub):
+        mass = np.cumsum(far, axis=1)
+        at = (mass <= r.random(m)[:, None] * mass[:, -1:]).sum(axis=1)
+        centers.append(x[part, np.minimum(at, len(rows) - 1)])
+        far = np.minimum(far, ((x - centers[-1][:, None]) ** 2).sum(axis=2))
+    return np.stack(centers, axis=1)
+
+
 def train_pq(items: DataFrame, i_vec: str, m: int, ksub: int, seed: int = 42,
-             max_iter: int = 20, parallelism: int = 4) -> PqCodebook:
+             max_iter: int = 20, tol: float = 1e-4) -> PqCodebook:
     """V4: one k-means per sub-vector of the L2-normalised item vectors.
 
-    The ``m`` fits are independent jobs over one persisted frame, submitted
-    concurrently; each codebook is ``ksub x dim/m`` values.
+    All ``m`` fits advance together, one job over all rows an iteration; only sums and
+    counts of ``m x ksub`` centres leave the tasks.  The starting centres come from
+    ``START_ROWS`` rows a centre, the smallest by hash.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
     from subjex.functions.vectors import l2_normalize
 
+    spark = items.sparkSession
+    ship_package(spark)
     dim = len(items.select(i_vec).first()[0])
     if dim % m:
         raise ValueError(f"dimension {dim} is not a multiple of m={m}")
     dsub = dim // m
     data = items.select(l2_normalize(i_vec).alias("_v")).persist()
 
-    def fit(j):
-        sub = data.select(array_to_vector(F.slice("_v", j * dsub + 1, dsub)).alias("_s"))
-        model = KMeans(k=ksub, seed=seed + j, maxIter=max_iter, featuresCol="_s").fit(sub)
-        centers = np.array(model.clusterCenters())
-        if len(centers) < ksub:  # k-means|| may find fewer distinct centres
-            centers = np.vstack([centers, np.repeat(centers[-1:], ksub - len(centers), axis=0)])
-        return centers
+    def sums(books):
+        def run(batches):
+            total, count = np.zeros((m, ksub, dsub)), np.zeros((m, ksub))
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, m, dsub)
+                for j in range(m):
+                    code = _nearest(x[:, j], books[j])
+                    count[j] += np.bincount(code, minlength=ksub)
+                    for d in range(dsub):
+                        total[j, :, d] += np.bincount(code, x[:, j, d], ksub)
+            flat = np.concatenate([total.ravel(), count.ravel()])
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([flat.tobytes()], pa.binary())})
+        return run
 
     try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            books = list(pool.map(fit, range(m)))
+        start = data.orderBy(F.xxhash64("_v")).limit(START_ROWS * ksub).collect()  # bounded
+        books = _spread_centers(np.array([r[0] for r in start]), m, ksub, seed)
+        for _ in range(max_iter):
+            flat = data.mapInArrow(sums(books), "sums binary").rdd \
+                .map(lambda r: np.frombuffer(r[0])).treeReduce(np.add)
+            total, count = flat[:books.size].reshape(books.shape), flat[books.size:].reshape(m, ksub, 1)
+            moved = np.where(count > 0, total / np.maximum(count, 1), books)
+            step, books = np.abs(moved - books).max(), moved
+            if step <= tol:
+                break
     finally:
         data.unpersist()
-    return PqCodebook(np.stack(books), m, dsub)
+    return PqCodebook(books, m, dsub)
 
 
 def pq_encode(items: DataFrame, i_vec: str, book: PqCodebook, out: str = "codes") -> DataFrame:
@@ -271,9 +306,7 @@ def pq_encode(items: DataFrame, i_vec: str, book: PqCodebook, out: str = "codes"
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_EPS)
         codes = np.empty((len(x), book.m), dtype=np.int32)
         for j in range(book.m):
-            sub = x[:, j * book.dsub:(j + 1) * book.dsub]
-            d = ((sub[:, None, :] - cb[j][None, :, :]) ** 2).sum(axis=2)
-            codes[:, j] = d.argmin(axis=1)
+            codes[:, j] = _nearest(x[:, j * book.dsub:(j + 1) * book.dsub], cb[j])
         return pd.Series(list(codes))
 
     return items.withColumn(out, encode(F.col(i_vec)))
@@ -296,7 +329,7 @@ def pq_top_k(queries: DataFrame, q_key: str, q_vec: str, coded: DataFrame, i_key
              book: PqCodebook, k: int, group: str | None = None, codes: str = "codes") -> DataFrame:
     """V4 search: inner product of the exact (normalised) query with each item's
     quantised vector - the asymmetric distance - through the blocked top-k.  Only codes
-    are shuffled; each block sums the query's lookup tables."""
+    are shuffled; each block decodes its items' codes once."""
     from subjex.functions.vectors import l2_normalize
 
     ship_package(queries.sparkSession)

@@ -200,11 +200,11 @@ def m1_m3_vector_math(spark, sf_dir):
 
 @register("v4_pq_topk")
 def v4_pq_topk(spark, sf_dir):
-    """V4: all stored vectors, product-quantised (2 sub-vectors x 16 centroids), top-k by
+    """V4: all stored vectors, product-quantised (64 sub-vectors x 256 centroids), top-k by
     the asymmetric inner product."""
     from subjex.operators.neighbors import pq_encode, pq_top_k, train_pq
     queries, items = fx.stored_vectors(spark, sf_dir)
-    book = train_pq(items, "embedding", m=2, ksub=16)
+    book = train_pq(items, "embedding", m=64, ksub=256)
     coded = pq_encode(items, "embedding", book)
     return pq_top_k(queries, "vec_id", "embedding", coded, "neighbor_id", book, TOPK) \
         .select("vec_id", "neighbor_id", "rank", F.round("score", 6).alias("score"))

@@ -88,15 +88,20 @@ def v2_stored_index_topk(spark, sf_dir):
         .select("doc_id", "gnd_id", "rank", F.round("score", 6).alias("score"))
 
 
-@register("h2_text_to_subjects")
-def h2_text_to_subjects(spark, sf_dir):
-    """Text in, subjects out: one encoder for labels and documents, a stored index with cells
-    and codes, hybrid suggestion for every document."""
+def _subject_index(spark, sf_dir):
+    """(records, stored label index, encoder): one encoder for labels and documents."""
     records = fx.rec(spark, sf_dir)
     vocab = fx.vocab(spark, sf_dir).withColumn("emb_text", X.passage_prefix("label_text"))
     texts = records.select(X.pair_text("title", "abstract").alias("t")).unionByName(vocab.select(F.col("label_text").alias("t")))
     encoder = HashingEncoder.fit(texts, "t", dim=256)
     path = scratch_path(spark, "subject-index")
-    build_label_index(encoder.transform(vocab, "emb_text"), n_cells=4, m=4, ksub=16).save(path)
-    index = LabelIndex.load(spark, path)
+    build_label_index(encoder.transform(vocab, "emb_text"), n_cells=4, m=64, ksub=256).save(path)
+    return records, LabelIndex.load(spark, path), encoder
+
+
+@register("h2_text_to_subjects")
+def h2_text_to_subjects(spark, sf_dir):
+    """Text in, subjects out: one encoder for labels and documents, a stored index with cells
+    and codes, hybrid suggestion for every document."""
+    records, index, encoder = _subject_index(spark, sf_dir)
     return suggest_subjects(records, "id", "title", "abstract", index, encoder, topk=QD.TOPK, nprobe=2)

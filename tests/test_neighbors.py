@@ -112,3 +112,20 @@ def _recall(spark, name, sf_dir, k=10):
 def test_ivf_query_searches_all_stored_vectors(spark):
     assert len(fx.stored_vectors(spark, SF_LARGE)[0].first()["embedding"]) == 64
     assert _recall(spark, "v3_ivf_topk", SF_LARGE) >= 0.9
+
+
+def test_pq_query_finds_the_neighbours(spark):
+    assert _recall(spark, "v4_pq_topk", SF_LARGE) >= 0.9
+
+
+def test_stored_codes_find_the_dense_candidates(spark):
+    from subjex.functions.text import retrieval_query_text
+    from subjex.plans.q_io import _subject_index
+    records, index, encoder = _subject_index(spark, SF_LARGE)
+    some = records.where(F.col("doc_id") % 50 == 0).select("id", retrieval_query_text("title", "abstract").alias("t"))
+    docs = encoder.transform(some, "t", "v").select("id", "v")
+    exact = exact_top_k(docs, "id", "v", index.labels, "gnd_id", "embedding", 20)
+    want = {(r[0], r[1]) for r in exact.select("id", "gnd_id").collect()}
+    got = {(r[0], r[1]) for r in index.search(docs, "id", "v", 20, nprobe=2).select("id", "gnd_id").collect()}
+    print("recall", len(want & got) / len(want))
+    assert len(want & got) >= 0.9 * len(want)
