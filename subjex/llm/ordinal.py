@@ -196,7 +196,10 @@ def fit(docs: DataFrame, grades_of: DataFrame, grades: int, max_rows: int = MAX_
     if len(known) < 2:
         return None, None, np.array([float(known[0] if known else grades - 1)])
     shape = "marks array<long>, weights array<double>, theta array<double>"
-    model = train.coalesce(1).mapInArrow(_fit(grades, min_docs), shape).first()
+    # scan and marks stay parallel; only the sample's marks meet in the task that fits,
+    # sorted, so that their order does not depend on the shuffle
+    met = train.repartition(1).sortWithinPartitions("anchor", "grade", "marks")
+    model = met.mapInArrow(_fit(grades, min_docs), shape).first()
     if model is None:
         return None, None, np.array([float(grades - 1)])
     return tuple(np.array(model[k]) for k in ("marks", "weights", "theta"))

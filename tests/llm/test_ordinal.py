@@ -75,3 +75,25 @@ def test_one_grade_no_labels_and_empty(spark):
     grades = {r["doc_id"]: r["grade"] for r in ordinal.grades_from_labels(
         spark.createDataFrame([(1, 0, 0), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, None), (6, None, None)], "doc_id long, quality int, toxic int")).collect()}
     assert grades == {1: 0, 2: 0, 3: 1, 4: 2, 5: 2, 6: None}
+
+
+def test_marks_are_made_in_many_tasks(spark, monkeypatch):
+    def marks(batches):  # the task's number as the anchor
+        import pyarrow as pa
+        from pyspark import TaskContext
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([TaskContext.get().partitionId()] * n, pa.int64()),
+                                              pa.array([[]] * n, pa.list_(pa.int64()))], ["grade", "anchor", "marks"])
+
+    def fitted(grades, min_docs):
+        def run(batches):
+            import pyarrow as pa
+            tasks = sorted({x for b in batches for x in b.column("anchor").to_pylist()})
+            yield pa.RecordBatch.from_pydict({"marks": [tasks], "weights": [[0.0]], "theta": [[0.0]]})
+        return run
+    monkeypatch.setattr(ordinal, "_marks", marks)
+    monkeypatch.setattr(ordinal, "_fit", fitted)
+    docs = table(spark, [(i, f"w{i}") for i in range(200)]).repartition(4)
+    tasks = ordinal.fit(docs, spark.createDataFrame([(i, i % 3) for i in range(200)], "doc_id long, grade int"), 3)[0]
+    assert len(tasks) == 4
