@@ -4,7 +4,7 @@ import numpy as np
 
 from subjex.operators.classify import LR_C, fit_one_vs_rest, predict_proba
 from subjex.plans import fixtures as fx
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 
 
 def test_gradient_of_reference_objective_is_zero(spark):

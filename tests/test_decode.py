@@ -5,7 +5,7 @@ import pytest
 
 from subjex.operators import decode as D
 from subjex.plans import fixtures as fx
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 
 
 def test_decode_invariants(spark):

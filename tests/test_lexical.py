@@ -5,7 +5,7 @@ import math
 from subjex.operators.lexical import (BM25_B, BM25_EPSILON, BM25_K1, bm25_scores, build_bm25,
                                       minmax_scale)
 from subjex.plans import fixtures as fx
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 
 
 def brute_bm25(labels, query):

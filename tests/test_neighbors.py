@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from subjex.operators.neighbors import build_ivf, exact_top_k, ivf_top_k
 from subjex.plans import fixtures as fx
-from conftest import SF_MID
+from testdata_paths import SF_MID
 
 SF_LARGE = "/root/testdata/sf0.1"
 

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from subjex.sources.tables import TABLES
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 
 
 def _norm(v):

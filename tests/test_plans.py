@@ -8,7 +8,7 @@ from subjex.operators import decode as D
 from subjex.operators.lexical import bm25_scores, build_bm25
 from subjex.operators.ranking import top_k
 from subjex.plans import fixtures as fx
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 
 
 def _plan(df):

@@ -88,7 +88,7 @@ def test_stop_words_need_no_spark_files(tmp_path):
 def test_dictionary_path_equals_row_local_path(spark):
     from subjex.operators.preprocess import preprocess_fields
     from subjex.operators.terms import suffix_stem
-    from conftest import SF_SMALL
+    from testdata_paths import SF_SMALL
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
     fast = {r["doc_id"]: r["pre"] for r in
             preprocess_fields(d, "doc_id", {"pre": "text"}, "lang", keep=()).collect()}
@@ -103,7 +103,7 @@ def test_salted_dictionary_join(spark, monkeypatch):
     from subjex.operators import preprocess as PP
     from subjex.operators import skew
     from subjex.operators.terms import suffix_stem
-    from conftest import SF_SMALL
+    from testdata_paths import SF_SMALL
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
     fast = {r["doc_id"]: r["pre"] for r in
             PP.preprocess_fields(d, "doc_id", {"pre": "text"}, "lang", keep=()).collect()}
