@@ -1,71 +1,80 @@
-"""A stored label index: texts, vectors, cells and codes.
+"""A stored label index: texts, vectors, cells and residual codes.
 
 Built once from a label table with vectors, written as Parquet tables, loaded by any later
-job.  ``search`` probes the nearest cells of each query and scores their labels exactly or,
-with a codebook, from their codes.  With every cell probed and no codebook the result
-equals exact search.
+job.  ``search`` follows a beam over the cell tree and scores the labels of the probed cells
+exactly or, with a codebook, from their codes.  With every cell probed and no codebook the
+result equals exact search.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from subjex.operators.cells import BEAM, FIT_ROWS, CellIndex, CellTree, fit_cells, fit_residuals, fitting_rows, place_items, search
 from subjex.operators.decode import bounded_collect
-from subjex.operators.neighbors import (PqCodebook, build_ivf, exact_top_k, nearest_cells, pq_encode,
-                                        pq_top_k, train_pq)
+from subjex.operators.neighbors import PqCodebook
+from subjex.session import written
 
 # Fixed value: cells probed by default, the reference's search setting.
 DEFAULT_NPROBE = 32
+#: Labels of a block that are scored again with their vectors, per label asked for.
+REFINE = 4
 # Bound on the cells or codebook rows that reach the driver (parameters of the index).
 MAX_ROWS = 1_000_000
 
 
 @dataclass
 class LabelIndex:
-    labels: DataFrame              # (gnd_id, label_text, embedding, cell[, codes])
-    centers: np.ndarray            # cells x dim
+    labels: DataFrame              # (gnd_id, [label_text,] embedding, cell, codes)
+    tree: CellTree
     book: PqCodebook | None = None
 
     def search(self, queries: DataFrame, key: str, vec: str, k: int, nprobe: int = DEFAULT_NPROBE) -> DataFrame:
         """``(key, gnd_id, score, rank)`` from the ``nprobe`` nearest cells of each query."""
-        probed = queries.select(key, vec, F.explode(nearest_cells(vec, self.centers, nprobe)).alias("cell"))
-        if self.book is None:
-            return exact_top_k(probed, key, vec, self.labels, "gnd_id", "embedding", k, group="cell")
-        return pq_top_k(probed, key, vec, self.labels, "gnd_id", self.book, k, group="cell")
+        index = CellIndex(self.labels, self.tree, "gnd_id", "embedding", self.book)
+        return search(queries, key, vec, index, k, nprobe, REFINE * k if self.book is not None else 0, max(BEAM, nprobe))
 
     def save(self, path: str) -> None:
         spark = self.labels.sparkSession
         self.labels.write.mode("overwrite").parquet(f"{path}/labels")
-        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centers)], "cell INT, centroid ARRAY<DOUBLE>") \
-            .write.mode("overwrite").parquet(f"{path}/cells")
+        nodes = [(level, i, c.tolist()) for level, centers in enumerate(self.tree.levels) for i, c in enumerate(centers)]
+        spark.createDataFrame(nodes, "level INT, node INT, centroid ARRAY<DOUBLE>").write.mode("overwrite").parquet(f"{path}/cells")
         books = [] if self.book is None else [
             (j, i, v.tolist()) for j, book in enumerate(self.book.codebooks) for i, v in enumerate(book)]
         spark.createDataFrame(books, "part INT, code INT, centroid ARRAY<DOUBLE>").write.mode("overwrite").parquet(f"{path}/codebooks")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "LabelIndex":
-        cells = bounded_collect(spark.read.parquet(f"{path}/cells"), MAX_ROWS, "cells")
-        centers = np.array([r["centroid"] for r in sorted(cells, key=lambda r: r["cell"])])
+        nodes = sorted(bounded_collect(spark.read.parquet(f"{path}/cells"), MAX_ROWS, "cells"), key=lambda r: (r["level"], r["node"]))
+        tree = CellTree([np.array([r["centroid"] for r in nodes if r["level"] == level])
+                         for level in range(nodes[-1]["level"] + 1)])
         rows = bounded_collect(spark.read.parquet(f"{path}/codebooks"), MAX_ROWS, "codebook rows")
         book = None
         if rows:
             m = max(r["part"] for r in rows) + 1
             stacked = np.array([r["centroid"] for r in sorted(rows, key=lambda r: (r["part"], r["code"]))])
             book = PqCodebook(stacked.reshape(m, len(rows) // m, -1), m, stacked.shape[1])
-        return LabelIndex(spark.read.parquet(f"{path}/labels"), centers, book)
+        return LabelIndex(spark.read.parquet(f"{path}/labels"), tree, book)
 
 
-def build_label_index(labels: DataFrame, n_cells: int, m: int = 0, ksub: int = 256, seed: int = 42) -> LabelIndex:
-    """Index ``labels`` (gnd_id, label_text, embedding): k-means cells, and ``m`` codes a label
-    when ``m`` is given.  Every label is indexed; save and load it to fit only once."""
-    ivf = build_ivf(labels, "gnd_id", "embedding", n_cells, seed)
-    placed = ivf.assignments.join(labels.select("gnd_id", "label_text"), "gnd_id") \
-        .select("gnd_id", "label_text", "embedding", "cell")
-    if not m:
-        return LabelIndex(placed, ivf.centers)
-    book = train_pq(labels, "embedding", m, ksub, seed)
-    return LabelIndex(pq_encode(placed, "embedding", book), ivf.centers, book)
+def branches_for(n_cells: int) -> tuple[int, ...]:
+    """One level up to 16 cells, else levels of nearly equal width that give at least ``n_cells``."""
+    if n_cells <= 16:
+        return (n_cells,)
+    depth = 2 if n_cells <= 1024 else 3
+    width = math.ceil(n_cells ** (1 / depth))
+    return (*[width] * (depth - 1), -(-n_cells // width ** (depth - 1)))
+
+
+def build_label_index(labels: DataFrame, n_cells: int, m: int = 0, ksub: int = 256, fit_rows: int = FIT_ROWS) -> LabelIndex:
+    """Index ``labels`` (gnd_id, embedding and any other columns): cells of a k-means tree and,
+    when ``m`` is given, ``m`` codes a label.  The fit takes at most about ``fit_rows`` rows a
+    cell, every label is indexed; save and load the index to fit only once."""
+    data = fitting_rows(labels, "embedding", fit_rows * n_cells)
+    tree = fit_cells(data, branches_for(n_cells))
+    book = fit_residuals(data, tree, m, ksub) if m else None
+    return LabelIndex(written(place_items(labels, "embedding", tree, book), "label-index"), tree, book)

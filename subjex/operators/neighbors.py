@@ -248,8 +248,9 @@ def _spread_centers(rows: np.ndarray, m: int, ksub: int, seed: int) -> np.ndarra
 
 
 def train_pq(items: DataFrame, i_vec: str, m: int, ksub: int, seed: int = 42,
-             max_iter: int = 20, tol: float = 1e-4) -> PqCodebook:
-    """V4: one k-means per sub-vector of the L2-normalised item vectors.
+             max_iter: int = 20, tol: float = 1e-4, normalize: bool = True) -> PqCodebook:
+    """V4: one k-means per sub-vector of the L2-normalised item vectors (as they are with
+    ``normalize=False``).
 
     All ``m`` fits advance together, one job over all rows an iteration; only sums and
     counts of ``m x ksub`` centres leave the tasks.  The starting centres come from
@@ -263,7 +264,8 @@ def train_pq(items: DataFrame, i_vec: str, m: int, ksub: int, seed: int = 42,
     if dim % m:
         raise ValueError(f"dimension {dim} is not a multiple of m={m}")
     dsub = dim // m
-    data = items.select(l2_normalize(i_vec).alias("_v")).persist()
+    vec = l2_normalize(i_vec) if normalize else F.col(i_vec).cast("array<double>")
+    data = items.select(vec.alias("_v")).persist()
 
     def sums(books):
         def run(batches):

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from subjex.functions.text import WS_CLASS
 from subjex.operators.decode import MAX_CLASSES, bounded_collect
+from subjex.operators.encoders import TfIdfEncoder
 from subjex.operators.zeroshot import class_centroids
+from subjex.session import spread, written
 from subjex.sources.tables import table
 
 
@@ -57,30 +59,25 @@ VOCAB_SQL = "vocab as (select cast(item_id as varchar) as gnd_id, text as label_
 
 
 # ---------------------------------------------------------------------------
-# vectors of every document and every vocabulary entry: how often each letter occurs
-# in the whole text, a text encoder that both engines can compute.
+# vectors of every document and every vocabulary entry: one TF-IDF encoder fitted on the
+# whole texts of both, by a bucket rule that both engines have.
 
-LETTERS = "etaoinsrdluc"
+VECTOR_DIM = 240
 
 
-def letter_vector(text: str):
-    def counts(low):  # only the letters asked for are left, once per row
-        return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("float") for c in LETTERS])
-    left = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), f"[^{LETTERS}]+", "")
-    return F.transform(F.array(left), counts)[0]
+def text_encoder(spark: SparkSession, sf_dir: str) -> TfIdfEncoder:
+    texts = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "benchmark").select("text"))
+    return TfIdfEncoder.fit(texts, "text", VECTOR_DIM)
 
 
-def _letter_vector_sql(text: str) -> str:
-    low = f"lower(coalesce({text}, ''))"
-    return "[" + ", ".join(f"(length({low}) - length(replace({low}, '{c}', '')))::float" for c in LETTERS) + "]"
+def label_vectors(spark: SparkSession, sf_dir: str, encoder: TfIdfEncoder | None = None) -> DataFrame:
+    return (encoder or text_encoder(spark, sf_dir)).transform(vocab(spark, sf_dir), "label_text")
 
 
-def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab(spark, sf_dir).withColumn("embedding", letter_vector("label_text"))
-
-
-def record_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", letter_vector("text").alias("embedding"))
+def record_vectors(spark: SparkSession, sf_dir: str, encoder: TfIdfEncoder | None = None) -> DataFrame:
+    """Encoded once: the vectors are a written table."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return written((encoder or text_encoder(spark, sf_dir)).transform(spread(docs), "text"), "record-vectors")
 
 
 def stored_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -90,12 +87,28 @@ def stored_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return e, e.withColumnRenamed("vec_id", "neighbor_id")
 
 
-LABEL_VEC_SQL = f"""lvec as (
-  select cast(item_id as varchar) as gnd_id, text as label_text, {_letter_vector_sql('text')} as embedding
-  from benchmark)"""
-
-RECORD_VEC_SQL = f"""rvec as (
-  select doc_id, text, lang, {_letter_vector_sql('text')} as embedding from documents)"""
+def stored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``embeddings`` as a label vector (gnd_id, embedding)."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("gnd_id"), "embedding")
+
+
+#: ``lvec(gnd_id, label_text, embedding)`` and ``rvec(doc_id, text, lang, embedding)``.
+TEXT_VEC_SQL = f"""entext as (
+  select 'r' as side, cast(doc_id as varchar) as id, text from documents
+  union all select 'l', cast(item_id as varchar), text from benchmark),
+entok as (select side, id, unnest(list_filter(regexp_split_to_array(lower(text), '{sql_ws()}+'), lambda t: t <> '')) as t from entext),
+entf as materialized (
+  select side, id, ('0x' || substr(md5(t), 1, 8))::bigint % {VECTOR_DIM} as b, count(*) as tf from entok group by 1, 2, 3),
+enidf as (select b.b, ln((n.n + 1)::double / (count(f.b) + 1)::double) as idf
+  from range({VECTOR_DIM}) b(b) left join entf f on f.b = b.b, (select count(*) as n from entext) n group by b.b, n.n),
+envec as materialized (
+  select e.side, e.id, list(coalesce(f.tf, 0)::double * i.idf order by i.b) as embedding
+  from (select distinct side, id from entext) e cross join enidf i
+  left join entf f on f.side = e.side and f.id = e.id and f.b = i.b group by 1, 2),
+lvec as (select cast(item_id as varchar) as gnd_id, text as label_text, embedding
+  from benchmark join envec on side = 'l' and id = cast(item_id as varchar)),
+rvec as (select doc_id, text, lang, embedding
+  from documents join envec on side = 'r' and id = cast(doc_id as varchar))"""
 
 
 # ---------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from subjex.functions import text as X
 from subjex.operators import decode as D
-from subjex.operators.classify import HashingEncoder
+from subjex.operators.encoders import LsaEncoder
 from subjex.operators.label_index import LabelIndex, build_label_index
 from subjex.operators.metrics import confusion, micro_macro, per_label_f1
 from subjex.operators.ranking import debug_limit
@@ -16,7 +16,7 @@ from subjex.plans import q_classify as QC
 from subjex.plans import q_dense as QD
 from subjex.plans import q_records as QR
 from subjex.plans.catalog import REGISTRY, register
-from subjex.session import scratch_path
+from subjex.session import scratch_path, spread
 from subjex.sources.sinks import (CORPUS_SCHEMA, read_jsonl, read_thresholds, write_corpus, write_metrics,
                                   write_thresholds)
 from subjex.sources.tables import table
@@ -80,12 +80,12 @@ def w9_debug_limit(spark, sf_dir):
 @register("v2_stored_index_topk", REGISTRY["v1_dense_topk"][1])
 def v2_stored_index_topk(spark, sf_dir):
     """S12 + V2 + V3: an index built, saved and loaded; with every cell probed it is exact."""
-    docs, labels = QD._inputs(spark, sf_dir)
+    queries, _ = fx.stored_vectors(spark, sf_dir)
     path = scratch_path(spark, "label-index")
-    build_label_index(labels, n_cells=4).save(path)
+    build_label_index(fx.stored_labels(spark, sf_dir), n_cells=16).save(path)
     index = LabelIndex.load(spark, path)
-    return index.search(docs, "doc_id", "embedding", QD.TOPK, nprobe=4) \
-        .select("doc_id", "gnd_id", "rank", F.round("score", 6).alias("score"))
+    return index.search(queries, "vec_id", "embedding", QD.TOPK, nprobe=16) \
+        .select("vec_id", "gnd_id", "rank", F.round("score", 6).alias("score"))
 
 
 def _subject_index(spark, sf_dir):
@@ -93,15 +93,15 @@ def _subject_index(spark, sf_dir):
     records = fx.rec(spark, sf_dir)
     vocab = fx.vocab(spark, sf_dir).withColumn("emb_text", X.passage_prefix("label_text"))
     texts = records.select(X.pair_text("title", "abstract").alias("t")).unionByName(vocab.select(F.col("label_text").alias("t")))
-    encoder = HashingEncoder.fit(texts, "t", dim=256)
+    encoder = LsaEncoder.fit(spread(texts), "t", dim=64)
     path = scratch_path(spark, "subject-index")
-    build_label_index(encoder.transform(vocab, "emb_text"), n_cells=4, m=64, ksub=256).save(path)
+    build_label_index(encoder.transform(vocab, "emb_text"), n_cells=4, m=16).save(path)
     return records, LabelIndex.load(spark, path), encoder
 
 
 @register("h2_text_to_subjects")
 def h2_text_to_subjects(spark, sf_dir):
-    """Text in, subjects out: one encoder for labels and documents, a stored index with cells
-    and codes, hybrid suggestion for every document."""
+    """Text in, subjects out: one latent semantic encoder for labels and documents, a stored
+    index with cells and residual codes, hybrid suggestion for every document."""
     records, index, encoder = _subject_index(spark, sf_dir)
     return suggest_subjects(records, "id", "title", "abstract", index, encoder, topk=QD.TOPK, nprobe=2)

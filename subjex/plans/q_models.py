@@ -46,6 +46,17 @@ def c1_embed_hashing(spark, sf_dir):
                     F.round(F.sqrt(sq_norm("embedding")), 6).alias("norm"))
 
 
+@register("c1_tfidf_vectors", f"""
+with {fx.TEXT_VEC_SQL},
+n as (select doc_id, embedding, greatest(sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 1e-12) as len from rvec)
+select doc_id, b.b::integer as pos, round(embedding[b.b + 1] / len, 6) as x
+from n, range({fx.VECTOR_DIM}) b(b) where embedding[b.b + 1] <> 0""")
+def c1_tfidf_vectors(spark, sf_dir):
+    """The normalised TF-IDF vector of every document's whole text, its non-zero entries."""
+    e = fx.record_vectors(spark, sf_dir).select("doc_id", F.posexplode("embedding").alias("pos", "x"))
+    return e.where("x <> 0").select("doc_id", "pos", F.round("x", 6).alias("x"))
+
+
 def _train(spark, sf_dir):
     """Fit on four fifths of the vectors, thresholds and scores on the others (hash folds)."""
     e = table(spark, sf_dir, "embeddings")
@@ -96,15 +107,14 @@ def x1_stream_decode(spark, sf_dir):
 @register("x1_stream_suggest", REGISTRY["h3_dense_suggest"][1])
 def x1_stream_suggest(spark, sf_dir):
     """Dense suggestion per micro-batch (foreachBatch) equals the batch result."""
-    labels = fx.label_vectors(spark, sf_dir)
-    recs = table_stream(spark, sf_dir, "documents", DOC_SCHEMA).select(
-        "doc_id", "text", fx.letter_vector("text").alias("embedding"))
+    labels = fx.stored_labels(spark, sf_dir)
+    recs = table_stream(spark, sf_dir, "embeddings", EMB_SCHEMA).select("vec_id", "embedding")
 
     def per_batch(batch):
-        return suggest_dense(batch, "doc_id", "text", "embedding", labels, topk=10)
+        return suggest_dense(batch, "vec_id", "", "embedding", labels, topk=10)
 
     out = stream_to_table(spark, recs, "x1-suggest", per_batch)
-    return out.select("doc_id", "rank", "gnd_id", F.round("score", 6).alias("score"))
+    return out.select("vec_id", "rank", "gnd_id", F.round("score", 6).alias("score"))
 
 
 # ---------------------------------------------------------------------------

@@ -78,7 +78,7 @@ def test_stored_index_equals_exact_with_all_cells(spark, tmp_dir):
     labels = fx.label_vectors(spark, SF_MID)
     build_label_index(labels, n_cells=3, m=2, ksub=8).save(tmp_dir + "/index")
     index = LabelIndex.load(spark, tmp_dir + "/index")
-    assert index.book.codebooks.shape == (2, 8, 6) and index.labels.count() == labels.count()
+    assert index.book.codebooks.shape == (2, 8, fx.VECTOR_DIM // 2) and index.labels.count() == labels.count()
     coded = index.search(docs, "doc_id", "embedding", 4, nprobe=1)
     assert coded.count() > 0
     index.book = None
