@@ -37,6 +37,27 @@ ALLOW = (r"example", r"placeholder", r"dummy", r"x{6,}", r"0{8,}", r"licenses?/"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+#: Steps that one fold appends to an array; longer ones are cut into blocks of this many.
+BLOCK = 256
+
+
+def _blocks(n: Column) -> Column:
+    """Numbers of the blocks of ``n`` things."""
+    return F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def _running(lengths: Column) -> Column:
+    """Sums of an int array before each entry.  Appending copies, so blocks are summed on their
+    own and their totals once more: n * BLOCK copies instead of n * n."""
+    def sums(values):
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("before"))
+        return F.aggregate(values, start, lambda acc, n: F.struct(
+            (acc["at"] + n).alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before")))
+    parts = F.transform(_blocks(F.size(lengths)), lambda b: sums(F.slice(lengths, b * BLOCK + 1, BLOCK)))
+    return let(parts, lambda p: F.flatten(F.zip_with(
+        p, sums(F.transform(p, lambda x: x["at"]))["before"], lambda x, base: F.transform(x["before"], lambda n: n + base))))
+
+
 def _placed(text: Column, pattern: str) -> Column:
     """Matches of ``pattern`` with their places: array of struct(start, hit).
 
@@ -44,15 +65,9 @@ def _placed(text: Column, pattern: str) -> Column:
     running sums of their lengths give the starts.
     """
     def place(found):
-        between = F.split(text, pattern, -1)
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
-
-        def step(acc, pair):
-            here = acc["at"] + F.length(pair["b"])
-            return F.struct((here + F.length(pair["h"])).alias("at"),
-                            F.concat(acc["starts"], F.array(here)).alias("starts"))
-        pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("h"))
-        starts = F.aggregate(pairs, start, step, lambda acc: acc["starts"])
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
+        before = _running(F.zip_with(gaps, found, lambda g, h: g + F.length(h)))
+        starts = F.zip_with(before, gaps, lambda n, g: n + g)
         return F.when(F.size(found) == 0, F.expr("cast(array() as array<struct<start:int,hit:string>>)")) \
             .otherwise(F.zip_with(starts, found, lambda s, h: F.struct(s.alias("start"), h.alias("hit"))))
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
@@ -83,37 +98,79 @@ def _nlogn(n: Column) -> Column:
     return F.when(n < 2, F.lit(0.0)).otherwise(n * F.log2(n.cast("double")))
 
 
+def _chars(text: Column) -> Column:
+    """The characters of ``text``, split once."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+#: Token characters in the order of their count's place.
+ALPHABET = "".join(chr(c) for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-")
+
+
 def _hot_windows(hit: Column, threshold: Column, width: int) -> Column:
-    """Joined [start, end) ranges of the windows of ``hit`` at or over ``threshold`` bits."""
-    count = lambda s, ch: F.length(s) - F.length(F.replace(s, ch, F.lit("")))
-    char = lambda i: F.substring(hit, i, F.lit(1))  # noqa: E731  1-based
-    first = F.substring(hit, F.lit(1), F.lit(width))
-    first_sum = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0),
-                            lambda acc, ch: acc + F.when(ch == "", 0.0).otherwise(_nlogn(count(first, ch))))
+    """Joined [start, end) ranges of the windows of ``hit`` at or over ``threshold`` bits.
+
+    The counts of a window's characters are carried along, packed into a few 64-bit words
+    (``bits`` each): a step takes the leaving one and the entering one by a shift, and changes
+    two words.  ``BLOCK`` windows make a fold, and the ranges of neighbouring folds are joined
+    at the end, so the time is linear in the candidate's length.
+    """
+    bits = width.bit_length()
+    per = 63 // bits
+    words = -(-len(ALPHABET) // per)
+    place = F.lit([max(ALPHABET.find(chr(c)), 0) for c in range(128)])
+    empty = F.array(*[F.lit(0).cast("long") for _ in range(words)])
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (c % per) * bits)
     ranges = "cast(array() as array<struct<start:int,end:int>>)"
 
-    def close(acc):
+    def count(counts, c):
+        return F.call_function("shiftright", F.get(counts, F.floor(c / per).cast("int")), (c % per) * bits).bitwiseAND(F.lit((1 << bits) - 1))
+
+    def changed(counts, c, sign):
+        return F.transform(counts, lambda w, j: w + F.when(j == F.floor(c / per), sign * one(c)).otherwise(F.lit(0).cast("long")))
+
+    def ends(acc):
         return F.when(acc["to"] > 0, F.concat(acc["done"], F.array(
             F.struct(acc["from"].alias("start"), acc["to"].alias("end"))))).otherwise(acc["done"])
 
-    def note(acc, total, i):
+    def note(acc, counts, total, i):
         hot = F.lit(math.log2(width)) - total / width >= threshold - 1e-9
         joins = (acc["to"] > 0) & (i <= acc["to"])
         return F.struct(
-            total.alias("sum"),
+            counts.alias("counts"), total.alias("sum"),
             F.when(hot & ~joins, i).otherwise(acc["from"]).alias("from"),
             F.when(hot, i + width).otherwise(acc["to"]).alias("to"),
-            F.when(hot & ~joins, close(acc)).otherwise(acc["done"]).alias("done"))
-
-    def step(acc, i):  # the window that starts at i, from the one at i - 1
-        shared = F.substring(hit, i + 1, F.lit(width - 1))
-        leaves, enters = count(shared, char(i)), count(shared, char(i + width))
-        total = acc["sum"] - _nlogn(leaves + 1) + _nlogn(leaves) + _nlogn(enters + 1) - _nlogn(enters)
-        return note(acc, total, i)
-    start = note({"to": F.lit(0), "from": F.lit(0), "done": F.expr(ranges)}, first_sum, F.lit(0))
-    moves = F.when(F.length(hit) > width, F.sequence(F.lit(1), F.length(hit) - width)) \
-        .otherwise(F.expr("cast(array() as array<int>)"))
-    return F.aggregate(moves, start, step, close)
+            F.when(hot & ~joins, ends(acc)).otherwise(acc["done"]).alias("done"))
+
+    def fold(codes, block):
+        """Ranges of the windows that start at block * BLOCK and the following ones."""
+        begin = block * BLOCK
+        first = F.aggregate(F.slice(codes, begin + 1, F.lit(width)), empty, lambda acc, c: changed(acc, c, 1))
+
+        def total(counts):
+            return F.aggregate(F.sequence(F.lit(0), F.lit(len(ALPHABET) - 1)), F.lit(0.0),
+                               lambda acc, c: acc + _nlogn(count(counts, c)))
+
+        def step(acc, i):  # the window that starts at i, from the one at i - 1
+            leaves, enters = F.get(codes, i - 1), F.get(codes, i + width - 1)
+
+            def left(counts, gone):
+                n = count(counts, enters)
+                total = acc["sum"] - _nlogn(gone) + _nlogn(gone - 1) + _nlogn(n + 1) - _nlogn(n)
+                return note(acc, changed(counts, enters, 1), total, i)
+            return let(changed(acc["counts"], leaves, -1), lambda c: left(c, count(acc["counts"], leaves)))
+        start = let(first, lambda c: note({"to": F.lit(0), "from": F.lit(0), "done": F.expr(ranges)}, c, total(c), begin))
+        last = F.least(begin + BLOCK - 1, F.size(codes) - width)
+        moves = F.when(last > begin, F.sequence(begin + 1, last)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.aggregate(moves, start, step, ends)
+
+    def join(found):
+        at = lambda i: F.get(found, i)
+        starts = F.filter(found, lambda r, i: (i == 0) | (r["start"] > at(i - 1)["end"]))
+        stops = F.filter(found, lambda r, i: (i == F.size(found) - 1) | (at(i + 1)["start"] > r["end"]))
+        return F.zip_with(starts, stops, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+    return let(F.transform(_chars(hit), lambda ch: F.get(place, F.ascii(ch))), lambda codes: let(
+        F.flatten(F.transform(_blocks(F.size(codes) - width + 1), lambda b: fold(codes, b))), join))
 
 
 def entropy_spans(text: Column, base: Column, width: int = WINDOW, thresholds: dict | None = None,
@@ -126,7 +183,8 @@ def entropy_spans(text: Column, base: Column, width: int = WINDOW, thresholds: d
         hit = place["hit"]
         limit = F.when(F.rlike(hit, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), limits["hex"]) \
             .when(F.rlike(hit, F.lit("^[A-Za-z0-9]+$")), limits["alnum"]).otherwise(limits["token"])
-        return F.transform(_hot_windows(hit, limit, width), lambda r: F.struct(
+        # bound once a candidate: the fold below names it in every step
+        return F.transform(let(limit, lambda least: _hot_windows(hit, least, width)), lambda r: F.struct(
             (place["start"] + r["start"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"),
             (place["start"] + r["end"]).alias("end")))
     places = F.filter(_placed(text, CANDIDATE), lambda p: ~F.rlike(p["hit"], F.lit(allowed)))
@@ -151,13 +209,26 @@ def joined(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with each stretch of touching spans replaced by ``mark``; null stays null."""
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-            .otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(
-        spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    """``text`` with each stretch of touching spans replaced by ``mark``; null stays null.
+    The text is split into characters once, and the parts between spans are slices of them."""
+    def parts(chars):
+        """The text before each span that starts a stretch, with the mark, and the rest."""
+        before = let(_reach(spans), lambda r: F.transform(spans, lambda s, i: F.when(
+            s["start"] >= F.get(r, i),
+            F.concat(F.array_join(F.slice(chars, F.get(r, i) + 1, s["start"] - F.get(r, i)), ""), F.lit(mark))).otherwise("")))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        rest = F.array_join(F.slice(chars, end + 1, F.greatest(F.size(chars) - end, F.lit(0))), "")
+        return F.concat(F.array_join(before, ""), rest)
+    return F.when(F.size(spans) == 0, text).otherwise(let(_chars(text), parts))
+
+
+def _reach(spans: Column) -> Column:
+    """The largest end of the spans before each one, 0 for the first; in blocks, as ``_running``."""
+    def largest(ends):
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("before"))
+        return F.aggregate(ends, start, lambda acc, e: F.struct(
+            F.greatest(acc["at"], e).alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before")))
+    ends = F.transform(spans, lambda s: s["end"])
+    parts = F.transform(_blocks(F.size(spans)), lambda b: largest(F.slice(ends, b * BLOCK + 1, BLOCK)))
+    return let(parts, lambda p: F.flatten(F.zip_with(
+        p, largest(F.transform(p, lambda x: x["at"]))["before"], lambda x, base: F.transform(x["before"], lambda n: F.greatest(n, base)))))
