@@ -20,6 +20,26 @@ def words(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != F.lit(""))
 
 
+def fresh(name: str, taken) -> str:
+    """``name``, with underscores until no name in ``taken`` equals it (in any case)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def nested(df: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of ``df`` as one struct ``row``, beside ``columns``: no name of the caller
+    meets one used inside.  ``unnested`` is the way back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unnested(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """``columns`` out of ``row``, and ``new`` ones, which replace those of their name."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns if c not in new],
+                     *[c.alias(n) for n, c in new.items()])
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 

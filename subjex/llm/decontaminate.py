@@ -13,16 +13,19 @@ the sum of the maxima of the passage's terms over the other postings, plus the m
 frequent terms give one of the block's items.  Only items of blocks whose bound reaches 1 are scored, with all terms.  No
 retrieved item is capped.  Retrieved items are verified
 on five-word shingles: ``containment`` (question and answer together) must reach 0.8, and
-the overlaps of question and answer are reported.
+so must half of the question's or of the answer's shingles.  An item under five words is
+verified as one shingle, its whole word sequence.
 
 Words are lower-cased (all scripts) and end at white space and ASCII punctuation.
 
-Items are cut into shards of at most ``SHARD_BYTES`` of text, and only one shard at a time is
-sent to the tasks; a second shard means a second pass over the rows.
+Document frequencies, the number of items and their mean length are counted over all items.
+Items are cut into shards of at most about ``SHARD_BYTES`` of text, and only one shard at a
+time is on the driver and sent to the tasks: each further shard is another pass over the
+written rows, and changes no score.
 
-Defined results: null or wordless texts match nothing; items under five words cannot be
-verified and are left out; items of equal text are all reported; repeated rows are judged
-alike; other columns pass through.
+Defined results: null or wordless texts match nothing, nor do null or wordless items; items of
+equal text are all reported; repeated rows are judged alike; other columns pass through,
+whatever their names (one named like the result is replaced by it).
 """
 
 from __future__ import annotations
@@ -35,10 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subjex.llm import tokens as T
+from subjex.llm.common import nested, unnested
+from subjex.session import written
 
 SHINGLE = 5
 SHARE = 0.5
 MIN_CONTAINMENT = 0.8
+#: Share of the question's or the answer's shingles that must be there as well.
+MIN_PART = 0.5
 K1, B = 1.2, 0.75
 BLOCK = 4
 COMMON = 0.5
@@ -80,11 +87,25 @@ def _runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
 
 
+class Counts:
+    """Statistics of all items: their number, mean length, and document frequency by term."""
+
+    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean, self.terms, self.df = n, mean, terms, df
+
+    @staticmethod
+    def of(items: list[tuple[int, str]]) -> "Counts":
+        hashes = [h for _, text in items if text and len(h := _hashes(text))]
+        terms, df = np.unique(np.concatenate([np.unique(h) for h in hashes] or [np.zeros(0, np.uint64)]), return_counts=True)
+        return Counts(len(hashes), float(np.mean([len(h) for h in hashes] or [0])), terms, df)
+
+
 class Index:
     """Inverted index of one shard of items: impacts divided by each item's threshold."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = SHARE):
-        rows = [(i, text, h) for i, text in items if text and len(h := _hashes(text)) >= SHINGLE]
+    def __init__(self, items: list[tuple[int, str]], share: float = SHARE, counts: Counts | None = None):
+        rows = [(i, text, h) for i, text in items if text and len(h := _hashes(text))]
+        counts = counts or Counts.of(items)
         self.ids = np.array([r[0] for r in rows], np.int64)
         if not rows:
             return
@@ -94,9 +115,9 @@ class Index:
         pairs, tf = np.unique(np.stack([np.concatenate([h for _, _, h in rows]), owner.astype(np.uint64)]), axis=1, return_counts=True)
         self.vocab, term = np.unique(pairs[0], return_inverse=True)
         item = pairs[1].astype(np.int64)
-        df = np.bincount(term)
-        idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+        df = counts.df[np.searchsorted(counts.terms, self.vocab)]
+        idf = np.log(1 + (counts.n - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / counts.mean))
         self.own = np.bincount(item, impact)
         self.threshold = share * self.own
         impact = impact / self.threshold[item]
@@ -120,10 +141,10 @@ class Index:
         self.block_start = np.searchsorted(t[at], np.arange(len(self.vocab) + 1))
         self.needed = np.diff(self.block_start) > 0
         self.shingles = []
-        for _, text, _ in rows:
-            parts = [_hashes(p) for p in split_item(text)]
-            parts = [np.unique(T.rolling(h, min(SHINGLE, len(h)))) if len(h) else h for h in parts]
-            self.shingles.append((np.unique(T.rolling(_hashes(text), SHINGLE)), *parts, [min(SHINGLE, len(_hashes(p))) for p in split_item(text)]))
+        for _, text, whole in rows:
+            parts = [whole, *(_hashes(p) for p in split_item(text))]
+            sizes = [min(SHINGLE, len(h)) for h in parts]
+            self.shingles.append(([np.unique(T.rolling(h, k)) if k else h for h, k in zip(parts, sizes)], sizes))
 
     def retrieve(self, terms: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
         """(item, score / threshold) of the items in ``blocks`` that reach 1 for the distinct ``terms``."""
@@ -134,9 +155,8 @@ class Index:
 
     def verify(self, item: int, words: np.ndarray) -> tuple[float, float, float]:
         """Share of the item's, its question's and its answer's shingles among ``words``."""
-        whole, question, answer, sizes = self.shingles[item]
-        here = lambda s, k: float(np.isin(s, T.rolling(words, k)).mean()) if len(s) else 1.0
-        return here(whole, SHINGLE), here(question, sizes[0]), here(answer, sizes[1])
+        here = lambda s, k: float(np.isin(s, T.rolling(words, k)).mean()) if len(s) else 0.0
+        return tuple(here(s, k) for s, k in zip(*self.shingles[item]))
 
     def leaks(self, words: np.ndarray, before: np.ndarray, least: float):
         """(document, item, score, containment, question, answer) of a batch of documents."""
@@ -179,44 +199,66 @@ class Index:
             i, j = np.searchsorted(hits, (x, y))
             for item, score in self.retrieve(np.unique(term[i:j]), np.array(blocks)):
                 shares = self.verify(item, words[x:y])
-                if shares[0] >= least and shares > best.get((d, item), (0.0,))[1:]:
+                if shares[0] >= least and max(shares[1:]) >= min(MIN_PART, least) and shares > best.get((d, item), (0.0,))[1:]:
                     best[d, item] = (score * self.threshold[item], *shares)
         for (d, item), shares in sorted(best.items()):
             yield d, int(self.ids[item]), *shares
 
 
-def _search(index: Index, names: list[str], least: float):
+def _search(index: Index, least: float):
+    """Leaks of one shard added to those of the rows (row, lower, leaks)."""
     shape = pa.list_(pa.struct([("item_id", pa.int64()), *((c, pa.float64()) for c in (
         "bm25", "containment", "question_overlap", "answer_overlap"))]))
     keys = [f.name for f in shape.value_type]
 
     def run(batches):
         for batch in batches:
-            data, offsets = T.text_buffers(batch.column("_lower"))
-            leaks = [[] for _ in range(batch.num_rows)]
+            data, offsets = T.text_buffers(batch.column("lower"))
+            leaks = batch.column("leaks").to_pylist()
             for i, j in T.slices(offsets, BATCH_BYTES):
                 part = _letters(data[offsets[i]:offsets[j]])
                 starts, before = T.word_places(part, offsets[i:j + 1] - offsets[i])
                 for d, *leak in index.leaks(T.word_hashes(part, starts, lower=True), before, least):
                     leaks[i + d].append(dict(zip(keys, leak)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(leaks, shape)], [*names, "_new"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("lower"), pa.array(leaks, shape)],
+                                             ["row", "lower", "leaks"])
     return run
 
 
+def _item_terms(batches):
+    """(shard, length, distinct terms) of the items that have words."""
+    for batch in batches:
+        found = [(shard, h) for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist())
+                 if len(h := _hashes(text))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[0] for f in found], pa.int32()), pa.array([len(f[1]) for f in found], pa.int64()),
+             pa.array([np.unique(f[1]).view(np.int64).tolist() for f in found], pa.list_(pa.int64()))], ["shard", "length", "terms"])
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, out: str = "leaks", share: float = SHARE,
                least: float = MIN_CONTAINMENT) -> DataFrame:
     """Add ``out``: the verified items of each row of ``docs`` (with ``text``); ``items``: item_id, text."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-size // SHARD_BYTES)
-    result = docs.withColumn(out, F.expr(f"cast(array() as {_LEAK})"))
+    result = nested(docs, lower=F.lower("text"), leaks=F.expr(f"cast(array() as {_LEAK})"))
+    if shards:
+        dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+        terms = written(dealt.select("shard", "text").mapInArrow(_item_terms, "shard int, length long, terms array<long>"), "item-terms")
+        n, mean = terms.agg(F.count("*"), F.avg("length")).first()
+        each = terms.select("shard", F.explode("terms").alias("term"))
+        frequency = written(each.groupBy("term").agg(F.count("*").alias("df")), "item-frequencies")
     for k in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()  # one shard, bounded
-        index = Index([(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))], share)
-        if not len(index.ids):
+        mine = each.where(F.col("shard") == k).select("term").distinct()
+        known = frequency.join(mine, "term").orderBy("term").toArrow()  # one shard, bounded, as its texts are
+        rows = dealt.where(F.col("shard") == k).select("item_id", "text").collect()
+        if not known.num_rows:
             continue
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.schema.fields)
-        names = result.columns
-        result = result.withColumn("_lower", F.lower("text")).mapInArrow(
-            _search(index, names, least), f"{fields}, _new {_LEAK}").withColumn(out, F.concat(out, "_new")).drop("_new")
-    return result
+        term = known.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(term)
+        counts = Counts(n, mean, term[order], known.column("df").to_numpy()[order])
+        index = Index([(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))], share, counts)
+        result = result.mapInArrow(_search(index, least), result.schema)
+        if k < shards - 1:
+            result = written(result, "leaks")
+    return unnested(result, docs.columns, **{out: F.col("leaks")})

@@ -58,6 +58,7 @@ def test_table_in_one_and_many_shards(spark, monkeypatch):
     docs, bench = table(spark, rows).drop("leaks"), table(spark, items, "item_id long, text string")
     want = brute(rows, items)
     assert len(want) > 25
+    results = []
     for size in (d.SHARD_BYTES, 2000):
         monkeypatch.setattr(d, "SHARD_BYTES", size)
         got = d.find_leaks(docs, bench).collect()
@@ -65,5 +66,15 @@ def test_table_in_one_and_many_shards(spark, monkeypatch):
         found = {(str(x["doc_id"]), y["item_id"]) for x in got for y in x["leaks"]}
         assert found == want
         assert all(y["containment"] >= 0.8 and y["bm25"] > 0 for x in got for y in x["leaks"])
+        results.append(sorted((str(x["doc_id"]), y["item_id"], round(y["bm25"], 9), y["containment"]) for x in got for y in x["leaks"]))
+    assert results[0] == results[1]  # scores are the same for any shard size
     assert d.find_leaks(docs, bench.limit(0)).where("size(leaks) > 0").count() == 0
     assert d.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_short_items_by_their_whole_sequence(spark):
+    items = [(1, "Quoth the raven."), (2, "nevermore"), (3, "one two three four"), (4, "??"), (5, prose(7, 30, 2000))]
+    rows = [(1, "he said: quoth THE raven, twice"), (2, "the raven quoth"), (3, "Nevermore!"), (4, "one two three four"), (5, "one two three"),
+            (6, prose(7, 30, 2000) + " quoth the raven"), (7, "")]
+    got = d.find_leaks(table(spark, rows).drop("leaks"), table(spark, items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], x["item_id"]) for r in got for x in r["leaks"]} == {(1, 1), (3, 2), (4, 3), (6, 5), (6, 1)}
