@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subjex.llm import tokens as T
+from subjex.llm.common import unnested
 
 BITS = 40
 MAX_ROWS = 12_000
@@ -205,7 +206,7 @@ def fit(docs: DataFrame, grades_of: DataFrame, grades: int, max_rows: int = MAX_
     return tuple(np.array(model[k]) for k in ("marks", "weights", "theta"))
 
 
-def _score(known, weights, theta, names):
+def _score(known, weights, theta):
     def run(batches):
         for batch in batches:
             data, offsets = T.text_buffers(batch.column("text"))
@@ -219,17 +220,21 @@ def _score(known, weights, theta, names):
                 f = np.add.reduceat(np.where(known[at] == marks, weights[at], 0.0), before[:-1])
                 over = 1 - _sigmoid(theta[None, :] - f[:, None])  # P(grade > k)
                 expected[i:j], tail[i:j] = over.sum(axis=1), over[:, -1]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(expected), pa.array(tail)], [*names, "expected_grade", "p_top"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(expected), pa.array(tail)],
+                                             ["row", "expected_grade", "p_top"])
     return run
 
 
+def scored_rows(docs: DataFrame, model, columns: list[str]) -> DataFrame:
+    """``row`` (``columns`` of ``docs``), expected_grade and p_top = P(highest grade)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text")
+    shape = rows.drop("text").schema.add("expected_grade", "double").add("p_top", "double")
+    return rows.mapInArrow(_score(*model), shape)
+
+
 def score(docs: DataFrame, model, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with expected_grade and p_top = P(highest grade)."""
-    rows = docs.select(*dict.fromkeys([*columns, "text"]))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    scored = rows.mapInArrow(_score(*model, rows.columns), f"{shape}, expected_grade double, p_top double")
-    return scored if "text" in columns else scored.drop("text")
+    """``columns`` of ``docs`` with expected_grade and p_top, which replace columns of these names."""
+    return unnested(scored_rows(docs, model, columns), columns, expected_grade=F.col("expected_grade"), p_top=F.col("p_top"))
 
 
 def grades_from_labels(labels: DataFrame) -> DataFrame:
@@ -238,8 +243,17 @@ def grades_from_labels(labels: DataFrame) -> DataFrame:
                          .when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 2).alias("grade"))
 
 
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``row`` (all columns of ``docs``, whatever their names), expected_grade, p_top and
+    ``kept``: P(sound and clean) >= threshold."""
+    model = fit(docs, grades_from_labels(labels), 3, max_rows)
+    return scored_rows(docs, model, docs.columns).withColumn("kept", F.col("p_top") >= threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame, columns: list[str], threshold: float = 0.5,
              max_rows: int = MAX_ROWS) -> DataFrame:
-    """``columns`` with expected_grade, p_top and ``kept``: P(sound and clean) >= threshold."""
-    model = fit(docs, grades_from_labels(labels), 3, max_rows)
-    return score(docs, model, columns).withColumn("kept", F.col("p_top") >= threshold)
+    """``columns`` of ``docs`` with expected_grade, p_top and ``kept``, which replace columns of
+    these names; ``judge`` keeps them apart."""
+    scored = scored_rows(docs, fit(docs, grades_from_labels(labels), 3, max_rows), columns)
+    return unnested(scored, columns, expected_grade=F.col("expected_grade"), p_top=F.col("p_top"),
+                    kept=F.col("p_top") >= threshold)
