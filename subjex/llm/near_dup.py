@@ -3,7 +3,8 @@
 1. One pass over the texts gives per document: set size, 128-bit set fingerprint, MinHash
    bands, and an odd sketch (the MinHash samples folded into a parity bitmap; the XOR of
    two sketches counts the samples in which they differ).
-2. Documents of equal sets form a class; one member stands for it from here on.
+2. Documents of equal sets form a class, known by a 64-bit hash of the set's fingerprint
+   (two of N sets share one with a chance of N**2 / 2**65); one of its texts stands for it.
 3. Members of a band bucket are held against its smallest member: as many pairs as rows.
    A pair whose sketches cannot reach the threshold (five standard deviations of the
    estimate) is left; the others are confirmed on full sets.  Links give components.
@@ -16,9 +17,10 @@
 No bucket is capped.  A pair at similarity 0.85 shares no bucket with probability 1e-8
 (at 0.80: 3e-6).
 
-Defined results: null or wordless text has an empty set, linked with nothing; rows of
-equal text and null id belong to the class by their set; repeated rows share a result;
-other columns are ignored.
+Defined results: null or wordless text has an empty set, linked with nothing; rows with one
+doc_id are one document whose texts are linked; rows with a null doc_id take part, and the
+component is the smallest id that is not null; repeated rows share a result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -105,15 +107,15 @@ def _sign(batches):
                 for k in (0, 1):
                     prints[k][full] = p[k]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), pa.array(size.astype(np.int64)), *map(pa.array, prints),
-                 _nested(bands), _nested(sketch)],
-                ["doc_id", "n_shingles", "print_a", "print_b", "bands", "sketch"])
+                [batch.column("doc_id").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array(size.astype(np.int64)),
+                 *map(pa.array, prints), _nested(bands), _nested(sketch)],
+                ["doc_id", "th", "n_shingles", "print_a", "print_b", "bands", "sketch"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): set size, fingerprint, bands, odd sketch."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(
-        _sign, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch array<long>")
+    """Per row of ``docs`` (doc_id, th: hash of the text, text): set size, fingerprint, bands, odd sketch."""
+    return docs.mapInArrow(_sign, "doc_id long, th long, n_shingles long, print_a long, print_b long, "
+                                  "bands array<long>, sketch array<long>")
 
 
 def sketch_distance(a, b):
@@ -199,18 +201,19 @@ def _with_component(rows: DataFrame, comp: DataFrame, node: str = "rep") -> Data
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, one row per row of
     ``docs`` (doc_id, text); links need ``100 * intersection >= percent * union``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
     signed = written(signatures(docs), "signatures")
-    same_set = ["print_a", "print_b", "n_shingles"]
-    reps = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same_set).agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    same_set = F.xxhash64("print_a", "print_b", "n_shingles").alias("rep")
+    reps = written(signed.where("n_shingles > 0").groupBy(same_set).agg(
+        F.min("th").alias("th"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch")), "classes")
     band_rows = reps.select("rep", F.explode("bands").alias("key"))
     shared = band_rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
     members = written(band_rows.join(shared, "key"), "buckets")
     sketches = reps.select("rep", "sketch")
     busy = members.select("rep").distinct()
-    texts = written(docs.join(reps.select("rep").join(busy, "rep"), F.col("doc_id") == F.col("rep"))
-                    .select("rep", "text").dropDuplicates(["rep"]), "candidate-texts")
+    texts = written(docs.select("th", "text").join(reps.select("rep", "th").join(busy, "rep"), "th")
+                    .dropDuplicates(["th"]).select("rep", "text"), "candidate-texts")
     limit = most_differing(percent)
 
     def likely(pairs):
@@ -246,9 +249,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     both = _with_component(_with_component(found.unionByName(blocks_found), comp, "a").withColumnRenamed("comp", "ca"), comp, "b")
     # the first components as edges to their smallest member, and the links between them
     edges = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(both.select("ca", F.col("comp")))
-    final = components(edges)
-    classes = _with_component(reps.select(*same_set, "rep"), final)
-    out = signed.select("doc_id", *same_set).join(classes, same_set, "left")
-    component = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # documents of several texts: each text's class joins the document's smallest one
+    own = signed.where("n_shingles > 0").select("doc_id", same_set)
+    several = own.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last")
+    edges = edges.union(own.join(several, "doc_id").select(F.col("rep").alias("a"), "b"))
+    classes = _with_component(reps.select("rep", "least"), components(edges))
+    least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
+    ids = classes.select("rep", "comp").join(least, "comp").select("rep", "component_id")
+    rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, same_set).alias("rep"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(ids, "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"),
+                                                F.col("doc_id").eqNullSafe(component).alias("kept"))

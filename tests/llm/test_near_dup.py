@@ -55,6 +55,14 @@ def test_against_brute_force(spark, monkeypatch, small, block):
     assert got == brute(rows, 85)
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (2, 1, 0)])
+def test_repeated_ids_with_different_texts_lose_no_link(spark, order):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [[(1, a), (1, b), (2, b + " tail")][i] for i in order] + [(None, prose(3, 60)), (9, prose(3, 60) + " x"), (8, "x " + prose(3, 60))]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(table(spark, rows), 85).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (None, 8, False), (9, 8, False), (8, 8, True)}
+
+
 def test_empty(spark):
     assert near_dup.near_duplicates(table(spark, [])).count() == 0
 
