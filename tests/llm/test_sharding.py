@@ -41,3 +41,26 @@ def test_few_rows_empty_table_and_files(spark, tmp_dir):
     assert sharding.place(df.where("doc_id < 0"), ["lang", "source"]).count() == 0
     sharding.write_sorted(df, tmp_dir + "/out", ["lang", "n_chars"], 2)
     assert sorted(r["doc_id"] for r in spark.read.parquet(tmp_dir + "/out").collect()) == [1, 2]
+
+
+def test_strings_are_compared_whole(spark):
+    """Values that share a long beginning fall into cells of their own; cuts are true quantiles."""
+    rows = [(i, "t", f"https://host{i % 7}.org/{'x' * (i % 7)}", "s", 1) for i in range(140)]
+    got = sharding.place(table(spark, rows, SCHEMA, clash=False), ["lang"], shards=7).collect()
+    assert len({r["cell"] for r in got}) == 7
+    r = np.random.default_rng(1)
+    values = [f"common/beginning/{int(x):05d}" for x in r.integers(0, 900, 3000)] + ["é", "", "common"] * 10
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v string").repartition(4)
+    cuts = sharding.string_cuts(df, "v", 32)
+    ordered = sorted(values, key=lambda v: v.encode())
+    want = {ordered[-(-i * len(values) // 32) - 1] for i in range(1, 33)}
+    assert cuts == sorted(want, key=lambda v: v.encode())
+
+
+def test_hot_cell_is_spread_over_files(spark, tmp_dir):
+    df = table(spark, [(i, f"t{i}", "en", "hot", 1) for i in range(90)] + [(i, "u", "de", "s", 2) for i in range(90, 100)], SCHEMA)
+    sharding.write_sorted(df, tmp_dir + "/hot", ["lang", "source"], 5)
+    back = spark.read.parquet(tmp_dir + "/hot")
+    assert {r["count"] for r in back.groupBy("shard").count().collect()} == {20}
+    assert back.where("lang = 'de'").select("shard").distinct().count() == 1
+    assert sorted(r["doc_id"] for r in back.collect()) == list(range(100))
