@@ -62,4 +62,4 @@ def test_each_stage_does_its_work(spark, tmp_dir):
 
 def test_registered():
     names = E.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
