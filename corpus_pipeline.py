@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subjex.llm import secrets
-from subjex.llm.common import read
+from subjex.llm.common import fresh, nested, read, unnested
 from subjex.llm.decontaminate import find_leaks
 from subjex.llm.near_dup import near_duplicates
-from subjex.llm.ordinal import classify
+from subjex.llm.ordinal import judge
 from subjex.llm.packing import pack
 from subjex.session import ship_package, written
 
@@ -24,8 +24,7 @@ NEAR_PERCENT = 80
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are probably sound and clean; the classifier trains on the labels of
     documents that are still there.  Null texts are judged like empty ones."""
-    judged = classify(docs, read(spark, sf_dir, "labels"), docs.columns)
-    return judged.where("kept").select(*docs.columns)
+    return unnested(judge(docs, read(spark, sf_dir, "labels")).where("kept"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,18 +37,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    found = find_leaks(docs, read(spark, sf_dir, "benchmark"), out="_leaks")
-    return found.where(F.size("_leaks") == 0).select(*docs.columns)
+    leaks = fresh("leaks", docs.columns)
+    found = find_leaks(docs, read(spark, sf_dir, "benchmark"), out=leaks)
+    return found.where(F.size(leaks) == 0).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; n_chars follows where the text changed."""
-    found = secrets.scan(docs, out="_found")
-    spans = F.col("_found.spans")
-    changed = found.withColumn("_text", secrets.redact(F.col("text"), spans))
-    length = F.when(F.size(spans) > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars"))
-    return changed.select(*[F.col("_text").alias("text") if c == "text" else length.alias("n_chars") if c == "n_chars"
-                            else F.col(c) for c in docs.columns])
+    found = secrets.scan(nested(docs, text=F.col("text")), out="found")
+    spans = F.col("found.spans")
+    changed = found.select("row", F.size(spans).alias("n"), secrets.redact(F.col("text"), spans).alias("clean"))
+    length = F.when(F.col("n") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("clean"), "n_chars": length}
+    return unnested(changed, docs.columns, **new).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
