@@ -1,13 +1,16 @@
 """Surrogates for personal data: keyed, of the same type and format, distinct, consistent.
 
-Entities are found by patterns (e-mail, phone, IPv4, card and account numbers, IBAN, US
-social security numbers, and names after a title).  A surrogate is a keyed permutation of
+Entities are found by patterns (e-mail, phone, IPv4 and IPv6, card and account numbers, IBAN,
+US social security numbers, and names after a title: all capitalised tokens that follow, with
+particles such as "van der" between them, up to the next title).  A surrogate is a keyed permutation of
 the entity's own characters within their classes (a Feistel network over digits, letters,
 vowels and consonants), so one entity has one surrogate everywhere and two entities of a
 format never share one.  Kept are: punctuation and case, the country code, reserved mail
-domains, a fictional 555 exchange, private or public address space, the Luhn or IBAN check
-(valid stays valid), title and hence gender, and the script of a name; known given names
-become given names of the same gender.
+domains, a fictional 555 exchange, private or public address space, the groups of an IPv6
+address, the Luhn or IBAN check (valid stays valid), title and hence gender, and the script
+of a name; known given names become given names of the same gender.  Letters are permuted
+without their marks, which stay (an umlaut keeps its dots); letters that decompose into no
+letter of the script's list stay.
 
 Collision check: the distinct entities of the whole corpus (a small table, combined
 map-side) must have distinct surrogates, none of which is another real entity; else the
@@ -22,13 +25,17 @@ keep their value; repeated rows change alike; other columns pass through.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from subjex.llm.common import unnested
 from subjex.session import written
 
 MAX_EPOCHS = 4
@@ -60,7 +67,12 @@ NUMBERS = re.compile("|".join((
     r"|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])(?:\d{2,4}[ .-]){1,3}\d{2,4}(?![\w-])"
     r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,8}\)?){1,5}(?!\w))")))
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-PERSON = re.compile(rf"(?<!\w)(?P<title>{_TITLE})\.? +(?P<names>[^\W\d_][\w-]*(?: +[^\W\d_][\w-]*){{0,2}})")
+#: Words in lower case that may stand between the tokens of a name.  Fixed values.
+PARTICLES = frozenset("af al av bin d da das de del della den der des di dos du e el ibn la le ten ter van vom von y zu zum zur".split())
+#: A title; its full stop goes along, or a capitalised token without one.
+TITLE = re.compile(rf"(?<!\w)(?P<title>{_TITLE})(?!\w)\.?")
+TOKEN = re.compile(r" +(?P<token>[^\W\d_](?:\w|['’-](?=[^\W\d_]))*)")
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")
 RESERVED = re.compile(r"^(.*?)((?:(?:^|\.)example\.(?:com|org|net)|\.(?:example|test|invalid)))$")
 
 
@@ -134,6 +146,8 @@ class Keyed:
         return self.within("ssn", norm, ("0123456789",))
 
     def _ip(self, norm: str) -> str:
+        if ":" in norm:
+            return self._ip6(norm)
         octets = [int(x) for x in norm.split(".")]
         space, fixed = _space(octets)
         if space == "none":
@@ -165,12 +179,32 @@ class Keyed:
         for (s, g), names in GIVEN.items():
             if s == script and token in names and role == "given" and gender in (g, "n"):
                 return names[self.permute(f"given{s}{g}", [names.index(token)], [len(names)])[0]]
-        new = self.within("name", token, LETTERS.get(script, ()))
+        new = self._letters(token, script)
         known = {n for names in GIVEN.values() for n in names}
         while role == "given" and new in known and token not in known:  # stay outside the known names
-            new = self.within("name", new, LETTERS.get(script, ()))
+            new = self._letters(new, script)
         return new
 
+    def _letters(self, token: str, script: str) -> str:
+        """The letters permuted below their marks."""
+        apart = unicodedata.normalize("NFD", token)
+        return unicodedata.normalize("NFC", self.within("name", apart, LETTERS.get(script, ())))
+
+    def _ip6(self, norm: str) -> str:
+        """The hex digits of the groups permuted, but a reserved first group (and 2001:db8)."""
+        groups = norm.split(":")
+        kept = 2 if norm.startswith("2001:db8:") else 1 if re.match(r"f[cdef]", norm) else 0
+        free = [(i, j) for i, g in enumerate(groups) if i >= kept for j in range(len(g))]
+        low = [int(j == 0) for _, j in free]  # a group keeps its length: no leading zero
+        zero = [groups[i] == "0" for i, _ in free]
+        free = [(p, m) for p, m, z in zip(free, low, zero) if not z]
+        form = ":".join(g if i < kept or g in ("", "0") else str(len(g)) for i, g in enumerate(groups))
+        new = self.permute(f"ip6{form}", [int(groups[i][j], 16) - m for (i, j), m in free], [16 - m for _, m in free])
+        out = [list(g) for g in groups]
+        for ((i, j), m), v in zip(free, new):
+            out[i][j] = f"{v + m:x}"
+        return ":".join(map("".join, out))
+
 
 def _space(o: list[int]) -> tuple[str, int]:
     """The address space and how many octets it fixes."""
@@ -200,6 +234,32 @@ def _script(token: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
 
 
+def _name_tokens(text: str, at: int) -> list[tuple[str, bool]]:
+    """(token, after a particle) of the name that begins at ``at``: capitalised tokens, however
+    many, and particles as long as a capitalised token follows; a title ends it."""
+    out, particle, pending = [], False, False
+    while m := TOKEN.match(text, at):
+        token = re.sub(r"['’]s$", "", m["token"])
+        if token in PARTICLES:
+            pending = True
+        elif not token[0].isupper() or any(token in ts for ts in TITLES.values()):
+            break
+        else:
+            particle, pending = particle or pending and bool(out), False
+            out.append((token, particle))
+        at = m.end()
+    return out
+
+
+def _ip6_norm(raw: str) -> str:
+    """The compressed form of an address that may be personal, else the empty string."""
+    try:
+        ip = ipaddress.IPv6Address(raw)
+    except ValueError:
+        return ""
+    return "" if ip.is_loopback or ip.is_unspecified else ip.compressed
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, norm) of the entities of a text, in order and without overlap."""
     found = []
@@ -222,18 +282,19 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 norm = digits if kind in ("card", "ssn") else raw.replace(" ", "")
             if kind != "ip" or _space([int(x) for x in raw.split(".")])[0] != "none":
                 found.append((m.start(), m.end(), kind, norm))
+    if text.count(":") > 1:
+        for m in IPV6.finditer(text):
+            norm = _ip6_norm(m[0])
+            if norm:
+                found.append((m.start(), m.end(), "ip", norm))
     names = {}
-    for m in PERSON.finditer(text):
+    for m in TITLE.finditer(text):
         gender = next(g for g, ts in TITLES.items() if m["title"] in ts)
-        tokens = [(m.start("names") + t.start(), t[0]) for t in re.finditer(r"[^ ]+", m["names"])]
-        kept = []
-        for at, t in tokens:
-            if not t[0].isupper():
-                break
-            kept.append((at, t))
-        for i, (at, t) in enumerate(kept):
-            role = "given" if len(kept) > 1 and i < len(kept) - 1 else "family"
-            norm = f"{gender}:given:{t.lower()}" if role == "given" else f"n:family:{t.lower()}"
+        kept = _name_tokens(text, m.end())
+        for i, (t, after_particle) in enumerate(kept):
+            role = "given" if i < len(kept) - 1 and not after_particle else "family"
+            lower = unicodedata.normalize("NFC", t.lower())
+            norm = f"{gender}:given:{lower}" if role == "given" else f"n:family:{lower}"
             names.setdefault(t, norm)
             if len(t) > 1:
                 names.setdefault(t.upper(), norm)
@@ -256,9 +317,12 @@ def _written_like(original: str, kind: str, new: str) -> str:
     if kind == "person":
         if original.isupper() and len(original) > 1:
             return new.upper()
-        return "".join(n.upper() if i < len(original) and original[i].isupper() else n for i, n in enumerate(new))
+        old, new = unicodedata.normalize("NFD", original), unicodedata.normalize("NFD", new)
+        return unicodedata.normalize("NFC", "".join(n.upper() if i < len(old) and old[i].isupper() else n for i, n in enumerate(new)))
     if kind == "ip":
-        return new
+        if ":" in original and len(original) == 39:
+            new = ipaddress.IPv6Address(new).exploded
+        return new.upper() if ":" in original and original.upper() == original else new
     if kind == "phone":
         new = new.split(":")[1]
     fresh, skip = iter(new), 0
@@ -331,7 +395,7 @@ def choose_epoch(docs: DataFrame, key: bytes = DEFAULT_KEY) -> int:
     return min(tried)[1]
 
 
-def _anonymised(key: bytes, epoch: int, names: list[str]):
+def _anonymised(key: bytes, epoch: int):
     def run(batches):
         keyed = Keyed(key, epoch)
         for batch in batches:
@@ -340,14 +404,20 @@ def _anonymised(key: bytes, epoch: int, names: list[str]):
                 new, found = replace(t, keyed) if t else (t, [])
                 texts.append(new)
                 kinds.append(found)
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], [*names, "replaced"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))],
+                                             ["row", "text", "replaced"])
     return run
 
 
-def anonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text`` and the kinds replaced in ``replaced``."""
+def anonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, out: str = "replaced") -> DataFrame:
+    """``docs`` with surrogates in ``text`` and the kinds replaced in ``out``, which replaces a
+    column of that name; all other columns pass through, whatever their names."""
     epoch = choose_epoch(docs, key)
-    docs = docs.drop("replaced")
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_anonymised(key, epoch, docs.columns), f"{shape}, replaced array<string>")
+    rest = [c for c in docs.columns if c not in ("text", out)]
+    # without other columns a constant keeps the struct from being empty
+    row = F.struct(*[F.col(f"`{c}`") for c in rest], *([] if rest else [F.lit(0).alias("none")]))
+    rows = docs.select(row.alias("row"), "text")
+    shape = StructType([*rows.schema.fields, StructField("replaced", ArrayType(StringType()))])
+    done = rows.mapInArrow(_anonymised(key, epoch), shape)
+    return unnested(done, docs.columns, text=F.col("text"), **{out: F.col("replaced")}) \
+        .select(*[c for c in docs.columns if c != out], out)

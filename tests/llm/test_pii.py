@@ -68,3 +68,46 @@ def test_table(spark):
 def test_collisions_are_counted(spark):
     mapped = spark.createDataFrame([("email", "a", "x"), ("email", "b", "x"), ("ip", "c", "d"), ("ip", "d", "e")], "kind string, norm string, surrogate string")
     assert pii.collisions(mapped) == (1, 1)
+
+
+def _gone(text, *tokens):
+    new, _ = pii.replace(text, K)
+    for t in tokens:
+        assert t not in new, (t, new)
+    return new
+
+
+def test_whole_names_are_replaced():
+    """No cap on tokens, particles, apostrophes, hyphens, marks; the next title starts a new name."""
+    new = _gone("Frau Anna Maria Luisa Schmidt kam.", "Anna", "Luisa", "Schmidt")
+    assert new.startswith("Frau ") and new.endswith(" kam.") and len(new.split()) == 6
+    new = _gone("Herr Ludwig van Beethoven und Frau Beethoven", "Ludwig", "Beethoven")
+    assert " van " in new and new.split()[3] == new.split()[-1]  # one surrogate for the family name
+    new = _gone("Mr Müller and Ms Zoë Ångström", "Müller", "Zoë", "Ångström")
+    assert " and Ms " in new
+    new = _gone("Mr. O'Brien met Ms Anne-Marie Smith's friend", "O'Brien", "Anne", "Smith")
+    assert re.search(r"Mr\. [A-Z]'[A-Z][a-z]{4} met", new) and new.endswith("'s friend")
+    new = _gone("Г-н Ёлкин, Sr. Peña y Núñez, Dr. Prof", "Ёлкин", "Peña", "Núñez")
+    assert new.endswith("Dr. Prof")
+    assert sum(a != b for a, b in zip("Ёлкин", re.search(r"Г-н (\w+)", new)[1])) >= 4
+    assert len(_gone("Frau " + " ".join(["Anna"] * 200) + " Schmidt", "Anna", "Schmidt").split()) == 202
+
+
+def test_ipv6():
+    text = "hosts 2001:db8::1f, 2a00:1450:4001:0830:0000:0000:0000:200e, FE80::A1, ::1 and 12:30:45"
+    new = _gone(text, "::1f", "200e", "FE80::A1,")
+    found = [ipaddress.ip_address(x) for x in re.findall(r"[0-9A-Fa-f:]{8,39}", new) if x.count(":") > 2 or "::" in x]
+    assert new.startswith("hosts 2001:db8::") and "FE80::" in new and new.endswith("::1 and 12:30:45")
+    assert any(len(x) == 39 for x in new.replace(",", "").split()) and len(found) >= 3
+    addresses = {ipaddress.IPv6Address(i << 64 | i).compressed for i in range(1, 500)}
+    assert len({K.surrogate("ip", a) for a in addresses}) == len(addresses)
+
+
+def test_clashing_columns_keep_their_values(spark):
+    from pyspark.sql import functions as F
+    names = ["row", "kind", "norm", "surrogate", "none", "n"]
+    df = spark.createDataFrame([(1, "Frau Schmidt", "old")], "doc_id long, text string, replaced string")
+    df = df.withColumns({c: F.lit(f"my {c}") for c in names})
+    r = pii.anonymise(df).first()
+    assert [r[c] for c in names] == [f"my {c}" for c in names] and r["replaced"] == ["person"] and r["text"] != "Frau Schmidt"
+    assert pii.anonymise(df.select("text")).columns == ["text", "replaced"]
