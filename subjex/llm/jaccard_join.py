@@ -15,11 +15,12 @@ order gives an exact join.
 2. A second pass gives each document its set size, a fingerprint of the set and the prefix
    under the first order.  Documents of equal sets are one node from here on.
 3. Nodes that share a first-order prefix token with another node are put in a Bloom filter of
-   fixed size; a third pass hands on the texts and the other prefixes of these only.  The same
-   test is then made under the other orders, each among the nodes that are left.
+   fixed size (by the hash of one text), and a third pass makes the other prefixes of these
+   only.  The same test under the second order drops more nodes; the texts of those that are
+   left are fetched in the same way.
 4. Nodes that share a first-order token form a bucket.  Every member meets the bucket's
-   smallest node: as many pairs as rows.  Pairs that fit in size and overlap in the other
-   prefixes are confirmed; links give components.
+   smallest node: as many pairs as rows.  Pairs that fit in size, may have enough common
+   first-order tokens and overlap in every other prefix are confirmed; links give components.
 5. Buckets that still hold several components: members outside the bucket's main component
    meet all members, pair by pair in buckets of up to ``SMALL`` members, else in blocks of
    ``BLOCK`` rows, where shared tokens are counted through an inverted index and one link per
@@ -137,53 +138,66 @@ def _first_prefixes(counter: np.ndarray, percent: int):
             for i, j, h, before in _sets_of(batch.column("text")):
                 tokens, ends = prefixes(h, before, 0, counter, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(before)), pa.array(node_of(h, before)),
-                     _lists(ends, tokens)], ["doc_id", "n_shingles", "node", "prefix"])
+                    [batch.column("doc_id").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array(np.diff(before)),
+                     pa.array(node_of(h, before)), _lists(ends, tokens)], ["doc_id", "th", "n_shingles", "node", "prefix"])
     return run
 
 
-def _bloom_bits(node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, first bit, second bit) of each node in the Bloom filter."""
-    x = T.mix(node.view(_U) + _U(31))
-    return (x >> _U(40)).astype(np.int64) % BLOOM_WORDS, x & _U(63), (x >> _U(6)) & _U(63)
+def _bloom_bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bits) of each key in the Bloom filter."""
+    x = T.mix(key.view(_U) + _U(31))
+    return (x >> _U(40)).astype(np.int64) % BLOOM_WORDS, (_U(1) << (x & _U(63))) | (_U(1) << ((x >> _U(6)) & _U(63)))
 
 
 def _bloom(batches):
     for batch in batches:
-        word, a, b = _bloom_bits(batch.column("node").to_numpy(zero_copy_only=False))
-        bits = ((_U(1) << a) | (_U(1) << b)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits)], ["word", "bits"])
+        word, bits = _bloom_bits(batch.column(0).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
 
 
-def bloom_filter(nodes: DataFrame) -> np.ndarray:
-    """Bit words of a Bloom filter over ``nodes`` (node long); of fixed size."""
-    rows = nodes.mapInArrow(_bloom, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+def bloom_filter(keys: DataFrame) -> np.ndarray:
+    """Bit words of a Bloom filter over ``keys`` (one long column); of fixed size."""
+    rows = keys.mapInArrow(_bloom, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(BLOOM_WORDS, np.int64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(_U)
 
 
-def _likely_texts(counters: np.ndarray, percent: int, bloom: np.ndarray):
-    """Node, text and further prefixes of the documents whose node may be in the Bloom filter."""
+def _likely(bloom: np.ndarray, key: str):
+    """Rows whose ``key`` may be in the Bloom filter."""
     def run(batches):
         for batch in batches:
+            word, bits = _bloom_bits(batch.column(key).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(bloom[word] & bits == bits))
+    return run
+
+
+def likely_rows(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among ``keys`` (one long column), so
+    that an exact join moves fewer."""
+    return rows.mapInArrow(_likely(bloom_filter(keys), key), rows.schema)
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text): one text of each of ``nodes`` (node, th: one each); ``docs``: th, text."""
+    likely = likely_rows(docs.select("th", "text"), "th", nodes.select("th"))
+    return likely.join(nodes.select("node", "th"), "th").dropDuplicates(["th"]).select("node", "text")
+
+
+def _further_prefixes(counters: np.ndarray, percent: int, bloom: np.ndarray):
+    """(th, node, n, p1, ...) of the rows whose text hash may be in the Bloom filter."""
+    likely = _likely(bloom, "th")
+
+    def run(batches):
+        for batch in likely(batches):
             for i, j, h, before in _sets_of(batch.column("text")):
-                node = node_of(h, before)
-                word, a, b = _bloom_bits(node)
-                bits = (_U(1) << a) | (_U(1) << b)
-                hit = (bloom[word] & bits == bits) & (node != 0)
-                if not hit.any():
-                    continue
-                kept = np.repeat(hit, np.diff(before))
-                h, size = h[kept], np.diff(before)[hit]
-                before = np.r_[0, np.cumsum(size)]
                 further = []
                 for m in range(1, ORDERS):
                     tokens, ends = prefixes(h, before, m, counters[m - 1], percent)
                     further.append(_lists(ends, tokens))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[hit]), pa.array(size), batch.column("text").slice(i, j - i).filter(pa.array(hit)), *further],
-                    ["node", "n", "text", *[f"p{m}" for m in range(1, ORDERS)]])
+                    [batch.column("th").slice(i, j - i), pa.array(np.diff(before)), *further],
+                    ["th", "n", *[f"p{m}" for m in range(1, ORDERS)]])
     return run
 
 
@@ -207,20 +221,32 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the size and all prefix filters and hold on the full sets;
-    ``nodes``: node, n, text, p1, ...  Filters come before the texts are joined."""
+def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, c) that pass all filters and hold on the full sets.
+
+    ``c``: common first-order prefix tokens, at most.  Of tokens behind the earlier end of the
+    two prefixes at most ``ceil(t * n) - 1`` are common (n the larger size), so ``c`` must make
+    up for the rest of the overlap that the sizes ask for.  Then every further order's prefixes
+    must overlap.  ``nodes``: node, n, p1, ...; ``texts``: node, text, joined last.
+    """
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}")), side)
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    up = lambda x, y: F.floor((x + F.lit(y - 1)) / F.lit(y))
+    overlap = up(percent * (F.col("na") + F.col("nb")), 100 + percent)
+    fits = (100 * small >= percent * large) & (F.col("c") >= overlap - up(percent * large, 100) + 1)
+    pairs = written(pairs.where(fits).select("a", "b"), "sized-pairs")
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node"))
+    nodes = likely_rows(nodes, "node", ends(pairs))
     extra = [f"p{m}" for m in range(1, ORDERS)]
-    light = pairs
     for side in "ab":
-        light = light.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"),
-                                        *[F.col(p).alias(f"{p}{side}") for p in extra]), side)
-    fits = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(p).alias(f"{p}{side}") for p in extra]), side)
     for p in extra:
-        fits = fits & F.arrays_overlap(f"{p}a", f"{p}b")
-    both = written(light.where(fits).select("a", "b"), "candidate-pairs")
+        pairs = pairs.where(F.arrays_overlap(f"{p}a", f"{p}b"))
+    both = written(pairs.select("a", "b"), "candidate-pairs")
+    texts = likely_rows(texts, "node", ends(both))
     for side in "ab":
-        both = both.join(nodes.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
+        both = both.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
@@ -266,7 +292,7 @@ def _placed(rows: DataFrame, comp: DataFrame, node: str) -> DataFrame:
         .withColumn("comp", F.coalesce("_found", node)).drop("_own", "_found")
 
 
-def _cross_links(members: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _cross_links(members: DataFrame, comp: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links between different components within the buckets ``members`` (token, node)."""
     placed = written(_placed(members, comp, "node"), "placed-members")
     parts = placed.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(
@@ -275,8 +301,13 @@ def _cross_links(members: DataFrame, comp: DataFrame, nodes: DataFrame, percent:
     placed = written(placed.join(parts, "token"), "open-buckets")
     few = placed.where(F.col("n") <= SMALL)
     left, right = (few.select("token", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
-    cross = left.join(right, "token").where("comp_a <> comp_b and a < b").select("a", "b").distinct()
-    found = _confirmed(cross, nodes, percent)
+    cross = left.join(right, "token").where("comp_a <> comp_b and a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
+    # common tokens of large buckets are not counted above: at most as many as either node has
+    large = placed.where(F.col("n") > SMALL).groupBy("node").agg(F.count("*").alias("k"))
+    for side in "ab":
+        cross = cross.join(large.select(F.col("node").alias(side), F.col("k").alias(f"k{side}")), side, "left")
+    more = F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
+    found = _confirmed(cross.select("a", "b", (F.col("c") + more).alias("c")), nodes, texts, percent)
 
     many = placed.where(F.col("n") > SMALL).withColumn("asks", F.col("comp") != F.col("main"))
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
@@ -286,7 +317,6 @@ def _cross_links(members: DataFrame, comp: DataFrame, nodes: DataFrame, percent:
     as_member = many.select("token", "node", "comp", F.lit(False).alias("asks"), every("qb").alias("qb"), own("mb", 1).alias("mb"))
     as_query = many.where("asks").select("token", "node", "comp", "asks", own("qb", 2).alias("qb"), every("mb").alias("mb"))
     grid = as_member.unionByName(as_query).groupBy("token", "qb", "mb", "node", "comp").agg(F.max("asks").alias("asks"))
-    texts = nodes.select("node", "text")
     in_blocks = grid.join(texts, "node").groupBy("token", "qb", "mb").applyInArrow(_block_links(percent), "a long, b long")
     return found.unionByName(in_blocks)
 
@@ -295,28 +325,34 @@ def jaccard_join(docs: DataFrame, percent: int = 85, bins: int = BINS) -> DataFr
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per row of
     ``docs`` (doc_id, text); documents link when ``100 * intersection >= percent * union``."""
     ship_package(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     counters = token_counters(docs, bins)
     sets = written(docs.mapInArrow(_first_prefixes(counters[0], percent),
-                                   "doc_id long, n_shingles long, node long, prefix array<long>"), "prefixes")
+                                   "doc_id long, th long, n_shingles long, node long, prefix array<long>"), "prefixes")
     tokens = sets.where("n_shingles > 0").select("node", F.explode("prefix").alias("token"))
     members = written(tokens.join(_shared(tokens).select("token"), "token", "left_semi").distinct(), "members")
-    active = members.select("node").distinct()
-
-    schema = "node long, n long, text string, " + ", ".join(f"p{m} array<long>" for m in range(1, ORDERS))
-    likely = docs.select("text").mapInArrow(_likely_texts(counters[1:], percent, bloom_filter(active)), schema)
-    nodes = written(likely.join(active, "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
-    left = active
-    for m in range(1, ORDERS):
-        own = nodes.join(left, "node", "left_semi").select("node", F.explode(f"p{m}").alias("token"))
-        left = written(own.join(_shared(own), "token", "left_semi").select("node").distinct(), "active-nodes")
+    # one text stands for the texts of a node
+    active = written(sets.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")),
+                     "active-nodes")
+
+    schema = "th long, n long, " + ", ".join(f"p{m} array<long>" for m in range(1, ORDERS))
+    likely = docs.select("th", "text").mapInArrow(_further_prefixes(counters[1:], percent, bloom_filter(active.select("th"))), schema)
+    nodes = written(likely.join(active, "th").dropDuplicates(["th"]), "further-prefixes")
+    # the second order drops more nodes before texts are fetched; all orders are asked of pairs
+    own = nodes.select("node", F.explode("p1").alias("token"))
+    left = written(own.join(_shared(own), "token", "left_semi").select("node").distinct(), "active-nodes")
+    texts = written(texts_of(docs, active.join(left, "node", "left_semi")), "candidate-texts")
     members = members.join(left, "node", "left_semi")
     members = written(members.join(_shared(members).select("token", "leader"), "token"), "buckets")
 
+    # a star pair has at most as many common tokens as either node has shared ones
+    held = members.groupBy("node").agg(F.count("*").alias("k"))
     star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_confirmed(star, nodes, percent), "star-links")
+    for side in "ab":
+        star = star.join(held.select(F.col("node").alias(side), F.col("k").alias(f"k{side}")), side)
+    links = written(_confirmed(star.select("a", "b", F.least("ka", "kb").alias("c")), nodes, texts, percent), "star-links")
     comp = components(links)
-    more = _cross_links(members.select("token", "node"), comp, nodes, percent)
+    more = _cross_links(members.select("token", "node"), comp, nodes, texts, percent)
 
     # documents of several texts join their nodes; each text's node joins its document's least one
     several = sets.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(
