@@ -1,11 +1,11 @@
 """Text embedding and one-vs-rest logistic regression.
 
-Training fits one binary ``pyspark.ml`` logistic regression per class on one
-persisted frame, with balanced instance weights and the reference's objective
-(``C = 10``: ``regParam = 1 / (C * n)`` because Spark divides the loss by the
-weight sum, which the balanced weights make equal to ``n``).  The fits are
-independent jobs, submitted from a small driver thread pool so that they run
-concurrently on the cluster.
+Training fits all classes of a one-vs-rest logistic regression together, with
+balanced instance weights and the reference's objective (0.5 |w|^2 + C * weighted
+loss, intercept free): one distributed pass an iteration sums the losses,
+gradients and, while they are small, Hessians of every class, and each class
+takes its own Newton or L-BFGS step.  The number of jobs does not depend on the
+number of classes.
 
 Scoring multiplies each Arrow batch of feature rows with the coefficient matrix
 (classes x dim, bounded by the class count) in one pandas UDF: all classes in
@@ -15,7 +15,6 @@ one pass.
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subjex.functions.text import whitespace_tokens
-from subjex.session import ship_package
+from subjex.operators.encoders import chunked, summed
+from subjex.session import ship_package, written
 
 # The reference's classifier settings.
 LR_C = 10.0
@@ -130,52 +130,136 @@ class OvrModel:
     n_classes: int
 
 
-def _fit_one(train: DataFrame, j: int, n: int, pos: int, c: float, max_iter: int, tol: float):
-    from pyspark.ml.classification import LogisticRegression
-
-    if pos == 0 or pos == n:
-        # A constant class - probability 0 (or 1) for every record
-        return None, (-np.inf if pos == 0 else np.inf)
-    one = train.select("features", F.element_at("y", j + 1).cast("double").alias("label"))
-    weighted = balanced_instance_weights(one, "label", n, pos)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
-                            regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-                            maxIter=max_iter, tol=tol, fitIntercept=True)
-    model = lr.fit(weighted)
-    return model.coefficients.toArray(), float(model.intercept)
+#: Numbers of all classes' Hessians up to which Newton steps are taken (a property of the
+#: model: classes x (dimensions + 1) squared); L-BFGS beyond.
+MAX_HESSIAN = 1 << 21
+LBFGS_MEMORY = 10
+#: Rows of a partial sum that travel together (of one number each).
+_CHUNK = 1 << 15
+
+
+def _loss_sums(w: np.ndarray, weights: np.ndarray, hessian: bool):
+    """Sums over a task's rows (features, y), flat: per class the weighted log loss, its gradient
+    by coefficients and intercept and, if asked, its Hessian.  ``weights``: classes x (negative,
+    positive)."""
+    def run(batches):
+        c, d = w.shape
+        total = np.zeros((c, 1 + d + d * d * hessian))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            y = batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[:, :c] == 1
+            x = np.hstack([x, np.ones((len(x), 1))])
+            s = np.where(y, weights[:, 1], weights[:, 0])
+            z = x @ w.T
+            total[:, 0] += (s * (np.logaddexp(0, z) - y * z)).sum(axis=0)
+            p = 0.5 * (1 + np.tanh(z / 2))
+            total[:, 1:1 + d] += (s * (p - y)).T @ x
+            if hessian:
+                h = s * p * (1 - p)
+                for j in range(c):
+                    total[j, 1 + d:] += ((x * h[:, j:j + 1]).T @ x).ravel()
+        yield chunked(total.reshape(-1, 1), _CHUNK)
+    return run
+
+
+class _Lbfgs:
+    """Two-loop recursion over the last steps of one class."""
+
+    def __init__(self):
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def learn(self, step: np.ndarray, change: np.ndarray) -> None:
+        if step @ change > 1e-12 * (np.linalg.norm(step) * np.linalg.norm(change) + 1e-300):
+            self.pairs = [*self.pairs, (step, change)][-LBFGS_MEMORY:]
+
+    def direction(self, g: np.ndarray) -> np.ndarray:
+        q, used = g.copy(), []
+        for s, y in reversed(self.pairs):
+            a = (s @ q) / (s @ y)
+            used.append(a)
+            q -= a * y
+        if self.pairs:
+            s, y = self.pairs[-1]
+            q *= (s @ y) / (y @ y)
+        else:
+            q /= max(1.0, np.linalg.norm(g))
+        for (s, y), a in zip(self.pairs, reversed(used)):
+            q += (a - (y @ q) / (s @ y)) * s
+        return -q
+
+
+def _minimise(evaluate, classes: int, size: int, newton: bool, max_iter: int, tol: float) -> np.ndarray:
+    """Minimise ``classes`` independent functions in lock step.  ``evaluate(points)`` returns all
+    values, gradients and Hessians (or None) at one point a class; a class that is at its
+    minimum (gradient at most ``tol``) stays, one whose value grew halves its step."""
+    w = np.zeros((classes, size))
+    f, g, h = evaluate(w)
+    memory = [_Lbfgs() for _ in range(classes)]
+    length = np.ones(classes)
+    move = np.zeros_like(w)
+    for _ in range(max_iter):
+        todo = np.abs(g).max(axis=1) > tol
+        if not todo.any():
+            break
+        for j in np.flatnonzero(todo & (length == 1)):
+            move[j] = -np.linalg.solve(h[j], g[j]) if newton else memory[j].direction(g[j])
+        trial = np.where(todo[:, None], w + length[:, None] * move, w)
+        f2, g2, h2 = evaluate(trial)
+        fine = todo & (f2 <= f + 1e-4 * length * (g * move).sum(axis=1) + 1e-12 * np.abs(f))
+        for j in np.flatnonzero(fine):
+            memory[j].learn(trial[j] - w[j], g2[j] - g[j])
+            w[j], f[j], g[j] = trial[j], f2[j], g2[j]
+            if newton:
+                h[j] = h2[j]
+        length = np.where(fine | ~todo, 1.0, length / 2)
+        if (length < 1e-10).any():
+            raise RuntimeError("no descent: the features may not be finite")
+    return w
 
 
 def fit_one_vs_rest(train: DataFrame, features: str, labels: str, n_classes: int,
-                    c: float = LR_C, max_iter: int = LR_MAX_ITER, tol: float = 1e-6,
-                    parallelism: int = 4) -> OvrModel:
-    """C2 + C3: one balanced logistic regression per class on a persisted frame.
+                    c: float = LR_C, max_iter: int = LR_MAX_ITER, tol: float = 1e-6) -> OvrModel:
+    """C2 + C3: balanced one-vs-rest logistic regression, all classes in one loop.
 
-    ``labels`` is the multi-hot ``ARRAY<INT>`` column (P18).
+    ``labels`` is the multi-hot ``ARRAY<INT>`` column (P18).  A class without positives (or
+    without negatives) gets a constant model.  ``tol`` bounds the gradient relative to
+    ``c`` times the number of rows.
     """
-    from pyspark.ml.functions import array_to_vector
     from subjex.operators.decode import MAX_CLASSES, bounded_collect
 
-    data = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"),
-                        F.col(labels).alias("y")).persist()
-    try:
-        # every class's positives in one aggregate (classes rows, combined map-side)
-        n = data.count()
-        per_class = data.select(F.posexplode("y").alias("j", "v")).groupBy("j") \
-            .agg(F.sum("v").alias("pos"))
-        pos = {r["j"]: int(r["pos"]) for r in bounded_collect(per_class, MAX_CLASSES, "classes")}
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            results = list(pool.map(lambda j: _fit_one(data, j, n, pos.get(j, 0), c, max_iter, tol),
-                                    range(n_classes)))
-    finally:
-        data.unpersist()
-    dim = next((len(w) for w, _ in results if w is not None), 0)
-    coef = np.zeros((n_classes, dim))
-    inter = np.zeros(n_classes)
-    for j, (w, b) in enumerate(results):
-        if w is not None:
-            coef[j] = w
-        inter[j] = b
-    return OvrModel(coef, inter, n_classes)
+    ship_package(train.sparkSession)
+    # read once an iteration: a written table, so that a lost executor costs no lineage
+    data = written(train.select(F.col(features).cast("array<double>").alias("features"), F.col(labels).alias("y")), "training-rows")
+    # every class's positives in one aggregate (classes rows, combined map-side)
+    n = data.count()
+    per_class = data.select(F.posexplode("y").alias("j", "v")).groupBy("j").agg(F.sum("v").alias("pos"))
+    pos = {r["j"]: int(r["pos"]) for r in bounded_collect(per_class, MAX_CLASSES, "classes")}
+    positives = np.array([pos.get(j, 0) for j in range(n_classes)], np.float64)
+    live = (positives > 0) & (positives < n)
+    # A constant class has probability 0 (or 1) for every record
+    intercepts = np.where(positives > 0, np.inf, -np.inf)
+    first = data.first()
+    dim = len(first["features"]) if first else 0
+    coefficients = np.zeros((n_classes, dim))
+    if live.any():
+        weights = np.ones((n_classes, 2))  # A9; a constant class is left out of the loop below
+        weights[live] = np.stack([n / (2 * (n - positives[live])), n / (2 * positives[live])], axis=1)
+        newton = int(live.sum()) * (dim + 1) ** 2 <= MAX_HESSIAN
+        prior = np.r_[np.ones(dim), 0.0]  # the intercept is not regularised
+
+        def evaluate(w):
+            full = np.zeros((n_classes, dim + 1))
+            full[live] = w
+            sums = summed(data.mapInArrow(_loss_sums(full, weights, newton), "chunk int, m binary"), 1).reshape(n_classes, -1)[live]
+            value = c * sums[:, 0] + 0.5 * (prior * w * w).sum(axis=1)
+            gradient = c * sums[:, 1:dim + 2] + prior * w
+            curve = c * sums[:, dim + 2:].reshape(-1, dim + 1, dim + 1) + np.diag(prior) if newton else None
+            return value, gradient, curve
+        w = _minimise(evaluate, int(live.sum()), dim + 1, newton, max_iter, tol * c * n)
+        coefficients[live], intercepts[live] = w[:, :-1], w[:, -1]
+    return OvrModel(coefficients, intercepts, n_classes)
 
 
 # ---------------------------------------------------------------------------

@@ -134,18 +134,24 @@ def _gram_part(idf: np.ndarray, q: np.ndarray, small: bool):
                     order = np.argsort(b, kind="stable")
                     own, first = np.unique(b[order], return_index=True)
                     total[own] += np.add.reduceat(z[row[order]] * value[order][:, None], first, axis=0)
-        chunks = [total[i:i + CHUNK_ROWS] for i in range(0, len(total), CHUNK_ROWS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())],
-                                         ["chunk", "m"])
+        yield chunked(total)
     return run
 
 
+def chunked(total: np.ndarray, rows: int | None = None) -> pa.RecordBatch:
+    """A task's matrix of sums as rows (chunk int, m binary)."""
+    rows = rows or CHUNK_ROWS
+    chunks = [total[i:i + rows] for i in range(0, len(total), rows)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())],
+                                      ["chunk", "m"])
+
+
 def _add(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(m.as_buffer()) for m in table.column("m"))
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "m": pa.array([total.tobytes()], pa.binary())})
 
 
-def _summed(parts: DataFrame, width: int) -> np.ndarray:
+def summed(parts: DataFrame, width: int) -> np.ndarray:
     """The sum of the tasks' matrices, added in two steps so that no group grows with all tasks."""
     salted = parts.withColumn("salt", F.spark_partition_id() % FAN_IN)
     some = salted.groupBy("chunk", "salt").applyInArrow(_add, "chunk int, m binary")
@@ -174,8 +180,8 @@ class LsaEncoder:
         idf = inverse_frequencies(tokens, buckets)
         q = np.random.default_rng(seed).standard_normal((buckets, width))
         for _ in range(power + 1):
-            q = np.linalg.qr(_summed(tokens.mapInArrow(_gram_part(idf, q, False), "chunk int, m binary"), width))[0]
-        small = _summed(tokens.mapInArrow(_gram_part(idf, q, True), "chunk int, m binary"), width)
+            q = np.linalg.qr(summed(tokens.mapInArrow(_gram_part(idf, q, False), "chunk int, m binary"), width))[0]
+        small = summed(tokens.mapInArrow(_gram_part(idf, q, True), "chunk int, m binary"), width)
         value, vector = np.linalg.eigh(small)
         best = np.argsort(-value)[:dim]
         return LsaEncoder(idf, q @ vector[:, best], np.sqrt(np.maximum(value[best], 0)))

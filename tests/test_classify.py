@@ -41,3 +41,31 @@ def test_encoder_is_fitted_once(spark, tmp_dir):
     a = fit.transform(spark.createDataFrame([("x y",)], "t string"), "t").first()["embedding"]
     b = HashingEncoder.load(tmp_dir + "/enc").transform(spark.createDataFrame([("w",), ("x y",)], "t string"), "t").where("t = 'x y'").first()["embedding"]
     assert a == b and abs(sum(x * x for x in a) - 1) < 1e-6
+
+
+def test_newton_and_lbfgs_find_the_same_optimum(spark, monkeypatch):
+    """All classes in one loop: the passes do not grow with the classes, both methods agree."""
+    from subjex.operators import classify as C
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 5))
+    y = (x @ r.normal(size=(5, 6)) + r.normal(size=(300, 6)) > 0.5).astype(int)
+    rows = [(x[i].tolist(), y[i].tolist()) for i in range(300)]
+    data = spark.createDataFrame(rows, "f array<double>, y array<int>").repartition(3)
+    newton = C.fit_one_vs_rest(data, "f", "y", 6, tol=1e-9)
+    passes = []
+    real = C._loss_sums
+    monkeypatch.setattr(C, "_loss_sums", lambda *a: passes.append(1) or real(*a))
+    C.fit_one_vs_rest(data, "f", "y", 2)
+    few = len(passes)
+    C.fit_one_vs_rest(data, "f", "y", 6)
+    assert len(passes) - few <= few + 3 <= 15
+    monkeypatch.setattr(C, "MAX_HESSIAN", 0)
+    other = C.fit_one_vs_rest(data, "f", "y", 6, tol=1e-7)
+    assert np.allclose(newton.coefficients, other.coefficients, atol=1e-3) and np.allclose(newton.intercepts, other.intercepts, atol=1e-3)
+
+
+def test_constant_classes_and_empty_table(spark):
+    data = spark.createDataFrame([([1.0, 2.0], [0, 1, 1]), ([2.0, 1.0], [0, 1, 0])], "f array<float>, y array<int>")
+    m = fit_one_vs_rest(data, "f", "y", 3)
+    assert m.intercepts[0] == -np.inf and m.intercepts[1] == np.inf and np.isfinite(m.intercepts[2])
+    assert fit_one_vs_rest(data.limit(0), "f", "y", 2).coefficients.shape == (2, 0)
