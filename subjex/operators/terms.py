@@ -22,9 +22,9 @@ StemFn = Callable[[str, str], str]
 # The normalised dictionary is broadcast only below this measured row count.
 MAX_BROADCAST_TERMS = 2_000_000
 
-# Default term normaliser: a small suffix-stripping rule.  The reference uses
-# Snowball stemmers, which are not available here; any ``(lang, token) -> term``
-# function can be passed instead.  Suffixes are tried in order; the stem keeps
+# Default term normaliser: a small suffix-stripping rule that stays a column
+# expression.  ``snowball.snowball_stem``, or any other ``(lang, token) -> term``
+# function, can be passed instead.  Suffixes are tried in order; the stem keeps
 # at least MIN_STEM characters.
 SUFFIXES = {"de": ("ungen", "ung", "en", "er", "es", "e", "s"),
             "en": ("ing", "ed", "es", "s")}
@@ -59,8 +59,9 @@ def suffix_stem_tokens(tokens, lang):
 
 
 def build_term_dictionary(df: DataFrame, lang: str, tokens: str) -> DataFrame:
-    """``(lang, token)`` - the distinct terms of a tokenised table."""
-    return df.select(F.col(lang).alias("lang"), F.explode(tokens).alias("token")).distinct()
+    """``(lang, token)`` - the distinct terms of a tokenised table; repeats within a record go
+    before they become rows."""
+    return df.select(F.col(lang).alias("lang"), F.explode(F.array_distinct(tokens)).alias("token")).distinct()
 
 
 def stem_dictionary(dictionary: DataFrame, stem: StemFn = suffix_stem) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from subjex.operators.neighbors import exact_top_k
+from subjex.functions.vectors import NORM_EPS
+from subjex.operators.decode import MAX_CLASSES, bounded_collect
+from subjex.operators.ranking import RANK_DECIMALS
+from subjex.session import ship_package
 
 # Fixed value: the reference's default number of classes set per record.
 ZERO_SHOT_K = 5
@@ -27,10 +33,22 @@ def class_centroids(df: DataFrame, class_col: str, vec: str) -> DataFrame:
 
 def zero_shot(records: DataFrame, key: str, vec: str, classes: DataFrame, n_classes: int,
               k: int = ZERO_SHOT_K) -> DataFrame:
-    """``(key, labels ARRAY<INT>)`` - the ``k`` classes with the highest cosine set to 1."""
-    best = exact_top_k(records.select(key, vec), key, vec,
-                       classes.select("class_idx", "embedding"), "class_idx", "embedding", k)
-    picked = best.groupBy(key).agg(F.collect_set("class_idx").alias("_top"))
-    return picked.select(key, F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)),
-                                          lambda j: F.array_contains("_top", j).cast("int"))
-                         .alias("labels"))
+    """``(key, labels ARRAY<INT>)`` - the ``k`` classes with the highest cosine set to 1, ties
+    to the smaller class.  The class vectors (classes x dimensions) ship with the function, so
+    records stay where they are."""
+    ship_package(records.sparkSession)
+    rows = sorted(bounded_collect(classes.select("class_idx", "embedding"), MAX_CLASSES, "classes"), key=lambda r: r["class_idx"])
+    index = np.array([r["class_idx"] for r in rows], np.int64)
+    matrix = np.array([r["embedding"] for r in rows], np.float64)
+    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), NORM_EPS) if len(rows) else matrix
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def tag(vecs: pd.Series) -> pd.Series:
+        labels = np.zeros((len(vecs), n_classes), np.int32)
+        if len(index):
+            x = np.vstack(vecs.to_numpy()).astype(np.float64)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_EPS)
+            best = np.argsort(-np.round(x @ matrix.T, RANK_DECIMALS), axis=1, kind="stable")[:, :k]
+            np.put_along_axis(labels, index[best], 1, axis=1)
+        return pd.Series(list(labels))
+    return records.select(key, tag(F.col(vec)).alias("labels"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from subjex.functions import text as X
 from subjex.operators.preprocess import preprocess_fields
-from subjex.operators.terms import build_term_dictionary, suffix_stem_col
+from subjex.operators.snowball import snowball_stem
+from subjex.operators.terms import build_term_dictionary, stem_dictionary, suffix_stem_col
 from subjex.plans import fixtures as fx
 from subjex.plans.catalog import register
 from subjex.plans.sqlparts import (clean_sql, route_sql, stem_sql, stop_filter_sql,
@@ -73,6 +74,21 @@ def t4_term_dictionary(spark, sf_dir):
     return dictionary.withColumn("term", suffix_stem_col(F.col("token"), F.col("lang")))
 
 
+@register("t4_snowball_terms")
+def t4_snowball_terms(spark, sf_dir):
+    """T4 + E3: the term dictionary of all documents with the Snowball stem of each term."""
+    route = X.route_language("lang")
+    t = _docs(spark, sf_dir).select(route.alias("lang"), X.remove_stop_words(X.word_tokens(X.clean("text")), route).alias("toks"))
+    return stem_dictionary(build_term_dictionary(t, "lang", "toks"), snowball_stem)
+
+
+@register("t6_snowball_preprocess")
+def t6_snowball_preprocess(spark, sf_dir):
+    """T6 with Snowball stems: the stemmer runs once per distinct term, joined back to the tokens."""
+    d = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    return preprocess_fields(d, "doc_id", {"pre": "text"}, "lang", stem=snowball_stem, keep=()).select("doc_id", "pre")
+
+
 @register("t6_preprocess", f"""
 with {_STEPS}
 select doc_id, array_to_string(terms, ' ') as pre from c4""")
