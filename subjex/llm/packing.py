@@ -6,7 +6,9 @@ most ``capacity`` counts, whatever the corpus.  On it, with multiplicities:
 1. Reduction (Martello-Toth): for a piece j, largest first, the set {j, j*} with the
    largest fitting j* dominates every other bin with j when it fills the bin exactly, when
    only one piece fits beside j, or when at most two fit and no pair beats j*; {j} does
-   when nothing fits.  Such bins are fixed and leave; repeat until none is left.
+   when nothing fits.  When at most two fit and the best pair is j* with the largest piece b
+   that fits beside both, {j, j*, b} dominates unless two pieces longer than b fit beside j.
+   Such bins are fixed and leave; repeat until none is left.
 2. Best fit decreasing packs the rest, each length into the fullest bins that take it.
 
 The plan is a list of segments "pieces number a to b of length L go, q to a bin, to the
@@ -38,7 +40,7 @@ CAPACITY = 4096
 END_ID = 1
 CACHED_WORDS = 600_000
 #: A full stop or comma that does not follow a letter or digit may belong to a longer run.
-_RUN = re.compile(r"(?:\W|_)[.,]")
+_RUN = re.compile(r"[.,](?<![^\W_][.,])")
 #: ASCII punctuation but the apostrophe, which may begin a pre-token of letters.
 PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
@@ -197,11 +199,11 @@ class Plan:
         self.segments.append((length, first, bins * per_bin, per_bin, first_bin, offset))
         self.left[length] -= bins * per_bin
 
-    def _smallest(self, skip: int, n: int) -> list[int]:
-        """The ``n`` smallest pieces besides one of length ``skip``."""
+    def _smallest(self, skip: tuple[int, ...], n: int, above: int = 0) -> list[int]:
+        """The ``n`` smallest pieces longer than ``above``, besides one of each length in ``skip``."""
         out: list[int] = []
-        for length in np.flatnonzero(self.left):
-            have = int(self.left[length]) - (length == skip)
+        for length in np.flatnonzero(self.left[above + 1:]) + above + 1:
+            have = int(self.left[length]) - skip.count(length)
             out += repeat(int(length), min(have, n - len(out)))
             if len(out) == n:
                 break
@@ -228,6 +230,26 @@ class Plan:
                 i += 1
         return best
 
+    def _third(self, j: int, mate: int, room: int, best: int) -> int:
+        """The piece that completes a dominating set {j, mate, b}, when at most two pieces fit
+        beside j and the best pair sums to ``best``; 0 if there is none."""
+        b = best - mate
+        if not 0 < b <= mate or self.left[b] <= (j, mate).count(b):
+            return 0
+        longer = self._smallest((j, mate), 2, b)
+        return b if len(longer) < 2 or sum(longer) > room else 0
+
+    def _fix(self, pieces: list[int]) -> None:
+        """As many bins with these pieces as there are."""
+        kinds = {length: pieces.count(length) for length in pieces}
+        n = min(int(self.left[length]) // k for length, k in kinds.items())
+        offset = 0
+        for length, k in kinds.items():
+            self._put(length, n, k, self.bins, offset)
+            offset += length * k
+        self.bins += n
+        self.fixed += n
+
     def _reduce(self) -> None:
         changed = True
         while changed:
@@ -236,24 +258,19 @@ class Plan:
                 while self.left[j]:
                     room = self.capacity - j
                     mate = self._largest(j, room)
-                    if not mate:
-                        n = int(self.left[j])
-                        self._put(j, n, 1, self.bins, 0)
-                    else:
-                        if mate != room:
-                            small = self._smallest(j, 3)
-                            pairs = len(small) > 1 and small[0] + small[1] <= room
-                            triples = len(small) > 2 and sum(small) <= room
-                            if pairs and (triples or self._best_pair(j, room) > mate):
+                    chosen = [j, mate] if mate else [j]
+                    if mate and mate != room:
+                        small = self._smallest((j,), 3)
+                        if len(small) > 1 and small[0] + small[1] <= room:
+                            if len(small) > 2 and sum(small) <= room:
                                 break
-                        n = int(self.left[j] // 2 if mate == j else min(self.left[j], self.left[mate]))
-                        if mate == j:
-                            self._put(j, n, 2, self.bins, 0)
-                        else:
-                            self._put(j, n, 1, self.bins, 0)
-                            self._put(mate, n, 1, self.bins, j)
-                    self.bins += n
-                    self.fixed += n
+                            best = self._best_pair(j, room)
+                            if best > mate:
+                                third = self._third(j, mate, room, best)
+                                if not third:
+                                    break
+                                chosen.append(third)
+                    self._fix(chosen)
                     changed = True
 
     def _best_fit(self) -> None:

@@ -80,6 +80,37 @@ def test_small_instances_are_near_the_optimum(lengths):
         assert bins == fewest(lengths, 20)
 
 
+def test_sets_of_three_are_fixed():
+    """Instances in which only the three-piece set dominates."""
+    plan, bins = fill({10: 1, 6: 1, 4: 1}, 20)
+    assert (plan.fixed, bins) == (1, 1)
+    plan, bins = fill({11: 3, 5: 3, 4: 3}, 20)
+    assert (plan.fixed, bins) == (3, 3)
+    plan, bins = fill({9: 1, 6: 1, 4: 2}, 20)  # 6 + 4 beside 9; the other 4 goes alone
+    assert (plan.fixed, bins) == (2, 2)
+    plan, bins = fill({8: 2, 6: 2}, 20)  # equal lengths: 8, 6, 6
+    assert bins == 2
+    # 10 + 7 + 2 against 10 + 5 + 4: two pieces longer than 2 fit, nothing is fixed for 10
+    plan, _ = fill({10: 1, 7: 1, 5: 1, 4: 1, 2: 1}, 20)
+    assert plan.fixed == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(3, 11), min_size=3, max_size=9))
+def test_every_fixed_bin_is_part_of_an_optimum(lengths):
+    """What is fixed plus the optimum of what is left is the optimum of all."""
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    plan = packing.Plan.__new__(packing.Plan)
+    plan.capacity, plan.bins, plan.fixed, plan.segments = 20, 0, 0, []
+    plan.left = np.zeros(21, np.int64)
+    for n, k in counts.items():
+        plan.left[n] = k
+    plan.total = plan.left.copy()
+    plan._reduce()
+    rest = [int(n) for n in np.flatnonzero(plan.left)[::-1] for _ in range(plan.left[n])]
+    assert plan.fixed + (fewest(rest, 20) if rest else 0) == fewest(sorted(lengths, reverse=True), 20)
+
+
 def test_large_histogram():
     r = random.Random(4)
     counts = {n: r.randrange(1, 400) for n in r.sample(range(1, 4097), 900)}
