@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from subjex.functions import text as X
 from subjex.operators import decode as D
+from subjex.operators.classify import embed
 from subjex.operators.encoders import LsaEncoder
 from subjex.operators.label_index import LabelIndex, build_label_index
 from subjex.operators.metrics import confusion, micro_macro, per_label_f1
+from subjex.operators.pair_scorer import LateInteraction
 from subjex.operators.ranking import debug_limit
-from subjex.operators.suggest import suggest_subjects
+from subjex.operators.suggest import suggest_dense, suggest_subjects
 from subjex.plans import fixtures as fx
 from subjex.plans import q_classify as QC
 from subjex.plans import q_dense as QD
@@ -105,3 +108,33 @@ def h2_text_to_subjects(spark, sf_dir):
     index with cells and residual codes, hybrid suggestion for every document."""
     records, index, encoder = _subject_index(spark, sf_dir)
     return suggest_subjects(records, "id", "title", "abstract", index, encoder, topk=QD.TOPK, nprobe=2)
+
+
+@register("r1_pair_scorer")
+def r1_pair_scorer(spark, sf_dir):
+    """R1 + E2 + J4: dense candidates on encoded texts, the first five pairs of a record scored
+    by late interaction over its whole text."""
+    docs, labels = QD._inputs(spark, sf_dir)
+    texts = docs.select("text").unionByName(labels.select(F.col("label_text").alias("text")))
+    scorer = LateInteraction(LsaEncoder.fit(spread(texts), "text", dim=64))
+    out = suggest_dense(docs, "doc_id", "text", "embedding", labels, topk=QD.TOPK, rerank_n=QD.RERANK, scorer=scorer)
+    return out.select("doc_id", "rank", "gnd_id", F.round("score", 6).alias("score"))
+
+
+class _GramEncoder:
+    """A model for the encoder plug-in that needs no files: counts of letter triples by hash."""
+
+    def __call__(self, texts):
+        out = np.zeros((len(texts), 64), np.float32)
+        for i, t in enumerate(texts):
+            raw = np.frombuffer((t or "").lower().encode(), np.uint8).astype(np.int64)
+            if len(raw) >= 3:
+                out[i] = np.bincount((raw[:-2] * 961 + raw[1:-1] * 31 + raw[2:]) % 64, minlength=64)
+        return out
+
+
+@register("e1_plugged_encoder")
+def e1_plugged_encoder(spark, sf_dir):
+    """E1 + C1: any text encoder in batches; here letter triples of the whole texts, normalised."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return embed(d, "text", _GramEncoder, 64).select("doc_id", "embedding")
