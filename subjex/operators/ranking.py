@@ -46,9 +46,9 @@ def ranked_list(df: DataFrame, key: str, item: str, rank_col: str = "rank",
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """A repeatable sample of ``n`` records: order by a seeded hash of the key
-    (ties by key) and keep the first ``n`` (a top-n per task, then one merge)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """A repeatable sample of ``n`` records: order by the MD5 of ``seed:key`` (ties
+    by key) and keep the first ``n`` (a top-n per task, then one merge)."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)).limit(n)
 
 
 def debug_limit(df: DataFrame, key: str, n: int) -> DataFrame:

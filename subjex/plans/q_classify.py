@@ -11,7 +11,8 @@ from subjex.operators.metrics import (align, classification_report, confusion, e
 from subjex.operators.thresholds import (GRID, fit_thresholds_exact, fit_thresholds_grid,
                                          long_probs, mean_threshold, pr_sweep)
 from subjex.plans import fixtures as fx
-from subjex.plans.catalog import register
+from subjex.plans.catalog import REGISTRY, register
+from subjex.session import written
 
 K = 3
 GLOBAL_THR = 0.7
@@ -206,6 +207,25 @@ def c11_decode_topk_minp(spark, sf_dir):
     return _decoded(spark, sf_dir, D.decode("probs", "topk_minp", k=K, p_min=P_MIN))
 
 
+_MODE_QUERIES = {"threshold": "c7_decode_threshold", "threshold_ensure1": "c8_decode_threshold_ensure1",
+                 "global": "c9_decode_global", "topk": "c10_decode_topk", "topk_minp": "c11_decode_topk_minp"}
+
+
+@register("c13_decode_dispatch", "\nunion all\n".join(
+    f"select '{mode}' as mode, '{D.mode_suffix(mode, K, GLOBAL_THR, P_MIN)}' as suffix, x.* from ({REGISTRY[q][1]}) x"
+    for mode, q in _MODE_QUERIES.items()))
+def c13_decode_dispatch(spark, sf_dir):
+    """Every decode mode through the dispatch, with the suffix of its metrics file."""
+    thr = D.threshold_list(_c5(spark, sf_dir))
+    probs = written(fx.prob(spark, sf_dir), "probabilities")
+    # one array per mode, a record's five decodings stay in its row
+    modes = F.array(*[F.struct(F.lit(mode).alias("mode"), F.lit(D.mode_suffix(mode, K, GLOBAL_THR, P_MIN)).alias("suffix"),
+                               D.decode("probs", mode, thr, K, GLOBAL_THR, P_MIN).alias("labels")) for mode in _MODE_QUERIES])
+    each = probs.select("id", F.explode(modes).alias("m")).select("id", "m.*")
+    return each.select("mode", "suffix", "id", F.posexplode("labels").alias("class_idx", "y")) \
+        .select("mode", "suffix", "id", F.col("class_idx").cast("int"), F.col("y").cast("int"))
+
+
 @register("c12_decode_threshold_or_topk", f"""
 with {_LP}, {_grid_sql('lp')}
 select r.id, cast(r.class_idx as integer) as class_idx,

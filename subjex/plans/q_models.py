@@ -131,7 +131,7 @@ def s11_f7_split_read(spark, sf_dir):
     return read_embeddings(spark, path, "dev").select("vec_id", "label")
 
 
-@register("w8_seeded_sample")
+@register("w8_seeded_sample", "select doc_id, lang from documents order by md5('42:' || doc_id), doc_id limit 100")
 def w8_seeded_sample(spark, sf_dir):
     """A seeded, repeatable sample of 100 documents (sampling is the feature)."""
     from subjex.operators.ranking import seeded_sample
