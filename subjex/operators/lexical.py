@@ -9,17 +9,19 @@ min-max scaling accounts for those implicit zeros, so results are exact.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subjex.functions.text import whitespace_tokens
 from subjex.operators.ranking import RANK_DECIMALS
 from subjex.operators.skew import hot_keys, salted_join
-from subjex.session import ship_package
+from subjex.session import ship_package, written
 
 # The BM25 library defaults the reference relies on
 # (it passes no parameters).
@@ -165,103 +167,246 @@ def record_minmax(scores: DataFrame, key: str, n_labels: int, score: str = "scor
 
 
 # ---------------------------------------------------------------------------
-# Blocked scoring: records stay where they are, label blocks come to them
-
-# Postings per label block: what a task holds of the index (about 12 bytes each).
-BLOCK_POSTINGS = 5_000_000
+# Blocked scoring: records stay where they are, stored label blocks come to them
+
+# Postings per label block: what a task holds of the index (about 40 bytes each).
+BLOCK_POSTINGS = 1_000_000
+# Labels that share one maximum per term.
+SUB_LABELS = 64
+# Sub-blocks scored before the others are held against the k-th score.
+FIRST_SUBS = 4
+# Labels that are asked for a common term before all are taken to match.
+PROBES = 256
+_TOP = pa.struct([("id", pa.string()), ("score", pa.float64()), ("shared", pa.int64())])
+_CAND = pa.struct([("score", pa.float64()), ("shared", pa.int64())])
 _STATE = ("_cnt bigint, _mn0 double, _mx0 double, _top array<struct<id:string,score:double,shared:bigint>>, "
           "_cand array<struct<score:double,shared:bigint>>")
 
 
+def _runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers start[i] .. end[i] - 1 of all i in turn."""
+    n = end - start
+    return np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
+
+
 class LabelBlock:
-    """Sparse term matrix of some labels: term -> (label numbers, weights)."""
-
-    def __init__(self, rows: list):
-        self.ids = sorted({r[1] for r in rows})
-        place = {g: i for i, g in enumerate(self.ids)}
-        names = sorted({r[0] for r in rows})
-        self.term = {t: i for i, t in enumerate(names)}
-        term = np.array([self.term[r[0]] for r in rows], np.int64)
-        order = np.argsort(term, kind="stable")
-        self.label = np.array([place[r[1]] for r in rows], np.int32)[order]
-        self.weight = np.array([r[2] for r in rows], np.float64)[order]
-        self.start = np.searchsorted(term[order], np.arange(len(names) + 1))
-
-    def scores(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(score, distinct shared terms) of every label for one record's T9 tokens."""
-        count: dict[int, int] = {}
-        for t in text.lower().split():
-            i = self.term.get(t)
-            if i is not None:
-                count[i] = count.get(i, 0) + 1
-        n = len(self.ids)
-        if not count:
-            return np.zeros(n), np.zeros(n, np.int64)
-        terms = np.fromiter(count, np.int64, len(count))
-        a, b = self.start[terms], self.start[terms + 1]
-        at = np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a) + np.arange((b - a).sum())
-        qf = np.repeat(np.fromiter(count.values(), np.float64, len(count)), b - a)
-        return (np.bincount(self.label[at], self.weight[at] * qf, n), np.bincount(self.label[at], minlength=n))
-
-
-def _merge_block(block: LabelBlock, names: list[str], k: int):
-    place = {g: i for i, g in enumerate(block.ids)}
-
-    def best(rows):
-        return sorted(rows, key=lambda r: (-round(r["score"], RANK_DECIMALS), r["id"]))[:k]
+    """Postings of some labels, by term and by label, with a maximum per term and sub-block.
+
+    Labels are numbered in the order of their ids, ``SUB_LABELS`` to a sub-block; terms are
+    64-bit hashes.  Built in a task (``label_blocks``), stored as bytes.
+    """
+
+    def __init__(self, term: np.ndarray, ids: list[str], weight: np.ndarray):
+        self.ids, label = np.unique(np.array(ids, object), return_inverse=True)
+        self.terms, term = np.unique(term, return_inverse=True)
+        order = np.lexsort((label, term))
+        self.label, self.weight, term = label[order].astype(np.int32), weight[order], term[order]
+        self.start = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        sub = self.label // SUB_LABELS
+        self.first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (sub[1:] != sub[:-1])])
+        self.sub, self.best = sub[self.first], np.maximum.reduceat(self.weight, self.first)
+        self.last = np.r_[self.first[1:], len(term)]
+        self.sub_start = np.searchsorted(term[self.first], np.arange(len(self.terms) + 1))
+        by_label = np.lexsort((term, self.label))
+        self.label_start = np.searchsorted(self.label[by_label], np.arange(len(self.ids) + 1))
+        self.label_term, self.label_weight = term[by_label], self.weight[by_label]
+        self.n_subs = int(sub.max()) + 1
+        self.positive = bool((self.weight >= 0).all())
+        # labels of the rarest terms: one without a common term proves that not all labels match
+        spread = np.add.reduceat(np.diff(self.start)[self.label_term], self.label_start[:-1])
+        probes = np.argsort(spread, kind="stable")[:PROBES]
+        size = np.diff(self.label_start)[probes]
+        self.probe_term = self.label_term[_runs(self.label_start[probes], self.label_start[probes + 1])]
+        self.probe_start = np.r_[0, np.cumsum(size)[:-1]]
+
+    def all_may_match(self, terms: np.ndarray) -> bool:
+        """Whether every label may have one of ``terms``."""
+        if int((self.start[terms + 1] - self.start[terms]).sum()) < len(self.ids):
+            return False
+        return bool(np.logical_or.reduceat(np.isin(self.probe_term, terms), self.probe_start).all())
+
+    def known(self, tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count) of the block's terms in a list column of token hashes, by row and term."""
+        size = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = tokens.flatten().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(self.terms, flat), len(self.terms) - 1)
+        hit = self.terms[at] == flat
+        key, count = np.unique(np.repeat(np.arange(len(tokens)), size)[hit] * len(self.terms) + at[hit], return_counts=True)
+        return key // len(self.terms), key % len(self.terms), count
+
+    def _scored(self, spots: np.ndarray, factor: np.ndarray):
+        """(labels, scores, shared terms) from the postings of some (term, sub-block) spots."""
+        a, b = self.first[spots], self.last[spots]
+        at = _runs(a, b)
+        labels, inverse = np.unique(self.label[at], return_inverse=True)
+        return labels, np.bincount(inverse, self.weight[at] * np.repeat(factor, b - a)), np.bincount(inverse)
+
+    def search(self, terms: np.ndarray, count: np.ndarray, k: int, kth: float, counts: dict | None = None):
+        """(labels, scores, shared terms) of one record: at least all that reach ``kth`` and the
+        block's best ``k``.  Sub-blocks whose bound, the sum of their maxima, stays below the
+        k-th score are left, unless every label may match (then the lowest score matters)."""
+        a, b = self.sub_start[terms], self.sub_start[terms + 1]
+        spots, factor = _runs(a, b), np.repeat(count.astype(np.float64), b - a)
+        if not self.positive or self.all_may_match(terms):
+            return self._scored(spots, factor)
+        sub = self.sub[spots]
+        bound = np.bincount(sub, self.best[spots] * factor, self.n_subs)
+        ahead = np.argsort(-bound, kind="stable")[:FIRST_SUBS]
+        wave = np.zeros(self.n_subs, bool)
+        wave[ahead[bound[ahead] >= kth - 2 * 10.0 ** -RANK_DECIMALS]] = True
+        here = wave[sub]
+        found = self._scored(spots[here], factor[here])
+        if len(found[1]) >= k:
+            kth = max(kth, float(np.partition(found[1], len(found[1]) - k)[len(found[1]) - k]))
+        rest = ~wave & (bound >= kth * (1 - 1e-12) - 2 * 10.0 ** -RANK_DECIMALS) & (bound > 0)
+        more = rest[sub]
+        if counts is not None:
+            counts["all"] = counts.get("all", 0) + int((self.last[spots] - self.first[spots]).sum())
+            used = spots[here | more]
+            counts["scored"] = counts.get("scored", 0) + int((self.last[used] - self.first[used]).sum())
+        if not more.any():
+            return found
+        extra = self._scored(spots[more], factor[more])
+        return tuple(np.concatenate([x, y]) for x, y in zip(found, extra))
+
+    def candidates(self, key: np.ndarray, count: np.ndarray, row: np.ndarray, label: np.ndarray):
+        """(score, shared terms) of given (row, label) pairs; ``key``: row * terms + term, sorted."""
+        a, b = self.label_start[label], self.label_start[label + 1]
+        at = _runs(a, b)
+        pair = np.repeat(np.arange(len(label)), b - a)
+        want = np.repeat(row, b - a) * len(self.terms) + self.label_term[at]
+        place = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
+        hit = key[place] == want if len(key) else np.zeros(len(want), bool)
+        value = self.label_weight[at][hit] * count[place[hit]]
+        return np.bincount(pair[hit], value, len(label)), np.bincount(pair[hit], minlength=len(label))
+
+
+def _pack_block(table: pa.Table) -> pa.Table:
+    block = LabelBlock(table.column("term").to_numpy(), table.column("id").to_pylist(), table.column("w").to_numpy())
+    return pa.table({"block": table.column("block").slice(0, 1), "payload": pa.array([pickle.dumps(block, 5)], pa.binary())})
+
+
+def label_blocks(index: Bm25Index) -> DataFrame:
+    """``(block, payload)``: the postings in blocks of about ``BLOCK_POSTINGS``, built in tasks and
+    written; a label lies in one block."""
+    blocks = max(1, -(-index.n_postings // BLOCK_POSTINGS))
+    dealt = index.postings.select(F.pmod(F.xxhash64(index.id_col), F.lit(blocks)).cast("int").alias("block"),
+                                  F.xxhash64("term").alias("term"), F.col(index.id_col).alias("id"), "w")
+    ship_package(index.postings.sparkSession)
+    return written(dealt.groupBy("block").applyInArrow(_pack_block, "block int, payload binary"), "label-blocks")
+
 
+def _merge_block(payload: bytes, names: list[str], k: int):
     def run(batches):
+        block: LabelBlock = pickle.loads(payload)
+        all_ids = pa.array(block.ids, pa.string())
         for batch in batches:
-            rows = batch.select(["_text", "_ids", "_cnt", "_mn0", "_mx0", "_top", "_cand"]).to_pylist()
-            for r in rows:
-                score, shared = block.scores(r["_text"] or "")
-                hit = np.flatnonzero(shared)
-                if len(hit):
-                    s = score[hit]
-                    r["_cnt"] += len(hit)
-                    r["_mn0"] = float(s.min()) if r["_mn0"] is None else min(r["_mn0"], float(s.min()))
-                    r["_mx0"] = float(s.max()) if r["_mx0"] is None else max(r["_mx0"], float(s.max()))
-                    if k:
-                        rounded = np.round(s, RANK_DECIMALS)
-                        if len(hit) > k:
-                            hit = hit[rounded >= np.partition(rounded, -k)[-k]]
-                        r["_top"] = best(r["_top"] + [{"id": block.ids[i], "score": float(score[i]), "shared": int(shared[i])} for i in hit])
-                for j, g in enumerate(r["_ids"] or ()):
-                    i = place.get(g)
-                    if i is not None and shared[i]:
-                        r["_cand"][j] = {"score": float(score[i]), "shared": int(shared[i])}
-            fields = {f.name: f.type for f in batch.schema}
-            state = [pa.array([r[c] for r in rows], fields[c]) for c in ("_cnt", "_mn0", "_mx0", "_top", "_cand")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *state], [*names, "_cnt", "_mn0", "_mx0", "_top", "_cand"])
+            n = batch.num_rows
+            row, term, count = block.known(batch.column("_tok"))
+            edge = np.searchsorted(row, np.arange(n + 1))
+            cnt, mn, mx = (batch.column(c).to_pylist() for c in ("_cnt", "_mn0", "_mx0"))
+            old = batch.column("_top")
+            before = old.offsets.to_numpy()
+            old = old.values
+            old_score, old_ids = old.field("score").to_numpy(zero_copy_only=False), old.field("id")
+            picked, sizes = [], np.zeros(n, np.int64)
+            for r in range(n):
+                o = np.arange(before[r], before[r + 1])
+                if edge[r] == edge[r + 1]:
+                    picked.append((o, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)))
+                    sizes[r] = len(o)
+                    continue
+                own = slice(edge[r], edge[r + 1])
+                kth = (mx[r] if not k else old_score[o[-1]] if len(o) >= k else None)
+                labels, score, shared = block.search(term[own], count[own], max(k, 1), -np.inf if kth is None else kth)
+                cnt[r] += len(labels)
+                if len(labels):
+                    mn[r] = float(score.min()) if mn[r] is None else min(mn[r], float(score.min()))
+                    mx[r] = float(score.max()) if mx[r] is None else max(mx[r], float(score.max()))
+                if k and len(labels) > k:
+                    rounded = np.round(score, RANK_DECIMALS)
+                    best = np.lexsort((labels, -rounded))[:k]  # labels are numbered by id
+                    labels, score, shared = labels[best], score[best], shared[best]
+                picked.append((o, labels, score, shared) if k else (o, labels[:0], score[:0], shared[:0]))
+                sizes[r] = len(o) + (len(labels) if k else 0)
+            top = _merged_top(old, old_ids, all_ids, picked, sizes, k)
+            cand = _merged_candidates(batch, block, all_ids, row * len(block.terms) + term, count)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(cnt, pa.int64()), pa.array(mn, pa.float64()), pa.array(mx, pa.float64()), top, cand],
+                [*names, "_cnt", "_mn0", "_mx0", "_top", "_cand"])
     return run
 
 
+def _merged_top(old, old_ids, all_ids, picked, sizes, k: int) -> pa.Array:
+    """The best ``k`` of the labels kept so far and of a block's, for all rows of a batch."""
+    o, labels, score, shared = (np.concatenate([p[i] for p in picked]) if picked else np.zeros(0) for i in range(4))
+    row = np.repeat(np.arange(len(picked)), sizes)
+    # within a row: kept ones first, as they were concatenated
+    is_old = np.concatenate([np.r_[np.ones(len(p[0]), bool), np.zeros(len(p[1]), bool)] for p in picked]) if picked else np.zeros(0, bool)
+    total, common = np.empty(len(row)), np.empty(len(row), np.int64)
+    total[is_old], total[~is_old] = old.field("score").to_numpy(zero_copy_only=False)[o.astype(np.int64)], score
+    common[is_old], common[~is_old] = old.field("shared").to_numpy(zero_copy_only=False)[o.astype(np.int64)], shared
+    place = np.empty(len(row), np.int64)
+    place[is_old], place[~is_old] = o, labels + len(old_ids)
+    ids = pa.concat_arrays([old_ids.cast(pa.string()), all_ids]).take(pa.array(place))
+    names = np.array(ids.to_pylist(), object)
+    rank = np.unique(names, return_inverse=True)[1] if len(names) else place
+    order = np.lexsort((rank, -np.round(total, RANK_DECIMALS), row))
+    start = np.r_[0, np.cumsum(sizes)]
+    order = order[np.arange(len(order)) - np.repeat(start[:-1], sizes) < max(k, 0)] if len(order) else order
+    kept = np.minimum(sizes, k)
+    values = pa.StructArray.from_arrays([ids.take(pa.array(order.astype(np.int64))), pa.array(total[order]), pa.array(common[order])],
+                                        fields=list(_TOP))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)].astype(np.int32)), values)
+
+
+def _merged_candidates(batch, block, all_ids, key, count) -> pa.Array:
+    """The scores of the candidates, those of this block's labels filled in."""
+    state, asked = batch.column("_cand"), batch.column("_ids")
+    offsets = state.offsets.to_numpy()
+    values = state.values.slice(offsets[0], offsets[-1] - offsets[0])
+    score, shared = (values.field(c).to_numpy(zero_copy_only=False).copy() for c in ("score", "shared"))
+    if len(values):
+        label = pc.index_in(asked.flatten(), value_set=all_ids).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        here = np.flatnonzero(label >= 0)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[here]
+        score[here], shared[here] = block.candidates(key, count, row, label[here])
+    filled = pa.StructArray.from_arrays([pa.array(score), pa.array(shared)], fields=list(_CAND))
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), filled)
+
+
 def bm25_summary(queries: DataFrame, index: Bm25Index, text_col: str, k: int = 0, candidates=None) -> DataFrame:
     """L2 / L3 without (record, label) rows: ``queries`` with, per record, the best ``k``
-    labels (``_top``: id, score, shared in rank order), the number, minimum and maximum of
-    the matching labels' scores (``_cnt, _mn0, _mx0``), and the scores of ``candidates`` (an
-    array of label ids, ``_cand`` in the same order).
-
-    Nothing is shuffled: labels are cut into blocks of at most about ``BLOCK_POSTINGS``
-    postings, each block is sent to the tasks as a sparse term matrix, and records meet
-    the blocks one after the other where they are.
+    labels (``_top``: id, score, shared in rank order), the scores of ``candidates`` (an array
+    of label ids, ``_cand`` in the same order), and the number, minimum and maximum of the
+    matching labels' scores (``_cnt, _mn0, _mx0``).  When labels were pruned, ``_cnt`` and
+    ``_mn0`` cover the scored ones; then some label has no common term and the minimum over
+    all labels is 0, as ``minmax_columns`` takes it.
+
+    Nothing is shuffled: label blocks are built in tasks and stored (``label_blocks``); each is
+    sent to the tasks as one array of bytes, and records meet the blocks one after the other
+    where they are, carrying their k-th score, minimum and maximum from block to block.  The
+    state is written between blocks, so one block is held at a time.
     """
     ship_package(queries.sparkSession)
-    blocks = max(1, -(-index.n_postings // BLOCK_POSTINGS))
     keep = queries.columns
     ids = candidates if candidates is not None else F.expr("cast(null as array<string>)")
     none = F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("shared"))
-    df = queries.withColumns({"_text": F.col(text_col), "_ids": ids}).withColumns({
+    tokens = F.transform(F.coalesce(whitespace_tokens(text_col), F.expr("cast(array() as array<string>)")), lambda t: F.xxhash64(t))
+    df = queries.withColumns({"_tok": tokens, "_ids": F.coalesce(ids, F.expr("cast(array() as array<string>)"))}).withColumns({
         "_cnt": F.lit(0).cast("long"), "_mn0": F.lit(None).cast("double"), "_mx0": F.lit(None).cast("double"),
         "_top": F.expr("cast(array() as array<struct<id:string,score:double,shared:bigint>>)"),
-        "_cand": F.transform(F.coalesce("_ids", F.expr("cast(array() as array<string>)")), lambda _: none)})
-    names = [*keep, "_text", "_ids"]
+        "_cand": F.transform(F.col("_ids"), lambda _: none)})
+    names = [*keep, "_tok", "_ids"]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names)
-    for b in range(blocks):
-        mine = index.postings if blocks == 1 else index.postings.where(F.pmod(F.xxhash64(index.id_col), F.lit(blocks)) == b)
-        rows = [(r["term"], r[index.id_col], r["w"]) for r in mine.select("term", index.id_col, "w").collect()]  # one block, bounded
-        df = df.mapInArrow(_merge_block(LabelBlock(rows), names, k), f"{head}, {_STATE}")
-    return df.drop("_text", "_ids")
+    stored = label_blocks(index)
+    numbers = sorted(r["block"] for r in stored.select("block").collect())
+    for i, b in enumerate(numbers):
+        payload = bytes(stored.where(F.col("block") == b).first()["payload"])  # one block, bounded
+        df = df.mapInArrow(_merge_block(payload, names, k), f"{head}, {_STATE}")
+        if i < len(numbers) - 1:
+            df = written(df, "block-state")
+    return df.drop("_tok", "_ids")
 
 
 def minmax_columns(n_labels: int):

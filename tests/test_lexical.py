@@ -80,3 +80,33 @@ def test_blocked_scores_equal_the_joined_ones(spark, monkeypatch):
         import pyspark.sql.functions as F
         s = L.bm25_summary(docs, index, "text", candidates=F.array(F.lit("g3"), F.lit("none"))).where("id = 99").first()
         assert s["_cnt"] == 0 and s["_mn0"] is None and [c["score"] for c in s["_cand"]] == [0.0, 0.0]
+
+
+def test_block_maxima_prune_and_lose_nothing():
+    """Pruned search against all scores: the best k agree, and most postings are left alone."""
+    import numpy as np
+    from subjex.operators.lexical import LabelBlock
+    r = np.random.default_rng(5)
+    rows = []
+    for label in range(4000):
+        for t in np.unique(np.r_[r.zipf(1.3, 4) % 3000, label % 200 + 5000]):
+            rows.append((int(t), f"g{label:05d}", float(r.uniform(0.1, 1) * (0.2 if t < 50 else 3))))
+    block = LabelBlock(np.array([x[0] for x in rows], np.int64), [x[1] for x in rows], np.array([x[2] for x in rows]))
+    weight = {(t, g): w for t, g, w in rows}
+    counts = {}
+    for q in range(60):
+        tokens = np.unique(np.r_[r.zipf(1.3, 30) % 3000, q % 200 + 5000])
+        known = np.flatnonzero(np.isin(block.terms, tokens))
+        count = r.integers(1, 4, len(known))
+        labels, score, shared = block.search(known, count, 5, -np.inf, counts)
+        want = {}
+        for t, c in zip(block.terms[known], count):
+            for g in set(x[1] for x in rows if x[0] == t):
+                w, n = want.get(g, (0.0, 0))
+                want[g] = (w + c * weight[t, g], n + 1)
+        best = sorted(want.items(), key=lambda x: (-round(x[1][0], 9), x[0]))[:5]
+        order = np.lexsort((labels, -np.round(score, 9)))[:5]
+        got = [(block.ids[labels[i]], (round(float(score[i]), 9), int(shared[i]))) for i in order]
+        assert got == [(g, (round(w, 9), n)) for g, (w, n) in best]
+    print("share of postings scored", counts["scored"] / counts["all"])
+    assert counts["scored"] < 0.7 * counts["all"]
