@@ -15,8 +15,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from subjex.session import scratch_path
+from subjex.sources import jsonld
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json",
@@ -31,6 +33,30 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json",
     return r.load(path)
 
 
+def convert_tree(spark: SparkSession, raw_dir: str, out_path: str, checkpoint: str, exclude: str | None = None,
+                 pattern: str = "*.jsonld", max_files_per_trigger: int = 100_000) -> DataFrame:
+    """S1, F1, F6, incremental: the corpus of a tree of documents, converted so far.
+
+    Each run converts the files that no earlier run has: the checkpoint lists the files taken,
+    and the file sink's log under ``out_path`` the parts committed, so a run that was killed is
+    finished by the next one and adds nothing twice (read the result through this function or
+    ``spark.read.parquet``, which follow that log).  A file that changes after it was converted
+    is not taken again.  ``exclude`` is read at each run.  No file at all is an error, also when
+    everything is excluded.
+    """
+    files = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True) \
+        .option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files_per_trigger).text(raw_dir)
+    docs = files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("doc"))
+    here = jsonld.scan_documents(spark, raw_dir, pattern)
+    if exclude:
+        excluded = jsonld.read_exclusions(spark, exclude)
+        docs, here = jsonld.drop_excluded(docs, excluded), jsonld.drop_excluded(here, excluded)
+    if here.select("file_name").isEmpty():
+        raise ValueError(f"no {pattern} files under {raw_dir}")
+    write_available_now(jsonld.extract_records(jsonld.parse_documents(docs)), out_path, checkpoint)
+    return spark.read.parquet(out_path)
+
+
 def table_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
     """A stream over the Parquet table ``name`` of a data folder: all files of a table
     folder, or the one file when the table is a single file (a stream needs a folder)."""

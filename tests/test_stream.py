@@ -37,3 +37,53 @@ def test_stream_over_a_table_of_many_files(spark, tmp_dir):
     spark.range(7).coalesce(1).write.parquet(tmp_dir + "/other.parquet")
     out = stream_to_table(spark, table_stream(spark, tmp_dir, "many", "id BIGINT"), "many-files")
     assert sorted(r["id"] for r in out.collect()) == list(range(40))
+
+
+def test_tree_is_converted_file_by_file(spark, tmp_dir):
+    """A second run takes only new files, a killed one is finished without repeats, exclusions
+    and the empty guard hold; the records are those of the batch conversion."""
+    import json
+    import os
+    import shutil
+
+    import pytest
+
+    from subjex.sources import jsonld as J
+    from subjex.streaming.stream import convert_tree
+    raw, out, ckpt = (os.path.join(tmp_dir, x) for x in ("raw", "out", "ckpt"))
+
+    def put(name, title, body=None):
+        os.makedirs(os.path.dirname(os.path.join(raw, name)), exist_ok=True)
+        doc = {"@graph": [{"@id": "x"}, {"@type": "bibo:Book", "title": title, "language": "http://l/de"}]}
+        with open(os.path.join(raw, name), "w") as f:
+            f.write(body if body is not None else json.dumps(doc))
+    titles = lambda df: sorted(r["title"] for r in df.collect())
+    os.makedirs(raw)
+    with pytest.raises(ValueError, match="no .*files"):
+        convert_tree(spark, raw, out, ckpt)
+    put("a/3A1.jsonld", "one")
+    put("a/b/3A2.v1.jsonld", "two")
+    put("a/broken.jsonld", "", "{")
+    put("a/note.txt", "no")
+    put("c/gone.jsonld", "excluded")
+    excl = os.path.join(tmp_dir, "excl.json")
+    with open(excl, "w") as f:
+        json.dump({"Records": ["raw/c/gone.jsonld"]}, f)
+    assert titles(convert_tree(spark, raw, out, ckpt, excl)) == ["one", "two"]
+    put("a/b/3A3.jsonld", "three")
+    assert titles(convert_tree(spark, raw, out, ckpt, excl)) == ["one", "three", "two"]
+    assert titles(convert_tree(spark, raw, out, ckpt, excl)) == ["one", "three", "two"]  # nothing new
+    # a run killed after writing its part, before its commit: the files are taken again, once
+    put("d/3A4.jsonld", "four")
+    assert titles(convert_tree(spark, raw, out, ckpt, excl)) == ["four", "one", "three", "two"]
+    commits = sorted((int(x) for x in os.listdir(os.path.join(ckpt, "commits")) if x.isdigit()))
+    os.remove(os.path.join(ckpt, "commits", str(commits[-1])))
+    crc = os.path.join(ckpt, "commits", f".{commits[-1]}.crc")
+    if os.path.exists(crc):
+        os.remove(crc)
+    again = convert_tree(spark, raw, out, ckpt, excl)
+    assert titles(again) == ["four", "one", "three", "two"]
+    batch = J.build_corpus(spark, raw, excl)
+    assert sorted(map(str, again.collect())) == sorted(map(str, batch.select(*again.columns).collect()))
+    shutil.rmtree(os.path.join(raw, "a"))  # converted records stay
+    assert len(titles(convert_tree(spark, raw, out, ckpt, excl))) == 4
