@@ -94,7 +94,7 @@ def test_pq_reconstructs_with_enough_centroids(spark):
     labels = fx.label_vectors(spark, "/root/testdata/sf0.01").select("gnd_id", "embedding")
     docs = fx.record_vectors(spark, "/root/testdata/sf0.01").select("doc_id", "embedding")
     book = train_pq(labels, "embedding", m=3, ksub=8)
-    assert book.codebooks.shape == (3, 8, 4)
+    assert book.codebooks.shape == (3, 8, fx.VECTOR_DIM // 3)
     coded = pq_encode(labels, "embedding", book)
     codes = coded.select("codes").collect()
     assert all(len(r[0]) == 3 and all(0 <= c < 8 for c in r[0]) for r in codes)
