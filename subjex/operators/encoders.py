@@ -31,8 +31,8 @@ OVERSAMPLE = 10
 CHUNK_ROWS = 256
 #: Partial sums of one chunk are added in at most this many groups first.
 FAN_IN = 64
-#: Rows of a dense product at a time.
-SLAB = 4096
+#: List values (tokens) that are worked on at a time; a longer row is a slice of its own.
+SLAB = 1 << 16
 #: Bound on the numbers of the projection matrix that ships with the encoder.
 MAX_PROJECTION = 1 << 24
 
@@ -43,6 +43,19 @@ def term_buckets(tokens: Column, buckets: int) -> Column:
                                           % F.lit(buckets)).cast("int"))
 
 
+def slices(column, values: int = SLAB):
+    """(first row, rows) of runs of a list column with at most ``values`` list values, one row at
+    least: what a task holds does not depend on the rows of an Arrow batch or their lengths."""
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + values, "right")))
+        # rows without values are bounded as well
+        b = min(b, a + values, len(column))
+        yield a, b - a
+        a = b
+
+
 def _entries(column, buckets: int):
     """(row, bucket, count) of a list column of buckets, by row and bucket; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -64,7 +77,8 @@ def inverse_frequencies(tokens: DataFrame, buckets: int) -> np.ndarray:
         rows, found = 0, np.zeros(buckets, np.int64)
         for batch in batches:
             rows += batch.num_rows
-            found += np.bincount(_entries(batch.column(0), buckets)[1], minlength=buckets)
+            for a, n in slices(batch.column(0)):
+                found += np.bincount(_entries(batch.column(0).slice(a, n), buckets)[1], minlength=buckets)
         used = np.r_[np.flatnonzero(found), buckets]  # the last one counts the rows
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.r_[found[used[:-1]], rows])], ["b", "n"])
     table = tokens.mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
@@ -92,13 +106,14 @@ class TfIdfEncoder:
         ship_package(df.sparkSession)
         idf = self.idf
 
-        @F.pandas_udf("array<double>")
-        def encode(buckets):
-            import pandas as pd
-            row, b, count = _entries(pa.array(buckets, pa.list_(pa.int32())), len(idf))
+        @F.arrow_udf("array<double>")
+        def encode(buckets: pa.Array) -> pa.Array:
             x = np.zeros((len(buckets), len(idf)))
-            x[row, b] = count * idf[b]
-            return pd.Series(list(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_EPS)))
+            for a, n in slices(buckets):
+                row, b, count = _entries(buckets.slice(a, n), len(idf))
+                x[a + row, b] = count * idf[b]
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_EPS)
+            return _lists(x)
         return df.withColumn(out, encode(term_buckets(whitespace_tokens(text_col), self.dim)))
 
 
@@ -124,8 +139,8 @@ def _gram_part(idf: np.ndarray, q: np.ndarray, small: bool):
     def run(batches):
         total = np.zeros((q.shape[1], q.shape[1]) if small else q.shape)
         for batch in batches:
-            for i in range(0, batch.num_rows, SLAB):
-                part = batch.column(0).slice(i, SLAB)
+            for i, n in slices(batch.column(0)):
+                part = batch.column(0).slice(i, n)
                 row, b, value = _sparse(part, idf, len(part))
                 z = _times(row, b, value, len(part), q)
                 if small:
@@ -190,13 +205,14 @@ class LsaEncoder:
         ship_package(df.sparkSession)
         idf, projection = self.idf, self.projection
 
-        @F.pandas_udf("array<float>")
-        def encode(buckets):
-            import pandas as pd
-            row, b, value = _sparse(pa.array(buckets, pa.list_(pa.int32())), idf, len(buckets))
-            x = _times(row, b, value, len(buckets), projection)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_EPS)
-            return pd.Series(list(x.astype(np.float32)))
+        @F.arrow_udf("array<float>")
+        def encode(buckets: pa.Array) -> pa.Array:
+            out = np.zeros((len(buckets), projection.shape[1]), np.float32)
+            for a, n in slices(buckets):
+                row, b, value = _sparse(buckets.slice(a, n), idf, n)
+                x = _times(row, b, value, n, projection)
+                out[a:a + n] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_EPS)
+            return _lists(out)
         return df.withColumn(out, encode(term_buckets(whitespace_tokens(text_col), len(idf))))
 
     def save(self, spark: SparkSession, path: str) -> None:

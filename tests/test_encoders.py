@@ -72,3 +72,31 @@ def test_tfidf_vectors(spark):
         v /= max(np.linalg.norm(v), 1e-12)
         assert np.allclose(r["embedding"], v)
     assert enc.transform(df.limit(0), "t").withColumn("x", F.lit(1)).count() == 0
+
+
+def test_work_space_does_not_grow_with_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+    r = np.random.default_rng(3)
+    batch = pa.RecordBatch.from_arrays([pa.array(list(r.integers(0, 8192, (2000, 300)).astype(np.int32)))], ["b"])
+    idf, q = r.random(8192), r.standard_normal((8192, 74))
+    tracemalloc.start()
+    (part,) = E._gram_part(idf, q, False)([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6, peak  # one slab; the whole batch would be 2000 * 300 * 74 numbers, 355 MB, twice
+    row, b, value = E._sparse(batch.column(0), idf, 2000)
+    x = np.zeros((2000, 8192))
+    x[row, b] = value
+    got = np.concatenate([np.frombuffer(m.as_py()).reshape(-1, 74) for m in part.column(1)])
+    assert np.allclose(got, x.T @ (x @ q))
+
+
+def test_slices_cover_all_rows():
+    import pyarrow as pa
+    lists = pa.array([[1] * n if n is not None else None for n in (0, 3, None, 9, 1, 1, 1, 0, 2, 5)])
+    got = list(E.slices(lists, 4))
+    assert [a for a, _ in got] == [0, *np.cumsum([n for _, n in got])[:-1]] and sum(n for _, n in got) == 10
+    assert all(n == 1 or sum(len(x or []) for x in lists.slice(a, n).to_pylist()) <= 4 for a, n in got)
+    assert list(E.slices(pa.array([], pa.list_(pa.int32())), 4)) == []
