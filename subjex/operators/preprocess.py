@@ -1,21 +1,20 @@
 """Full text preprocessing (T6, T7): clean, tokenise, route by language, drop stop
 words, normalise terms, join with spaces.
 
-Several text fields of a record are processed together: their tokens are
-exploded once with a field tag and position, the term dictionary is built and
-joined once, and one regroup per record rebuilds every field.
+Several text fields of a record are processed together, in the row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subjex.functions import text as X
-from subjex.operators.skew import hot_keys, salted_join
-from subjex.operators.terms import (MAX_BROADCAST_TERMS, StemFn, stem_dictionary, suffix_stem,
-                                    suffix_stem_tokens)
-from subjex.session import written
+from subjex.operators.terms import MAX_BROADCAST_TERMS, StemFn, stem_tokens, suffix_stem, suffix_stem_tokens  # noqa: F401
+from subjex.session import ship_package
 
 MODES = ("standard", "umlaut")
 
@@ -36,14 +35,6 @@ def field_tokens(text, route: Column, mode: str = "standard") -> Column:
     return X.remove_stop_words(toks, route)
 
 
-def _tagger(name: str):
-    return lambda t, i: F.struct(F.lit(name).alias("f"), i.alias("pos"), t.alias("token"))
-
-
-def _is_field(name: str):
-    return lambda x: x["f"] == F.lit(name)
-
-
 def preprocess_fields(df: DataFrame, key: str, fields: dict[str, str], lang: str,
                       mode: str = "standard", stem: StemFn = suffix_stem,
                       keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -51,10 +42,9 @@ def preprocess_fields(df: DataFrame, key: str, fields: dict[str, str], lang: str
     inputs) and one preprocessed text column per ``fields`` entry (output name ->
     input column).
 
-    One explode of all fields' tokens; the distinct terms are normalised once and
-    joined back (broadcast when their measured count is under the bound); one
-    regroup per record restores token order.  ``explode_outer`` keeps records
-    without tokens, so no join back to the input is needed.
+    Terms are normalised in the row, by the default rule as a column expression, by any
+    other one in a worker (``stem_tokens``); tokens are never exploded.  With another rule,
+    the records of one key come out as one, their tokens by position.
     """
     if keep is None:
         keep = tuple(c for c in df.columns if c != key and c not in fields.values())
@@ -67,25 +57,27 @@ def preprocess_fields(df: DataFrame, key: str, fields: dict[str, str], lang: str
         outs = [F.array_join(suffix_stem_tokens(F.col(f"_t{i}"), F.col("_route")), " ").alias(name)
                 for i, name in enumerate(fields)]
         return toks.select(key, *keep, *outs)
-    base = df.select(key, *keep, route.alias("_route"), *[F.col(s) for s in set(fields.values())])
-    tagged = [F.transform(field_tokens(F.col(src), F.col("_route"), mode), _tagger(name))
-              for name, src in fields.items()]
-    ex = (base.select(key, *keep, F.col("_route").alias("_lang"),
-                      F.explode_outer(F.concat(*tagged)).alias("e"))
-              .select(key, *keep, "_lang", "e.f", "e.pos", "e.token"))
-    load = (ex.where(F.col("token").isNotNull())
-              .groupBy(F.col("_lang").alias("lang"), "token").agg(F.count(F.lit(1)).alias("n")))
-    dictionary = written(stem_dictionary(load.select("lang", "token"), stem)
-                         .withColumnRenamed("lang", "_lang"), "terms")
-    if dictionary.count() <= MAX_BROADCAST_TERMS:
-        joined = ex.join(F.broadcast(dictionary), ["_lang", "token"], "left")
-    else:
-        # frequent tokens are hot join keys: split them by salt
-        hot = hot_keys(load.withColumnRenamed("lang", "_lang"), ["_lang", "token"])
-        joined = salted_join(ex, dictionary, ["_lang", "token"], hot, how="left")
-    item = F.when(F.col("token").isNotNull(),
-                  F.struct("f", "pos", F.coalesce("term", "token").alias("t")))
-    grouped = joined.groupBy(key, *keep).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-    outs = [F.array_join(F.transform(F.filter("_s", _is_field(name)), lambda x: x["t"]), " ")
-            .alias(name) for name in fields]
+    ship_package(df.sparkSession)
+    r = df.select(key, *keep, route.alias("_route"), *[F.col(c) for c in set(fields.values())])
+    toks = r.select(key, *keep, "_route", *[field_tokens(F.col(src), F.col("_route"), mode).alias(f"_t{i}")
+                                            for i, src in enumerate(fields.values())])
+    names = [f"_t{i}" for i in range(len(fields))]
+    none = F.expr("cast(array() as array<string>)")
+    # a record with a missing field has no tokens
+    whole = F.when(reduce(and_, [F.col(n).isNotNull() for n in names]), F.struct(*names)) \
+        .otherwise(F.struct(*[none.alias(n) for n in names]))
+    toks = toks.select(key, *keep, "_route", whole.alias("_t"))
+    terms = F.struct(*[stem_tokens(stem)(F.col(f"_t.{n}"), F.col("_route")).alias(n) for n in names])
+    grouped = toks.select(key, *keep, terms.alias("_r")).groupBy(key, *keep).agg(F.collect_list("_r").alias("_s"))
+    outs = [F.array_join(_in_order(F.transform("_s", _field(n))), " ").alias(name) for n, name in zip(names, fields)]
     return grouped.select(key, *keep, *outs)
+
+
+def _field(name: str):
+    return lambda r: r[name]
+
+
+def _in_order(lists: Column) -> Column:
+    """The terms of a key's records by position; of one record, its terms as they are."""
+    placed = F.flatten(F.transform(lists, lambda a: F.transform(a, lambda t, i: F.struct(i.alias("pos"), t.alias("t")))))
+    return F.when(F.size(lists) == 1, F.element_at(lists, 1)).otherwise(F.transform(F.array_sort(placed), lambda x: x["t"]))

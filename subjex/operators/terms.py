@@ -1,6 +1,6 @@
-"""Per-term normalisation through a term dictionary.
+"""Per-term normalisation in the row or through a term dictionary.
 
-A stemmer or lemmatiser is per-term Python.  Instead of calling it for every
+A stemmer or lemmatiser is per-term Python.  ``stem_tokens`` runs it in the row.  Instead of calling it for every
 token, the distinct ``(lang, token)`` pairs form a dictionary; the function runs
 once per entry in ``mapInPandas`` and the result is joined back on
 ``(lang, token)``.  Frequent tokens are skewed join keys on the token side: they are split
@@ -10,10 +10,14 @@ by salt (``skew.salted_join``), the dictionary's one row per key repeated per sa
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subjex.operators.encoders import slices
 from subjex.operators.skew import hot_keys, salted_join
 from subjex.session import ship_package
 
@@ -22,6 +26,9 @@ StemFn = Callable[[str, str], str]
 # The normalised dictionary is broadcast only below this measured row count.
 MAX_BROADCAST_TERMS = 2_000_000
 
+# Terms a worker remembers while it normalises token arrays.
+REMEMBERED_TERMS = 1 << 17
+
 # Default term normaliser: a small suffix-stripping rule that stays a column
 # expression.  ``snowball.snowball_stem``, or any other ``(lang, token) -> term``
 # function, can be passed instead.  Suffixes are tried in order; the stem keeps
@@ -58,6 +65,31 @@ def suffix_stem_tokens(tokens, lang):
         .otherwise(F.transform(tokens, lambda t: _suffix_rule(t, "en")))
 
 
+def stem_tokens(stem: StemFn):
+    """A function of (token array, language) columns: the array of terms, by any Python rule.
+
+    Nothing is shuffled: the rule runs once per distinct (language, token) of some rows where
+    the record is, and a worker remembers the last terms.  A token without a term stays.
+    """
+    @F.arrow_udf("array<string>")
+    def run(tokens: pa.Array, lang: pa.Array) -> pa.Array:
+        known = lru_cache(REMEMBERED_TERMS)(stem)
+        out = []
+        for a, n in slices(tokens):
+            part = tokens.slice(a, n)
+            size = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            word, route = part.flatten().dictionary_encode(), lang.slice(a, n).dictionary_encode()
+            words, routes = word.dictionary.to_pylist(), route.dictionary.to_pylist()
+            key = np.repeat(route.indices.to_numpy(zero_copy_only=False).astype(np.int64), size) * max(len(words), 1) \
+                + word.indices.to_numpy(zero_copy_only=False)
+            distinct, place = np.unique(key, return_inverse=True)
+            pairs = [(routes[k // len(words)], words[k % len(words)]) for k in distinct.tolist()]
+            terms = pa.array([t if (term := known(r, t)) is None else term for r, t in pairs], pa.string())
+            out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), terms.take(pa.array(place))))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
+    return run
+
+
 def build_term_dictionary(df: DataFrame, lang: str, tokens: str) -> DataFrame:
     """``(lang, token)`` - the distinct terms of a tokenised table; repeats within a record go
     before they become rows."""

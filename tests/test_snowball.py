@@ -62,3 +62,14 @@ def test_registered_dictionary(spark):
     out = E.queries()["t4_snowball_terms"](spark, SF_SMALL)
     assert out.groupBy("lang", "token").count().where("count > 1").count() == 0
     assert all(snowball_stem(r["lang"], r["token"]) == r["term"] for r in out.orderBy(F.xxhash64("token")).limit(300).collect())
+
+
+def test_stems_stay_in_the_row(spark):
+    """No token becomes a row; repeated keys, missing texts and missing keys as before."""
+    from subjex.operators.preprocess import preprocess_fields
+    df = spark.createDataFrame([(1, "The running Kneels", "en"), (1, "Other words", "en"), (None, "Katzen", "de"), (2, None, "de"), (3, "", None)],
+                               "id int, text string, lang string")
+    out = preprocess_fields(df, "id", {"pre": "text"}, "lang", stem=snowball_stem, keep=())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    assert sorted(out.collect(), key=str) == sorted([(1, "run word kneel"), (None, "katz"), (2, ""), (3, "")], key=str)
