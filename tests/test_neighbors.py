@@ -129,3 +129,18 @@ def test_stored_codes_find_the_dense_candidates(spark):
     got = {(r[0], r[1]) for r in index.search(docs, "id", "v", 20, nprobe=2).select("id", "gnd_id").collect()}
     print("recall", len(want & got) / len(want))
     assert len(want & got) >= 0.9 * len(want)
+
+
+def test_first_cut_keeps_every_score_that_may_count():
+    from subjex.operators.neighbors import near_best
+    r = np.random.default_rng(4)
+    for n, k in ((5, 10), (40, 3), (1000, 10), (3000, 10)):
+        s = np.round(r.random((20, n)), 2)  # many ties
+        s[r.random(s.shape) < 0.1] = -np.inf
+        s[0] = -np.inf
+        rows, cols = near_best(s, k)
+        assert np.isfinite(s[rows, cols]).all() and (np.diff(rows) >= 0).all()
+        for i in range(20):
+            mine = s[i][np.isfinite(s[i])]
+            want = np.flatnonzero(np.isfinite(s[i]) & (s[i] >= np.sort(mine)[-min(k, len(mine)):].min(initial=np.inf)))
+            assert set(want) <= set(cols[rows == i])
