@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subjex.functions.vectors import NORM_EPS
-from subjex.operators.neighbors import PqCodebook, _nearest, train_pq
+from subjex.operators.neighbors import PqCodebook, _nearest, near_best, train_pq
 from subjex.operators.ranking import RANK_DECIMALS, top_k
 from subjex.session import ship_package, written
 
@@ -39,6 +39,8 @@ FIT_ROWS = 256
 BEAM = 8
 QUERY_BLOCK, ITEM_BLOCK, Q_CHUNK = 16384, 8192, 64
 _SHARES = 1 << 20
+#: Numbers that a task holds at a time when rows meet centres or are sent to blocks (32 MB).
+WORK = 1 << 22
 
 
 def _rows(column) -> np.ndarray:
@@ -78,8 +80,24 @@ class CellTree:
 
     def nearest(self, x: np.ndarray, n: int, beam: int = BEAM) -> np.ndarray:
         """The ``n`` nearest cells of each row, nearest first; a level keeps as many nodes as
-        lead to ``n`` cells, ``beam`` at least.  With every node kept this is exact."""
+        lead to ``n`` cells, ``beam`` at least.  With every node kept this is exact.  Rows are
+        taken in runs, so the work space does not depend on their number."""
         n = min(n, self.n_cells)
+        wide, kept = 1, 1  # numbers a row
+        for level, centers in enumerate(self.levels):
+            nodes = kept * len(centers) // (len(self.levels[level - 1]) if level else 1)
+            wide = max(wide, nodes * (centers.shape[1] if nodes < len(centers) else 1))
+            kept = self._kept(level, n, beam)
+        step = max(1, WORK // wide)
+        if len(x) <= step:
+            return self._nearest(x, n, beam)
+        return np.concatenate([self._nearest(x[a:a + step], n, beam) for a in range(0, len(x), step)])
+
+    def _kept(self, level: int, n: int, beam: int) -> int:
+        centers = len(self.levels[level])
+        return n if level == len(self.levels) - 1 else min(centers, max(beam, -(-2 * n * centers // self.n_cells)))
+
+    def _nearest(self, x: np.ndarray, n: int, beam: int) -> np.ndarray:
         norm = (x * x).sum(axis=1)[:, None]
         nodes = np.zeros((len(x), 1), np.int64)
         for level, centers in enumerate(self.levels):
@@ -93,9 +111,7 @@ class CellTree:
                 far = norm - 2 * np.einsum("nd,nkd->nk", x, own) + (own * own).sum(axis=2)
             # centres that equal each other are told apart by number
             far = np.round(far, RANK_DECIMALS)
-            last = level == len(self.levels) - 1
-            keep = n if last else min(len(centers), max(beam, -(-2 * n * len(centers) // self.n_cells)))
-            order = np.lexsort((nodes, far), axis=1)[:, :keep]
+            order = np.lexsort((nodes, far), axis=1)[:, :self._kept(level, n, beam)]
             nodes = np.take_along_axis(nodes, order, axis=1)
         return nodes
 
@@ -245,25 +261,27 @@ def build_cells(items: DataFrame, key: str, vec: str, branches: tuple[int, ...],
 def block_plan(counts: np.ndarray, item_block: int) -> tuple[np.ndarray, np.ndarray]:
     """First block and number of blocks of each cell: neighbours share a block while they fit."""
     first, blocks = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
-    block, room = 0, item_block
+    block, room, open_ = 0, item_block, False
     for c, n in enumerate(counts):
         if n > item_block:
             blocks[c] = -(-n // item_block)
-            first[c] = block + (room < item_block)
-            block, room = first[c] + blocks[c], item_block
+            first[c] = block + open_
+            block, room, open_ = first[c] + blocks[c], item_block, False
         else:
             if n > room:
                 block, room = block + 1, item_block
-            first[c], room = block, room - n
+            first[c], room, open_ = block, room - n, True
     return first, blocks
 
 
 def _spread_queries(tree: CellTree, nprobe: int, first: np.ndarray, blocks: np.ndarray, counts: np.ndarray, beam: int):
-    """Each query once per block that holds probed items, with the probed cells of that block."""
+    """Each query once per block that holds probed items, with the probed cells of that block.
+    A query's copies grow with the blocks, so only some queries are spread at a time."""
+    pairs = int(np.sort(blocks)[-nprobe:].sum())  # (query, cell, block) of one query at most
+    copies = min(pairs, int((first + blocks).max()))
+
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(a, step) for b in batches for step in [steps(b)] for a in range(0, b.num_rows, step)):
             x = _unit(_rows(batch.column("_qv")))
             cells = tree.nearest(x, nprobe, beam)
             row = np.repeat(np.arange(len(x)), cells.shape[1])
@@ -282,6 +300,10 @@ def _spread_queries(tree: CellTree, nprobe: int, first: np.ndarray, blocks: np.n
                 [batch.column(0).take(at), _lists(x[row[fresh]]), pa.array(block[fresh].astype(np.int32)),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(own.astype(np.int32)))],
                 [batch.schema.names[0], "_qv", "_block", "_cells"])
+
+    def steps(batch) -> int:
+        dim = len(batch.column("_qv")[0]) if batch.num_rows else 0
+        return max(1, WORK // max(1, copies * dim + 8 * pairs))
     return run
 
 
@@ -301,7 +323,10 @@ def block_scores(q: np.ndarray, probed: np.ndarray, cell: np.ndarray, vectors: n
         if not len(some):
             continue
         if book is None:
-            out[a:b, some] = vectors[a:b] @ q[some].T
+            if len(some) == len(q):
+                np.matmul(vectors[a:b], q.T, out=out[a:b])
+            else:
+                out[a:b, some] = vectors[a:b] @ q[some].T
             continue
         total = np.repeat(base[i:i + 1], b - a, axis=0)
         for j in range(book.m):
@@ -319,6 +344,7 @@ def _search_block(index_tree: CellTree, book: PqCodebook | None, k: int, refine:
         cell = right.column("cell").to_numpy()
         present, inverse = np.unique(cell, return_inverse=True)
         vectors = _unit(_rows(right.column("_iv")))
+        finite = np.isfinite(vectors).all()
         by_id = right.column(ik).combine_chunks()
         id_rank = np.empty(len(cell), np.int64)
         id_rank[pc.array_sort_indices(by_id).to_numpy()] = np.arange(len(cell))
@@ -340,6 +366,16 @@ def _search_block(index_tree: CellTree, book: PqCodebook | None, k: int, refine:
             probed[np.repeat(np.arange(len(q)), own.value_lengths().to_numpy())[hit], at[hit]] = True
             found = block_scores(q, probed, cell, vectors, codes, index_tree, book)
             wide = min(len(cell), max(refine, k) if book is not None and refine else k)
+            if book is None and finite and np.isfinite(q).all():
+                by_query = np.ascontiguousarray(found.T)
+                row, some = near_best(by_query, k)
+                exact = by_query[row, some]
+                order = np.lexsort((id_rank[some], -np.round(exact, RANK_DECIMALS), row))
+                order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+                rows_q.append(s + row[order])
+                rows_i.append(some[order])
+                scores.append(exact[order])
+                continue
             for c in range(len(q)):
                 col = found[:, c]
                 if book is not None and refine:

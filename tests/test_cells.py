@@ -101,3 +101,25 @@ def test_text_vectors_need_a_tenth_of_the_pairs(spark):
     print("scored share", share, "recall", len(want & exact) / len(want), "by refined codes", len(want & coded) / len(want))
     assert share <= 0.1
     assert len(want & exact) >= 0.9 * len(want) and len(want & coded) >= 0.9 * len(want)
+
+
+def test_work_space_does_not_grow_with_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+    r = np.random.default_rng(2)
+    tree = C.CellTree([r.standard_normal((16, 64)), r.standard_normal((256, 64))])
+    x = r.standard_normal((4000, 64))
+    tracemalloc.start()
+    got = tree.nearest(x, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6, peak  # the gathered centres of all rows would be 4000 * 128 * 64 numbers, 262 MB
+    assert (got == np.concatenate([tree._nearest(x[a:a + 7], 1, C.BEAM) for a in range(0, 4000, 7)])).all()
+    # a query's copies grow with the blocks, what a task holds does not
+    counts = np.full(256, 5000)
+    first, blocks = C.block_plan(counts, 5000)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), C._lists(x)], ["id", "_qv"])
+    parts = list(C._spread_queries(tree, 144, first, blocks, counts, 256)([batch]))
+    assert sum(p.num_rows for p in parts) == 4000 * 144
+    assert max(p.num_rows for p in parts) * 64 <= C.WORK
