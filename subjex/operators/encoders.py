@@ -33,6 +33,8 @@ CHUNK_ROWS = 256
 FAN_IN = 64
 #: List values (tokens) that are worked on at a time; a longer row is a slice of its own.
 SLAB = 1 << 16
+#: Sparse rows that become a dense matrix (rows x buckets) for a product.
+DENSE_ROWS = 128
 #: Bound on the numbers of the projection matrix that ships with the encoder.
 MAX_PROJECTION = 1 << 24
 
@@ -125,12 +127,22 @@ def _sparse(column, idf: np.ndarray, number: int):
     return row, b, value / np.maximum(norm, NORM_EPS)[row]
 
 
+def _dense(row, b, value, number: int, width: int):
+    """(first row, rows, their dense matrix) of runs of ``DENSE_ROWS`` sparse rows; entries are
+    sorted by row.  A product of dense runs is several times faster than sums of gathered rows."""
+    edge = np.searchsorted(row, np.arange(0, number + DENSE_ROWS, DENSE_ROWS))
+    for i, (start, end) in enumerate(zip(edge[:-1], edge[1:])):
+        a = i * DENSE_ROWS
+        x = np.zeros((min(DENSE_ROWS, number - a), width))
+        x[row[start:end] - a, b[start:end]] = value[start:end]
+        yield a, len(x), x
+
+
 def _times(row, b, value, number: int, matrix: np.ndarray) -> np.ndarray:
     """The sparse rows times ``matrix``; entries are sorted by row."""
-    out = np.zeros((number, matrix.shape[1]))
-    own, first = np.unique(row, return_index=True)
-    if len(row):
-        out[own] = np.add.reduceat(matrix[b] * value[:, None], first, axis=0)
+    out = np.empty((number, matrix.shape[1]))
+    for a, n, x in _dense(row, b, value, number, len(matrix)):
+        np.matmul(x, matrix, out=out[a:a + n])
     return out
 
 
@@ -142,13 +154,9 @@ def _gram_part(idf: np.ndarray, q: np.ndarray, small: bool):
             for i, n in slices(batch.column(0)):
                 part = batch.column(0).slice(i, n)
                 row, b, value = _sparse(part, idf, len(part))
-                z = _times(row, b, value, len(part), q)
-                if small:
-                    total += z.T @ z
-                elif len(row):
-                    order = np.argsort(b, kind="stable")
-                    own, first = np.unique(b[order], return_index=True)
-                    total[own] += np.add.reduceat(z[row[order]] * value[order][:, None], first, axis=0)
+                for _, _, x in _dense(row, b, value, len(part), len(q)):
+                    z = x @ q
+                    total += z.T @ z if small else x.T @ z
         yield chunked(total)
     return run
 

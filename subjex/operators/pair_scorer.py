@@ -2,9 +2,9 @@
 
 Terms have vectors, the rows of a fitted ``LsaEncoder``'s projection.  A label term's match is
 its highest cosine with any term of the record (1 for the same term, 0 at least); the score is
-the mean match, weighted by the label terms' inverse document frequency.  Pairs are scored in
-Arrow batches through ``predict_batch_udf``; only the first R candidates of a record become
-pairs (``suggest.rerank_pairs``).
+the mean match, weighted by the label terms' inverse document frequency.  Only the first R
+candidates of a record are scored: all of a record together where the caller can (``many``), or
+pair by pair in Arrow batches through ``predict_batch_udf``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subjex.functions.vectors import NORM_EPS
@@ -51,6 +53,31 @@ class LateInteraction:
             return known[text]
         return np.array([self.score(terms(r), terms(t)) for r, t in zip(records, labels)], np.float64)
 
+    def of_record(self, record: np.ndarray, labels: list[np.ndarray]) -> list[float]:
+        """The scores of several labels of one record: one product for all their terms."""
+        sizes = [len(t) for t in labels]
+        terms = np.concatenate(labels) if labels else record[:0]
+        if not len(record) or not len(terms):
+            return [0.0] * len(labels)
+        best = np.maximum((self.vectors[terms] @ self.vectors[record].T).max(axis=1), 0.0)
+        best[np.isin(terms, record)] = 1.0
+        ends = np.cumsum(sizes)
+        weight = self.idf[terms]
+        return [float(weight[e - n:e] @ best[e - n:e] / weight[e - n:e].sum()) if n and weight[e - n:e].sum() else 0.0
+                for n, e in zip(sizes, ends)]
+
+    def many(self, record: Column, labels: Column) -> Column:
+        """The scores of an array of label texts, in its order: a record's text travels once."""
+        model = self
+
+        @F.arrow_udf("array<double>")
+        def score(records: pa.Array, lists: pa.Array) -> pa.Array:
+            terms = lru_cache(1 << 14)(model.terms)  # of labels
+            out = [model.of_record(model.terms(r.as_py()), [terms(t) for t in own.as_py() or []])
+                   for r, own in zip(records, lists)]
+            return pa.array(out, pa.list_(pa.float64()))
+        return score(record, labels)
+
     def __call__(self, record: Column, label: Column) -> Column:
         """The scorer of ``suggest_dense`` and ``suggest_hybrid``."""
         from pyspark.ml.functions import predict_batch_udf

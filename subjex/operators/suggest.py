@@ -55,7 +55,7 @@ def hybrid_scores(docs: DataFrame, key: str, text: str, vec: str, labels: DataFr
     cands = dense_candidates(docs, key, vec, labels, 2 * topk, label_vec, label_index, nprobe) \
         .groupBy(key).agg(F.collect_list(F.struct("gnd_id", "cosine")).alias("_c"))
     records = docs.select(key, text).join(cands, key)
-    lex = bm25_summary(records, index, text, candidates=F.col("_c.gnd_id"))
+    lex = bm25_summary(records, index, text, candidates=F.col("_c.gnd_id"), keep_text=False)
     mn, den = minmax_columns(index.n_labels)
     ex = lex.select(key, mn.alias("_mn"), den.alias("_den"), F.explode(F.arrays_zip("_c", "_cand")).alias("x"))
     extra = [F.col("x._cand.shared").alias("shared")] if with_shared else []
@@ -84,13 +84,17 @@ def rerank(cands: DataFrame, key: str, r: int, pair_score: Column, k: int,
     return top_k(out.drop("_tier"), key, "gnd_id", "score", k)
 
 
+def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs with ``label_text``."""
+    hot = hot_keys(pairs.groupBy("gnd_id").agg(F.count(F.lit(1)).alias("n")), ["gnd_id"])
+    return salted_join(pairs, labels.select("gnd_id", "label_text"), ["gnd_id"], hot)
+
+
 def rerank_pairs(cands: DataFrame, key: str, rank_col: str, r: int, docs: DataFrame,
                  pair_text: Column, labels: DataFrame) -> DataFrame:
     """The first ``r`` candidates with their texts, for a custom pair scorer."""
     pairs = cands.filter(F.col(rank_col) <= r)
-    hot = hot_keys(pairs.groupBy("gnd_id").agg(F.count(F.lit(1)).alias("n")), ["gnd_id"])
-    named = salted_join(pairs, labels.select("gnd_id", "label_text"), ["gnd_id"], hot)
-    return named.join(docs.select(key, pair_text.alias("query_text")), key)
+    return _named(pairs, labels).join(docs.select(key, pair_text.alias("query_text")), key)
 
 
 def suggest_hybrid(docs: DataFrame, key: str, text: str, vec: str, labels: DataFrame,
@@ -121,7 +125,7 @@ def suggest_dense(docs: DataFrame, key: str, text: str, vec: str, labels: DataFr
         index = build_bm25(labels.select("gnd_id", "label_text"))
         if scorer is None:
             mine = best.groupBy(key).agg(F.collect_list(F.struct("gnd_id", "score", "rank")).alias("_c"))
-            lex = bm25_summary(docs.select(key, text).join(mine, key), index, text, candidates=F.col("_c.gnd_id"))
+            lex = bm25_summary(docs.select(key, text).join(mine, key), index, text, candidates=F.col("_c.gnd_id"), keep_text=False)
             best = lex.select(key, F.explode(F.arrays_zip("_c", "_cand")).alias("x")) \
                 .select(key, "x._c.*", F.col("x._cand.shared").alias("shared"))
         best = _apply_rerank(best, key, rerank_n, topk, index, docs, text, labels, scorer)
@@ -135,9 +139,18 @@ def _apply_rerank(best, key, r, k, index, docs, text, labels, scorer):
         best = best.join(overlap_scorer(index), "gnd_id", "left")
         pair = F.coalesce(F.col("shared") / F.col("label_terms"), F.lit(0.0))
         return rerank(best, key, r, pair, k)
-    pairs = rerank_pairs(best, key, "rank", r, docs, F.col(text), labels)
-    scored = pairs.select(key, "gnd_id", scorer(F.col("query_text"), F.col("label_text"))
-                          .alias("_pair"))
+    if hasattr(scorer, "many"):
+        # a record meets all its first candidates at once: its text moves once
+        lists = _named(best.filter(F.col("rank") <= r), labels).groupBy(key) \
+            .agg(F.collect_list(F.struct("gnd_id", "label_text")).alias("_l"))
+        scored = docs.select(key, F.col(text).alias("_text")).join(lists, key) \
+            .select(key, "_l", scorer.many(F.col("_text"), F.col("_l.label_text")).alias("_p")) \
+            .select(key, F.explode(F.arrays_zip("_l", "_p")).alias("x")) \
+            .select(key, F.col("x._l.gnd_id").alias("gnd_id"), F.col("x._p").alias("_pair"))
+    else:
+        pairs = rerank_pairs(best, key, "rank", r, docs, F.col(text), labels)
+        scored = pairs.select(key, "gnd_id", scorer(F.col("query_text"), F.col("label_text"))
+                              .alias("_pair"))
     best = best.join(scored, [key, "gnd_id"], "left")
     return rerank(best, key, r, F.col("_pair"), k)
 

@@ -59,3 +59,18 @@ def test_plugged_encoder(spark):
     for r in E.queries()["e1_plugged_encoder"](spark, SF_SMALL).collect():
         v = _GramEncoder()([docs[r["doc_id"]]])[0]
         assert np.allclose(r["embedding"], v / max(np.linalg.norm(v), 1e-12), atol=1e-6)
+
+
+def test_a_record_is_split_into_terms_once(spark):
+    """All candidates of a record are scored together, as pair by pair."""
+    r = np.random.default_rng(1)
+    encoder = LsaEncoder(r.random(128), r.standard_normal((128, 5)), r.random(5))
+    scorer = LateInteraction(encoder)
+    rows = [("a1 b2 c3", ["a1 d4", "e5", None, "", "a1 b2"]), (None, ["a1"]), ("", ["a1", "b2"]), ("x", []), ("a1 a1 A1", ["a1", "c3 a1"])]
+    df = spark.createDataFrame(rows, "r string, t array<string>")
+    for x in df.withColumn("s", scorer.many(F.col("r"), F.col("t"))).collect():
+        assert np.allclose(x["s"], [_plain(encoder, x["r"], t) for t in x["t"]], atol=1e-12)
+    split = []
+    scorer.terms = lambda text, own=scorer.terms: split.append(text) or own(text)
+    record, labels = scorer.terms("a1 b2 c3"), [scorer.terms(t) for t in ("a1", "b2 d4")]
+    assert np.allclose(scorer.of_record(record, labels), [scorer.score(record, t) for t in labels]) and len(split) == 3
