@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subjex.functions.text import whitespace_tokens
+from subjex.operators.encoders import slices
 from subjex.operators.ranking import RANK_DECIMALS
 from subjex.operators.skew import hot_keys, salted_join
 from subjex.session import ship_package, written
@@ -300,14 +301,14 @@ def _merge_block(payload: bytes, names: list[str], k: int):
     def run(batches):
         block: LabelBlock = pickle.loads(payload)
         all_ids = pa.array(block.ids, pa.string())
-        for batch in batches:
+        for batch in (b.slice(a, n) for b in batches for a, n in slices(b.column("_tok"))):
             n = batch.num_rows
             row, term, count = block.known(batch.column("_tok"))
             edge = np.searchsorted(row, np.arange(n + 1))
             cnt, mn, mx = (batch.column(c).to_pylist() for c in ("_cnt", "_mn0", "_mx0"))
             old = batch.column("_top")
             before = old.offsets.to_numpy()
-            old = old.values
+            before, old = before - before[0], old.flatten()
             old_score, old_ids = old.field("score").to_numpy(zero_copy_only=False), old.field("id")
             picked, sizes = [], np.zeros(n, np.int64)
             for r in range(n):
@@ -375,13 +376,15 @@ def _merged_candidates(batch, block, all_ids, key, count) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), filled)
 
 
-def bm25_summary(queries: DataFrame, index: Bm25Index, text_col: str, k: int = 0, candidates=None) -> DataFrame:
+def bm25_summary(queries: DataFrame, index: Bm25Index, text_col: str, k: int = 0, candidates=None,
+                 keep_text: bool = True) -> DataFrame:
     """L2 / L3 without (record, label) rows: ``queries`` with, per record, the best ``k``
     labels (``_top``: id, score, shared in rank order), the scores of ``candidates`` (an array
     of label ids, ``_cand`` in the same order), and the number, minimum and maximum of the
     matching labels' scores (``_cnt, _mn0, _mx0``).  When labels were pruned, ``_cnt`` and
     ``_mn0`` cover the scored ones; then some label has no common term and the minimum over
-    all labels is 0, as ``minmax_columns`` takes it.
+    all labels is 0, as ``minmax_columns`` takes it.  ``keep_text=False`` leaves the text out of
+    the result, so that it does not pass through the workers.
 
     Nothing is shuffled: label blocks are built in tasks and stored (``label_blocks``); each is
     sent to the tasks as one array of bytes, and records meet the blocks one after the other
@@ -389,7 +392,7 @@ def bm25_summary(queries: DataFrame, index: Bm25Index, text_col: str, k: int = 0
     state is written between blocks, so one block is held at a time.
     """
     ship_package(queries.sparkSession)
-    keep = queries.columns
+    keep = [c for c in queries.columns if keep_text or c != text_col]
     ids = candidates if candidates is not None else F.expr("cast(null as array<string>)")
     none = F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("shared"))
     tokens = F.transform(F.coalesce(whitespace_tokens(text_col), F.expr("cast(array() as array<string>)")), lambda t: F.xxhash64(t))
@@ -398,6 +401,7 @@ def bm25_summary(queries: DataFrame, index: Bm25Index, text_col: str, k: int = 0
         "_top": F.expr("cast(array() as array<struct<id:string,score:double,shared:bigint>>)"),
         "_cand": F.transform(F.col("_ids"), lambda _: none)})
     names = [*keep, "_tok", "_ids"]
+    df = df if keep_text else df.drop(text_col)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names)
     stored = label_blocks(index)
     numbers = sorted(r["block"] for r in stored.select("block").collect())
@@ -420,7 +424,7 @@ def minmax_columns(n_labels: int):
 def bm25_top_k(queries: DataFrame, index: Bm25Index, key: str, text_col: str, k: int) -> DataFrame:
     """L2 + W1 + L3: ``(key, <label id>, rank, score, bm25_scaled, _mn, _den)``, best first."""
     mn, den = minmax_columns(index.n_labels)
-    s = bm25_summary(queries.select(key, text_col), index, text_col, k).select(
+    s = bm25_summary(queries.select(key, text_col), index, text_col, k, keep_text=False).select(
         key, mn.alias("_mn"), den.alias("_den"), F.posexplode("_top").alias("_pos", "t"))
     return s.select(key, F.col("t.id").alias(index.id_col), (F.col("_pos") + 1).cast("int").alias("rank"),
                     F.col("t.score").alias("score"), ((F.col("t.score") - F.col("_mn")) / F.col("_den")).alias("bm25_scaled"),

@@ -110,3 +110,26 @@ def test_block_maxima_prune_and_lose_nothing():
         assert got == [(g, (round(w, 9), n)) for g, (w, n) in best]
     print("share of postings scored", counts["scored"] / counts["all"])
     assert counts["scored"] < 0.7 * counts["all"]
+
+
+def test_records_are_scored_some_tokens_at_a_time():
+    """What a task holds does not grow with the rows of an Arrow batch or their lengths."""
+    import pickle
+
+    import numpy as np
+    import pyarrow as pa
+    r = np.random.default_rng(5)
+    from subjex.operators import lexical as L
+    block = L.LabelBlock(np.repeat(np.arange(50), 4), [f"g{i}" for i in range(200)], r.random(200))
+    n = 300
+    top, cand = pa.list_(L._TOP), pa.list_(L._CAND)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n)), pa.array([list(r.integers(0, 60, 1000)) for _ in range(n)]), pa.array([["g3", "none"]] * n),
+         pa.array([0] * n), pa.array([None] * n, pa.float64()), pa.array([None] * n, pa.float64()),
+         pa.array([[]] * n, top), pa.array([[{"score": 0.0, "shared": 0}] * 2] * n, cand)],
+        ["id", "_tok", "_ids", "_cnt", "_mn0", "_mx0", "_top", "_cand"])
+    run = L._merge_block(pickle.dumps(block), ["id", "_tok", "_ids"], 3)
+    parts = list(run([batch]))
+    assert len(parts) > 3 and max(p.num_rows for p in parts) * 1000 <= 1 << 16
+    alone = [p for i in range(n) for p in run([batch.slice(i, 1)])]
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(alone).to_pylist()
