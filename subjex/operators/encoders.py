@@ -101,11 +101,20 @@ class TfIdfEncoder:
 
     @staticmethod
     def fit(df: DataFrame, text_col: str, dim: int = 256) -> "TfIdfEncoder":
-        ship_package(df.sparkSession)
-        return TfIdfEncoder(inverse_frequencies(df.select(term_buckets(whitespace_tokens(text_col), dim).alias("b")), dim))
+        return TfIdfEncoder.of_buckets(df.select(term_buckets(whitespace_tokens(text_col), dim).alias("b")), dim)
+
+    @staticmethod
+    def of_buckets(tokens: DataFrame, dim: int) -> "TfIdfEncoder":
+        """Fitted on the term buckets (b array<int>) of the texts."""
+        ship_package(tokens.sparkSession)
+        return TfIdfEncoder(inverse_frequencies(tokens, dim))
 
     def transform(self, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
-        ship_package(df.sparkSession)
+        return df.withColumn(out, self.vector(term_buckets(whitespace_tokens(text_col), self.dim), df.sparkSession))
+
+    def vector(self, buckets: Column, spark: SparkSession) -> Column:
+        """The vector of a text's term buckets."""
+        ship_package(spark)
         idf = self.idf
 
         @F.arrow_udf("array<double>")
@@ -116,7 +125,7 @@ class TfIdfEncoder:
                 x[a + row, b] = count * idf[b]
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_EPS)
             return _lists(x)
-        return df.withColumn(out, encode(term_buckets(whitespace_tokens(text_col), self.dim)))
+        return encode(buckets)
 
 
 def _sparse(column, idf: np.ndarray, number: int):

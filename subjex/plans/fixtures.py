@@ -10,9 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjex.functions.text import WS_CLASS
+from subjex.functions.text import WS_CLASS, whitespace_tokens
 from subjex.operators.decode import MAX_CLASSES, bounded_collect
-from subjex.operators.encoders import TfIdfEncoder
+from subjex.operators.encoders import TfIdfEncoder, term_buckets
 from subjex.operators.zeroshot import class_centroids
 from subjex.session import spread, written
 from subjex.sources.tables import table
@@ -65,19 +65,29 @@ VOCAB_SQL = "vocab as (select cast(item_id as varchar) as gnd_id, text as label_
 VECTOR_DIM = 240
 
 
-def text_encoder(spark: SparkSession, sf_dir: str) -> TfIdfEncoder:
-    texts = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "benchmark").select("text"))
-    return TfIdfEncoder.fit(texts, "text", VECTOR_DIM)
+def record_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the buckets of their terms: texts are split and hashed once, into a
+    written table; the encoder is fitted on it and the vectors follow from it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return written(spread(docs).withColumn("_b", term_buckets(whitespace_tokens("text"), VECTOR_DIM)), "record-buckets")
+
+
+def text_encoder(spark: SparkSession, sf_dir: str, buckets: DataFrame | None = None) -> TfIdfEncoder:
+    """Fitted on the whole texts of ``buckets`` (``record_buckets``) and the vocabulary."""
+    buckets = record_buckets(spark, sf_dir) if buckets is None else buckets
+    labels = table(spark, sf_dir, "benchmark").select(term_buckets(whitespace_tokens("text"), VECTOR_DIM).alias("b"))
+    return TfIdfEncoder.of_buckets(buckets.select(F.col("_b").alias("b")).unionByName(labels), VECTOR_DIM)
 
 
 def label_vectors(spark: SparkSession, sf_dir: str, encoder: TfIdfEncoder | None = None) -> DataFrame:
     return (encoder or text_encoder(spark, sf_dir)).transform(vocab(spark, sf_dir), "label_text")
 
 
-def record_vectors(spark: SparkSession, sf_dir: str, encoder: TfIdfEncoder | None = None) -> DataFrame:
-    """Encoded once: the vectors are a written table."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return written((encoder or text_encoder(spark, sf_dir)).transform(spread(docs), "text"), "record-vectors")
+def record_vectors(spark: SparkSession, sf_dir: str, encoder: TfIdfEncoder | None = None,
+                   buckets: DataFrame | None = None) -> DataFrame:
+    buckets = record_buckets(spark, sf_dir) if buckets is None else buckets
+    encoder = encoder or text_encoder(spark, sf_dir, buckets)
+    return buckets.select("doc_id", "text", "lang", encoder.vector(F.col("_b"), spark).alias("embedding"))
 
 
 def stored_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -39,8 +39,9 @@ best as (select doc_id, gnd_id, hybrid as score, shared,
 
 
 def _inputs(spark, sf_dir):
-    encoder = fx.text_encoder(spark, sf_dir)
-    return fx.record_vectors(spark, sf_dir, encoder), fx.label_vectors(spark, sf_dir, encoder)
+    buckets = fx.record_buckets(spark, sf_dir)
+    encoder = fx.text_encoder(spark, sf_dir, buckets)
+    return fx.record_vectors(spark, sf_dir, encoder, buckets), fx.label_vectors(spark, sf_dir, encoder)
 
 
 #: Exact neighbours over all pairs of rows of ``embeddings``.

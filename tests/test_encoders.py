@@ -100,3 +100,15 @@ def test_slices_cover_all_rows():
     assert [a for a, _ in got] == [0, *np.cumsum([n for _, n in got])[:-1]] and sum(n for _, n in got) == 10
     assert all(n == 1 or sum(len(x or []) for x in lists.slice(a, n).to_pylist()) <= 4 for a, n in got)
     assert list(E.slices(pa.array([], pa.list_(pa.int32())), 4)) == []
+
+
+def test_documents_are_hashed_once(spark):
+    """Encoder and vectors follow from one written table of term buckets."""
+    from subjex.plans import fixtures as fx
+    from testdata_paths import SF_SMALL
+    buckets = fx.record_buckets(spark, SF_SMALL)
+    encoder = fx.text_encoder(spark, SF_SMALL, buckets)
+    got = fx.record_vectors(spark, SF_SMALL, encoder, buckets)
+    assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
+    plain = encoder.transform(spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang"), "text")
+    assert sorted(got.collect(), key=str) == sorted(plain.collect(), key=str)
