@@ -14,6 +14,7 @@ driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,8 @@ CHUNK_ROWS = 256
 FAN_IN = 64
 #: List values (tokens) that are worked on at a time; a longer row is a slice of its own.
 SLAB = 1 << 16
+#: Numbers (rows x buckets) of the TF-IDF vectors that are made and handed on at a time.
+VECTORS = 1 << 18
 #: Sparse rows that become a dense matrix (rows x buckets) for a product.
 DENSE_ROWS = 128
 #: Bound on the numbers of the projection matrix that ships with the encoder.
@@ -45,15 +48,16 @@ def term_buckets(tokens: Column, buckets: int) -> Column:
                                           % F.lit(buckets)).cast("int"))
 
 
-def slices(column, values: int = SLAB):
-    """(first row, rows) of runs of a list column with at most ``values`` list values, one row at
-    least: what a task holds does not depend on the rows of an Arrow batch or their lengths."""
+def slices(column, values: int = SLAB, rows: int | None = None):
+    """(first row, rows) of runs of a list column with at most ``values`` list values and ``rows``
+    rows, one row at least: what a task holds does not depend on the rows of an Arrow batch or
+    their lengths."""
     ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + values, "right")))
         # rows without values are bounded as well
-        b = min(b, a + values, len(column))
+        b = min(b, a + (rows or values), len(column))
         yield a, b - a
         a = b
 
@@ -115,17 +119,21 @@ class TfIdfEncoder:
     def vector(self, buckets: Column, spark: SparkSession) -> Column:
         """The vector of a text's term buckets."""
         ship_package(spark)
-        idf = self.idf
-
-        @F.arrow_udf("array<double>")
-        def encode(buckets: pa.Array) -> pa.Array:
-            x = np.zeros((len(buckets), len(idf)))
-            for a, n in slices(buckets):
-                row, b, count = _entries(buckets.slice(a, n), len(idf))
-                x[a + row, b] = count * idf[b]
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_EPS)
-            return _lists(x)
-        return encode(buckets)
+        return F.arrow_udf(_tfidf(self.idf), "array<double>")(buckets)
+
+
+def _tfidf(idf: np.ndarray):
+    """Normalised TF-IDF vectors of a list column of buckets.  A batch of the column is answered by
+    several smaller ones, so that its vectors are never held together."""
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            for a, n in slices(column, rows=max(1, VECTORS // len(idf))):
+                row, b, count = _entries(column.slice(a, n), len(idf))
+                x = np.zeros((n, len(idf)))
+                x[row, b] = count * idf[b]
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_EPS)
+                yield _lists(x)
+    return run
 
 
 def _sparse(column, idf: np.ndarray, number: int):

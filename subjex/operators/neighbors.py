@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from subjex.operators.blocks import near_best, top_k_tables  # noqa: F401  (near_best: for cells)
 from subjex.operators.ranking import RANK_DECIMALS, top_k
 from subjex.functions.vectors import NORM_EPS
 from subjex.session import ship_package
@@ -28,15 +29,12 @@ from subjex.session import ship_package
 # Rows per block.  Every item block meets every query block of its group, so an
 # item row is shuffled once per query block and a query row once per item
 # block; queries usually outnumber items, hence the larger query blocks.  A
-# group's pandas frames hold one block of each side; the product is computed
-# Q_CHUNK query rows at a time (Q_CHUNK x ITEM_BLOCK doubles, 8 MB).  Exact search
-# over all pairs is inherently |Q| x |I|; the inverted-file search (V3) is the
+# group's Arrow tables hold one block of each side; the product is computed
+# blocks.Q_CHUNK query rows at a time (Q_CHUNK x ITEM_BLOCK doubles, 8 MB).  Exact
+# search over all pairs is inherently |Q| x |I|; the inverted-file search (V3) is the
 # path for large vocabularies.
 QUERY_BLOCK = 16384
 ITEM_BLOCK = 8192
-Q_CHUNK = 128
-# Neighbouring items whose highest score stands for them in the first cut.
-RUN = 32
 # Rows a centre that the starting centres of product quantisation are chosen from; every
 # row takes part in the fit itself.
 START_ROWS = 16
@@ -50,66 +48,12 @@ def _block_plan(df: DataFrame, group: str, block_rows: int, name: str) -> DataFr
                       .cast("int").alias(f"n_{name}")))
 
 
-def near_best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of all scores that may be among a row's ``k`` highest after rounding, by row:
-    at least these reach the k-th highest of the maxima of ``RUN`` columns.  Infinite
-    scores are left out; scores must not be NaN."""
-    n = sims.shape[1]
-    runs = n // RUN
-    if runs > 2 * k:
-        tops = sims[:, :runs * RUN].reshape(len(sims), runs, RUN).max(axis=2)
-    else:
-        tops = sims
-    kth = np.partition(tops, tops.shape[1] - min(k, n), axis=1)[:, tops.shape[1] - min(k, n)]
-    rows, cols = np.divmod(np.flatnonzero(sims >= (kth - 2 * 10.0 ** -RANK_DECIMALS)[:, None]), n)
-    some = np.isfinite(sims[rows, cols])
-    return rows[some], cols[some]
-
-
 def _topk_block_fn(k: int, normalize: bool, qk: str, ik: str, book: "PqCodebook | None" = None):
-    """Best ``k`` items of one block per query, by (score, id); with ``book`` the item
-    column holds codes, decoded once per block."""
+    """``top_k_tables`` over pandas frames."""
+    tables = top_k_tables(k, normalize, qk, ik, book)
+
     def fn(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(it) == 0:
-            return pd.DataFrame({qk: q[qk].iloc[:0], ik: it[ik].iloc[:0],
-                                 "score": np.zeros(0, dtype=np.float64)})
-        imat = np.vstack(it["_iv"].to_numpy())
-        if book is not None:
-            imat = np.hstack([book.codebooks[j][imat[:, j]] for j in range(book.m)])
-        else:
-            imat = imat.astype(np.float64)
-            if normalize:
-                imat /= np.maximum(np.linalg.norm(imat, axis=1, keepdims=True), NORM_EPS)
-        ids = it[ik].to_numpy()
-        id_rank = np.empty(len(ids), np.int64)
-        id_rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-        qids_all = q[qk].to_numpy()
-        kk = min(k, len(imat))
-        finite = np.isfinite(imat).all()
-        out_q, out_i, out_s = [], [], []
-        for s in range(0, len(q), Q_CHUNK):
-            qmat = np.vstack(q["_qv"].iloc[s:s + Q_CHUNK].to_numpy()).astype(np.float64)
-            if normalize:
-                qmat /= np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), NORM_EPS)
-            sims = qmat @ imat.T
-            if finite and np.isfinite(qmat).all():
-                rows, cols = near_best(sims, kk)
-            else:
-                rounded = np.round(sims, RANK_DECIMALS)
-                kth = -np.partition(-rounded, kk - 1, axis=1)[:, kk - 1]
-                rows, cols = np.nonzero(rounded >= kth[:, None])
-            scores = sims[rows, cols]
-            # ties are cut here by id, so a block hands on k rows a query at most
-            order = np.lexsort((id_rank[cols], -np.round(scores, RANK_DECIMALS), rows))
-            rows, cols, scores = rows[order], cols[order], scores[order]
-            first = np.searchsorted(rows, rows)
-            kept = np.arange(len(rows)) - first < kk
-            rows, cols = rows[kept], cols[kept]
-            out_q.append(qids_all[s:s + Q_CHUNK][rows])
-            out_i.append(ids[cols])
-            out_s.append(scores[kept])
-        return pd.DataFrame({qk: np.concatenate(out_q), ik: np.concatenate(out_i),
-                             "score": np.concatenate(out_s)})
+        return tables(*(pa.Table.from_pandas(x, preserve_index=False) for x in (q, it))).to_pandas()
     return fn
 
 
@@ -156,10 +100,10 @@ def exact_top_k(queries: DataFrame, q_key: str, q_vec: str,
 
     schema = T.StructType([queries.schema[q_key], items.schema[i_key],
                            T.StructField("score", T.DoubleType(), False)])
-    fn = _topk_block_fn(k, normalize, q_key, i_key, book)
+    fn = top_k_tables(k, normalize, q_key, i_key, book)
     partial = (qb.groupBy(g, "_ib", "_qb")
                  .cogroup(ib.groupBy(g, "_ib", "_qb"))
-                 .applyInPandas(fn, schema))
+                 .applyInArrow(fn, schema))
     return top_k(partial, q_key, i_key, "score", k, rank_col=rank_col)
 
 

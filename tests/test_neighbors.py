@@ -144,3 +144,42 @@ def test_first_cut_keeps_every_score_that_may_count():
             mine = s[i][np.isfinite(s[i])]
             want = np.flatnonzero(np.isfinite(s[i]) & (s[i] >= np.sort(mine)[-min(k, len(mine)):].min(initial=np.inf)))
             assert set(want) <= set(cols[rows == i])
+
+
+def test_blocks_stay_in_arrow(spark):
+    """Workers search blocks without pandas: its import and the frames' copies are memory of every worker."""
+    import subprocess
+    import sys
+    loaded = subprocess.run([sys.executable, "-c", "import subjex.operators.blocks, sys; print('pandas' in sys.modules)"],
+                            capture_output=True, text=True, cwd="/", env={"PYTHONPATH": ":".join(p for p in sys.path if p)})
+    assert loaded.stdout.strip() == "False", loaded.stderr
+    docs = fx.record_vectors(spark, SF_MID).select("doc_id", "embedding")
+    labels = fx.label_vectors(spark, SF_MID).select("gnd_id", "embedding")
+    plan = exact_top_k(docs, "doc_id", "embedding", labels, "gnd_id", "embedding", 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroupsInPandas" not in plan and "CoGroupsInArrow" in plan
+
+
+def test_empty_blocks_null_ids_and_odd_values(spark):
+    rows = [(i, [float(i % 3), 1.0, float("nan") if i == 4 else 0.6 if i == 2 else 0.5]) for i in range(9)]
+    q = spark.createDataFrame(rows, "q int, v array<float>")
+    it = spark.createDataFrame([(None if i == 2 else f"{i}", v) for i, v in rows if i != 4], "i string, v array<double>")
+    want = exact_top_k(q.where("q <> 4"), "q", "v", it, "i", "v", 3)
+    # a row a block: some blocks get no row by hash, on either side
+    got = exact_top_k(q.where("q <> 4"), "q", "v", it, "i", "v", 3, query_block=1, item_block=1)
+    key = lambda df: sorted((r["q"], r["rank"], str(r["i"])) for r in df.collect())
+    assert len(key(want)) == 24 and key(got) == key(want)
+    # a query with NaN has no neighbours and does not disturb the others
+    assert key(exact_top_k(q, "q", "v", it, "i", "v", 3)) == key(want)
+    assert exact_top_k(q, "q", "v", it.limit(0), "i", "v", 3).count() == 0
+
+
+def test_vectors_must_have_one_length():
+    import pyarrow as pa
+    import pytest
+    from subjex.operators.blocks import top_k_tables
+    items = pa.table({"i": ["a", "b"], "_iv": pa.array([[1.0, 0.0], [0.0, 1.0]])})
+    for bad in ([[1.0, 2.0], [1.0]], [[1.0, 2.0], None], [[1.0], [1.0, 2.0, 3.0]]):
+        with pytest.raises(ValueError):
+            top_k_tables(1, True, "q", "i")(pa.table({"q": [0, 1], "_qv": pa.array(bad)}), items)
+    parts = pa.concat_tables([pa.table({"q": [n], "_qv": pa.array([[float(n), 1.0]])}) for n in range(3)])
+    assert top_k_tables(1, True, "q", "i")(parts, items).to_pydict()["i"] == ["b", "a", "a"]
