@@ -159,6 +159,14 @@ def test_blocks_stay_in_arrow(spark):
     assert "CoGroupsInPandas" not in plan and "CoGroupsInArrow" in plan
 
 
+def test_hybrid_suggestion_needs_no_pandas(spark):
+    """h2_hybrid_suggest from the vectors to the ranks: every worker step takes Arrow batches."""
+    import __spark_entry__ as E
+    from testdata_paths import SF_SMALL
+    plan = E.queries()["h2_hybrid_suggest"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "InArrow" in plan and "InPandas" not in plan
+
+
 def test_empty_blocks_null_ids_and_odd_values(spark):
     rows = [(i, [float(i % 3), 1.0, float("nan") if i == 4 else 0.6 if i == 2 else 0.5]) for i in range(9)]
     q = spark.createDataFrame(rows, "q int, v array<float>")
