@@ -400,13 +400,15 @@ def bm25_summary(queries: DataFrame, index: Bm25Index, text_col: str, k: int = 0
         "_cnt": F.lit(0).cast("long"), "_mn0": F.lit(None).cast("double"), "_mx0": F.lit(None).cast("double"),
         "_top": F.expr("cast(array() as array<struct<id:string,score:double,shared:bigint>>)"),
         "_cand": F.transform(F.col("_ids"), lambda _: none)})
-    names = [*keep, "_tok", "_ids"]
     df = df if keep_text else df.drop(text_col)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names)
+    kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     stored = label_blocks(index)
     numbers = sorted(r["block"] for r in stored.select("block").collect())
     for i, b in enumerate(numbers):
         payload = bytes(stored.where(F.col("block") == b).first()["payload"])  # one block, bounded
+        # tokens and asked ids leave the workers only for another block
+        names = [*keep, "_tok", "_ids"] if i < len(numbers) - 1 else keep
+        head = ", ".join(f"`{c}` {kind[c]}" for c in names)
         df = df.mapInArrow(_merge_block(payload, names, k), f"{head}, {_STATE}")
         if i < len(numbers) - 1:
             df = written(df, "block-state")

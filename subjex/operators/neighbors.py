@@ -35,6 +35,10 @@ from subjex.session import ship_package
 # path for large vocabularies.
 QUERY_BLOCK = 16384
 ITEM_BLOCK = 8192
+# Few items make smaller query blocks: a block of this many rows an item (LEAST_BLOCK rows at
+# least) still moves far more queries than copies of items, and workers hold less.
+ROWS_PER_ITEM = 16
+LEAST_BLOCK = 4096
 # Rows a centre that the starting centres of product quantisation are chosen from; every
 # row takes part in the fit itself.
 START_ROWS = 16
@@ -48,6 +52,11 @@ def _block_plan(df: DataFrame, group: str, block_rows: int, name: str) -> DataFr
                       .cast("int").alias(f"n_{name}")))
 
 
+def _query_rows(n_items: int, query_block: int) -> int:
+    """Rows of a query block that meets ``n_items`` items."""
+    return min(query_block, max(LEAST_BLOCK, ROWS_PER_ITEM * n_items))
+
+
 def _topk_block_fn(k: int, normalize: bool, qk: str, ik: str, book: "PqCodebook | None" = None):
     """``top_k_tables`` over pandas frames."""
     tables = top_k_tables(k, normalize, qk, ik, book)
@@ -78,6 +87,7 @@ def exact_top_k(queries: DataFrame, q_key: str, q_vec: str,
         sizes = (q.select(F.lit(0).alias("_side")).unionByName(it.select(F.lit(1).alias("_side")))
                   .agg(F.sum((F.col("_side") == 0).cast("long")).alias("nq"),
                        F.sum((F.col("_side") == 1).cast("long")).alias("ni")).first())
+        query_block = _query_rows(int(sizes["ni"] or 0), query_block)
         n_qb = F.lit(max(1, -(-int(sizes["nq"] or 0) // query_block)))
         n_ib = F.lit(max(1, -(-int(sizes["ni"] or 0) // item_block)))
         qj, ij = q, it

@@ -24,6 +24,10 @@ DEFAULT_BM25_WEIGHT = 0.3
 DEFAULT_RERANK_HYBRID = 30
 HYBRID_N_OUT = 20
 
+# Records of a partition that goes to the lexical workers, so many partitions at most.
+BATCH_ROWS = 4096
+MAX_PARTITIONS = 8192
+
 PairScorer = Callable[[Column, Column], Column]
 
 
@@ -38,6 +42,13 @@ def dense_candidates(docs: DataFrame, key: str, vec: str, labels: DataFrame,
             .withColumnRenamed("score", "cosine"))
 
 
+def _records(docs: DataFrame, key: str, text: str, cands: DataFrame) -> DataFrame:
+    """Records with their candidates, in partitions of about ``BATCH_ROWS``: a worker holds two Arrow
+    batches with the tokens of whole texts, and a batch ends with its partition."""
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, min(MAX_PARTITIONS, -(-docs.count() // BATCH_ROWS)))
+    return docs.select(key, text).repartition(parts, key).join(cands, key)
+
+
 def hybrid_scores(docs: DataFrame, key: str, text: str, vec: str, labels: DataFrame,
                   topk: int, weight: float = DEFAULT_BM25_WEIGHT,
                   index: Bm25Index | None = None, label_vec: str = "embedding",
@@ -54,8 +65,7 @@ def hybrid_scores(docs: DataFrame, key: str, text: str, vec: str, labels: DataFr
     index = index or build_bm25(labels.select("gnd_id", "label_text"))
     cands = dense_candidates(docs, key, vec, labels, 2 * topk, label_vec, label_index, nprobe) \
         .groupBy(key).agg(F.collect_list(F.struct("gnd_id", "cosine")).alias("_c"))
-    records = docs.select(key, text).join(cands, key)
-    lex = bm25_summary(records, index, text, candidates=F.col("_c.gnd_id"), keep_text=False)
+    lex = bm25_summary(_records(docs, key, text, cands), index, text, candidates=F.col("_c.gnd_id"), keep_text=False)
     mn, den = minmax_columns(index.n_labels)
     ex = lex.select(key, mn.alias("_mn"), den.alias("_den"), F.explode(F.arrays_zip("_c", "_cand")).alias("x"))
     extra = [F.col("x._cand.shared").alias("shared")] if with_shared else []
@@ -125,7 +135,7 @@ def suggest_dense(docs: DataFrame, key: str, text: str, vec: str, labels: DataFr
         index = build_bm25(labels.select("gnd_id", "label_text"))
         if scorer is None:
             mine = best.groupBy(key).agg(F.collect_list(F.struct("gnd_id", "score", "rank")).alias("_c"))
-            lex = bm25_summary(docs.select(key, text).join(mine, key), index, text, candidates=F.col("_c.gnd_id"), keep_text=False)
+            lex = bm25_summary(_records(docs, key, text, mine), index, text, candidates=F.col("_c.gnd_id"), keep_text=False)
             best = lex.select(key, F.explode(F.arrays_zip("_c", "_cand")).alias("x")) \
                 .select(key, "x._c.*", F.col("x._cand.shared").alias("shared"))
         best = _apply_rerank(best, key, rerank_n, topk, index, docs, text, labels, scorer)

@@ -133,3 +133,19 @@ def test_records_are_scored_some_tokens_at_a_time():
     assert len(parts) > 3 and max(p.num_rows for p in parts) * 1000 <= 1 << 16
     alone = [p for i in range(n) for p in run([batch.slice(i, 1)])]
     assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(alone).to_pylist()
+
+
+def test_tokens_stay_with_the_last_block(spark, monkeypatch):
+    """Workers hand tokens on only to another block; the last one returns what is asked for."""
+    from subjex.operators import lexical as L
+    labels = spark.createDataFrame([(f"g{i}", f"a{i % 3} b{i % 5} c{i}") for i in range(12)], "gnd_id string, label_text string")
+    docs = spark.createDataFrame([(i, f"a{i % 3} c{i} c{i + 1}") for i in range(9)] + [(None, "a1"), (4, None)], "id int, text string")
+    got = []
+    for size in (L.BLOCK_POSTINGS, 9):
+        monkeypatch.setattr(L, "BLOCK_POSTINGS", size)
+        s = L.bm25_summary(docs, L.build_bm25(labels), "text", k=2)
+        plan = s._jdf.queryExecution().analyzed().toString()
+        last = next(x for x in plan.splitlines() if "MapInArrow" in x).rsplit("[", 1)[1].split("]")[0]
+        assert "_top" in last and "_tok" not in last, plan
+        got.append(sorted((str(r["id"]), str(r["text"]), [t["id"] for t in r["_top"]]) for r in s.collect()))
+    assert got[0] == got[1] and len(got[0]) == 11

@@ -167,6 +167,32 @@ def test_hybrid_suggestion_needs_no_pandas(spark):
     assert "MapInArrow" in plan and "InArrow" in plan and "InPandas" not in plan
 
 
+def test_records_meet_labels_in_small_partitions(spark):
+    """An Arrow batch ends with its partition, so what a lexical worker holds does not grow with the rows."""
+    from subjex.operators import suggest as S
+    docs = spark.range(50000).selectExpr("id doc_id", "concat('a', id % 7, ' b') text", "array(id % 5, 1.0D) v")
+    docs = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.limit(1).selectExpr("cast(null as long) doc_id", "text", "v"))
+    labels = spark.createDataFrame([(f"g{i}", f"a{i} c", [float(i), 2.0]) for i in range(4)], "gnd_id string, label_text string, embedding array<double>")
+    cands = docs.select("doc_id").distinct().selectExpr("doc_id", "array(named_struct('gnd_id', 'g1', 'cosine', 0.5D)) _c")
+    records = S._records(docs, "doc_id", "text", cands)
+    sizes = records.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.sum() == 50001 and sizes.max() < 1.2 * S.BATCH_ROWS
+    hy = S.hybrid_scores(docs, "doc_id", "text", "v", labels, 1)
+    assert hy.where("doc_id <> 3").count() == 2 * 49999 and hy.where("doc_id = 3").count() >= 4
+
+
+def test_few_items_make_small_query_blocks(spark):
+    """What a worker holds of the queries follows the items; neighbours stay the same."""
+    import re
+    q = spark.range(9000).selectExpr("id q", "array(id % 97, id % 89 + 1.0D) v")
+    it = spark.range(5).selectExpr("cast(id as string) i", "array(id, 2.0D) v")
+    small = exact_top_k(q, "q", "v", it, "i", "v", 2)
+    blocks = re.search(r"(\d+)\) as int\) AS _qb", small._jdf.queryExecution().optimizedPlan().toString())
+    assert int(blocks[1]) == 3
+    want = exact_top_k(q, "q", "v", it, "i", "v", 2, query_block=700)
+    assert small.count() == 18000 and small.exceptAll(want).count() == 0
+
+
 def test_empty_blocks_null_ids_and_odd_values(spark):
     rows = [(i, [float(i % 3), 1.0, float("nan") if i == 4 else 0.6 if i == 2 else 0.5]) for i in range(9)]
     q = spark.createDataFrame(rows, "q int, v array<float>")
