@@ -4,10 +4,11 @@ Entities are found by patterns (e-mail, phone, IPv4 and IPv6, card and account n
 US social security numbers, and names after a title: all capitalised tokens that follow, with
 particles such as "van der" between them, up to the next title).  A surrogate is a keyed permutation of
 the entity's own characters within their classes (a Feistel network over digits, letters,
-vowels and consonants), so one entity has one surrogate everywhere and two entities of a
-format never share one.  Kept are: punctuation and case, the country code, reserved mail
+vowels and consonants), so one entity has one surrogate everywhere and two entities never
+share one: a permutation that leads into a form with one of its own is applied again until
+it leads back.  Kept are: punctuation and case, the country code, reserved mail
 domains, a fictional 555 exchange, private or public address space, the groups of an IPv6
-address, the Luhn or IBAN check (valid stays valid), title and hence gender, and the script
+address, ::ffff: before an IPv4 address in it, the Luhn or IBAN check (valid stays valid), title and hence gender, and the script
 of a name; known given names become given names of the same gender.  Letters are permuted
 without their marks, which stay (an umlaut keeps its dots); letters that decompose into no
 letter of the script's list stay.
@@ -17,7 +18,8 @@ map-side) must have distinct surrogates, none of which is another real entity; e
 key moves to its next epoch, up to ``MAX_EPOCHS``; shared surrogates at the end are an error.
 
 Defined results: a null text stays null; overlapping findings count from the left, the
-longest first; a name token found after a title is replaced wherever the document has it
+longest first; digits of other scripts become those of ASCII; a domain that is not reserved
+goes under .example, and one of several labels there goes a level deeper; a name token found after a title is replaced wherever the document has it
 capitalised; 0.0.0.0, 127.0.0.1 and 255.255.255.255 are not personal; one-character parts may
 keep their value; repeated rows change alike; other columns pass through.
 """
@@ -128,18 +130,29 @@ class Keyed:
         m = RESERVED.match(domain)
         head, tail = m.groups() if m else (domain, ".example")
         classes = ("abcdefghijklmnopqrstuvwxyz", "0123456789")
-        return f"{self.within('local', local, classes)}@{self.within('domain' + tail, head, classes)}{tail}"
+        under = tail == ".example"  # two kinds of domains meet there: the count of .example tells them apart
+        while under and head.endswith(".example"):
+            head, tail = head.removesuffix(".example"), tail + ".example"
+        if under and m and "." in head and not RESERVED.match(head):
+            tail += ".example"
+        new = self.within("domain" + tail, head, classes)
+        while under and new.endswith(".example"):
+            new = self.within("domain" + tail, new, classes)
+        return f"{self.within('local', local, classes)}@{new}{tail}"
 
     def _phone(self, norm: str) -> str:
         country, number = norm.split(":")
         if len(number) == 10:  # area and exchange start with 2-9; a fictional 555 exchange stays
-            low = [2 if i in (0, 3) and number[i] in "23456789" else 0 for i in range(10)]
-            free = [i for i in range(10) if not (number[3:6] == "555" and 3 <= i < 6)]
-            new = self.permute(f"phone{number[3:6] == '555'}{low}", [int(number[i]) - low[i] for i in free], [10 - low[i] for i in free])
-            out = list(number)
-            for i, v in zip(free, new):
-                out[i] = str(v + low[i])
-            return f"{country}:{''.join(out)}"
+            form = fictional, low = _phone_form(number)
+            free = [i for i in range(10) if not (fictional and 3 <= i < 6)]
+            while True:  # walk the cycle back into the same form
+                new = self.permute(f"phone{fictional}{low}", [int(number[i]) - low[i] for i in free], [10 - low[i] for i in free])
+                out = list(number)
+                for i, v in zip(free, new):
+                    out[i] = str(v + low[i])
+                number = "".join(out)
+                if _phone_form(number) == form:
+                    return f"{country}:{number}"
         return f"{country}:{self.within('phone' + country, number, ('0123456789',))}"
 
     def _ssn(self, norm: str) -> str:
@@ -168,9 +181,9 @@ class Keyed:
 
     def _iban(self, norm: str) -> str:
         country, digits, account = norm[:2], int(norm[2:4]), norm[4:]
-        off = (digits - _mod97(country, account)) % 97
+        off = (digits - _mod97(country, account)) % 100  # 0 for a valid number
         new = self.within(f"iban{country}{off}", account, ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-        return f"{country}{(_mod97(country, new) + off) % 97:02d}{new}"
+        return f"{country}{(_mod97(country, new) + off) % 100:02d}{new}"
 
     def _person(self, norm: str) -> str:
         """``norm``: gender:role:token."""
@@ -180,8 +193,8 @@ class Keyed:
             if s == script and token in names and role == "given" and gender in (g, "n"):
                 return names[self.permute(f"given{s}{g}", [names.index(token)], [len(names)])[0]]
         new = self._letters(token, script)
-        known = {n for names in GIVEN.values() for n in names}
-        while role == "given" and new in known and token not in known:  # stay outside the known names
+        known = {n for (_, g), names in GIVEN.items() for n in names if gender in (g, "n")}
+        while role == "given" and new in known:  # stay outside the names permuted above
             new = self._letters(new, script)
         return new
 
@@ -191,9 +204,16 @@ class Keyed:
         return unicodedata.normalize("NFC", self.within("name", apart, LETTERS.get(script, ())))
 
     def _ip6(self, norm: str) -> str:
-        """The hex digits of the groups permuted, but a reserved first group (and 2001:db8)."""
+        """The hex digits of the groups permuted, but a reserved first group (and 2001:db8, ::ffff: before an IPv4 address)."""
+        kept = _ip6_kept(norm)
+        new = self._groups(norm, kept)
+        while _ip6_kept(new) != kept:  # walk the cycle back
+            new = self._groups(new, kept)
+        return new
+
+    def _groups(self, norm: str, kept: int) -> str:
+        """The hex digits of all groups but the first ``kept`` permuted."""
         groups = norm.split(":")
-        kept = 2 if norm.startswith("2001:db8:") else 1 if re.match(r"f[cdef]", norm) else 0
         free = [(i, j) for i, g in enumerate(groups) if i >= kept for j in range(len(g))]
         low = [int(j == 0) for _, j in free]  # a group keeps its length: no leading zero
         zero = [groups[i] == "0" for i, _ in free]
@@ -206,6 +226,18 @@ class Keyed:
         return ":".join(map("".join, out))
 
 
+def _phone_form(number: str) -> tuple[bool, list[int]]:
+    """Of ten digits: a fictional exchange or not, and the smallest digit by place."""
+    return number[3:6] == "555", [2 if i in (0, 3) and number[i] in "23456789" else 0 for i in range(10)]
+
+
+def _ip6_kept(norm: str) -> int:
+    """How many groups of a compressed address stay."""
+    if re.fullmatch(r"::ffff:[0-9a-f]+:[0-9a-f]+", norm):
+        return 3
+    return 2 if norm.startswith("2001:db8:") else 1 if re.match(r"f[cdef]", norm) else 0
+
+
 def _space(o: list[int]) -> tuple[str, int]:
     """The address space and how many octets it fixes."""
     if o in ([0, 0, 0, 0], [127, 0, 0, 1], [255] * 4):
@@ -257,7 +289,10 @@ def _ip6_norm(raw: str) -> str:
         ip = ipaddress.IPv6Address(raw)
     except ValueError:
         return ""
-    return "" if ip.is_loopback or ip.is_unspecified else ip.compressed
+    if ip.is_loopback or ip.is_unspecified:
+        return ""
+    # some Python versions write the last groups of an embedded IPv4 address with dots
+    return f"::ffff:{int(ip) >> 16 & 0xffff:x}:{int(ip) & 0xffff:x}" if ip.ipv4_mapped else ip.compressed
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -267,7 +302,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
     if DIGITS.search(text):
         for m in NUMBERS.finditer(text):
-            kind, raw = m.lastgroup, m[0]
+            kind, raw = m.lastgroup, "".join(str(int(c)) if c.isdecimal() else c for c in m[0])
             digits = "".join(c for c in raw if c.isdigit())
             if kind == "phone":
                 if not 7 <= len(digits) <= 15:
@@ -321,7 +356,7 @@ def _written_like(original: str, kind: str, new: str) -> str:
         return unicodedata.normalize("NFC", "".join(n.upper() if i < len(old) and old[i].isupper() else n for i, n in enumerate(new)))
     if kind == "ip":
         if ":" in original and len(original) == 39:
-            new = ipaddress.IPv6Address(new).exploded
+            new = ":".join(re.findall("....", f"{int(ipaddress.IPv6Address(new)):032x}"))
         return new.upper() if ":" in original and original.upper() == original else new
     if kind == "phone":
         new = new.split(":")[1]

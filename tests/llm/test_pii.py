@@ -111,3 +111,58 @@ def test_clashing_columns_keep_their_values(spark):
     r = pii.anonymise(df).first()
     assert [r[c] for c in names] == [f"my {c}" for c in names] and r["replaced"] == ["person"] and r["text"] != "Frau Schmidt"
     assert pii.anonymise(df.select("text")).columns == ["text", "replaced"]
+
+
+def _distinct(kind, norms):
+    images = {K.surrogate(kind, n) for n in norms}
+    assert len(images) == len(norms) == len(set(norms)), (kind, len(norms) - len(images))
+    return images
+
+
+def test_forms_of_one_kind_do_not_meet():
+    """Forms with a permutation of their own: none leads into another's."""
+    r = random.Random(3)
+    numbers = {f"{r.choice(lead)}{r.randrange(100):02d}{r.choice(('555', f'{r.randrange(1000):03d}'))}{r.randrange(10**4):04d}"
+               for lead in ("01", "23456789") for _ in range(6000)}
+    assert all(pii._phone_form(K.surrogate("phone", f":{n}")[1:]) == pii._phone_form(n) for n in numbers)
+    _distinct("phone", [f":{n}" for n in numbers])
+    ends = ("", ".example", ".example.example", ".example.com", ".example.com.example", ".test", ".test.example")
+    domains = [f"{a}{b}{end}" for a in "abcxyz" for b in ("", ".a", ".b", ".z") for end in ends if b + end] + ["example.com", "example.example"]
+    images = _distinct("email", [f"x@{d}" for d in domains])
+    assert all(pii.RESERVED.match(i.split("@")[1]) for i in images)
+    accounts = [f"{i:02d}AB" for i in range(100)]
+    _distinct("iban", [f"DE{d:02d}{a}" for a in accounts for d in range(100)])
+    for a in accounts:
+        new = K.surrogate("iban", f"DE{pii._mod97('DE', a):02d}{a}")
+        assert int(new[2:4]) == pii._mod97("DE", new[4:])
+    _distinct("ip", [f"{a:x}::{b:x}" for a in range(16, 256) for b in range(1, 16)])
+    vowels, consonants = pii.LETTERS["latin"]
+    for gender in "mfn":
+        names = [a + b + c + d for a in vowels for b in consonants for c in consonants for d in vowels]
+        _distinct("person", [f"{gender}:given:{n}" for n in names])
+
+
+def test_embedded_ipv4_and_other_digits():
+    new, kinds = pii.replace("from ::ffff:b82f:4ca9 and 0000:0000:0000:0000:0000:FFFF:B82F:4CA9", K)
+    a, b = (ipaddress.ip_address(x) for x in re.findall(r"\S*:\S*", new))
+    assert kinds == ["ip", "ip"] and a == b and a.ipv4_mapped and "b82f" not in new and re.search(r" and (0000:){5}FFFF:[0-9A-F]{4}:[0-9A-F]{4}$", new)
+    assert pii.find("::ffff:7f00:1") == []
+    east = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+    for text in ("20.1.2.3", "(787) 555-1710", "4111 1111 1111 1111", "123-45-6789"):
+        # the regular expression of an address wants some digits in ASCII
+        other = text.replace("3", "٣") if "." in text else text.translate(east)
+        assert pii.find(other) == pii.find(text) and pii.replace(other, K) == pii.replace(text, K) != (text, [])
+
+
+def test_many_forms_in_one_table(spark):
+    """Raised an error before: in each key epoch some forms shared a surrogate."""
+    r = random.Random(4)
+    texts = [" and ".join(f"({r.choice('01' if i % 2 else '23456789')}{r.randrange(100):02d}) 555-{r.randrange(10**4):04d}" for _ in range(100)) for i in range(160)]
+    texts += ["a@foo.com", "a@foo.com.example", "DE00 3704 0044 0532 0130 00", "DE97 3704 0044 0532 0130 00", "at ٣.1.1.1", "at 3.1.1.1", "on ::ffff:b82f:4ca9"]
+    df = table(spark, list(enumerate(texts)))
+    got = {x["doc_id"]: x["text"] for x in pii.anonymise(df).collect()}
+    norms = {n for t in texts for _, _, k, n in pii.find(t) if k == "phone"}
+    images = {n for t in got.values() for _, _, k, n in pii.find(t) if k == "phone"}
+    assert len(got) == len(texts) and len(images) == len(norms) > 10_000
+    last = [got[i] for i in range(160, len(texts))]
+    assert len(set(last)) == len(last) - 1 and last[4] == last[5]  # one address written in two ways
